@@ -127,18 +127,20 @@ class Ranker:
         return self.langs[best], float(w[best] / w.sum() * min(1.0, 2 * (1 - far[best])))
 
 
-def identify(docs: DataFrame, profiles: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
-    """(doc_id, text, lang_pred, score) of every row, from its text alone.
+def identify(docs: DataFrame, profiles: pd.DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, *keep, lang_pred, score) of every row, from its text alone.
 
     Null text and text without a letter give ``und`` with score 0; so does every text where no profile was
-    learned. Equal distances go to the first language by name. Repeated rows are predicted each; other
-    columns are ignored.
+    learned. Equal distances go to the first language by name. Repeated rows are predicted each; columns
+    other than those to ``keep`` are ignored.
     """
     ranker = Ranker(profiles, top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [ranker(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "text", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
-    return arrow_pass(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, text string, lang_pred string, score double")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema)
+    return arrow_pass(src, run, f"{fields}, lang_pred string, score double")

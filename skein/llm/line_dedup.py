@@ -176,14 +176,15 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, [x for x in names if x not in ("_text", "_gone")] + ["text", "n_lines", "n_dropped"])
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without the lines that a smaller doc_id already holds: (doc_id, text, n_lines, n_dropped).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents without the lines that a smaller doc_id already holds: (doc_id, *keep, text, n_lines, n_dropped).
 
     A line's key is the line without ASCII white space at both ends and with A-Z lower-cased; keys under ten
     code points never go. Null text stays null and counts as one empty line. Rows without a doc_id pass
-    through untouched. Rows that repeat a doc_id count as one document; each loses the same keys. Other
-    columns, whatever their names, are ignored; join them back by doc_id. An empty table gives an empty one.
+    through untouched. Rows that repeat a doc_id count as one document; each loses the same keys. Columns
+    other than those to ``keep`` are ignored, whatever their names. An empty table gives an empty one.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), *keep, F.col(text_col).alias("_text"))
     gone = repeated_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("key").alias("_gone"))
-    return arrow_pass(src.join(gone, "doc_id", "left").select("doc_id", "_text", "_gone"), _rewrite, "doc_id long, text string, n_lines long, n_dropped long")
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return arrow_pass(src.join(gone, "doc_id", "left").select("doc_id", *keep, "_text", "_gone"), _rewrite, f"doc_id long, {fields}text string, n_lines long, n_dropped long")

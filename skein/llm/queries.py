@@ -93,6 +93,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, index).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.transform("evidence", lambda e: e["doc_id"]).alias("nearest"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    got = run(spark, sf_dir)
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 OP7_SQL = """
 WITH lines AS (
   SELECT doc_id, u.line, u.pos,
@@ -111,5 +118,5 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM flagged GROUP BY doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_sentencepiece, op4_token_store, op5_langid, op6_substring_dedup, op7_line_dedup, op8_embed_dedup, op9_ann, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_sentencepiece, op4_token_store, op5_langid, op6_substring_dedup, op7_line_dedup, op8_embed_dedup, op9_ann, op10_toxicity, pipeline)}
 ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}

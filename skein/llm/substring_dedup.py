@@ -129,21 +129,24 @@ def _cut_out(run: int, min_words: int):
                     out.append(old)
                 n_units.append(len(ends))
                 n_gone.append(int(gone_units.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(n_units, pa.int64()), pa.array(n_gone, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
+            cols = [batch.column(0), pa.array(out, pa.string()), pa.array(n_units, pa.int64()), pa.array(n_gone, pa.int64()), *batch.columns[3:]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_sentences", "n_removed", *batch.schema.names[3:]])
 
     return go
 
 
-def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_sentences, n_removed): texts without the sentences that a non-first span covers.
+def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, n_sentences, n_removed, *keep): texts without the sentences that a non-first span covers.
 
     A span's first document is the one of smallest doc_id. Rows that repeat a doc_id count as one document
     and keep the same spans. Null texts stay null, empty ones empty; a text of fewer than ``min_words``
-    words has no span. Rows without a doc_id pass through. Other columns are ignored; an empty table gives
-    an empty one.
+    words has no span. Rows without a doc_id pass through. Columns other than those to ``keep`` are
+    ignored; an empty table gives an empty one.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = arrow_pass(src, _rows(run, min_words), "doc_id long, h long")
     firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
     gone = rows.join(firsts, "h").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
-    return arrow_pass(src.join(gone, "doc_id", "left").select("doc_id", "text", "gone"), _cut_out(run, min_words), "doc_id long, text string, n_sentences long, n_removed long")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return arrow_pass(whole.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *keep), _cut_out(run, min_words), f"doc_id long, text string, n_sentences long, n_removed long{fields}")

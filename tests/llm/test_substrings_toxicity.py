@@ -140,7 +140,7 @@ def test_calibration_is_monotone():
 
 def test_odd_rows_are_scored(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
-    train = spark.createDataFrame([(i, ("foul vile words here " if i % 2 else "kind calm words here ") + " ".join(chr(97 + i % 26) + chr(97 + j) + chr(97 + (i * j) % 26) for j in range(20))) for i in range(40)], "doc_id long, text string")
+    train = spark.createDataFrame([(i, ("foul vile words here " if i % 2 else "kind calm words here ") + " ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j) for j in range(60))) for i in range(40)], "doc_id long, text string")
     ix = toxicity.fit(train, labels, train)
     got = {r.doc_id: r for r in toxicity.score(train.unionByName(spark.createDataFrame([(99, None), (98, "")], train.schema)), ix).collect()}
     assert got[1].score > 0.9 and got[2].score < 0.1 and 0 <= got[99].score < 0.5 and got[98].score == got[99].score

@@ -153,7 +153,7 @@ def test_sentencepiece_unigram_shortest_path(tmp_path):
     own.merges = False
     own.ids = {"▁": 3, "a": 4, "b": 5, "ab": 6, "▁a": 7, "ba": 8}
     own.score = {"▁": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "▁a": -2.8, "ba": -1.0}
-    own.longest = 2
+    own.arcs = own.compile(own.ids)
     assert own.path("▁aba") == [7, 8]
     assert own.path("▁abab") == [7, 8, 5]
 
