@@ -18,6 +18,11 @@ _NAME = r"(?U)^\p{Lu}[\w']*$"
 _ELIDED_NAME = r"(?U)^(?=[^']*\p{Ll})[^'\p{Lu}]*'\p{Lu}[\w']*$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; a lambda would compute an outer expression once an element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfc(c: Column) -> Column:
     """Unicode NFC; Spark has no built-in, so this batches through Arrow."""
     @F.pandas_udf("string")
@@ -71,9 +76,9 @@ def is_deictic(c: Column) -> Column:
 def mixed_bundle_pieces(c: Column) -> Column:
     """The un-named pieces of a comma label that has both named and un-named ones, else an empty array."""
     p = pieces(c)
-    rest = F.filter(p, lambda x: ~is_capitalized_name(x))
-    mixed = c.contains(",") & (F.size(p) >= 2) & (F.size(rest) > 0) & (F.size(rest) < F.size(p))
-    return F.when(mixed, rest).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    mixed = lambda rest: F.when((F.size(p) >= 2) & (F.size(rest) > 0) & (F.size(rest) < F.size(p)), rest).otherwise(none)
+    return F.when(c.contains(","), let(F.filter(p, lambda x: ~is_capitalized_name(x)), mixed)).otherwise(none)
 
 
 def fix_elision(c: Column) -> Column:
@@ -111,9 +116,10 @@ def mark_columns(line: Column) -> Column:
     """
     s = F.regexp_replace(line, r"\[\+[^\]]*\]", _AT)
     s = F.regexp_replace(s, r"\[\+*([^\]]*)\]|\{\+*([^}]*)\}", _AT + "$1$2")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), f"(?<=(?:^| ){_AT}{{1,99}}) ", "")
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), f" (?<=(?:^| ){_AT}{{1,9}} )", "")
     lengths = F.transform(F.split(F.regexp_replace(s, "^ ", ""), _AT), F.length)
-    return F.transform(marks(line), lambda _, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x))
+    upto = lambda n: F.transform(F.sequence(F.lit(1), F.size(n) - 1), lambda i: F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+    return let(lengths, lambda n: F.when(F.size(n) > 1, upto(n)).otherwise(F.array().cast("array<int>")))
 
 
 def strip_to_source(line: Column) -> Column:
@@ -150,8 +156,8 @@ def content_tokens(c: Column) -> Column:
 
 def heads_name(bare: Column, fuller: Column) -> Column:
     """Does ``bare`` stand in ``fuller`` not governed by the word before it."""
-    toks = F.split(collapse(fuller), " ")
-    return F.exists(F.transform(toks, lambda t, i: (t == bare) & ((i == 0) | ~F.lower(F.get(toks, F.greatest(i - 1, F.lit(0)))).isin(*V.GOVERNORS))), lambda x: x)
+    led = lambda toks: F.transform(toks, lambda t, i: (t == bare) & ((i == 0) | ~F.lower(F.get(toks, F.greatest(i - 1, F.lit(0)))).isin(*V.GOVERNORS)))
+    return F.exists(let(F.split(collapse(fuller), " "), led), lambda x: x)
 
 
 def strip_possessive(c: Column) -> Column:

@@ -397,9 +397,10 @@ g AS (SELECT c.conv_id, c.turn, {', '.join(f"list_sort(list(DISTINCT who) FILTER
 
 def _referents(spark, sf_dir) -> DataFrame:
     """Each turn's word pairs: the first plays the surface, the second the referent."""
-    c = table(spark, sf_dir, "conversations").withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(x.alias("surface"), F.get("w", i + 1).alias("who")))
-    return c.select("conv_id", "turn", F.explode_outer(pairs).alias("p")).select("conv_id", "turn", "p.surface", "p.who")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    pairs = T.let(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.struct(x.alias("surface"), F.get(w, i + 1).alias("who"))))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode_outer(pairs).alias("p"))
+    return c.select("conv_id", "turn", "p.surface", "p.who")
 
 
 def _signals(spark, sf_dir) -> DataFrame:

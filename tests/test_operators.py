@@ -8,10 +8,10 @@ from skein.operators import checks, identity, intervals, regions, scene
 
 
 def test_registry(spark):
-    t = spark.createDataFrame([("a", "La altra", "x"), ("a", "altra", "x"), ("b", "L'altra", "y"), ("b", "altra", "y"), ("b", "(unknown)", "z"), ("b", "Dante, noble souls", "s")], "unit string, label string, surface string")
+    t = spark.createDataFrame([("a", "La altra", "x"), ("a", "altra", "x"), ("b", "L'altra", "y"), ("b", "altra", "y"), ("b", "(unknown)", "z"), ("b", "Renzo, noble souls", "s")], "unit string, label string, surface string")
     g = identity.gather(t, "unit")
     c = {r.fold: (r.canonical, r.total, r.n_spellings) for r in identity.canonical(identity.spellings(g)).collect()}
-    assert c == {"altra": ("altra", 4, 3), "dante, noble souls": ("Dante, noble souls", 1, 1), "noble souls": ("noble souls", 1, 1)}
+    assert c == {"altra": ("altra", 4, 3), "renzo, noble souls": ("Renzo, noble souls", 1, 1), "noble souls": ("noble souls", 1, 1)}
 
 
 def test_sets_and_aliases(spark):
@@ -27,8 +27,8 @@ def test_sets_and_aliases(spark):
 
 
 def test_raw_to_canonical_last_wins(spark):
-    reg = spark.createDataFrame([(0, "Dante", ["Dante", "il poeta"]), (1, "Virgilio", ["poeta"]), (2, "A, B", [])], "ord int, canonical string, labels array<string>")
-    assert {r.fold: r.canonical for r in identity.raw_to_canonical(reg).collect()} == {"dante": "Dante", "poeta": "Virgilio", "a, b": "A, B"}
+    reg = spark.createDataFrame([(0, "Renzo", ["Renzo", "il poeta"]), (1, "Lucia", ["poeta"]), (2, "A, B", [])], "ord int, canonical string, labels array<string>")
+    assert {r.fold: r.canonical for r in identity.raw_to_canonical(reg).collect()} == {"renzo": "Renzo", "poeta": "Lucia", "a, b": "A, B"}
 
 
 def test_binned_containment_is_the_plain_one(spark):
@@ -60,18 +60,18 @@ def test_spans(spark):
 
 
 def test_attribution(spark):
-    rows = [(1, "io", "Dante"), (1, "mi", "X"), (2, "io", "A"), (2, "i'", "B"), (3, "mi", "W"), (4, "mi", "A"), (4, "me", "B"), (5, "noi", "A"), (6, None, None)]
+    rows = [(1, "io", "Renzo"), (1, "mi", "X"), (2, "io", "A"), (2, "i'", "B"), (3, "mi", "W"), (4, "mi", "A"), (4, "me", "B"), (5, "noi", "A"), (6, None, None)]
     got = {r.q: (r.speaker, r.signal, r.flags) for r in scene.attribute(spark.createDataFrame(rows, "q int, surface string, who string"), ["q"]).collect()}
     none = "(unattributed)"
-    assert got == {1: ("Dante", "strong", []), 2: (none, "none", ["multi(A;B)"]), 3: ("W", "weak", []), 4: (none, "none", []), 5: (none, "none", ["plural"]), 6: (none, "none", [])}
+    assert got == {1: ("Renzo", "strong", []), 2: (none, "none", ["multi(A;B)"]), 3: ("W", "weak", []), 4: (none, "none", []), 5: (none, "none", ["plural"]), 6: (none, "none", [])}
 
 
 def test_routing_and_sets(spark):
-    cast = spark.createDataFrame([(1, "Dante", 0), (1, "Virgilio", 1), (2, "l'Altra", 0), (3, "A", 2), (3, "B", 1), (3, "C", 0)], "sc int, who string, ord int")
-    ask = spark.createDataFrame([(1, "Dante"), (2, "La altra"), (3, "C"), (4, "Z")], "sc int, speaker string")
+    cast = spark.createDataFrame([(1, "Renzo", 0), (1, "Lucia", 1), (2, "l'Altra", 0), (3, "A", 2), (3, "B", 1), (3, "C", 0)], "sc int, who string, ord int")
+    ask = spark.createDataFrame([(1, "Renzo"), (2, "La altra"), (3, "C"), (4, "Z")], "sc int, speaker string")
     pool = scene.candidates(cast, ask, ["sc"], "who", "speaker")
     got = {r.sc: (r.n, r.pick, r.source) for r in scene.route(pool, ["sc"], "who", "ord").collect()}
-    assert got == {1: (1, "Virgilio", "code"), 2: (0, "(none)", "none"), 3: (2, "B", "llm"), 4: (0, "(none)", "none")}
+    assert got == {1: (1, "Lucia", "code"), 2: (0, "(none)", "none"), 3: (2, "B", "llm"), 4: (0, "(none)", "none")}
     reg = spark.createDataFrame([("A", "individual", []), ("B", "class", []), ("N", "non-person", []), ("S", "set", ["A", "T"]), ("T", "set", ["B", "N"])], "canonical string, type string, members array<string>")
     m = spark.createDataFrame([(1, "S", 5), (1, "B", 2), (2, "N", 1)], "sc int, canonical string, ord int")
     assert {(r.sc, r.who, r.ord) for r in scene.roster(m, reg, ["sc"]).collect()} == {(1, "A", 5), (1, "B", 2)}
