@@ -335,9 +335,10 @@ SELECT o_orderkey, arg_max(a, depth) AS span FROM pt JOIN sp ON (p // 100, p % 1
 def own_region(spark, sf_dir):
     """Points strictly between a span's markers, owned by the deepest span."""
     pt = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey div 1000").alias("k"), F.expr("cast(o_orderkey % 1000 div 100 as int)").alias("line"), F.expr("cast(o_orderkey % 100 as int)").alias("col"))
-    rows = [tuple(int(x) for x in r.strip("() ").split(",")) for r in _SPANS.replace("),", ");").split(";")]
-    base = spark.createDataFrame([(a, a // 100, a % 100, b // 100, b % 100, d) for a, b, d in rows], "quote_id int, start_line int, start_col int, end_line int, end_col int, depth int")
-    sp = pt.select("k").distinct().withColumn("one", F.lit(1)).join(F.broadcast(base.withColumn("one", F.lit(1))), "one").drop("one")  # five spans a unit
+    spans = [tuple(int(x) for x in r.strip("() ").split(",")) for r in _SPANS.replace("),", ");").split(";")]
+    names = ("quote_id", "start_line", "start_col", "end_line", "end_col", "depth")
+    each = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, (a, a // 100, a % 100, b // 100, b % 100, d), strict=True)]) for a, b, d in spans])
+    sp = pt.select("k").distinct().select("k", F.inline(each))
     return S.own_region(pt, sp, ["k"]).select("o_orderkey", F.col("quote_id").alias("span"))
 
 
