@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, cut
-from .components import connected
+from .components import Forest, connected
 from .vectors import blobs, keys, matrices, rows
 
 THRESHOLD = 0.98
@@ -85,29 +85,27 @@ class Links:
     def __init__(self, weight: np.ndarray):
         self.weight = weight
         self.count = np.zeros(len(weight))
-        self.up = np.arange(len(weight))
-
-    def _root(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = int(up[i])
-        return i
+        self.label = np.arange(len(weight))  # the least position of each one's component
 
     def tie(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            x, y = self._root(x), self._root(y)
-            if x != y:
-                self.up[max(x, y)] = min(x, y)
+        x, y = self.label[a], self.label[b]
+        apart = x != y
+        if not apart.any():
+            return
+        n = len(self.label)
+        forest = Forest()
+        for v in np.unique(np.minimum(x, y)[apart] * n + np.maximum(x, y)[apart]).tolist():
+            forest.join(v // n, v % n)
+        to = np.arange(n)
+        old, new = forest.links()
+        to[old] = new
+        self.label = to[self.label]
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
         np.add.at(self.count, a, self.weight[b])
         np.add.at(self.count, b, self.weight[a])
         self.tie(a, b)
 
-    def roots(self) -> np.ndarray:
-        return np.array([self._root(i) for i in range(len(self.up))], np.int64)
-
 
 def _walk(s: CoverTree, t: CoverTree, s_off: int, t_off: int, reach: float, near, links: Links) -> None:
     """All linked pairs between (or, if they are the same tree, within) two trees."""
@@ -181,7 +179,7 @@ def link_cells(raw: np.ndarray, weight: np.ndarray, side: np.ndarray, threshold:
     _walk(s, t, 0, len(one) if len(two) else 0, math.sqrt(max(0.0, 2 - 2 * threshold)), near, links)
     count, root = np.zeros(len(raw)), np.arange(len(raw))
     count[at] = links.count
-    root[at] = at[links.roots()]
+    root[at] = at[links.label]
     return count.astype(np.int64), root
 
 
