@@ -24,10 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
