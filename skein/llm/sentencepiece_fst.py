@@ -5,9 +5,9 @@ into arcs: an arc reads a piece's characters and writes its id; a character that
 arc that writes its bytes' ids. Composed with a text it is a lattice over text positions, whose shortest path
 in the tropical semiring is the encoding. Weights: a unigram model's arcs cost minus the piece's score. In a
 merge (BPE) model an arc costs 0 after the piece before it if merging the two pieces' characters gives back just
-these two, else infinity; exactly one path has a finite cost, and each prefix of it is the finite path of that
-prefix, so one state a position is enough. No piece has U+2581 after another character, so the lattice falls
-apart at blanks; the paths of short stretches are kept.
+these two, else infinity; exactly one path has a finite cost, and each prefix of it is the only finite path to its
+end, so a depth-first search need not enter a position twice. No piece has U+2581 after another character, so the
+lattice falls apart at blanks; the paths of short stretches are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from .common import arrow_pass
 
 BLANK = "▁"
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_CACHE = 600_000
+_CACHE, _PAIRS, _RARE = 400_000, 400_000, 1e6
 
 
 class Transducer(dict):
@@ -49,11 +49,23 @@ class Transducer(dict):
         self.score = {p.piece: p.score for _, p in plain}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unk = proto.trainer_spec.unk_id
-        self.longest = max(map(len, self.ids))
         self.whole = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.out = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else b" \xe2\x81\x87 " if p.type == 2 else p.piece.replace(BLANK, " ").encode() for p in proto.pieces]
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.reached: dict[str, bool] = {}
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.n_fits = 0
+        self.old: dict[str, bytes] = {}
+        self.arcs = self.compile(self.ids)
+
+    @staticmethod
+    def compile(pieces: dict[str, int]) -> dict:
+        """States of the transducer that reads pieces: by character the next state and the id to write there, or -1."""
+        start: dict = {}
+        for piece, i in sorted(pieces.items()):
+            state = start
+            for c in piece[:-1]:
+                state = state.setdefault(c, ({}, -1))[0]
+            state[piece[-1]] = state[piece[-1]][0] if piece[-1] in state else {}, i
+        return start
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, the leftmost first among equals, until none make a piece."""
@@ -69,19 +81,15 @@ class Transducer(dict):
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _joins(self, before: str, piece: str) -> bool:
-        key = before, piece
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            known = self.fits[key] = self.merged(before + piece) == [before, piece]
-        return known
-
-    def _opens(self, piece: str) -> bool:
-        known = self.reached.get(piece)
-        if known is None:
-            known = self.reached[piece] = self.merged(piece) == [piece]
+    def _follows(self, before: int, piece: int) -> bool:
+        """May the arc of ``piece`` follow that of ``before`` (-1: the start, or a character read by fallback)?"""
+        one, two = self.names[before] if before >= 0 else "", self.names[piece]
+        known = self.merged(one + two) == ([one, two] if one else [two])
+        self.n_fits += 1
+        if self.n_fits > _PAIRS:
+            self.fits.clear()
+            self.n_fits = 0
+        self.fits.setdefault(before, {})[piece] = known
         return known
 
     def _fallback(self, char: str) -> list[int]:
@@ -89,36 +97,69 @@ class Transducer(dict):
 
     def path(self, text: str) -> list[int]:
         """Ids on the shortest path through the lattice of one stretch."""
-        pieces, n = self.ids, len(text)
-        last: list[str | None] = [None] * (n + 1)  # the arc into each position; None after fallback
-        length, cost = [0] * (n + 1), [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            if not self.merges:
-                cost[j] = float("inf")
-            for k in range(min(j, self.longest), 0, -1):
-                p = text[j - k : j]
-                if p not in pieces:
-                    continue
-                if self.merges:
-                    before = last[j - k]
-                    if self._opens(p) if before is None else self._joins(before, p):
-                        last[j], length[j] = p, k
-                        break
-                elif (c := cost[j - k] - self.score[p]) < cost[j]:
-                    last[j], length[j], cost[j] = p, k, c
-            if not length[j]:
-                length[j], cost[j] = 1, cost[j - 1] + 1e6
-        out: list[list[int]] = []
+        out: list[int] = []
+        for char, piece in self._finite(text) if self.merges else self._least(text):
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self._fallback(char)
+        return out
+
+    def _finite(self, text: str) -> list[tuple[str, int]]:
+        """The one path of finite cost: longest arcs first, never again from a position that led nowhere."""
+        n, arcs, fits = len(text), self.arcs, self.fits
+        trail: list[tuple[int, list[tuple[int, int]], int]] = []  # position, arcs left to try, the arc into it
+        dead = bytearray(n + 1)
+        i, before = 0, -1
+        while True:
+            found: list[tuple[int, int]] | None = None
+            if i < n:
+                state, j, found = arcs, i, []
+                row = fits.get(before) or {}
+                while j < n and (hit := state.get(text[j])) is not None:
+                    j += 1
+                    state, piece = hit
+                    if piece >= 0 and not dead[j]:
+                        ok = row.get(piece)
+                        if self._follows(before, piece) if ok is None else ok:
+                            found.append((j, piece))
+                if j == i:
+                    found.append((i + 1, -1))  # no piece has this character
+            else:
+                trail.append((n, [], before))
+                return [(text[p], arc) for (p, _, _), (_, _, arc) in zip(trail, trail[1:], strict=False)]
+            while not found:
+                dead[i] = 1
+                i, found, before = trail.pop()
+            trail.append((i, found, before))
+            i, before = found.pop()
+
+    def _least(self, text: str) -> list[tuple[str, int]]:
+        n = len(text)
+        arc, source, cost = [-1] * (n + 1), [-1] * (n + 1), [float("inf")] * (n + 1)
+        cost[0] = 0.0
+        for i in range(n):
+            state, j = self.arcs, i
+            if cost[i] + _RARE < cost[i + 1]:
+                arc[i + 1], source[i + 1], cost[i + 1] = -1, i, cost[i] + _RARE
+            while j < n and (hit := state.get(text[j])) is not None:
+                j += 1
+                state, piece = hit
+                if piece >= 0 and (c := cost[i] - self.score[text[i:j]]) < cost[j]:
+                    arc[j], source[j], cost[j] = piece, i, c
+        out = []
         while n:
-            p = last[n]
-            out.append([pieces[p]] if p is not None else self._fallback(text[n - 1]))
-            n -= length[n]
-        return [i for x in reversed(out) for i in x]
+            out.append((text[source[n]], arc[n]))
+            n = source[n]
+        return out[::-1]
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.path(stretch), "<u4").tobytes()
+        ids = self.old.get(stretch)
+        if ids is None:
+            ids = np.array(self.path(stretch), "<u4").tobytes()
         if len(stretch) <= 48:
-            if len(self) >= _CACHE:
+            if len(self) >= _CACHE:  # stretches met again come back from the generation before
+                self.old = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
