@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import checks as C
+from ..operators import coreference as CO
 from ..operators import identity as I
 from ..operators import intervals as IV
 from ..operators import regions as R
@@ -507,6 +508,36 @@ def scene_roster(spark, sf_dir):
     return S.roster(m, reg, ["scene"])
 
 
+_COREF_SQL = """
+WITH e AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id AS tag_no, event_type AS label FROM events),
+n AS (SELECT user_id, day, string_agg(DISTINCT label, '|' ORDER BY label) AS candidates, min(label) AS pick FROM e WHERE label IN ('purchase', 'signup') GROUP BY ALL),
+o AS (SELECT user_id, day, label, string_agg(tag_no::VARCHAR, '|' ORDER BY tag_no) AS tag_nos FROM e WHERE label IN ('error', 'view') GROUP BY ALL)"""
+
+
+def _coref(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), F.col("event_id").alias("tag_no"), F.col("event_type").alias("label"))
+    labels = lambda *x: spark.createDataFrame([(v,) for v in x], "label string")
+    epithets = labels("error", "view")
+    return CO.occurrences(e, epithets, ["user_id", "day"]), CO.epithet_scenes(e, epithets, labels("purchase", "signup"), ["user_id", "day"])
+
+
+@query(_COREF_SQL + " SELECT o.user_id, CAST(o.day AS VARCHAR) AS day, label, tag_nos, candidates FROM o JOIN n ON n.user_id = o.user_id AND n.day = o.day")
+def coref_candidates(spark, sf_dir):
+    """Epithets by scene with their tags and the named figures beside them."""
+    occ, cand = _coref(spark, sf_dir)
+    j = cand.join(occ, ["user_id", "day", "label"])
+    return j.select("user_id", F.col("day").cast("string").alias("day"), "label", F.array_join(F.transform("tag_nos", lambda x: x.cast("string")), "|").alias("tag_nos"), F.array_join("candidates", "|").alias("candidates"))
+
+
+@query(_COREF_SQL + " SELECT e.user_id, CAST(e.day AS VARCHAR) AS day, tag_no, pick AS label FROM e JOIN n ON n.user_id = e.user_id AND n.day = e.day WHERE e.label = 'error'")
+def coref_overlay(spark, sf_dir):
+    """Decisions expanded to the tags they correct; ``distinct`` corrects none."""
+    occ, cand = _coref(spark, sf_dir)
+    pick = F.when(F.col("label") == "error", F.get("candidates", F.lit(0))).otherwise(CO.DISTINCT)
+    d = cand.select("user_id", "day", "label", pick.alias("pick"))
+    return CO.overlay_rows(d, cand, occ, ["user_id", "day"]).select("user_id", F.col("day").cast("string").alias("day"), "tag_no", "label")
+
+
 # --- regions --------------------------------------------------------------------------------------------------
 
 _BY, _ORDER = ["user_id"], ["ts", "event_id"]

@@ -106,3 +106,29 @@ def test_heads_and_tokens(spark):
     assert not heads("Renzo", "l'ombra di Renzo") and not heads("Cristo", "vicario suo Cristo")
     assert one(spark, T.content_tokens, "Il Maestro Adamo, l'anima") == ["maestro", "adamo", "anima"]
     assert one(spark, T.strip_possessive, "Renzo's") == "Renzo"
+
+
+@pytest.mark.parametrize(
+    "marked,want",
+    [
+        ("[m]' ama", "[m'] ama"),
+        ("e [m]' {l Poeta}", "e [m'] {l Poeta}"),
+        ("d[el]lo", "[dello]"),
+        ("[l]{'Poeta}", "[l]{'Poeta}"),
+        ("[a][b] c", "[ab] c"),
+        ("[+io] [m]' x", "[+io] [m'] x"),
+        ("fin [+tu]", "fin [+tu]"),
+        ("ab[+io]cd [e]", "ab[+io]cd [e]"),
+        ("plain", "plain"),
+    ],
+)
+def test_brackets_widen_to_tokens(marked, want):
+    from skein.functions.markup import widen_brackets
+
+    assert widen_brackets(marked) == want
+
+
+def test_unclosed_brackets_are_null(spark):
+    from skein.functions.markup import token_brackets
+
+    assert many(spark, token_brackets, ["[m]' a", "[m' a", None]) == ["[m'] a", None, None]
