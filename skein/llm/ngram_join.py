@@ -2,8 +2,8 @@
 
 A document's set are the hashes of its word shingles in one global order (that of the hashes). Of two sets with
 Jaccard similarity of at least t, at most k elements differ, where k follows from their sizes. Cut the order
-into k + 1 ranges: one range at least holds the same elements in both. So each set is filed, for the size class it
-may be compared in, under every range's whole content, that is under the first path of a tree whose order is
+into ranges: of any k + 1 of them, one holds the same elements in both. So each set is filed, for the size class it
+may be compared in, under the whole content of enough ranges, that is under the first path of a tree whose order is
 rotated to begin with that range; sets that share no such path cannot link. Files with two different
 sets name candidates around the file's least set; candidate groups are then compared exactly in prefix trees:
 
@@ -18,6 +18,7 @@ with the group's least set are settled, and only the others are probed against a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, cut, mix, shingles
+from .common import arrow_pass, as_bytes, cut, mix, release, shingles
 from .components import connected
 
 BLOCK_ELEMENTS = 1 << 21
@@ -52,11 +53,25 @@ def _bounds(num: int, den: int) -> np.ndarray:
 
 
 @lru_cache(4096)
-def ranges_of(level: int, num: int, den: int) -> int:
-    """Ranges of the order for pairs whose smaller set is of this class: most elements that may differ, plus one."""
+def most_different(level: int, num: int, den: int) -> int:
+    """The most elements in which two linked sets may differ if the smaller one is of this class."""
     a = int(_bounds(num, den)[level + 1]) - 1
     s = a + a * den // num
-    return 1 + max(x - 2 * -(-num * x // (num + den)) for x in (s, s - 1))
+    return max(x - 2 * -(-num * x // (num + den)) for x in (s, s - 1))
+
+
+@lru_cache(4096)
+def ranges_of(level: int, num: int, den: int) -> int:
+    """Ranges of the order: enough that a set of the class will have ``most_different`` + 1 with two elements or more."""
+    k = most_different(level, num, den)
+    n = int(_bounds(num, den)[level])
+    m = k + 1
+    while m < 2 * (k + 1):
+        mean = n / m
+        if m * (1 - math.exp(-mean) * (1 + mean)) >= 1.05 * (k + 1) + 2:
+            break
+        m += max(1, k // 64)
+    return m
 
 
 def set_id(s: np.ndarray) -> tuple[int, int]:
@@ -66,18 +81,27 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
 
 
 def paths(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """What a sorted set is filed under: one number for each class it may meet and each range."""
+    """What a sorted set is filed under: one number for each class it may meet and each range that counts.
+
+    If the set has more ranges of two elements or more than linked sets can differ in, one of these is whole in
+    both, and only these count; else those of one element count as well, else the empty ones too. A range
+    that counts for either set by its own number is filed by both, as it has the same elements in both.
+    """
     out = []
     own = size_class(len(s), num, den)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)))
     for level in (own, own - 1):
-        m = ranges_of(level, num, den) if level >= 0 else 1
-        if m < 2:
+        k = most_different(level, num, den) if level >= 0 else 0
+        if not k:
             continue  # only equal sets reach the threshold
+        m = ranges_of(level, num, den)
         edge = np.searchsorted((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), np.arange(m + 1))
-        content = total[edge[1:]] - total[edge[:-1]]
-        salt = mix(np.arange(m, dtype=np.uint64) + np.uint64(level << 40))
-        out.append(mix(content + salt) ^ np.diff(edge).astype(np.uint64))
+        held = np.diff(edge)
+        least = next((x for x in (2, 1) if int((held >= x).sum()) > k), 0)
+        use = np.flatnonzero(held >= least)
+        content = total[edge[use + 1]] - total[edge[use]]
+        salt = mix(use.astype(np.uint64) + np.uint64(level << 40))
+        out.append(mix(content + salt) ^ held[use].astype(np.uint64))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -235,10 +259,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     filed = arrow_pass(src, _paths(k, num, den), "path long, h long")
     files = filed.groupBy("path").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep <> last").select("path", "rep")
     near = cut(filed.join(files, "path").where("h <> rep").select("rep", "h").distinct(), "candidates")
+    del filed, files
+    release(docs.sparkSession)
     wanted = near.select("h").unionByName(near.select(F.col("rep").alias("h"))).distinct()
     holder = sets.where("doc_id is not null").groupBy(F.col("h1").alias("h")).agg(F.min("doc_id").alias("doc_id")).join(wanted, "h", "left_semi").select("doc_id").distinct()
     contents = arrow_pass(src.join(holder, "doc_id", "left_semi"), _contents(k), "h long, n long, elements binary")
     contents = cut(contents.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "contents")
+    release(docs.sparkSession)
     members = near.unionByName(near.select("rep", F.col("rep").alias("h")).distinct()).join(contents.select("h", "n"), "h")
     weight = members.groupBy("rep").agg(F.sum("n").alias("total"))
     large = cut(weight.where(F.col("total") > block), "large-groups")

@@ -142,7 +142,21 @@ def test_ranges_cover_the_largest_difference():
                 level = nj.size_class(n, num, den)
                 assert nj.size_class(m, num, den) in (level, level + 1)
                 need = next(o for o in range(n + 1) if nj.enough(o, n, m, num, den))
-                assert n + m - 2 * need < nj.ranges_of(level, num, den)
+                assert n + m - 2 * need <= nj.most_different(level, num, den) < nj.ranges_of(level, num, den)
+
+
+def test_linked_sets_share_a_path():
+    rng = np.random.default_rng(11)
+    for num, den in ((90, 100), (80, 100)):
+        for n in [*range(2, 60), 150, 400]:
+            for _ in range(6):
+                a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+                most = nj.most_different(nj.size_class(len(a), num, den), num, den)
+                drop, add = rng.integers(0, most + 1), rng.integers(0, most + 1)
+                b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64) * np.uint64(2))))
+                common = len(np.intersect1d(a, b))
+                if len(b) and common < max(len(a), len(b)) and nj.enough(common, len(a), len(b), num, den):
+                    assert set(nj.paths(a, num, den).tolist()) & set(nj.paths(b, num, den).tolist())
 
 
 def test_components_of_chains_and_stars(spark):
