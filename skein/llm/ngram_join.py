@@ -258,6 +258,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     sets = cut(arrow_pass(src, _sets(k), "doc_id long, n long, h1 long, h2 long"), "sets")
     filed = arrow_pass(src, _paths(k, num, den), "path long, h long")
     files = filed.groupBy("path").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep <> last").select("path", "rep")
+    files = cut(files, "files")
+    release(docs.sparkSession)  # the aggregation's shuffle goes before the join writes its own
     near = cut(filed.join(files, "path").where("h <> rep").select("rep", "h").distinct(), "candidates")
     del filed, files
     release(docs.sparkSession)
