@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by largest inner product: an NN-descent graph and greedy search over it.
 
 Vectors are indexed once each, however many rows hold them (their ``k`` + 1 smallest ids stand for the
-copies, which is all that a k-nearest list can show). One more component makes all of them equally long, so that
-the graph's neighbours by inner product are also its nearest by distance. The graph begins with exact
-neighbours within the leaves of random-projection trees; rounds of NN-descent then join each vector with its neighbours and
-reverse neighbours, compare these with one another, and keep each one's best. Queries start from their own
-vector's neighbours and expand the best unexpanded vectors, a batch a round. Graph and search compare vectors in
-8-bit precision; the best of each query are scored again from the original components.
+copies, which is all that a k-nearest list can show). Vectors fall into bands by length, an octave each, the longest
+first. Each band has a graph of its own by cosine, so long vectors, which answer most queries, are not hidden among
+short ones. A band's graph begins with exact neighbours within the leaves of random-projection trees; rounds of
+NN-descent then join each vector with its neighbours and reverse neighbours, compare these with one another, and keep
+each one's best. A query is compared with about ``ENTRIES`` vectors of each band (all of a band that has no more); bands
+whose longest vector cannot reach the best found are left out. In the others it starts from the best of these, in its own
+band from its own vector, and expands the best unexpanded vectors by inner product, a batch a round. Graph and search
+compare directions in 8-bit precision, each vector's length apart as a float; the best of each query are scored again
+from the original components.
 """
 
 from __future__ import annotations
@@ -20,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut
+from .common import arrow_pass, cut, mix
 from .vectors import blobs, keys, matrices, rows
 
 TOP = 20
 NEIGHBOURS, REVERSE, BEST = 40, 32, 6
 TREES, LEAF, SAMPLE = 4, 512, 20_000
 ROUNDS, STEPS, WIDTH, HELD, RESCORE = 4, 7, 32, 256, 64
+ENTRIES = 1024
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,14 +38,18 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint(x / scale[:, None]).astype(np.int8), scale.astype(np.float32)
 
 
-def _pack8(x: np.ndarray) -> list[bytes]:
-    q, s = quantise(x)
-    return [a.tobytes() + b.tobytes() for a, b in zip(s, q, strict=True)]
+def _pack8(x: np.ndarray, length: np.ndarray) -> list[bytes]:
+    """Per row: the direction's scale and the length (floats), the direction's components (8 bits)."""
+    q, scale = quantise(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None])
+    head = np.column_stack((scale, length.astype(np.float32)))
+    return [a.tobytes() + b.tobytes() for a, b in zip(head, q, strict=True)]
 
 
-def _unpack8(column: list[bytes]) -> np.ndarray:
+def _unpack8(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, lengths)."""
     raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+    head = raw[:, :8].copy().view(np.float32)
+    return raw[:, 8:].view(np.int8).astype(np.float32) * head[:, :1], head[:, 1]
 
 
 def best(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,22 +149,25 @@ def _copies(all_rows: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
     return ids.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "copy", "vec_id")
 
 
-def _start(eight: DataFrame, n: int, k: int, dims: int) -> DataFrame:
-    """Exact neighbours within the leaves of the trees."""
-    depth = max(0, int(np.ceil(np.log2(max(1, n / LEAF)))))
-    rate = min(1.0, SAMPLE / max(1, n))
-    sample = _unpack8([r["q"] for r in eight.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(rate * (1 << 20))).orderBy(F.xxhash64("node")).limit(SAMPLE).select("q").collect()]) if n else np.empty((0, dims))
+def _start(eight: DataFrame, sizes: dict[int, int], k: int) -> DataFrame:
+    """Exact neighbours within the leaves of the trees, which bands of fewer vectors use less deep."""
+    n = sum(sizes.values())
+    deep = {b: max(0, int(np.ceil(np.log2(m / LEAF)))) for b, m in sizes.items()}
+    depth = max(deep.values())
+    rate = min(1.0, SAMPLE / n)
+    sample = _unpack8([r["q"] for r in eight.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(rate * (1 << 20))).orderBy(F.xxhash64("node")).limit(SAMPLE).select("q").collect()])[0]
     trees = [Tree(sample, depth, t) for t in range(TREES if depth else 1)]
     each = k if depth == 0 else max(8, -(-k // len(trees)) + 2)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _unpack8(b.column(1).to_pylist())
+            x = _unpack8(b.column(2).to_pylist())[0]
+            less = np.array([depth - deep[i] for i in b.column(0).to_pylist()], np.int64)
             for t, tree in enumerate(trees):
-                yield pa.RecordBatch.from_arrays([pa.array(tree.codes(x) * len(trees) + t), *b.columns], ["leaf", "node", "q"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((tree.codes(x) >> less) * len(trees) + t), *b.columns[1:]], ["band", "leaf", "node", "q"])
 
     def exact(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, node = _unpack8(pdf["q"].tolist()), pdf["node"].to_numpy(np.int64)
+        x, node = _unpack8(pdf["q"].tolist())[0], pdf["node"].to_numpy(np.int64)
         m = min(each, len(x) - 1)
         if m < 1:
             return pd.DataFrame({"node": [], "ids": [], "sims": []})
@@ -169,11 +180,11 @@ def _start(eight: DataFrame, n: int, k: int, dims: int) -> DataFrame:
             sims += [v.astype("<f4").tobytes() for v in np.take_along_axis(s, near, 1)]
         return pd.DataFrame({"node": node, "ids": ids, "sims": sims})
 
-    placed = arrow_pass(eight.select("node", "q"), leaves, "leaf long, node long, q binary")
+    placed = arrow_pass(eight.select("band", "node", "q"), leaves, "band int, leaf long, node long, q binary")
     # a leaf that many near copies fill is dealt out into parts
-    parts = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * LEAF)).cast("int").alias("parts"))
-    placed = placed.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("node", "leaf"), F.col("parts")))
-    found = placed.select("leaf", "part", "node", "q").groupBy("leaf", "part").applyInPandas(exact, "node long, ids binary, sims binary")
+    parts = placed.groupBy("band", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * LEAF)).cast("int").alias("parts"))
+    placed = placed.join(parts, ["band", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node", "leaf"), F.col("parts")))
+    found = placed.select("band", "leaf", "part", "node", "q").groupBy("band", "leaf", "part").applyInPandas(exact, "node long, ids binary, sims binary")
     return cut(_gather(found, k), "graph")
 
 
@@ -194,7 +205,7 @@ def _descend(graph: DataFrame, eight: DataFrame, k: int) -> DataFrame:
                 if m < 1:
                     continue
                 who = np.array([x["other"] for x in near], "<i8")
-                x = _unpack8([x["q"] for x in near])
+                x = _unpack8([x["q"] for x in near])[0]
                 s = x @ x.T
                 np.fill_diagonal(s, -np.inf)
                 top = np.argpartition(-s, m - 1, axis=1)[:, :m]
@@ -210,71 +221,114 @@ def _descend(graph: DataFrame, eight: DataFrame, k: int) -> DataFrame:
     return out
 
 
-def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """((node, ids, sims) graph, (node, q) vectors in 8 bits). Every vector is in the graph."""
+def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame | None, DataFrame, dict[int, int]]:
+    """((node, ids, sims) graph of the bands of more than ENTRIES vectors, (node, band, q) vectors in 8 bits, size of each band).
+
+    Lengths are parts of the longest; band ``b`` holds those above 2 ** -(b + 1), up to 2 ** -b.
+    """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = rows(b.column(0).to_pylist(), "<f8")
             yield pa.RecordBatch.from_arrays([pa.array(np.einsum("ij,ij->i", x, x))], ["n"])
 
-    sizes = arrow_pass(nodes.select("vec"), lengths, "n double").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).first()
-    longest, n = sizes["n"] or 0.0, sizes["k"]
+    longest = arrow_pass(nodes.select("vec"), lengths, "n double").agg(F.max("n").alias("n")).first()["n"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = rows(b.column(1).to_pylist(), "<f8")
-            more = np.sqrt(np.maximum(0.0, longest - np.einsum("ij,ij->i", x, x)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_pack8(np.column_stack((x, more))), pa.binary())], ["node", "q"])
+            n = np.einsum("ij,ij->i", x, x)
+            band = np.floor((np.log2(longest) - np.log2(n)) / 2).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(band), pa.array(_pack8(x, np.sqrt(n) / np.sqrt(longest)), pa.binary())], ["node", "band", "q"])
+
+    eight = cut(arrow_pass(nodes.select("node", "vec"), pack, "node long, band int, q binary"), "eight-bit")
+    sizes = {r["band"]: r["n"] for r in eight.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = {b: n for b, n in sizes.items() if n > ENTRIES}
+    if not large:
+        return None, eight, sizes
+    linked = eight.where(F.col("band").isin(list(large)))
+    graph = _start(linked, large, k)
+    for _ in range(rounds):
+        graph = _descend(graph, linked, k)
+    return graph, eight, sizes
+
+
+def _entries(eight: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(band, node, q), by band, of all vectors of a small band and about ENTRIES of a large one."""
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rate = np.array([ENTRIES / sizes[i] for i in b.column(1).to_pylist()])
+            yield b.filter(pa.array((mix(b.column(0).to_numpy().view(np.uint64) + np.uint64(1)) >> np.uint64(11)) * 2.0**-53 < rate))
 
-    eight = cut(arrow_pass(nodes.select("node", "vec"), pack, "node long, q binary"), "eight-bit")
-    graph = _start(eight, n, k if n > LEAF else LEAF, 0)  # few vectors: all are neighbours
-    if n > LEAF:  # else the single leaf has them all
-        for _ in range(rounds):
-            graph = _descend(graph, eight, k)
-    return graph, eight
+    got = sorted(arrow_pass(eight.select("node", "band", "q"), pick, "node long, band int, q binary").collect(), key=lambda r: (r["band"], r["node"]))
+    return np.array([r["band"] for r in got], np.int32), np.array([r["node"] for r in got], np.int64), [bytes(r["q"]) for r in got]
 
 
-def _search(queries: DataFrame, graph: DataFrame, eight: DataFrame, small: bool) -> DataFrame:
-    """(node, ids, sims): for each query vector (node) the best ``HELD`` vectors found, itself among them."""
+def _search(queries: DataFrame, graph: DataFrame | None, eight: DataFrame, sizes: dict[int, int], top: int) -> DataFrame:
+    """(node, ids, sims): for each query vector (node) and band that can matter the best ``HELD`` vectors found."""
+    bands, nodes, packed = _entries(eight, sizes)
+    edge = [(int(b), int(np.searchsorted(bands, b)), int(np.searchsorted(bands, b, "right"))) for b in np.unique(bands)]
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, length = _unpack8(packed)
+        y = y * length[:, None]
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                b = batch.slice(at, 256)
+                me, own, q = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+                x, mine = _unpack8(q)
+                s = x @ y.T
+                # what top others reach besides the query's own vector; 0.02 is more than 8 bits may add
+                least = np.partition(s, -top - 1, axis=1)[:, -top - 1] if len(nodes) > top else np.full(len(b), -np.inf)
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for r in range(len(b)):
+                    for band, lo, hi in edge:
+                        if (1 + 0.02) * 2.0**-band < least[r]:
+                            break
+                        whole = sizes[band] <= ENTRIES
+                        if band == own[r] and not whole:
+                            i, v = np.array([me[r]]), mine[r : r + 1] * float(x[r] @ x[r])
+                        else:
+                            i, v = best(nodes[lo:hi], s[r, lo:hi], HELD)
+                        for column, value in zip(out, (me[r], band, q[r], i, v, (np.ones if whole else np.zeros)(len(i), bool).tobytes()), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), *_lists(out[3], out[4]), pa.array(out[5], pa.binary())], ["node", "band", "q", "ids", "sims", "done"])
+
+    schema = "node long, band int, q binary, ids binary, sims binary, done binary"
+    state = cut(arrow_pass(queries.select("node").distinct().join(eight, "node").select("node", "band", "q"), begin, schema), "search")
+    if graph is None:
+        return state.select("node", "ids", "sims")
     flat = _edges(graph).select("node", "other").join(eight.select(F.col("node").alias("other"), "q"), "other")
     # the graph's vectors beside its edges, dealt by node once for all steps
     near = flat.groupBy("node").agg(F.collect_list(F.struct("other", "q")).alias("near"))
     near = near.persist()
 
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _query(b.column(1).to_pylist())
-            me = np.einsum("ij,ij->i", x, _unpack8(b.column(1).to_pylist())[:, : x.shape[1]])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists([np.array([i]) for i in b.column(0).to_pylist()], [np.array([s]) for s in me]), pa.array([b"\0"] * len(b), pa.binary())], ["node", "q", "ids", "sims", "done"])
-
-    schema = "node long, q binary, ids binary, sims binary, done binary"
-    state = cut(arrow_pass(queries.select("node").distinct().join(eight, "node").select("node", "q"), begin, schema), "search")
-
     def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            who, q, to = [], [], []
-            for node, vec, ids, done in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
+            who, band, q, to = [], [], [], []
+            for node, k, vec, ids, done in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3, 5)), strict=True):
                 ids, done = np.frombuffer(ids, "<i8"), np.frombuffer(done, bool)
                 for x in ids[~done][:WIDTH].tolist():
                     who.append(node)
+                    band.append(k)
                     q.append(vec)
                     to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(q, pa.binary()), pa.array(to, pa.int64())], ["query", "q", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(band, pa.int32()), pa.array(q, pa.binary()), pa.array(to, pa.int64())], ["query", "band", "q", "node"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sims = [], []
-            for q, near in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = _query([q])[0]
+            for q, near in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                y, length = _unpack8([y["q"] for y in near])
                 ids.append(np.array([y["other"] for y in near], "<i8"))
-                sims.append(_unpack8([y["q"] for y in near])[:, : len(x)] @ x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *_lists(ids, sims)], ["node", "ids", "sims"])
+                sims.append((y @ _unpack8([q])[0][0]) * length)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(ids, sims)], ["node", "band", "ids", "sims"])
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out_i, out_s, flags = [], [], []
-            for ids, sims, done, parts in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
+            for ids, sims, done, parts in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
                 ids, sims, done = np.frombuffer(ids, "<i8"), np.frombuffer(sims, "<f4"), np.frombuffer(done, bool)
                 was = np.concatenate((ids[done], ids[~done][:WIDTH]))
                 parts = parts or []
@@ -284,21 +338,16 @@ def _search(queries: DataFrame, graph: DataFrame, eight: DataFrame, small: bool)
                 out_i.append(i)
                 out_s.append(s)
                 flags.append(np.isin(i, was).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_lists(out_i, out_s), pa.array(flags, pa.binary())], ["node", "q", "ids", "sims", "done"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_lists(out_i, out_s), pa.array(flags, pa.binary())], ["node", "band", "q", "ids", "sims", "done"])
 
-    for _ in range(1 if small else STEPS + 1):
-        steps = arrow_pass(state, frontier, "query long, q binary, node long").join(near, "node").select("query", "q", "near")
-        found = arrow_pass(steps, look, "node long, ids binary, sims binary").groupBy("node").agg(F.collect_list(F.struct("ids", "sims")).alias("parts"))
-        state = cut(arrow_pass(state.join(found, "node", "left").select("node", "q", "ids", "sims", "done", "parts"), advance, schema), "search")
+    for _ in range(STEPS + 1):
+        steps = arrow_pass(state, frontier, "query long, band int, q binary, node long").join(near, "node").select("query", "band", "q", "near")
+        found = arrow_pass(steps, look, "node long, band int, ids binary, sims binary").groupBy("node", "band").agg(F.collect_list(F.struct("ids", "sims")).alias("parts"))
+        state = cut(arrow_pass(state.join(found, ["node", "band"], "left").select("node", "band", "q", "ids", "sims", "done", "parts"), advance, schema), "search")
     near.unpersist()
     return state.select("node", "ids", "sims")
 
 
-def _query(column: list[bytes]) -> np.ndarray:
-    """Query vectors, without the component that only makes the indexed vectors equally long."""
-    return _unpack8(column)[:, :-1]
-
-
 def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row with ``is_query`` (over vec_id) its ``top`` nearest others found.
 
@@ -308,17 +357,21 @@ def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, id_col: str =
     returned. Other columns are ignored; an empty table gives an empty one.
     """
     all_rows, nodes = _index(vectors, id_col, vec_col)
-    graph, eight = build_graph(nodes)
+    graph, eight, sizes = build_graph(nodes)
     asked = all_rows.where(is_query).select("vec_id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "node")
-    found = _search(asked, graph, eight, nodes.count() <= LEAF)
+    found = _search(asked, graph, eight, sizes, top)
 
     def shortlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x, "<i8")[:RESCORE] for x in b.column(1).to_pylist()]
+            ids = []
+            for parts in b.column(1).to_pylist():
+                i, s = (np.frombuffer(b"".join(p[c] for p in parts), kind) for c, kind in (("ids", "<i8"), ("sims", "<f4")))
+                ids.append(best(i, s, max(RESCORE, 3 * top))[0])
             node = np.repeat(b.column(0).to_numpy(), [len(x) for x in ids])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.concatenate(ids) if ids else np.empty(0, "<i8"))], ["node", "other"])
 
-    pairs = arrow_pass(found.select("node", "ids"), shortlist, "node long, other long")
+    found = found.groupBy("node").agg(F.collect_list(F.struct("ids", "sims")).alias("parts"))
+    pairs = arrow_pass(found, shortlist, "node long, other long")
     pairs = pairs.join(nodes.select("node", F.col("vec").alias("a")), "node").join(nodes.select(F.col("node").alias("other"), F.col("vec").alias("b")), "other").select("node", "other", "a", "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

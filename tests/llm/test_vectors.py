@@ -122,3 +122,22 @@ def test_recall(spark):
     want = {(ids[a], ids[b]) for a, row in zip(q, np.argsort(-s, axis=1)[:, :20], strict=True) for b in row}
     assert len(got) == 20 * len(q)
     assert len({(r.query_id, r.vec_id) for r in got} & want) >= 0.9 * len(want)
+
+
+def test_recall_with_widely_differing_lengths(spark):
+    rng = np.random.default_rng(5)
+    unit = rng.standard_normal((4000, 64))
+    unit /= np.sqrt((unit * unit).sum(1))[:, None]
+    one = np.ones(4000)
+    one[7] = 50  # one long vector among unit ones
+    for length in (one, np.exp(rng.standard_normal(4000)), np.exp2(rng.integers(0, 3, 4000))):
+        x = (unit * length[:, None]).astype(np.float32).astype(np.float64)
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+        got = ann.search(df, ann.F.col("vec_id") % 40 == 0).collect()
+        q = np.arange(0, 4000, 40)
+        s = x[q] @ x.T
+        s[np.arange(len(q)), q] = -np.inf
+        want = {(a, b) for a, row in zip(q.tolist(), np.argsort(-s, axis=1)[:, :20].tolist(), strict=True) for b in row}
+        hit = len({(r.query_id, r.vec_id) for r in got} & want) / len(want)
+        print("recall", hit)
+        assert len(got) == 20 * len(q) and hit >= 0.9
