@@ -1,12 +1,16 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over an inverted index.
 
 Fitting takes a bounded, documented sample of labelled rows (``max_toxic`` and ``max_clean`` rows, those of
-least hash; one row of a family of near copies). Terms are the words that mark toxic examples beyond
-chance (likelihood ratio); their document frequencies are counted over the whole corpus. Examples lie in
-blocks; each term keeps the largest weight it has in each block, so a query bounds a block's best cosine
-from a few numbers and skips every block that cannot reach its k-th neighbour. Neighbours vote with the square
-of their cosine and their class's sampling weight; votes are calibrated by isotonic regression on
-leave-one-out votes of the examples.
+least hash; one row of a family of near copies). All words of the examples are indexed; their document
+frequencies are counted over the whole corpus. A query reads its words' postings from the shortest to the longest, a
+step of posting lengths at a time; after each step the rest of a cosine is at most the product of what is left of the
+query's and of the example's length, so the examples that can still be among the k nearest soon are few, and only these
+are compared in full. Neighbours vote with the square of their cosine and their class's sampling weight; votes are
+calibrated by isotonic regression on leave-one-out votes of the examples.
+
+Since a text's subject has far more words than its insults, a second vote is taken over the words alone that mark toxic
+examples beyond chance (likelihood ratio). The log odds of both votes are weighed by logistic regression and the sum is calibrated
+in the same way, so a text without such a word is still judged by all of its words. A text with an example's wording has its label.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, cut, shingles
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4096, 12288, 16384
 MIN_LLR, MIN_LIFT, NEIGHBOURS = 24.0, 4.0, 15
+#: posting lengths after which the examples left are counted; so many are compared in full
+STEPS, FEW = (16, 64, 256, 1024, 4096), 256
 
 
 def log_likelihood_ratio(a: float, b: float, na: float, nb: float) -> float:
@@ -39,6 +44,23 @@ def log_likelihood_ratio(a: float, b: float, na: float, nb: float) -> float:
     return 2 * out
 
 
+def isotonic(raw: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(knots, levels): means of raw values and of labels in the pools of a monotone fit."""
+    pools: list[list[float]] = []  # sum of raw, sum of labels, weight
+    for i in np.argsort(raw, kind="stable"):
+        w = weight[i]
+        pools.append([raw[i] * w, labels[i] * w, w])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
+
+
+def log_odds(p: np.ndarray | float) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
 @dataclass
 class Index:
     terms: dict[str, int]
@@ -47,59 +69,84 @@ class Index:
     doc_ids: list = field(default_factory=list)
     toxic: np.ndarray = field(default_factory=lambda: np.empty(0))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
-    post: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
-    top: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
-    start: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.int32))
+    rare: float = 0.0
+    edge: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    owner: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.empty(0))
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    term: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    full: np.ndarray = field(default_factory=lambda: np.empty(0))
+    tail: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    marks: Index | None = None  # the same examples by the words that mark toxic ones
+    mixed: tuple[float, float] = (1.0, 1.0)
+    both: tuple[np.ndarray, np.ndarray] | None = None
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit-length weights."""
-        n = Counter(t for t in map(self.terms.get, WORD.findall((text or "").lower())) if t is not None)
-        return self.unit(np.fromiter(n.keys(), np.int64, len(n)), np.fromiter(n.values(), np.float64, len(n)))
-
-    def unit(self, t: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and weights; words in no example add to the length (as words of one document) only."""
+        n = Counter(WORD.findall((text or "").lower()))
+        known = [(self.terms[x], c) for x, c in n.items() if x in self.terms]
+        other = np.array([c for x, c in n.items() if x not in self.terms], np.float64)
+        t, tf = np.array(known, np.int64).reshape(-1, 2).T
+        return self.unit(t, tf.astype(np.float64), float((((1 + np.log(other)) * self.rare) ** 2).sum()))
+
+    def unit(self, t: np.ndarray, tf: np.ndarray, more: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(t)
         t, w = t[order], (1 + np.log(tf[order])) * self.idf[t[order]]
-        return t, w / math.sqrt(float(w @ w)) if len(w) else w
+        return t, w / math.sqrt(float(w @ w) + more) if len(w) else w
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n, blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-        owner = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
-        t = np.concatenate([t for t, _ in vectors]) if n else np.empty(0, np.int64)
-        w = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
-        order = np.lexsort((owner, t))
-        owner, t, w = owner[order], t[order], w[order]
-        edge = np.searchsorted(t, np.arange(len(self.terms) + 1))
-        self.post = [(owner[a:b], w[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
-        self.top = np.zeros((len(self.terms), blocks), np.float32)
-        np.maximum.at(self.top, (t, owner // BLOCK), np.nextafter(w.astype(np.float32), np.float32(2)))
-        self.start = np.stack([np.searchsorted(o, np.arange(blocks + 1) * BLOCK) for o, _ in self.post]).astype(np.int32) if self.post else np.zeros((0, blocks + 1), np.int32)
+        n = len(vectors)
+        self.start = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)))
+        self.term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if n else np.empty(0, np.int32)
+        self.full = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
+        order = np.argsort(self.term, kind="stable")
+        self.owner, self.value = owner[order], self.full[order]
+        size = np.bincount(self.term, minlength=len(self.terms))
+        self.edge = np.concatenate(([0], np.cumsum(size)))
+        # what is left of each example's length beyond each step, rounded up
+        self.tail = np.array([np.sqrt(np.bincount(owner, np.where(size[self.term] > s, self.full**2, 0), n)) for s in STEPS]) * (1 + 1e-9)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine, nearest first, ties to the smaller example number."""
-        if not len(t) or not self.post:
+        n = len(self.start) - 1
+        if not len(t) or not n:
             return np.empty(0, np.int64), np.empty(0)
-        bound = w.astype(np.float32) @ self.top[t]
-        ids, sims, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(ids) >= k and bound[b] * 1.00001 < least:
+        lo, size = self.edge[t], self.edge[t + 1] - self.edge[t]
+        acc, done = np.zeros(n), 0
+        for level, step in enumerate((*STEPS, n)):
+            now = np.flatnonzero((size > done) & (size <= step))
+            if len(now):
+                m = size[now]
+                at = np.arange(m.sum()) + np.repeat(lo[now] - np.cumsum(m) + m, m)
+                acc += np.bincount(self.owner[at], np.repeat(w[now], m) * self.value[at], n)
+            if 0 <= skip < n:
+                acc[skip] = 0
+            left = math.sqrt(float((w[size > step] ** 2).sum()))
+            if not left:
+                ids = np.flatnonzero(acc > 0)
+                sims = acc[ids]
+                break
+            done = step
+            if n <= k:
+                continue
+            least = np.partition(acc, n - k)[n - k] * (1 - 1e-9)
+            if least <= 0:
+                continue
+            ids = np.flatnonzero(acc + left * self.tail[level] >= least)
+            ids = ids[ids != skip]
+            if len(ids) <= FEW:
+                q = np.zeros(len(self.terms))
+                q[t] = w
+                sims = np.array([q[self.term[a:b]] @ self.full[a:b] for a, b in zip(self.start[ids], self.start[ids + 1], strict=True)])
                 break
-            acc = np.zeros(BLOCK)
-            for x, q in zip(t, w, strict=True):
-                lo, hi = self.start[x, b], self.start[x, b + 1]
-                if lo < hi:
-                    o, v = self.post[x]
-                    acc[o[lo:hi] - b * BLOCK] += q * v[lo:hi]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                acc[skip - b * BLOCK] = 0
-            got = np.flatnonzero(acc > 0)
-            ids, sims = np.concatenate((ids, got + b * BLOCK)), np.concatenate((sims, acc[got]))
-            if len(ids) > k:
-                keep = np.lexsort((ids, -np.round(sims, 12)))[:k]
-                ids, sims = ids[keep], sims[keep]
-            least = sims.min() if len(ids) >= k else 0.0
-        order = np.lexsort((ids, -np.round(sims, 12)))
+        if len(ids) > k:
+            # all that may tie with the k-th after rounding stay
+            keep = sims >= np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-11
+            ids, sims = ids[keep], sims[keep]
+        order = np.lexsort((ids, -np.round(sims, 12)))[:k]
         return ids[order], sims[order]
 
     def vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
@@ -108,23 +155,40 @@ class Index:
         base = 0.05 * float(self.weight[ids].max()) if len(ids) else 1.0
         return float((w @ self.toxic[ids] + base * self.prior) / (w.sum() + base))
 
-    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> None:
-        raw = np.array([self.vote(*self.nearest(t, w, k, i)) for i, (t, w) in enumerate(vectors)])
-        order = np.argsort(raw, kind="stable")
-        pools: list[list[float]] = []  # sum of raw, sum of labels, weight
-        for i in order:
-            w = self.weight[i]
-            pools.append([raw[i] * w, self.toxic[i] * w, w])
-            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-                last = pools.pop()
-                pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
-        if pools:
-            self.knots = np.array([p[0] / p[2] for p in pools])
-            self.levels = np.array([p[1] / p[2] for p in pools])
+    def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+        """Leave-one-out levels of the examples."""
+        near = [self.nearest(t, w, k, i) for i, (t, w) in enumerate(vectors)]
+        if near:
+            self.knots, self.levels = isotonic(np.array([self.vote(*x) for x in near]), self.toxic, self.weight)
+        return np.array([self.level(*x) for x in near])
+
+    def level(self, ids: np.ndarray, sims: np.ndarray) -> float:
+        raw = self.vote(ids, sims)
+        if len(ids):
+            return float(np.interp(raw, self.knots, self.levels))
+        # without evidence the level is that of the examples up to the prior, not between them and the next
+        return float(self.levels[max(0, np.searchsorted(self.knots, raw, "right") - 1)])
+
+    def join(self, own: np.ndarray, marks: np.ndarray) -> None:
+        """Weighs the log odds of the examples' leave-one-out levels by logistic regression and calibrates the sum."""
+        x = np.column_stack((log_odds(own), log_odds(marks), np.ones(len(own))))
+        c = np.array([0.5, 0.5, 0.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
+            pull = x.T @ (self.weight * (self.toxic - p)) - c
+            c = c + np.linalg.solve((x * (self.weight * p * (1 - p))[:, None]).T @ x + np.eye(3), pull)
+        self.mixed = (max(0.0, float(c[0])), max(0.0, float(c[1])))
+        self.both = isotonic(self.mixed[0] * x[:, 0] + self.mixed[1] * x[:, 1], self.toxic, self.weight)
 
     def score(self, text: str | None, k: int) -> tuple[float, np.ndarray, np.ndarray]:
         ids, sims = self.nearest(*self.vector(text), k)
-        p = float(np.interp(self.vote(ids, sims), self.knots, self.levels))
+        same = ids[sims > 1 - 1e-9]
+        if len(same):  # the wording of labelled examples
+            return float(self.toxic[same].mean()), ids, sims
+        p = self.level(ids, sims)
+        if self.marks is not None and self.both is not None:
+            q = self.marks.level(*self.marks.nearest(*self.marks.vector(text), k))
+            p = float(np.interp(self.mixed[0] * log_odds(p) + self.mixed[1] * log_odds(q), *self.both))
         return min(1.0, max(0.0, p)), ids, sims
 
 
@@ -140,7 +204,8 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Index:
     """Learn from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text); term statistics come from all of ``corpus``.
 
-    The driver gets at most ``max_toxic`` + ``max_clean`` sparse vectors and ``max_terms`` terms. A doc_id with
+    The driver gets at most ``max_toxic`` + ``max_clean`` sparse vectors and their words; at most
+    ``max_terms`` words take part in the second vote, all in the first. A doc_id with
     labels that disagree counts as toxic; null labels are ignored. Without labels of both kinds every score
     is the share of toxic labels (0 if there are none).
     """
@@ -167,56 +232,69 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
         both = list(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(both, pa.string()), pa.array([n[1][t] for t in both], pa.int64()), pa.array([n[0][t] for t in both], pa.int64())], ["term", "a", "b"])
 
-    df = arrow_pass(rows.select("toxic", "text"), words, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    lift = (F.col("a") / n1) > MIN_LIFT * (F.col("b") / n0)
-    need = MIN_LLR / (2 * math.log((n1 + n0) / n1))  # a term seen in toxic examples only needs so many
-    seen = df.where(lift & (F.col("a") >= math.ceil(need))).orderBy(F.desc("a"), "term").limit(4 * max_terms).collect()
-    ranked = sorted(((-log_likelihood_ratio(r["a"], r["b"], n1, n0), r["term"]) for r in seen))
-    terms = {t: i for i, t in enumerate(sorted(t for s, t in ranked[:max_terms] if -s > MIN_LLR))}
-    if not terms:
+    found = arrow_pass(rows.select("toxic", "text"), words, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    words_, a, b = found.column("term").to_pylist(), found.column("a").to_numpy(), found.column("b").to_numpy()
+    if not words_:
         return Index({}, np.empty(0), float(prior), levels=np.array([prior, prior]))
+    terms = {t: i for i, t in enumerate(sorted(words_))}
+    need = MIN_LLR / (2 * math.log((n1 + n0) / n1))  # a term seen in toxic examples only needs so many
+    often = np.flatnonzero((a / n1 > MIN_LIFT * (b / n0)) & (a >= math.ceil(need)))
+    ranked = sorted((-log_likelihood_ratio(int(a[i]), int(b[i]), n1, n0), words_[i]) for i in often)
+    marking = {t: i for i, t in enumerate(sorted(t for x, t in ranked[:max_terms] if -x > MIN_LLR))}
+    shared = spark.sparkContext.broadcast(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, docs_seen = np.zeros(len(terms), np.int64), 0
+        number = shared.value
+        n, docs_seen = np.zeros(len(number), np.int64), 0
         for b in batches:
             docs_seen += len(b)
             for text in b.column(0).to_pylist():
                 if text:
-                    got = {terms[t] for t in terms.keys() & set(WORD.findall(text.lower()))}
-                    n[list(got)] += 1
+                    n[[number[x] for x in set(WORD.findall(text.lower())) if x in number]] += 1
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([docs_seen, *n[at].tolist()], pa.int64())], ["t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at)), pa.int32()), pa.array(np.concatenate(([docs_seen], n[at])))], ["t", "n"])
 
-    counts = {r["t"]: r["n"] for r in arrow_pass(corpus.select("text"), frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    n_docs = counts.get(-1, 0)
-    idf = np.array([math.log((1 + n_docs) / (1 + counts.get(i, 0))) + 1 for i in range(len(terms))])
-    index = Index(terms, idf, float(prior))
+    counts = arrow_pass(corpus.select("text"), frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(terms) + 1, np.int64)
+    seen[counts.column("t").to_numpy()] = counts.column("n").to_numpy()
+    n_docs = int(seen[-1])
+    idf = np.log((1 + n_docs) / (1 + seen[:-1])) + 1
+    index = Index(terms, idf, float(prior), rare=math.log((1 + n_docs) / 2) + 1)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
         for b in batches:
-            found = [Counter(t for t in map(terms.get, WORD.findall((x or "").lower())) if t is not None) for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "tf"])
+            found = [Counter(map(number.__getitem__, WORD.findall((x or "").lower()))) for x in b.column(2).to_pylist()]
+            pack = lambda x: np.fromiter(x, "<i4", len(x)).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(x.keys()) for x in found], pa.binary()), pa.array([pack(x.values()) for x in found], pa.binary())], ["doc_id", "toxic", "t", "tf"])
 
-    got = sorted(arrow_pass(rows.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, t array<int>, tf array<int>").collect(), key=lambda r: r["doc_id"])
+    got = sorted(arrow_pass(rows.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, t binary, tf binary").collect(), key=lambda r: r["doc_id"])
     index.doc_ids = [r["doc_id"] for r in got]
     index.toxic = np.array([float(r["toxic"]) for r in got])
     share = {1: total.get(1, 0) / n1, 0: total.get(0, 0) / n0}
     index.weight = np.array([share[r["toxic"]] for r in got])
-    known_vectors = [index.unit(np.array(r["t"], np.int64), np.array(r["tf"], np.float64)) for r in got]
-    # examples that share terms lie together, so block bounds are tight
-    order = sorted(range(len(got)), key=lambda i: (int(known_vectors[i][0][np.argmax(known_vectors[i][1])]) if len(known_vectors[i][0]) else -1, index.doc_ids[i]))
-    index.doc_ids = [index.doc_ids[i] for i in order]
-    index.toxic, index.weight = index.toxic[order], index.weight[order]
-    known_vectors = [known_vectors[i] for i in order]
+    known_vectors = [index.unit(np.frombuffer(r["t"], "<i4").astype(np.int64), np.frombuffer(r["tf"], "<i4").astype(np.float64)) for r in got]
     index.build(known_vectors)
-    index.calibrate(known_vectors, k)
+    own = index.calibrate(known_vectors, k)
+    if marking:
+        at = np.array([terms[t] for t in sorted(marking)])
+        number = np.full(len(terms), -1, np.int64)
+        number[at] = np.arange(len(at))
+        marks = Index(marking, idf[at], float(prior), index.doc_ids, index.toxic, index.weight)
+        few = []
+        for r in got:
+            t, tf = number[np.frombuffer(r["t"], "<i4")], np.frombuffer(r["tf"], "<i4").astype(np.float64)
+            few.append(marks.unit(t[t >= 0], tf[t >= 0]))
+        marks.build(few)
+        index.join(own, marks.calibrate(few, k))
+        index.marks = marks
     return index
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence): ``evidence`` lists up to five nearest examples with cosine and label.
 
-    Null and empty texts, and texts without a known term, have no neighbour and get the calibrated prior.
+    Null and empty texts, and texts without a word of any example, have no neighbour and get the calibrated prior.
     Repeated rows are scored each; other columns are ignored; an empty table gives an empty one.
     """
     broad = docs.sparkSession.sparkContext.broadcast(index)

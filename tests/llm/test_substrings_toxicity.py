@@ -158,3 +158,25 @@ def test_held_out(spark):
     held = [(r.predicted, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
     hit = sum(p and y for p, y in held)
     assert hit >= 0.85 * sum(y for _, y in held) and hit >= 0.95 * sum(p for p, _ in held)
+
+
+def test_all_words_count(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    texts = [" ".join(rng.choice(words) for _ in range(80)) + " the same end" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(60)], "doc_id long, toxic int")
+    ix = toxicity.fit(docs, labels, docs)
+    part = " ".join(texts[2].split()[:40] + texts[30].split()[:20])
+    asked = spark.createDataFrame([(100, texts[3]), (101, texts[20]), (102, part)], docs.schema)
+    got = {r.doc_id: r for r in toxicity.score(asked, ix).collect()}
+    assert got[100].score > 0.9 and got[101].score < 0.1  # no word marks the toxic ones
+    assert [e.doc_id for e in got[100].evidence][0] == 3 and [e.doc_id for e in got[102].evidence][:2] == [2, 30]
+    df = {}
+    for x in texts:
+        for w in set(x.split()):
+            df[w] = df.get(w, 0) + 1
+    vec = lambda x: {w: (1 + np.log(x.split().count(w))) * (np.log(61 / (1 + df[w])) + 1) for w in set(x.split())}
+    cos = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    want = sorted(((round(cos(vec(part), vec(x)), 9), -i) for i, x in enumerate(texts)), reverse=True)[:5]
+    assert [(round(e.cosine, 9), -e.doc_id) for e in got[102].evidence] == want
