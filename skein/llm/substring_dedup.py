@@ -1,8 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
 A text falls into sentences (ends of sentence before white space, and line ends; a sentence of more than ``LONG``
-words also falls apart behind words picked by their hash, so a passage splits alike wherever it stands). A
-span is the shortest run of at least ``run`` sentences with at least ``min_words`` words that begins, or ends,
+words also falls apart behind the word of least hash of every ``LONG`` words in a row, so a passage splits alike wherever it
+stands, into parts of at most ``LONG`` words; any passage of 50 words so holds a span of the default sizes, wherever it begins
+and ends). A span is the shortest run of at least ``run`` sentences with at least ``min_words`` words that begins, or ends,
 at a sentence. Spans are hashed from their words (white space and A-Z/a-z count alike) and joined over the
 whole corpus: a span's first document keeps it, every other document loses the sentences it covers, and a
 document that repeats a span within itself keeps the first.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, as_bytes, mix, word_hashes
 
-RUN, MIN_WORDS, LONG = 2, 16, 32
+RUN, MIN_WORDS, LONG = 2, 16, 11
 _END = re.compile(rb"[.!?]+[\"')\]]*(?=\s)\s*|\s*\n\s*")
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -44,14 +45,11 @@ def _units(text: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.array(sentences(text)[1:], np.int64)
     words = np.searchsorted(starts, ends)
     size = np.diff(np.concatenate(([0], words)))
-    long = np.flatnonzero(size > LONG)
-    if len(long):
-        more = []
-        for i in long:
-            a, b = words[i] - size[i], words[i]
-            at = a + 1 + np.flatnonzero(hashes[a : b - 1] >> np.uint64(61) == 0)
-            more.append(starts[at])
-        ends = np.unique(np.concatenate([ends, *more]))
+    if len(size) and size.max() > LONG:
+        owner = np.repeat(np.arange(len(size)), size)
+        at = np.flatnonzero(owner[: 1 - LONG] == owner[LONG - 1 :])
+        at = np.unique(at + np.lib.stride_tricks.sliding_window_view(hashes, LONG)[at].argmin(1)) + 1
+        ends = np.unique(np.concatenate((ends, starts[at[at < len(starts)]])))
         words = np.searchsorted(starts, ends)
         size = np.diff(np.concatenate(([0], words)))
     keep = np.concatenate((size[1:] > 0, [True])) if len(size) else size > 0

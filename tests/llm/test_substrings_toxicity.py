@@ -180,3 +180,23 @@ def test_all_words_count(spark):
     cos = lambda a, b: sum(v * b.get(w, 0) for w, v in a.items()) / np.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
     want = sorted(((round(cos(vec(part), vec(x)), 9), -i) for i, x in enumerate(texts)), reverse=True)[:5]
     assert [(round(e.cosine, 9), -e.doc_id) for e in got[102].evidence] == want
+
+
+def test_every_passage_of_fifty_words_holds_a_span():
+    rng = random.Random(2)
+    words = lambda n: ["".join(rng.choice("klmnopqr") for _ in range(7)) for _ in range(n)]
+
+    def marked(w, low, high, first):
+        """Sentences of low to high words, the first of ``first``."""
+        out, left = [], first
+        for x in w:
+            left -= 1
+            out.append(x + "." * (left == 0))
+            left = left or rng.randrange(low, high + 1)
+        return out
+
+    for low, high in ((12, 30), (17, 32), (3, 14), (1, 60)):
+        for _ in range(300):
+            p = marked(words(50), low, high, rng.randrange(1, high + 1))
+            a, b = (" ".join(marked(words(n := rng.randrange(40)), low, high, rng.randrange(1, high + 1))[:n] + p + words(rng.randrange(40))).encode() for _ in range(2))
+            assert len(np.intersect1d(sd.spans(a, sd.RUN, sd.MIN_WORDS)[1], sd.spans(b, sd.RUN, sd.MIN_WORDS)[1])), (a, b)
