@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -70,6 +71,7 @@ class Index:
     toxic: np.ndarray = field(default_factory=lambda: np.empty(0))
     weight: np.ndarray = field(default_factory=lambda: np.empty(0))
     rare: float = 0.0
+    tf: np.ndarray | None = None
     edge: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     owner: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     value: np.ndarray = field(default_factory=lambda: np.empty(0))
@@ -96,8 +98,32 @@ class Index:
         t, w = t[order], (1 + np.log(tf[order])) * self.idf[t[order]]
         return t, w / math.sqrt(float(w @ w) + more) if len(w) else w
 
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        n = len(vectors)
+    def __getstate__(self) -> dict:
+        """Counts, packed, in place of postings and weights, which the receiver makes again: every executor keeps a copy on disk."""
+        made = ("edge", "owner", "value", "start", "term", "full", "tail")
+        state = {k: v for k, v in self.__dict__.items() if k not in made}
+        state["terms"] = zlib.compress("\n".join(sorted(self.terms, key=self.terms.__getitem__)).encode(), 1)
+        size = np.diff(self.start).astype("<i4")
+        if self.tf is None:
+            return state | {"full": self.full, "packed": (size, self.term)}
+        return state | {"tf": None, "packed": tuple(zlib.compress(x.tobytes(), 1) for x in (size, np.diff(self.term, prepend=np.int32(0)).astype("<i4"), self.tf.astype("<i4")))}
+
+    def __setstate__(self, state: dict) -> None:
+        packed, full = state.pop("packed"), state.pop("full", None)
+        self.__dict__.update(state)
+        words = zlib.decompress(state["terms"]).decode()
+        self.terms = {x: i for i, x in enumerate(words.split("\n"))} if words else {}
+        if full is not None:
+            edge = np.cumsum(packed[0])[:-1]
+            self.build(list(zip(np.split(packed[1], edge), np.split(full, edge), strict=True)) if len(packed[0]) else [])
+            return
+        size, step, tf = (np.frombuffer(zlib.decompress(x), "<i4") for x in packed)
+        edge = np.cumsum(size)[:-1]
+        self.build([self.unit(t, c) for t, c in zip(np.split(np.cumsum(step), edge), np.split(tf.astype(np.float64), edge), strict=True)], tf)
+
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], tf: np.ndarray | None = None) -> None:
+        """``tf``: the counts behind the weights, in the vectors' order."""
+        n, self.tf = len(vectors), tf
         self.start = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)))
         self.term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if n else np.empty(0, np.int32)
         self.full = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
@@ -274,7 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     share = {1: total.get(1, 0) / n1, 0: total.get(0, 0) / n0}
     index.weight = np.array([share[r["toxic"]] for r in got])
     known_vectors = [index.unit(np.frombuffer(r["t"], "<i4").astype(np.int64), np.frombuffer(r["tf"], "<i4").astype(np.float64)) for r in got]
-    index.build(known_vectors)
+    raw = [(np.frombuffer(r["t"], "<i4"), np.frombuffer(r["tf"], "<i4")) for r in got]
+    index.build(known_vectors, np.concatenate([tf[np.argsort(t)] for t, tf in raw]))
     own = index.calibrate(known_vectors, k)
     if marking:
         at = np.array([terms[t] for t in sorted(marking)])

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -167,6 +168,9 @@ def test_all_words_count(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 6)) for i in range(60)], "doc_id long, toxic int")
     ix = toxicity.fit(docs, labels, docs)
+    sent = pickle.loads(pickle.dumps(ix))
+    assert sent.terms == ix.terms and sent.score(texts[5], 15)[0] == ix.score(texts[5], 15)[0]
+    assert (sent.owner == ix.owner).all() and np.allclose(sent.value, ix.value, rtol=1e-12) and (sent.tf == ix.tf).all()
     part = " ".join(texts[2].split()[:40] + texts[30].split()[:20])
     asked = spark.createDataFrame([(100, texts[3]), (101, texts[20]), (102, part)], docs.schema)
     got = {r.doc_id: r for r in toxicity.score(asked, ix).collect()}
