@@ -22,9 +22,9 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (no text, or no letter in it) go; the profiles come from all the others."""
+    """Documents whose language cannot be told (no text, no letter, or no n-gram that any profile has near its rank: score 0) go; the profiles come from all."""
     got = identify(docs, learn_profiles(docs), keep=("lang", "source", "n_chars"))
-    return got.where(F.col("lang_pred") != UND).select(*COLUMNS)
+    return got.where((F.col("lang_pred") != UND) & (F.col("score") > 0)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

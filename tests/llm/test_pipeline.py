@@ -63,3 +63,10 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         none = stage(spark, none, "")
     assert none.count() == 0
+
+
+def test_text_unlike_all_languages_goes(spark):
+    known = [(i, "the quick brown fox jumps over the lazy dog and runs away", "en", "s", 1) for i in range(20)]
+    other = [(100, "\u10d0\u10d1\u10d2 \u10d3\u10d4\u10d5", None, "s", 1), (101, "the dog", None, "s", 1)]
+    kept = {r.doc_id for r in cp.language_id(spark, spark.createDataFrame(known + other, KIND), "").collect()}
+    assert kept == {*range(20), 101}
