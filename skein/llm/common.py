@@ -2,49 +2,89 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WS = b" \t\n\x0b\x0c\r"
 _MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share. A temporary one is made only where none is configured and all run on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="skein-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a lineage cut that survives lost executors.
 
-    The table goes when the driver ends.
+    The job's shuffle files go as soon as the table stands; the table goes when the driver ends, or by ``drop``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(spark, name)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that no plan reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._skein_path)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced, before the next step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], share: int = 1000) -> DataFrame:
+    """Left join to ``right`` (one row a key), where a key may hold a large part of ``left`` (a table that is cheap to read again).
+
+    The keys that hold more than 1 / ``share`` of the rows are fewer than ``share``, so their rows of ``right`` are
+    broadcast; the others are joined by shuffle.
+    """
+    least = left.count() // share
+    hot = left.where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(*keys)
+    hot = cut(hot.join(right, keys, "left"), "hot-keys")
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right, keys, "left")
+    return rest.unionByName(left.join(F.broadcast(hot), keys))
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches bounded by bytes, since one text may be very long."""
+    """``mapInArrow`` over batches bounded by bytes, since one text may be very long."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(8 << 20):
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))

@@ -1,37 +1,40 @@
 """N-gram Jaccard join over prefix trees.
 
-A document's set are the hashes of its word shingles in one global order (that of the hashes). Of two sets with
-Jaccard similarity of at least t, at most k elements differ, where k follows from their sizes. Cut the order
-into ranges: of any k + 1 of them, one holds the same elements in both. So each set is filed, for the size class it
-may be compared in, under the whole content of enough ranges, that is under the first path of a tree whose order is
-rotated to begin with that range; sets that share no such path cannot link. Files with two different
-sets name candidates around the file's least set; candidate groups are then compared exactly in prefix trees:
+A document's set are the hashes of its word shingles; equal sets are one throughout. All sets are in one global order:
+rare shingles first, by a sketch of how often each occurs in the corpus, then by hash. Of two sets with a Jaccard similarity of at
+least t, the first n - ceil(t n) + 1 elements of both in that order have one in common (n: the set's size), so each
+set is filed under these. The sketch is a table of ``WIDTH`` counters; it only orders, so whatever it counts together costs time,
+never a link. A shingle that many texts share stands last and files almost nothing.
+
+Sets filed under one shingle are candidates, named around the least of them; candidate groups are compared in prefix trees:
 
 * the sets of a group, most common elements first, share their paths in a compressed tree;
 * a probe walks the tree level by level with the overlap counted so far for each node, once for all sets below;
 * a subtree is left where the overlap so far and what can remain, of the probe after the node's last element or
   of the longest set below, cannot reach what the shortest set below needs.
 
-Equal sets are one throughout. A group too large for a task is compared in blocks; first the members that link
+A group too large for a task is compared in blocks; first the members that link
 with the group's least set are settled, and only the others are probed against all.
 """
 
 from __future__ import annotations
 
-import math
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, cut, mix, release, shingles
+from .common import arrow_pass, as_bytes, cut, drop, mix, shingles, spread_join
 from .components import connected
 
 BLOCK_ELEMENTS = 1 << 21
+#: counters of the sketch, sent to every task as a byte each
+WIDTH, _CHUNK = 1 << 20, 1 << 16
 
 
 def enough(overlap, a, b, num: int, den: int):
@@ -39,70 +42,23 @@ def enough(overlap, a, b, num: int, den: int):
     return den * overlap >= num * (a + b - overlap)
 
 
-def size_class(n: int, num: int, den: int) -> int:
-    b = _bounds(num, den)
-    return int(np.searchsorted(b, n, side="right")) - 1
-
-
-@lru_cache(8)
-def _bounds(num: int, den: int) -> np.ndarray:
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * den // num + 1)
-    return np.array(out, np.int64)
-
-
-@lru_cache(4096)
-def most_different(level: int, num: int, den: int) -> int:
-    """The most elements in which two linked sets may differ if the smaller one is of this class."""
-    a = int(_bounds(num, den)[level + 1]) - 1
-    s = a + a * den // num
-    return max(x - 2 * -(-num * x // (num + den)) for x in (s, s - 1))
-
-
-@lru_cache(4096)
-def ranges_of(level: int, num: int, den: int) -> int:
-    """Ranges of the order: enough that a set of the class will have ``most_different`` + 1 with two elements or more."""
-    k = most_different(level, num, den)
-    n = int(_bounds(num, den)[level])
-    m = k + 1
-    while m < 2 * (k + 1):
-        mean = n / m
-        if m * (1 - math.exp(-mean) * (1 + mean)) >= 1.05 * (k + 1) + 2:
-            break
-        m += max(1, k // 64)
-    return m
-
-
 def set_id(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed integers."""
     with np.errstate(over="ignore"):
         a, b = int(mix(np.array([s.sum() + np.uint64(len(s))]))[0]), int(mix(s).sum())
     return a - (1 << 63), b - (1 << 63)
 
 
-def paths(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """What a sorted set is filed under: one number for each class it may meet and each range that counts.
+def levels(counts: np.ndarray) -> np.ndarray:
+    """A counter's place in the global order: 0 up to twice the mean count, then one more for each doubling."""
+    many = counts / max(1.0, 2.0 * counts.mean())
+    return np.where(many > 1, np.floor(np.log2(np.maximum(many, 1))) + 1, 0).astype(np.uint8)
 
-    If the set has more ranges of two elements or more than linked sets can differ in, one of these is whole in
-    both, and only these count; else those of one element count as well, else the empty ones too. A range
-    that counts for either set by its own number is filed by both, as it has the same elements in both.
-    """
-    out = []
-    own = size_class(len(s), num, den)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)))
-    for level in (own, own - 1):
-        k = most_different(level, num, den) if level >= 0 else 0
-        if not k:
-            continue  # only equal sets reach the threshold
-        m = ranges_of(level, num, den)
-        edge = np.searchsorted((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32), np.arange(m + 1))
-        held = np.diff(edge)
-        least = next((x for x in (2, 1) if int((held >= x).sum()) > k), 0)
-        use = np.flatnonzero(held >= least)
-        content = total[edge[use + 1]] - total[edge[use]]
-        salt = mix(use.astype(np.uint64) + np.uint64(level << 40))
-        out.append(mix(content + salt) ^ held[use].astype(np.uint64))
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+def prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The elements of a set that it is filed under, rarest first."""
+    n = len(s) - -(-num * len(s) // den) + 1
+    return s[np.lexsort((s, level[s & np.uint64(len(level) - 1)]))[:n]]
 
 
 class PrefixTree:
@@ -206,32 +162,64 @@ def link_sets(sets: list[np.ndarray], probes: np.ndarray, members: np.ndarray, n
     return label
 
 
-def _sets(k: int):
+def _sets(k: int, width: int):
+    """Rows of documents (doc_id, n, h1, h2), then of the task's part of the sketch (chunk, counts)."""
+    names = ["doc_id", "n", "h1", "h2", "chunk", "task", "counts"]
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(width, np.int64)
         for b in batches:
-            n, h1, h2 = [], [], []
+            n, h1, h2, found = [], [], [], []
             for text in as_bytes(b.column(1)):
                 s = shingles(text, k)
                 x = set_id(s) if len(s) else (None, None)
                 n.append(len(s))
                 h1.append(x[0])
                 h2.append(x[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["doc_id", "n", "h1", "h2"])
+                found.append(s)
+            if found:
+                counts += np.bincount((np.concatenate(found) & np.uint64(width - 1)).astype(np.int64), minlength=width)
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.int32()), pa.nulls(len(b), pa.binary())], names)
+        parts = {i: x for i, x in enumerate(np.split(counts, max(1, width // _CHUNK))) if x.any()}
+        task = TaskContext.get().partitionId()
+        cols = [pa.nulls(len(parts), pa.int64())] * 4 + [pa.array(list(parts), pa.int32()), pa.array([task] * len(parts), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in parts.values()], pa.binary())], names)
 
     return go
 
 
-def _paths(k: int, num: int, den: int):
+def _sketch(found: DataFrame, width: int) -> np.ndarray:
+    """The counters' levels, from all tasks' parts; summed by groups of tasks first."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["counts"])
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    parts = found.where("chunk is not null").select("chunk", F.pmod("task", F.lit(1024)).alias("some"), "counts")
+    parts = parts.groupBy("chunk", "some").applyInPandas(add, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary")
+    counts = np.zeros(width, np.int64)
+    for r in parts.collect():  # width / _CHUNK rows at most
+        x = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
+        counts[r["chunk"] * len(x) : (r["chunk"] + 1) * len(x)] = x
+    return levels(counts)
+
+
+def _prefixes(k: int, num: int, den: int, level):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            docs, h1, h2, out = [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 s = shingles(text, k) if doc is not None else ()
                 if len(s):
-                    p = paths(s, num, den)
-                    keys.append(p)
-                    ids.append(np.full(len(p), set_id(s)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["path", "h"])
+                    x = set_id(s)
+                    docs.append(doc)
+                    h1.append(x[0])
+                    h2.append(x[1])
+                    out.append(prefix(s, level.value, num, den).view(np.int64))
+            edge = np.cumsum([0] + [len(x) for x in out])
+            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "h1", "h2", "shingles"])
 
     return go
 
@@ -239,56 +227,63 @@ def _paths(k: int, num: int, den: int):
 def _contents(k: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(set_id(s)[0], len(s), s.tobytes()) for s in (shingles(t, k) for t in as_bytes(b.column(1))) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.binary())], ["h", "n", "elements"])
+            got = [(doc, *set_id(s), s.tobytes()) for doc, s in zip(b.column(0).to_pylist(), (shingles(t, k) for t in as_bytes(b.column(1))), strict=True) if len(s)]
+            cols = [pa.array([x[i] for x in got], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[3] for x in got], pa.binary())], ["doc_id", "h1", "h2", "elements"])
 
     return go
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_ELEMENTS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row, linking texts with Jaccard similarity >= num / den.
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_ELEMENTS, width: int = WIDTH) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row, linking texts with Jaccard similarity >= num / den (above 0).
 
     Words are runs without ASCII white space, A-Z lower-cased; sets hold distinct ``k``-word shingles, a shorter
     text is one shingle, and a null text or one without words has the empty set and links with nothing.
     ``component_id`` is the smallest doc_id reachable. Rows that repeat a doc_id are compared each by their own
     text. Rows without a doc_id get n_shingles, a null component and no links. Other columns are ignored;
-    an empty table gives an empty one. Sets are told apart by 64-bit hashes of shingles and of sets.
+    an empty table gives an empty one. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
+    ``width`` (a power of two): counters of the sketch that orders shingles.
     """
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(arrow_pass(src, _sets(k), "doc_id long, n long, h1 long, h2 long"), "sets")
-    filed = arrow_pass(src, _paths(k, num, den), "path long, h long")
-    files = filed.groupBy("path").agg(F.min("h").alias("rep"), F.max("h").alias("last")).where("rep <> last").select("path", "rep")
-    files = cut(files, "files")
-    release(docs.sparkSession)  # the aggregation's shuffle goes before the join writes its own
-    near = cut(filed.join(files, "path").where("h <> rep").select("rep", "h").distinct(), "candidates")
-    del filed, files
-    release(docs.sparkSession)
-    wanted = near.select("h").unionByName(near.select(F.col("rep").alias("h"))).distinct()
-    holder = sets.where("doc_id is not null").groupBy(F.col("h1").alias("h")).agg(F.min("doc_id").alias("doc_id")).join(wanted, "h", "left_semi").select("doc_id").distinct()
-    contents = arrow_pass(src.join(holder, "doc_id", "left_semi"), _contents(k), "h long, n long, elements binary")
-    contents = cut(contents.join(wanted, "h", "left_semi").dropDuplicates(["h"]), "contents")
-    release(docs.sparkSession)
-    members = near.unionByName(near.select("rep", F.col("rep").alias("h")).distinct()).join(contents.select("h", "n"), "h")
+    found = cut(arrow_pass(src, _sets(k, width), "doc_id long, n long, h1 long, h2 long, chunk int, task int, counts binary"), "sets")
+    level = spark.sparkContext.broadcast(_sketch(found, width))
+    sets = found.where("chunk is null").select("doc_id", "n", "h1", "h2")
+    distinct = sets.where("doc_id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
+    filed = arrow_pass(src, _prefixes(k, num, den, level), "doc_id long, h1 long, h2 long, shingles array<long>")
+    filed = cut(filed.join(distinct.drop("n"), ["doc_id", "h1", "h2"]).select("id", "shingles"), "filed")
+    rows = filed.select("id", F.explode("shingles").alias("shingle"))
+    files = cut(rows.groupBy("shingle").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("shingle", "rep"), "files")
+    near = cut(rows.join(files, "shingle").where("id <> rep").select("rep", "id").distinct(), "candidates")
+    drop(filed, files)
+    wanted = near.select("id").unionByName(near.select(F.col("rep").alias("id"))).distinct()
+    wanted = cut(distinct.join(wanted, "id"), "wanted")
+    contents = arrow_pass(src.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), _contents(k), "doc_id long, h1 long, h2 long, elements binary")
+    contents = cut(contents.join(wanted, ["doc_id", "h1", "h2"]).select("id", "n", "elements").dropDuplicates(["id"]), "contents")
+    members = near.unionByName(near.select("rep", F.col("rep").alias("id")).distinct()).join(contents.select("id", "n"), "id")
     weight = members.groupBy("rep").agg(F.sum("n").alias("total"))
     large = cut(weight.where(F.col("total") > block), "large-groups")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("h", ignore_index=True)
+        pdf = pdf.sort_values("id", ignore_index=True)
         own = [np.frombuffer(x, np.uint64) for x in pdf["elements"]]
         label = link_sets(own, pdf["probe"].to_numpy(bool), pdf["member"].to_numpy(bool), num, den)
-        h = pdf["h"].to_numpy()
-        at = np.flatnonzero(label != np.arange(len(h)))
-        return pd.DataFrame({"a": h[at], "b": h[label[at]]})
+        id_ = pdf["id"].to_numpy()
+        at = np.flatnonzero(label != np.arange(len(id_)))
+        return pd.DataFrame({"a": id_[at], "b": id_[label[at]]})
 
-    small = members.join(large, "rep", "left_anti").select("rep", "h").join(contents, "h")
+    small = members.join(large, "rep", "left_anti").select("rep", "id").join(contents, "id")
     yes = F.lit(True)
-    links = small.select("rep", "h", "elements", yes.alias("probe"), yes.alias("member")).groupBy("rep").applyInPandas(compare, "a long, b long")
+    links = small.select("rep", "id", "elements", yes.alias("probe"), yes.alias("member")).groupBy("rep").applyInPandas(compare, "a long, b long")
     if large.limit(1).count():
         links = links.unionByName(_large_groups(members.join(large, "rep"), contents, compare, num, den, block))
-    classes = connected(links).withColumnsRenamed({"node": "h1", "root": "class"})
-    known = sets.join(classes, "h1", "left").withColumn("class", F.coalesce("class", "h1"))
-    least = known.where("doc_id is not null and class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    out = known.join(least, "class", "left")
+    classes = cut(connected(links), "classes")
+    drop(near, contents)
+    known = cut(distinct.join(classes.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "doc_id", F.coalesce("root", "id").alias("root")), "known-sets")
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    known = cut(spread_join(known.select("h1", "h2", "root"), least, ["root"]).select("h1", "h2", "component_id"), "components")
+    out = spread_join(sets, known, ["h1", "h2"])
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
@@ -302,18 +297,18 @@ def _large_groups(members: DataFrame, contents: DataFrame, compare, num: int, de
             for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 ok.append(bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok)], ["rep", "h", "total", "ok"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(ok)], ["rep", "id", "total", "ok"])
 
-    full = members.select("rep", "h", "total").join(contents.select("h", "elements"), "h")
-    heads = contents.select(F.col("h").alias("rep"), F.col("elements").alias("head")).join(members.select("rep").distinct(), "rep")
-    settled = cut(arrow_pass(full.join(heads, "rep").select("rep", "h", "total", "elements", "head"), verify, "rep long, h long, total long, ok boolean"), "settled")
-    star = settled.where("ok and h <> rep").select(F.col("h").alias("a"), F.col("rep").alias("b"))
+    full = members.select("rep", "id", "total").join(contents.select("id", "elements"), "id")
+    heads = contents.select(F.col("id").alias("rep"), F.col("elements").alias("head")).join(members.select("rep").distinct(), "rep")
+    settled = cut(arrow_pass(full.join(heads, "rep").select("rep", "id", "total", "elements", "head"), verify, "rep long, id long, total long, ok boolean"), "settled")
+    star = settled.where("ok and id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     n_all = F.ceil(F.col("total") / F.lit(block)).cast("int")
-    open_ = settled.where("not ok").join(contents.select("h", "n"), "h")
+    open_ = settled.where("not ok").join(contents.select("id", "n"), "id")
     n_open = open_.groupBy("rep").agg(F.ceil(F.sum("n") / F.lit(block)).cast("int").alias("n_open"))
-    part = lambda n: F.pmod(F.xxhash64("h"), n).cast("int")
-    probes = open_.join(n_open, "rep").select("rep", "h", part(F.col("n_open")).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(True).alias("probe"), F.lit(False).alias("member"))
-    others = settled.join(n_open, "rep").select("rep", "h", F.explode(F.sequence(F.lit(0), F.col("n_open") - 1)).alias("i"), part(n_all).alias("j"), F.lit(False).alias("probe"), F.lit(True).alias("member"))
-    rows = probes.unionByName(others).groupBy("rep", "i", "j", "h").agg(F.max("probe").alias("probe"), F.max("member").alias("member"))
-    rest = rows.join(contents.select("h", "elements"), "h").groupBy("rep", "i", "j").applyInPandas(compare, "a long, b long")
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    probes = open_.join(n_open, "rep").select("rep", "id", part(F.col("n_open")).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(True).alias("probe"), F.lit(False).alias("member"))
+    others = settled.join(n_open, "rep").select("rep", "id", F.explode(F.sequence(F.lit(0), F.col("n_open") - 1)).alias("i"), part(n_all).alias("j"), F.lit(False).alias("probe"), F.lit(True).alias("member"))
+    rows = probes.unionByName(others).groupBy("rep", "i", "j", "id").agg(F.max("probe").alias("probe"), F.max("member").alias("member"))
+    rest = rows.join(contents.select("id", "elements"), "id").groupBy("rep", "i", "j").applyInPandas(compare, "a long, b long")
     return star.unionByName(rest)

@@ -135,28 +135,34 @@ def test_tree_against_all_pairs():
             assert set(tree.probe(s, len(s), 60, 100).tolist()) == want
 
 
-def test_ranges_cover_the_largest_difference():
-    for num, den in ((90, 100), (80, 100)):
-        for n in range(1, 400):
-            for m in range(n, n * den // num + 1):
-                level = nj.size_class(n, num, den)
-                assert nj.size_class(m, num, den) in (level, level + 1)
-                need = next(o for o in range(n + 1) if nj.enough(o, n, m, num, den))
-                assert n + m - 2 * need <= nj.most_different(level, num, den) < nj.ranges_of(level, num, den)
-
-
-def test_linked_sets_share_a_path():
+def test_linked_sets_share_a_prefix_element_whatever_the_sketch_says():
     rng = np.random.default_rng(11)
-    for num, den in ((90, 100), (80, 100)):
-        for n in [*range(2, 60), 150, 400]:
+    for num, den in ((90, 100), (80, 100), (1, 3)):
+        for n in [*range(1, 60), 150, 400]:
             for _ in range(6):
+                level = rng.integers(0, 3, 64).astype(np.uint8)
                 a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-                most = nj.most_different(nj.size_class(len(a), num, den), num, den)
-                drop, add = rng.integers(0, most + 1), rng.integers(0, most + 1)
-                b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add).astype(np.uint64) * np.uint64(2))))
-                common = len(np.intersect1d(a, b))
-                if len(b) and common < max(len(a), len(b)) and nj.enough(common, len(a), len(b), num, den):
-                    assert set(nj.paths(a, num, den).tolist()) & set(nj.paths(b, num, den).tolist())
+                gone, more = rng.integers(0, 2 + n // 6, 2)
+                b = np.unique(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, more).astype(np.uint64) * np.uint64(2))))
+                if len(b) and nj.enough(len(np.intersect1d(a, b)), len(a), len(b), num, den):
+                    assert set(nj.prefix(a, level, num, den).tolist()) & set(nj.prefix(b, level, num, den).tolist())
+
+
+def test_frequent_shingles_come_last_and_links_do_not_depend_on_the_sketch(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(120):
+        own = [f"d{i}w{j}" for j in range(rng.choice([3, 12, 60]))]
+        rows.append((i, " ".join(own + passage if i % 2 else passage + own)))
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(0, 120, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    assert got(df) == want
+    assert got(df, width=64) == want
+    assert got(df, block=500) == want
+    level = nj.levels(np.array([1, 1, 1, 1, 1, 1, 1, 400]))
+    assert level.tolist() == [0] * 7 + [level[7]] and level[7] > 0
 
 
 def test_components_of_chains_and_stars(spark):
