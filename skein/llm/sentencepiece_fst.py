@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted transducer.
 
-The normaliser (blanks become U+2581, one is put in front), the pieces and the byte fallback are compiled
-into arcs: an arc reads a piece's characters and writes its id; a character that no piece has is read by an
+The normaliser (a blank is read as U+2581, and one blank is put in front), the pieces and the byte fallback are compiled
+into one transducer: an arc reads a piece's characters and writes its id; a character that no piece has is read by an
 arc that writes its bytes' ids. Composed with a text it is a lattice over text positions, whose shortest path
-in the tropical semiring is the encoding. Weights: a unigram model's arcs cost minus the piece's score. In a
-merge (BPE) model an arc costs 0 after the piece before it if merging the two pieces' characters gives back just
-these two, else infinity; exactly one path has a finite cost, and each prefix of it is the only finite path to its
-end, so a depth-first search need not enter a position twice. No piece has U+2581 after another character, so the
-lattice falls apart at blanks; the paths of short stretches are kept.
+in the tropical semiring is the encoding; one uniform-cost search finds it, the farthest position first among equal costs. Weights: a unigram
+model's arcs cost minus the piece's score. In a merge (BPE) model an arc costs 0 after the piece before it if merging
+the two pieces' characters gives back just these two, else infinity; exactly one path has a finite cost, and each prefix of
+it is the only finite path to its end, so positions are states enough. No piece has U+2581 after another character, so the
+lattice falls apart at blanks; the paths of short stretches are kept, in a cache of bounded size.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,25 +25,44 @@ from pyspark.sql import functions as F
 from .common import arrow_pass
 
 BLANK = "▁"
-_STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-_CACHE, _PAIRS, _RARE = 400_000, 400_000, 1e6
+_STRETCH = re.compile(f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+")
+#: stretches of up to _SHORT characters and pairs of pieces that are kept: under 25 MB a process in all
+_CACHE, _PAIRS, _SHORT, _RARE = 100_000, 100_000, 32, 1e6
+
+
+def _read(model: str):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(model, "rb") as f:
+        proto.ParseFromString(f.read())
+    return proto
+
+
+class Decoder:
+    """Ids to text: what each id writes, and nothing else."""
+
+    def __init__(self, model: str):
+        proto = _read(model)
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.out = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else b" \xe2\x81\x87 " if p.type == 2 else p.piece.replace(BLANK, " ").encode() for p in proto.pieces]
+
+    def decode(self, ids: bytes) -> str:
+        raw = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 class Transducer(dict):
     """Stretches of text to ids (little-endian 32-bit). ``model`` is the path of a model file."""
 
     def __init__(self, model: str):
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
         super().__init__()
-        proto = pb.ModelProto()
-        with open(model, "rb") as f:
-            proto.ParseFromString(f.read())
+        proto = _read(model)
         spec = proto.normalizer_spec
         if spec.precompiled_charsmap or not spec.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("only identity normalisers with leading blanks are compiled")
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.merges = proto.trainer_spec.model_type == pb.TrainerSpec.BPE
+        self.merges = proto.trainer_spec.model_type == 2
         self.names = [p.piece for p in proto.pieces]
         plain = [(i, p) for i, p in enumerate(proto.pieces) if p.type in (1, 4)]
         self.ids = {p.piece: i for i, p in plain}
@@ -50,21 +70,23 @@ class Transducer(dict):
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unk = proto.trainer_spec.unk_id
         self.whole = any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        self.out = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else b"" if p.type == 3 else b" \xe2\x81\x87 " if p.type == 2 else p.piece.replace(BLANK, " ").encode() for p in proto.pieces]
         self.fits: dict[int, dict[int, bool]] = {}
         self.n_fits = 0
-        self.old: dict[str, bytes] = {}
         self.arcs = self.compile(self.ids)
 
     @staticmethod
     def compile(pieces: dict[str, int]) -> dict:
-        """States of the transducer that reads pieces: by character the next state and the id to write there, or -1."""
+        """States that read normalised pieces from raw text: by character the next state and the id to write there, or -1."""
         start: dict = {}
         for piece, i in sorted(pieces.items()):
             state = start
-            for c in piece[:-1]:
-                state = state.setdefault(c, ({}, -1))[0]
-            state[piece[-1]] = state[piece[-1]][0] if piece[-1] in state else {}, i
+            for at, c in enumerate(piece, 1):
+                old = state.get(c, (None, -1))
+                hit = ({} if old[0] is None else old[0], i if at == len(piece) else old[1])
+                state[c] = hit
+                if c == BLANK:
+                    state[" "] = hit
+                state = hit[0]
         return start
 
     def merged(self, text: str) -> list[str]:
@@ -97,128 +119,105 @@ class Transducer(dict):
 
     def path(self, text: str) -> list[int]:
         """Ids on the shortest path through the lattice of one stretch."""
-        out: list[int] = []
-        for char, piece in self._finite(text) if self.merges else self._least(text):
-            if piece >= 0:
-                out.append(piece)
-            else:
-                out += self._fallback(char)
-        return out
-
-    def _finite(self, text: str) -> list[tuple[str, int]]:
-        """The one path of finite cost: longest arcs first, never again from a position that led nowhere."""
-        n, arcs, fits = len(text), self.arcs, self.fits
-        trail: list[tuple[int, list[tuple[int, int]], int]] = []  # position, arcs left to try, the arc into it
-        dead = bytearray(n + 1)
-        i, before = 0, -1
-        while True:
-            found: list[tuple[int, int]] | None = None
-            if i < n:
-                state, j, found = arcs, i, []
-                row = fits.get(before) or {}
-                while j < n and (hit := state.get(text[j])) is not None:
-                    j += 1
-                    state, piece = hit
-                    if piece >= 0 and not dead[j]:
-                        ok = row.get(piece)
-                        if self._follows(before, piece) if ok is None else ok:
-                            found.append((j, piece))
-                if j == i:
-                    found.append((i + 1, -1))  # no piece has this character
-            else:
-                trail.append((n, [], before))
-                return [(text[p], arc) for (p, _, _), (_, _, arc) in zip(trail, trail[1:], strict=False)]
-            while not found:
-                dead[i] = 1
-                i, found, before = trail.pop()
-            trail.append((i, found, before))
-            i, before = found.pop()
-
-    def _least(self, text: str) -> list[tuple[str, int]]:
-        n = len(text)
-        arc, source, cost = [-1] * (n + 1), [-1] * (n + 1), [float("inf")] * (n + 1)
-        cost[0] = 0.0
-        for i in range(n):
-            state, j = self.arcs, i
-            if cost[i] + _RARE < cost[i + 1]:
-                arc[i + 1], source[i + 1], cost[i + 1] = -1, i, cost[i] + _RARE
+        n, arcs, merges = len(text), self.arcs, self.merges
+        came: list[tuple[int, int] | None] = [None] * (n + 1)  # where the arc into a settled position begins, its piece
+        queue = [(0.0, 0, 0, -1)]  # cost, minus the position, where the arc begins, its piece
+        while queue:
+            cost, i, start, before = heapq.heappop(queue)
+            i = -i
+            if came[i] is not None:
+                continue
+            came[i] = (start, before)
+            if i == n:
+                break
+            state, j = arcs, i
+            row = self.fits.get(before) or {}
             while j < n and (hit := state.get(text[j])) is not None:
                 j += 1
                 state, piece = hit
-                if piece >= 0 and (c := cost[i] - self.score[text[i:j]]) < cost[j]:
-                    arc[j], source[j], cost[j] = piece, i, c
-        out = []
+                if piece < 0 or came[j] is not None:
+                    continue
+                if not merges:
+                    heapq.heappush(queue, (cost - self.score[self.names[piece]], -j, i, piece))
+                elif self._follows(before, piece) if (ok := row.get(piece)) is None else ok:
+                    heapq.heappush(queue, (cost, -j, i, piece))
+            if j == i or not merges and came[i + 1] is None:
+                heapq.heappush(queue, (cost + _RARE, -i - 1, i, -1))
+        out: list[int] = []
         while n:
-            out.append((text[source[n]], arc[n]))
-            n = source[n]
+            start, piece = came[n]
+            out += [piece] if piece >= 0 else self._fallback(text[start])[::-1]
+            n = start
         return out[::-1]
 
     def __missing__(self, stretch: str) -> bytes:
-        ids = self.old.get(stretch)
-        if ids is None:
-            ids = np.array(self.path(stretch), "<u4").tobytes()
-        if len(stretch) <= 48:
-            if len(self) >= _CACHE:  # stretches met again come back from the generation before
-                self.old = dict(self)
+        ids = np.array(self.path(stretch), "<u4").tobytes()
+        if len(stretch) <= _SHORT:
+            if len(self) >= _CACHE:
                 self.clear()
             self[stretch] = ids
         return ids
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return (" " + text if self.prefix else text).replace(" ", BLANK) if text else ""
-
     def encode(self, text: str | None) -> bytes:
-        text = self.normalise(text or "")
+        if self.squeeze:
+            text = re.sub(" +", " ", (text or "").strip(" "))
         if not text:
             return b""
+        text = " " + text if self.prefix else text
         if self.whole:
             return np.array(self.path(text), "<u4").tobytes()
         return b"".join(map(self.__getitem__, _STRETCH.findall(text)))
 
-    def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
-
 
 @lru_cache(2)
 def transducer(model: str) -> Transducer:
     return Transducer(model)
 
 
+@lru_cache(2)
+def decoder(model: str) -> Decoder:
+    return Decoder(model)
+
+
 def default_model() -> str:
     import public_tokenizers as p
 
     return p.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """(doc_id, text, n_ids, ids): ids little-endian unsigned 32-bit; null and empty texts have none.
 
-    Rows are independent: repeated rows, null ids and an empty table need no care; other columns are ignored.
+    With ``decoded`` the text that the ids spell follows, from the same pass. Texts are encoded whole, however long: memory is
+    that of a batch and of the longest text with its ids. Rows are independent: repeated rows, null ids and an empty
+    table need no care; other columns are ignored. A text that holds U+2581 itself does not come back: it is read as a blank.
     """
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = transducer(model)
+        back = decoder(model) if decoded else None
         for b in batches:
             ids = [coder.encode(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "text", "n_ids", "ids"])
+            cols = [b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if back:
+                cols.append(pa.array([back.decode(x) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_ids", "ids", "decoded"][: len(cols)])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_pass(src, run, "doc_id long, text string, n_ids long, ids binary")
+    return arrow_pass(src, run, "doc_id long, text string, n_ids long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded``, the text that ``ids`` spell; null ids give null."""
+    """Adds ``decoded``, the text that ``ids`` spell; null ids give null. A column of that name is replaced."""
     model = model or default_model()
+    encoded = encoded.select(*(F.col(c) for c in encoded.columns if c != "decoded"))
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = transducer(model)
+        back = decoder(model)
         for b in batches:
-            got = [None if x is None else coder.decode(x) for x in b.column(names.index(ids_col)).to_pylist()]
+            got = [None if x is None else back.decode(x) for x in b.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], [*names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)

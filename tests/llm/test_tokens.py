@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import packing, sentencepiece_fst, token_store, tokens
 
@@ -144,7 +145,7 @@ def test_sentencepiece_is_the_library_s(spark):
         ids = own.encode(t)
         assert np.frombuffer(ids, "<u4").tolist() == lib.encode(t or "")
         if t and "▁" not in t:
-            assert own.decode(ids) == t
+            assert sentencepiece_fst.decoder(sentencepiece_fst.default_model()).decode(ids) == t
 
 
 def test_sentencepiece_unigram_shortest_path(tmp_path):
@@ -154,10 +155,42 @@ def test_sentencepiece_unigram_shortest_path(tmp_path):
     own.ids = {"▁": 3, "a": 4, "b": 5, "ab": 6, "▁a": 7, "ba": 8}
     own.score = {"▁": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "▁a": -2.8, "ba": -1.0}
     own.arcs = own.compile(own.ids)
+    own.names = {i: p for p, i in own.ids.items()}
     assert own.path("▁aba") == [7, 8]
     assert own.path("▁abab") == [7, 8, 5]
 
 
+def test_sentencepiece_query_is_the_library_s(spark):
+    import sentencepiece
+
+    from skein.llm.queries import op3_sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = op3_sentencepiece(spark, SF).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = np.array(lib.encode(texts[r.doc_id]), "<u4")
+        assert (r.n_ids, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(ids.tobytes()), lib.decode(ids.tolist()) == texts[r.doc_id])
+
+
+def test_caches_stay_small(monkeypatch):
+    monkeypatch.setattr(sentencepiece_fst, "_CACHE", 50)
+    monkeypatch.setattr(sentencepiece_fst, "_PAIRS", 50)
+    small, large = sentencepiece_fst.Transducer(sentencepiece_fst.default_model()), sentencepiece_fst.transducer(sentencepiece_fst.default_model())
+    rng = random.Random(8)
+    for _ in range(40):
+        t = " ".join("".join(rng.choices("abcdefghijkl", k=rng.randrange(1, 9))) for _ in range(30))
+        assert small.encode(t) == large.encode(t)
+        assert len(small) <= 50 and small.n_fits <= 50
+
+
+def test_decoding_replaces_a_column_of_its_name(odd_docs):
+    rows = sentencepiece_fst.encode(odd_docs).withColumn("decoded", F.lit(7))
+    got = sentencepiece_fst.decode(rows)
+    assert got.columns == ["doc_id", "text", "n_ids", "ids", "decoded"] and got.where("decoded = '7'").count() == 0
+
+
 def test_sentencepiece_frames(odd_docs):
     got = sentencepiece_fst.decode(sentencepiece_fst.encode(odd_docs)).collect()
     assert len(got) == odd_docs.count()
