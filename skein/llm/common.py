@@ -122,8 +122,6 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _BYTE, _SPACE, _FOLD = _tables()
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_BASE, -1, 1 << 64)
 _CHUNK = 1 << 19
 
 
@@ -133,27 +131,39 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POW: np.ndarray | None = None
-_POWINV: np.ndarray | None = None
+class Powers:
+    """Powers 0..n of an odd base and of its inverse, modulo 2 ** 64; up to a million are kept."""
 
+    def __init__(self, base: int):
+        self.base, self.kept = base, (np.empty(0, np.uint64),) * 2
 
-def _word_hashes(raw: np.ndarray) -> np.ndarray:
-    global _POW, _POWINV
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.kept[0]) > n:
+            return self.kept
+        size = max(n + 1, 1 << 14)
+        got = _powers(self.base, size), _powers(pow(self.base, -1, 1 << 64), size)
+        if size <= 1 << 20:
+            self.kept = got
+        return got
+
+
+_of_bytes = Powers(0x9E3779B97F4A7C15)
+
+
+def _word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(raw)
-    if _POW is None or len(_POW) < n + 1:
-        size = max(n + 1, 1 << 16)
-        _POW, _POWINV = _powers(_BASE, size), _powers(_INV, size)
+    power, back = _of_bytes(n)
     gap = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _POW[:n], dtype=np.uint64)))
-    return mix((total[end] - total[start]) * _POWINV[start] + (end - start).astype(np.uint64))
+        return np.empty(0, np.uint64), start, end
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power[:n], dtype=np.uint64)))
+    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64)), start, end
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of every word (a run without ASCII white space; A-Z count as a-z), in text order.
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word (a run without ASCII white space; A-Z count as a-z), in text order, with its first and last byte + 1.
 
     Works in blocks cut at white space, so a very long text needs bounded memory besides its hashes;
     a single word longer than a block is kept whole.
@@ -169,9 +179,14 @@ def word_hashes(text: bytes) -> np.ndarray:
                 end = at + int(gaps[-1]) + 1
                 break
             end = min(len(raw), end + _CHUNK)
-        parts.append(_word_hashes(raw[at:end]))
+        h, i, j = _word_hashes(raw[at:end])
+        parts.append((h, i + at, j + at))
         at = end
-    return np.concatenate(parts)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return words_of(text)[0]
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:

@@ -1,17 +1,17 @@
 """Substring dedup by sliding spans of sentences.
 
-A text falls into sentences (ends of sentence before white space, and line ends; a sentence of more than ``LONG``
-words also falls apart behind the word of least hash of every ``LONG`` words in a row, so a passage splits alike wherever it
-stands, into parts of at most ``LONG`` words; any passage of 50 words so holds a span of the default sizes, wherever it begins
-and ends). A span is the shortest run of at least ``run`` sentences with at least ``min_words`` words that begins, or ends,
-at a sentence. Spans are hashed from their words (white space and A-Z/a-z count alike) and joined over the
-whole corpus: a span's first document keeps it, every other document loses the sentences it covers, and a
-document that repeats a span within itself keeps the first.
+A text falls into sentences: one ends behind a word whose end is a mark (``.``, ``!``, ``?``, closing quotes or brackets after it),
+and at a line's end. Every run of ``run`` consecutive sentences is a span. A passage may also begin and end inside
+sentences, so a sentence falls apart behind the word of least hash of every ``LONG`` words in a row (alike wherever the words
+stand, into parts of at most ``LONG`` words), and the shortest run of at least two parts with at least ``min_words`` words
+that begins, or ends, at a part is a span too; runs of sentences of that many words are made of these. Spans are hashed
+from their words (white space and A-Z/a-z count alike; 96 bits) and joined over the whole corpus: a span's first document keeps
+it, every other document loses the sentences and parts it covers, and a document that repeats a span within itself
+keeps the first.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,83 +19,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, mix, word_hashes
+from .common import Powers, arrow_pass, as_bytes, cut, drop, mix, words_of
 
-RUN, MIN_WORDS, LONG = 2, 16, 11
-_END = re.compile(rb"[.!?]+[\"')\]]*(?=\s)\s*|\s*\n\s*")
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+RUN, MIN_WORDS, LONG, PARTS = 3, 16, 11, 2
+_CLOSES, _ENDS = (np.isin(np.arange(256), list(x)) for x in (b"\"')]", b".!?"))
+_ONE, _TWO = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
 
 
-def sentences(text: bytes) -> list[int]:
-    """Byte offsets: 0, each sentence's end (its white space included), the last being the text's end."""
-    out = [0]
-    for m in _END.finditer(text):
-        if m.end() > out[-1]:
-            out.append(m.end())
-    if out[-1] < len(text):
-        out.append(len(text))
+def sentence_ends(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each word, whether its sentence ends behind it."""
+    at = np.arange(len(raw))
+    last = np.maximum.accumulate(np.where(_CLOSES[raw], -1, at))[end - 1]  # the word's last byte that closes nothing
+    lines = np.concatenate(([0], np.cumsum(raw == 10)))
+    out = (last >= start) & _ENDS[raw[np.maximum(last, 0)]]
+    out[:-1] |= lines[start[1:]] > lines[end[:-1]]
+    out[-1] = True
     return out
 
 
-def _units(text: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of the units' ends and the number of words up to each; units without words join the one before."""
-    raw = np.frombuffer(text, np.uint8)
-    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
-    ends = np.array(sentences(text)[1:], np.int64)
-    words = np.searchsorted(starts, ends)
-    size = np.diff(np.concatenate(([0], words)))
-    if len(size) and size.max() > LONG:
-        owner = np.repeat(np.arange(len(size)), size)
-        at = np.flatnonzero(owner[: 1 - LONG] == owner[LONG - 1 :])
-        at = np.unique(at + np.lib.stride_tricks.sliding_window_view(hashes, LONG)[at].argmin(1)) + 1
-        ends = np.unique(np.concatenate((ends, starts[at[at < len(starts)]])))
-        words = np.searchsorted(starts, ends)
-        size = np.diff(np.concatenate(([0], words)))
-    keep = np.concatenate((size[1:] > 0, [True])) if len(size) else size > 0
-    return ends[keep], words[keep]
-
-
-def spans(text: bytes, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Unit ends (byte offsets), and for each span its hash, first unit and last unit, in text order."""
-    none = np.empty(0, np.int64)
-    hashes = word_hashes(text)
-    if len(hashes) < min_words:
-        return np.array([len(text)], np.int64), none.view(np.uint64), none, none
-    ends, words = _units(text, hashes)
-    n = len(ends)
+def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``width`` neighbours, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        x = pick(x[:-have], x[have:])
+        have *= 2
+    return x if have == width else pick(x[: len(x) - width + have], x[width - have :])
+
+
+def part_ends(hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Of each word, whether a part of a sentence ends behind it: it has the least hash of ``LONG`` words in a row of one sentence."""
+    n = len(hashes)
+    out = sentence.copy()
+    if n < LONG:
+        return out
+    number = np.cumsum(sentence) - sentence
+    least = np.where(number[: n - LONG + 1] == number[LONG - 1 :], _slide(hashes, LONG, np.minimum), np.uint64(0))
+    pad = np.zeros(LONG - 1, np.uint64)
+    return out | ((_slide(np.concatenate((pad, least, pad)), LONG, np.maximum) == hashes) & (hashes > 0))
+
+
+def _runs(words: np.ndarray, size: int, least: int) -> np.ndarray:
+    """First and last unit of the shortest runs of ``size`` units and ``least`` words that begin or end at each unit, as rows."""
+    n = len(words)
     before = np.concatenate(([0], words[:-1]))
     i = np.arange(n)
-    j = np.maximum(np.searchsorted(words, before + min_words), i + run - 1)  # last unit of the run that begins at i
-    a, b = i[j < n], j[j < n]
-    left = np.minimum(np.searchsorted(before, words - min_words, side="right") - 1, i - run + 1)
+    j = np.maximum(np.searchsorted(words, before + least), i + size - 1)  # last unit of the run that begins at i
+    left = np.minimum(np.searchsorted(before, words - least, side="right") - 1, i - size + 1)
     ok = left >= 0
-    at = np.unique(np.concatenate((a * n + b, left[ok] * n + i[ok])))
-    a, b = at // n, at % n
+    at = np.unique(np.concatenate((i[j < n] * n + j[j < n], left[ok] * n + i[ok])))
+    return np.stack((at // n, at % n))
+
+
+def spans(text: bytes, run: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of the parts (byte offsets), and for each span its hashes (64 and 32 bits), first and last part."""
+    hashes, start, end = words_of(text)
+    none = np.empty(0, np.int64)
+    if not len(hashes):
+        return np.array([len(text)] if text else [], np.int64), none.view(np.uint64), none.astype(np.int32), none, none
+    raw = np.frombuffer(text, np.uint8)
+    sentence = sentence_ends(raw, start, end)
+    words = np.flatnonzero(part_ends(hashes, sentence)) + 1  # words up to each part's end
+    ends = np.append(start[words[:-1]], len(text))
+    before = np.concatenate(([0], words[:-1]))
+    a, b = _runs(words, PARTS, min_words)
+    whole = np.flatnonzero(sentence[words - 1])  # parts that end a sentence
+    if len(whole) >= run:
+        first = np.concatenate(([0], whole[:-1] + 1))[: len(whole) - run + 1]
+        last = whole[run - 1 :]
+        short = words[last] - before[first] < min_words  # longer ones are covered by runs of parts
+        a, b = np.concatenate((a, first[short])), np.concatenate((b, last[short]))
     # a span's hash is its words' polynomial, taken from prefix sums and shifted to the span's start
-    base = np.full(len(hashes) + 1, 0x9E3779B97F4A7C15, np.uint64)
-    base[0] = 1
-    power = np.multiply.accumulate(base)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[:-1], dtype=np.uint64)))
-    back = np.full(len(hashes) + 1, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    h = mix((total[words[b]] - total[before[a]]) * back[before[a]] + (words[b] - before[a]).astype(np.uint64))
-    return ends, h, a, b
+    x, y, n = before[a], words[b], (words[b] - before[a]).astype(np.uint64)
+    out = []
+    for powers in (_ONE, _TWO):
+        power, back = powers(len(hashes))
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power[: len(hashes)], dtype=np.uint64)))
+        out.append(mix((total[y] - total[x]) * back[x] + n))
+    return ends, out[0], (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32), a, b
 
 
 def _rows(run: int, min_words: int):
+    """A row for each document: parts, whether it repeats a span, its distinct spans."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hashes = [], []
-            for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+            n, again, one, two = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(2)), strict=True):
+                ends, h, g, _, _ = spans(text, run, min_words)
+                h, at = np.unique(h, return_index=True)
+                again.append(len(at) < len(g))
+                n.append(len(ends))
                 if doc is None:
-                    continue
-                h = np.unique(spans(text, run, min_words)[1])
-                ids.append(np.full(len(h), doc, np.int64))
-                hashes.append(h.view(np.int64))
-            cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([cat(ids), cat(hashes)], ["doc_id", "h"])
+                    h, at = h[:0], at[:0]
+                one.append(h.view(np.int64))
+                two.append(g[at])
+            edge = pa.array(np.cumsum([0] + [len(x) for x in one]), pa.int32())
+            cat = lambda x, kind: pa.ListArray.from_arrays(edge, pa.array(np.concatenate(x) if x else [], kind))
+            cols = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(again, pa.bool_()), cat(one, pa.int64()), cat(two, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "n", "again", "h", "g"])
 
     return go
 
@@ -103,32 +124,30 @@ def _rows(run: int, min_words: int):
 def _cut_out(run: int, min_words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, n_units, n_gone = [], [], []
-            for doc, old, raw, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                ends, h, a, b = spans(raw, run, min_words)
+            out, n_gone = [], []
+            for doc, old, raw, again, gone in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(1)), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                if doc is None or not (again or gone.is_valid):
+                    out.append(old)
+                    n_gone.append(0)
+                    continue
+                ends, h, _, a, b = spans(raw, run, min_words)
+                bad = np.isin(h.view(np.int64), gone.values.to_numpy()) if gone.is_valid else np.zeros(len(h), bool)
+                # a repeat within the document goes unless it overlaps its first occurrence
+                order = np.lexsort((a, h))
+                head = order[np.searchsorted(h[order], h)]
+                bad |= a > b[head]
                 drop = np.zeros(len(ends) + 1, np.int64)
-                if len(h) and doc is not None:
-                    bad = np.isin(h.view(np.int64), np.array(gone, np.int64)) if gone else np.zeros(len(h), bool)
-                    first = np.zeros(len(h), bool)
-                    first[np.unique(h, return_index=True)[1]] = True
-                    # a repeat within the document goes unless it overlaps its first occurrence
-                    again = np.flatnonzero(~first)
-                    if len(again):
-                        order = np.argsort(h, kind="stable")
-                        head = order[np.searchsorted(h[order], h[again])]
-                        bad[again[a[again] > b[head]]] = True
-                    np.add.at(drop, a[bad], 1)
-                    np.add.at(drop, b[bad] + 1, -1)
-                gone_units = np.cumsum(drop[:-1]) > 0
-                if gone_units.any():
+                np.add.at(drop, a[bad], 1)
+                np.add.at(drop, b[bad] + 1, -1)
+                lost = np.cumsum(drop[:-1]) > 0
+                if lost.any():
                     starts = np.concatenate(([0], ends[:-1]))
-                    out.append(b"".join(raw[s:e] for s, e in zip(starts[~gone_units], ends[~gone_units], strict=True)).decode())
+                    out.append(b"".join(raw[s:e] for s, e in zip(starts[~lost], ends[~lost], strict=True)).decode())
                 else:
                     out.append(old)
-                n_units.append(len(ends))
-                n_gone.append(int(gone_units.sum()))
-            cols = [batch.column(0), pa.array(out, pa.string()), pa.array(n_units, pa.int64()), pa.array(n_gone, pa.int64()), *batch.columns[3:]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_sentences", "n_removed", *batch.schema.names[3:]])
+                n_gone.append(int(lost.sum()))
+            cols = [batch.column(0), pa.array(out, pa.string()), batch.column(2), pa.array(n_gone, pa.int64()), *batch.columns[5:]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_sentences", "n_removed", *batch.schema.names[5:]])
 
     return go
 
@@ -136,15 +155,29 @@ def _cut_out(run: int, min_words: int):
 def dedup_substrings(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, *keep): texts without the sentences that a non-first span covers.
 
-    A span's first document is the one of smallest doc_id. Rows that repeat a doc_id count as one document
-    and keep the same spans. Null texts stay null, empty ones empty; a text of fewer than ``min_words``
-    words has no span. Rows without a doc_id pass through. Columns other than those to ``keep`` are
-    ignored; an empty table gives an empty one.
+    Counts are of sentences, each part of a divided one counting by itself. A span's first document is the one of smallest
+    doc_id. Rows that repeat a doc_id count as one document and keep the same spans. Null texts stay null, empty ones empty;
+    a text without words has no span. Rows without a doc_id pass through. Columns other than those to ``keep`` are ignored; an
+    empty table gives an empty one.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = arrow_pass(src, _rows(run, min_words), "doc_id long, h long")
-    firsts = rows.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
-    gone = rows.join(firsts, "h").where("doc_id <> first").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    doc, text = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    mark = F.xxhash64("text").alias("mark")  # tells rows that repeat a doc_id apart
+    src = docs.select(doc, text).select("doc_id", mark, "text")
+    made = cut(arrow_pass(src, _rows(run, min_words), "doc_id long, mark long, n long, again boolean, h array<long>, g array<int>"), "spans")
+    pair = F.explode(F.arrays_zip("h", "g")).alias("s")
+    rows = made.where("doc_id is not null").select("doc_id", pair).select("doc_id", "s.h", "s.g")
+    firsts = rows.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    firsts = cut(firsts.where("first <> last").select("h", "g", "first", "n"), "repeated-spans")
+    # spans that hold over 1 / 1000 of all rows are fewer than 1000: broadcast, so no task gets all of a passage's documents
+    total = made.agg(F.sum(F.size("h")).alias("n")).first()["n"] or 0
+    hot = firsts.where(F.col("n") > total // 1000).drop("n")
+    rest = firsts.where(F.col("n") <= total // 1000).drop("n")
+    lost = rows.join(F.broadcast(hot), ["h", "g"]).unionByName(rows.join(F.broadcast(hot.select("h", "g")), ["h", "g"], "left_anti").join(rest, ["h", "g"]))
+    gone = lost.where("doc_id <> first").groupBy("doc_id").agg(F.collect_list("h").alias("gone"))
+    told = cut(made.select("doc_id", "mark", "n", "again").dropDuplicates(["doc_id", "mark"]).join(gone, "doc_id", "left"), "lost-spans")
+    drop(made, firsts)
+    whole = docs.select(doc, text, *keep).select("*", F.xxhash64("text").alias("_mark"))
+    same = whole["doc_id"].eqNullSafe(told["doc_id"]) & (whole["_mark"] == told["mark"])
     fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return arrow_pass(whole.join(gone, "doc_id", "left").select("doc_id", "text", "gone", *keep), _cut_out(run, min_words), f"doc_id long, text string, n_sentences long, n_removed long{fields}")
+    joined = whole.join(told, same, "left").select(whole["doc_id"], whole["text"], told["n"], told["again"], told["gone"], *(whole[c] for c in keep))
+    return arrow_pass(joined, _cut_out(run, min_words), f"doc_id long, text string, n_sentences long, n_removed long{fields}")

@@ -1,49 +1,74 @@
 import pickle
 import random
+import re
 import zlib
 
 import numpy as np
 
 from skein.llm import substring_dedup as sd
 from skein.llm import toxicity
-from skein.llm.queries import op10_toxicity
+from skein.llm.common import word_hashes
+from skein.llm.queries import op6_substring_dedup, op10_toxicity
+
+
+def _parts(text):
+    """(part texts, does a sentence end with it) by regular expressions and loops over windows."""
+    words = list(re.finditer(r"[^ \t\n\x0b\x0c\r]+", text))
+    if not words:
+        return ([text], [True]) if text else ([], [])
+    ends = []
+    for w, after in zip(words, [*words[1:], None], strict=True):
+        gap = text[w.end() : after.start() if after else len(text)]
+        ends.append(after is None or "\n" in gap or bool(re.search(r"[.!?][\"')\]]*$", w.group())))
+    order = word_hashes(text.encode()).tolist()
+    cuts = set()
+    for i in range(len(words) - sd.LONG + 1):
+        if not any(ends[i : i + sd.LONG - 1]):
+            least = min(order[i : i + sd.LONG])
+            cuts |= {j for j in range(i, i + sd.LONG) if order[j] == least}
+    out, whole, at = [], [], 0
+    for j in range(len(words)):
+        if ends[j] or j in cuts:
+            stop = words[j + 1].start() if j + 1 < len(words) else len(text)
+            out.append(text[at:stop])
+            whole.append(ends[j])
+            at = stop
+    return out, whole
 
 
 def _brute(rows, run, min_words):
-    """Spans as tuples of words over the module's units; what each document loses."""
+    """What each document loses, over tuples of words."""
     docs = []
     for d, t in rows:
-        raw = (t or "").encode()
-        ends, h, a, b = sd.spans(raw, run, min_words)
-        starts = [0, *ends[:-1].tolist()]
-        text = [tuple(raw[s:e].lower().split()) for s, e in zip(starts, ends.tolist(), strict=True)]
-        found = []
+        parts, whole = _parts(t or "")
+        text = [tuple(x.encode().lower().split()) for x in parts]
         n = len(text)
         size = [len(x) for x in text]
         want = set()
         for i in range(n):
-            for j in range(i + run - 1, n):
+            for j in range(i + 1, n):
                 if sum(size[i : j + 1]) >= min_words:
                     want.add((i, j))
                     break
         for j in range(n):
-            for i in range(j - run + 1, -1, -1):
+            for i in range(j - 1, -1, -1):
                 if sum(size[i : j + 1]) >= min_words:
                     want.add((i, j))
                     break
-        if sum(size) < min_words:
-            want = set()
-        assert want == set(zip(a.tolist(), b.tolist(), strict=True)), (text, want)
-        for i, j in sorted(want):
-            found.append((sum(text[i : j + 1], ()), i, j))
-        docs.append((d, t, raw, starts, ends, found))
+        ends = [j for j in range(n) if whole[j]]
+        for k in range(len(ends) - run + 1):
+            i, j = ends[k - 1] + 1 if k else 0, ends[k + run - 1]
+            if sum(size[i : j + 1]) < min_words:
+                want.add((i, j))
+        found = [(sum(text[i : j + 1], ()), i, j) for i, j in sorted(want) if sum(size)]
+        docs.append((d, t, parts, found))
     first = {}
-    for d, *_, found in docs:
+    for d, _, _, found in docs:
         if d is not None:
             for w, _, _ in found:
                 first[w] = min(d, first.get(w, d))
     out = []
-    for d, t, raw, starts, ends, found in docs:
+    for d, t, parts, found in docs:
         gone = set()
         if d is not None:
             head = {}
@@ -51,8 +76,8 @@ def _brute(rows, run, min_words):
                 head.setdefault(w, (i, j))
                 if first[w] != d or i > head[w][1]:
                     gone |= set(range(i, j + 1))
-        text = b"".join(raw[s:e] for k, (s, e) in enumerate(zip(starts, ends, strict=True)) if k not in gone).decode() if gone else t
-        out.append((d, text, len(ends), len(gone)))
+        text = "".join(x for k, x in enumerate(parts) if k not in gone) if gone else t
+        out.append((d, text, len(parts), len(gone)))
     return sorted(out, key=repr)
 
 
@@ -63,7 +88,7 @@ def _got(df, **kw):
 def test_odd_rows(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert _got(odd_docs, run=2, min_words=4) == _brute(rows, 2, 4)
-    assert _got(odd_docs) == _brute(rows, 2, 16)
+    assert _got(odd_docs) == _brute(rows, sd.RUN, sd.MIN_WORDS)
     assert _got(no_docs) == []
 
 
@@ -93,6 +118,22 @@ def test_planted_passages(spark):
     assert all(r[3] == 0 for r in got if r[0] in clean)
 
 
+def test_short_sentences(spark):
+    three = "It rained all day. We stayed in bed. Nobody came by."
+    rows = [(i, f"Number {i} begins {i}. {three} Then {i * 7} went home (see {i}).") for i in range(5)] + [(9, "Yes. No. Yes."), (10, "Yes. No. Why?")]
+    got = _got(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == _brute(rows, sd.RUN, sd.MIN_WORDS)
+    assert [three in r[1] for r in sorted(got)] == [True] + [False] * 6
+    assert [r[3] for r in sorted(got)] == [0, 3, 3, 3, 3, 0, 0]
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted((tuple(r) for r in op6_substring_dedup(spark, sf).select("doc_id", "text", "n_sentences", "n_removed").collect()), key=repr)
+    assert got == _brute(rows, sd.RUN, sd.MIN_WORDS)
+
+
 def test_passage_in_the_middle_of_other_sentences(spark):
     rng = random.Random(8)
     words = lambda n: " ".join("".join(rng.choice("klmnop") for _ in range(7)) for _ in range(n))
