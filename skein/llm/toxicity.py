@@ -2,10 +2,10 @@
 
 Fitting takes a bounded, documented sample of labelled rows (``max_toxic`` and ``max_clean`` rows, those of
 least hash; one row of a family of near copies). All words of the examples are indexed; their document
-frequencies are counted over the whole corpus. A query reads its words' postings from the shortest to the longest, a
-step of posting lengths at a time; after each step the rest of a cosine is at most the product of what is left of the
-query's and of the example's length, so the examples that can still be among the k nearest soon are few, and only these
-are compared in full. Neighbours vote with the square of their cosine and their class's sampling weight; votes are
+frequencies are counted over the whole corpus. The words of most examples are rows of a small matrix, multiplied with a batch
+of texts at a time; the postings of the others fall into blocks by their lengths, shortest first. After each block the rest of a
+cosine is at most the query's length left times the example's greatest length left in the blocks unread, so examples that cannot be
+among the k nearest are left, and those that can are compared in full, in double precision. Neighbours vote with the square of their cosine and their class's sampling weight; votes are
 calibrated by isotonic regression on leave-one-out votes of the examples.
 
 Since a text's subject has far more words than its insults, a second vote is taken over the words alone that mark toxic
@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from .common import arrow_pass, cut, shingles
 WORD = re.compile(r"[^\W\d_]+")
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4096, 12288, 16384
 MIN_LLR, MIN_LIFT, NEIGHBOURS = 24.0, 4.0, 15
+#: words kept as rows of a matrix (at most DENSE * (MAX_TOXIC + MAX_CLEAN) floats); texts multiplied with it at a time
+DENSE, BATCH = 384, 64
 #: posting lengths after which the examples left are counted; so many are compared in full
-STEPS, FEW = (16, 64, 256, 1024, 4096), 256
+STEPS, FEW, _ROUND, _SHORT = (128,), 48, 1e-5, 64
 
 
 def log_likelihood_ratio(a: float, b: float, na: float, nb: float) -> float:
@@ -73,34 +76,45 @@ class Index:
     rare: float = 0.0
     tf: np.ndarray | None = None
     edge: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    owner: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
-    value: np.ndarray = field(default_factory=lambda: np.empty(0))
+    packed: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     term: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     full: np.ndarray = field(default_factory=lambda: np.empty(0))
     tail: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
+    column: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
+    head: np.ndarray = field(default_factory=lambda: np.empty((0, 0), np.float32))
+    query: np.ndarray = field(default_factory=lambda: np.empty(0))
     marks: Index | None = None  # the same examples by the words that mark toxic ones
+    marking: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))  # of each term, its number there or -1
     mixed: tuple[float, float] = (1.0, 1.0)
     both: tuple[np.ndarray, np.ndarray] | None = None
 
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term numbers and counts of a text's words, in order of term, and the counts of words that no example has."""
+        n = Counter(WORD.findall((text or "").lower()))
+        t = np.fromiter(map(self.terms.get, n, repeat(-1)), np.int64, len(n))
+        tf = np.fromiter(n.values(), np.float64, len(n))
+        known = t >= 0
+        other = tf[~known]
+        t, tf = t[known], tf[known]
+        order = np.argsort(t)
+        return t[order], tf[order], other
+
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights; words in no example add to the length (as words of one document) only."""
-        n = Counter(WORD.findall((text or "").lower()))
-        known = [(self.terms[x], c) for x, c in n.items() if x in self.terms]
-        other = np.array([c for x, c in n.items() if x not in self.terms], np.float64)
-        t, tf = np.array(known, np.int64).reshape(-1, 2).T
-        return self.unit(t, tf.astype(np.float64), float((((1 + np.log(other)) * self.rare) ** 2).sum()))
+        t, tf, other = self.counts(text)
+        return self.unit(t, tf, float((((1 + np.log(other)) * self.rare) ** 2).sum()))
 
     def unit(self, t: np.ndarray, tf: np.ndarray, more: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(t)
-        t, w = t[order], (1 + np.log(tf[order])) * self.idf[t[order]]
+        """The vector of terms, in their order, of length 1 together with the square ``more``."""
+        w = (1 + np.log(tf)) * self.idf[t]
         return t, w / math.sqrt(float(w @ w) + more) if len(w) else w
 
     def __getstate__(self) -> dict:
         """Counts, packed, in place of postings and weights, which the receiver makes again: every executor keeps a copy on disk."""
-        made = ("edge", "owner", "value", "start", "term", "full", "tail")
+        made = ("edge", "packed", "start", "term", "full", "tail", "column", "head", "query")
         state = {k: v for k, v in self.__dict__.items() if k not in made}
         state["terms"] = zlib.compress("\n".join(sorted(self.terms, key=self.terms.__getitem__)).encode(), 1)
         size = np.diff(self.start).astype("<i4")
@@ -127,51 +141,81 @@ class Index:
         self.start = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)))
         self.term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if n else np.empty(0, np.int32)
         self.full = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
-        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.start))
-        order = np.argsort(self.term, kind="stable")
-        self.owner, self.value = owner[order], self.full[order]
+        owner = np.repeat(np.arange(n), np.diff(self.start))
         size = np.bincount(self.term, minlength=len(self.terms))
+        # the words of most examples, as rows of a matrix
+        dense = np.sort(np.argsort(-size, kind="stable")[:DENSE])
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        at = self.column[self.term]
+        self.query = np.zeros(len(self.terms))  # scratch: one text's weights
+        self.head = np.zeros((len(dense), n), np.float32)
+        self.head[at[at >= 0], owner[at >= 0]] = self.full[at >= 0]
+        # postings of the others, blocks of words by the lengths of their postings
+        order = np.argsort(self.term, kind="stable")
+        order = order[at[order] < 0]
+        # example number (high) and weight (low) of each posting
+        self.packed = owner[order] << 32 | self.full[order].astype(np.float32).view(np.uint32)
+        size[dense] = 0
         self.edge = np.concatenate(([0], np.cumsum(size)))
-        # what is left of each example's length beyond each step, rounded up
-        self.tail = np.array([np.sqrt(np.bincount(owner, np.where(size[self.term] > s, self.full**2, 0), n)) for s in STEPS]) * (1 + 1e-9)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest positive cosine, nearest first, ties to the smaller example number."""
+        # the most that what is left of each example beyond each block may add, by length; rounded up
+        self.tail = np.array([np.sqrt(np.bincount(owner, np.where(size[self.term] > s, self.full**2, 0), n)) for s in STEPS]) * (1 + 1e-6)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of largest positive cosine, nearest first, ties to the smaller example number.
+
+        ``skip``: an example for each vector that it must not find (its own).
+        """
+        out = []
+        for at in range(0, len(vectors), BATCH):
+            some = vectors[at : at + BATCH]
+            q = np.zeros((len(some), len(self.head)), np.float32)
+            for i, (t, w) in enumerate(some):
+                c = self.column[t]
+                q[i, c[c >= 0]] = w[c >= 0]
+            begun = q @ self.head
+            out += [self._nearest(t, w, begun[i], k, skip[at + i] if skip else -1) for i, (t, w) in enumerate(some)]
+        return out
+
+    def _nearest(self, t: np.ndarray, w: np.ndarray, acc: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.start) - 1
         if not len(t) or not n:
             return np.empty(0, np.int64), np.empty(0)
+        if 0 <= skip < n:
+            acc[skip] = -2.0
         lo, size = self.edge[t], self.edge[t + 1] - self.edge[t]
-        acc, done = np.zeros(n), 0
+        done, ids = 0, np.arange(n)
         for level, step in enumerate((*STEPS, n)):
             now = np.flatnonzero((size > done) & (size <= step))
             if len(now):
-                m = size[now]
-                at = np.arange(m.sum()) + np.repeat(lo[now] - np.cumsum(m) + m, m)
-                acc += np.bincount(self.owner[at], np.repeat(w[now], m) * self.value[at], n)
-            if 0 <= skip < n:
-                acc[skip] = 0
+                # short postings are gathered by number, long ones copied
+                now = now[np.argsort(size[now] > _SHORT, kind="stable")]
+                m, a = size[now], lo[now]
+                short = int((m <= _SHORT).sum())
+                at = np.arange(m[:short].sum()) + np.repeat(a[:short] - np.cumsum(m[:short]) + m[:short], m[:short])
+                got = np.concatenate([self.packed[at], *(self.packed[i:j] for i, j in zip(a[short:].tolist(), (a + m)[short:].tolist(), strict=True))])
+                add = got.view(np.float32)[::2] * np.repeat(w[now].astype(np.float32), m)
+                acc = acc + np.bincount(got >> 32, add, n)
             left = math.sqrt(float((w[size > step] ** 2).sum()))
+            least = np.partition(acc, n - k)[n - k] - _ROUND if n > k else 0.0
             if not left:
-                ids = np.flatnonzero(acc > 0)
-                sims = acc[ids]
+                ids = np.flatnonzero((acc >= least) & (acc > 0))
                 break
             done = step
-            if n <= k:
-                continue
-            least = np.partition(acc, n - k)[n - k] * (1 - 1e-9)
-            if least <= 0:
-                continue
-            ids = np.flatnonzero(acc + left * self.tail[level] >= least)
-            ids = ids[ids != skip]
-            if len(ids) <= FEW:
-                q = np.zeros(len(self.terms))
-                q[t] = w
-                sims = np.array([q[self.term[a:b]] @ self.full[a:b] for a, b in zip(self.start[ids], self.start[ids + 1], strict=True)])
-                break
-        if len(ids) > k:
-            # all that may tie with the k-th after rounding stay
-            keep = sims >= np.partition(sims, len(sims) - k)[len(sims) - k] - 1e-11
-            ids, sims = ids[keep], sims[keep]
+            if least > 0:
+                ids = np.flatnonzero(acc + left * self.tail[level] >= least - _ROUND)
+                if len(ids) <= FEW:
+                    break
+        ids = ids[ids != skip]
+        # in full and in double precision
+        a, m = self.start[ids], self.start[ids + 1] - self.start[ids]
+        if not m.sum():
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.arange(m.sum()) + np.repeat(a - np.cumsum(m) + m, m)
+        self.query[t] = w
+        sims = np.bincount(np.repeat(np.arange(len(ids)), m), self.query[self.term[at]] * self.full[at], len(ids))
+        self.query[t] = 0
+        ids, sims = ids[sims > 0], sims[sims > 0]
         order = np.lexsort((ids, -np.round(sims, 12)))[:k]
         return ids[order], sims[order]
 
@@ -183,7 +227,7 @@ class Index:
 
     def calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
         """Leave-one-out levels of the examples."""
-        near = [self.nearest(t, w, k, i) for i, (t, w) in enumerate(vectors)]
+        near = self.nearest(vectors, k, list(range(len(vectors))))
         if near:
             self.knots, self.levels = isotonic(np.array([self.vote(*x) for x in near]), self.toxic, self.weight)
         return np.array([self.level(*x) for x in near])
@@ -206,16 +250,26 @@ class Index:
         self.mixed = (max(0.0, float(c[0])), max(0.0, float(c[1])))
         self.both = isotonic(self.mixed[0] * x[:, 0] + self.mixed[1] * x[:, 1], self.toxic, self.weight)
 
-    def score(self, text: str | None, k: int) -> tuple[float, np.ndarray, np.ndarray]:
-        ids, sims = self.nearest(*self.vector(text), k)
-        same = ids[sims > 1 - 1e-9]
-        if len(same):  # the wording of labelled examples
-            return float(self.toxic[same].mean()), ids, sims
-        p = self.level(ids, sims)
+    def score(self, texts: list[str | None], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text: score, nearest examples, their cosines."""
+        found = [self.counts(x) for x in texts]
+        near = self.nearest([self.unit(t, tf, float((((1 + np.log(other)) * self.rare) ** 2).sum())) for t, tf, other in found], k)
+        out = [self.level(*x) for x in near]
         if self.marks is not None and self.both is not None:
-            q = self.marks.level(*self.marks.nearest(*self.marks.vector(text), k))
-            p = float(np.interp(self.mixed[0] * log_odds(p) + self.mixed[1] * log_odds(q), *self.both))
-        return min(1.0, max(0.0, p)), ids, sims
+            few = []
+            for t, tf, _ in found:
+                m = self.marking[t]
+                few.append(self.marks.unit(m[m >= 0], tf[m >= 0]))
+            some = [i for i, (t, _) in enumerate(few) if len(t)]
+            marked = dict(zip(some, self.marks.nearest([few[i] for i in some], k), strict=True))
+            none = (np.empty(0, np.int64), np.empty(0))
+            q = np.array([self.marks.level(*marked.get(i, none)) for i in range(len(few))])
+            out = np.interp(self.mixed[0] * log_odds(np.array(out)) + self.mixed[1] * log_odds(q), *self.both).tolist() if out else out
+        for i, (ids, sims) in enumerate(near):
+            same = ids[sims > 1 - 1e-9]
+            if len(same):  # the wording of labelled examples
+                out[i] = float(self.toxic[same].mean())
+        return [(min(1.0, max(0.0, p)), *x) for p, x in zip(out, near, strict=True)]
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +330,9 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
             docs_seen += len(b)
             for text in b.column(0).to_pylist():
                 if text:
-                    n[[number[x] for x in set(WORD.findall(text.lower())) if x in number]] += 1
+                    found = set(WORD.findall(text.lower()))
+                    t = np.fromiter(map(number.get, found, repeat(-1)), np.int64, len(found))
+                    n[t[t >= 0]] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at)), pa.int32()), pa.array(np.concatenate(([docs_seen], n[at])))], ["t", "n"])
 
@@ -299,9 +355,10 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     index.toxic = np.array([float(r["toxic"]) for r in got])
     share = {1: total.get(1, 0) / n1, 0: total.get(0, 0) / n0}
     index.weight = np.array([share[r["toxic"]] for r in got])
-    known_vectors = [index.unit(np.frombuffer(r["t"], "<i4").astype(np.int64), np.frombuffer(r["tf"], "<i4").astype(np.float64)) for r in got]
-    raw = [(np.frombuffer(r["t"], "<i4"), np.frombuffer(r["tf"], "<i4")) for r in got]
-    index.build(known_vectors, np.concatenate([tf[np.argsort(t)] for t, tf in raw]))
+    raw = [(np.frombuffer(r["t"], "<i4").astype(np.int64), np.frombuffer(r["tf"], "<i4").astype(np.float64)) for r in got]
+    raw = [(t[order], tf[order]) for t, tf in raw for order in (np.argsort(t),)]
+    known_vectors = [index.unit(t, tf) for t, tf in raw]
+    index.build(known_vectors, np.concatenate([tf for _, tf in raw]))
     own = index.calibrate(known_vectors, k)
     if marking:
         at = np.array([terms[t] for t in sorted(marking)])
@@ -311,10 +368,12 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
         few = []
         for r in got:
             t, tf = number[np.frombuffer(r["t"], "<i4")], np.frombuffer(r["tf"], "<i4").astype(np.float64)
-            few.append(marks.unit(t[t >= 0], tf[t >= 0]))
+            t, tf = t[t >= 0], tf[t >= 0]
+            order = np.argsort(t)
+            few.append(marks.unit(t[order], tf[order]))
         marks.build(few)
         index.join(own, marks.calibrate(few, k))
-        index.marks = marks
+        index.marks, index.marking = marks, number
     return index
 
 
@@ -330,7 +389,7 @@ def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
         ix = broad.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
-            got = [ix.score(x, k) for x in b.column(1).to_pylist()]
+            got = [x for at in range(0, len(b), 512) for x in ix.score(b.column(1)[at : at + 512].to_pylist(), k)]
             proof = [[{"doc_id": ix.doc_ids[i], "cosine": float(s), "toxic": int(ix.toxic[i])} for i, s in zip(ids[:5].tolist(), sims[:5], strict=True)] for _, ids, sims in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array(proof, kind)], ["doc_id", "score", "evidence"])
 

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 
 from skein.llm import substring_dedup as sd
 from skein.llm import toxicity
@@ -157,8 +158,12 @@ def _index(rng, n_terms=40, n=300):
     return ix, vectors
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("dense,few", [(384, 256), (5, 256), (0, 3)])
+def test_nearest_is_exact(monkeypatch, dense, few):
     rng = np.random.default_rng(0)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    monkeypatch.setattr(toxicity, "FEW", few)
+    monkeypatch.setattr(toxicity, "STEPS", (8, 40))
     ix, vectors = _index(rng)
     dense = np.zeros((len(vectors), 40))
     for i, (t, w) in enumerate(vectors):
@@ -169,7 +174,7 @@ def test_nearest_is_exact():
             if skip >= 0:
                 s[skip] = 0
             want = sorted((-v, j) for j, v in enumerate(s) if v > 0)[:15]
-            ids, sims = ix.nearest(t, w, 15, skip)
+            ids, sims = ix.nearest([(t, w)], 15, [skip])[0]
             assert ids.tolist() == [j for _, j in want] and np.allclose(sims, [-v for v, _ in want])
 
 
@@ -210,8 +215,8 @@ def test_all_words_count(spark):
     labels = spark.createDataFrame([(i, int(i < 6)) for i in range(60)], "doc_id long, toxic int")
     ix = toxicity.fit(docs, labels, docs)
     sent = pickle.loads(pickle.dumps(ix))
-    assert sent.terms == ix.terms and sent.score(texts[5], 15)[0] == ix.score(texts[5], 15)[0]
-    assert (sent.owner == ix.owner).all() and np.allclose(sent.value, ix.value, rtol=1e-12) and (sent.tf == ix.tf).all()
+    assert sent.terms == ix.terms and sent.score([texts[5]], 15)[0][0] == ix.score([texts[5]], 15)[0][0]
+    assert (sent.packed == ix.packed).all() and np.allclose(sent.full, ix.full, rtol=1e-12) and (sent.tf == ix.tf).all()
     part = " ".join(texts[2].split()[:40] + texts[30].split()[:20])
     asked = spark.createDataFrame([(100, texts[3]), (101, texts[20]), (102, part)], docs.schema)
     got = {r.doc_id: r for r in toxicity.score(asked, ix).collect()}
