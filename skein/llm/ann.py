@@ -5,8 +5,7 @@ copies, which is all that a k-nearest list can show). Vectors fall into bands by
 first. Each band has a graph of its own by cosine, so long vectors, which answer most queries, are not hidden among
 short ones. A band's graph begins with exact neighbours within the leaves of random-projection trees; rounds of
 NN-descent then join each vector with its neighbours and reverse neighbours, compare these with one another, and keep
-each one's best. A query is compared with about ``ENTRIES`` vectors of each band (all of a band that has no more); bands
-whose longest vector cannot reach the best found are left out. In the others it starts from the best of these, in its own
+each one's best. A query is compared with a sample of each band (``entries``); bands whose longest vector cannot reach the best found are left out. In the others it starts from the best of these, in its own
 band from its own vector, and expands the best unexpanded vectors by inner product, a batch a round. Graph and search
 compare directions in 8-bit precision, each vector's length apart as a float; the best of each query are scored again
 from the original components.
@@ -14,8 +13,9 @@ from the original components.
 
 from __future__ import annotations
 
-import gc
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut, mix
-from .vectors import blobs, keys, matrices, rows
+from .common import arrow_pass, cut, drop, mix
+from .vectors import blobs, directions, keys, matrices, rows
 
 TOP = 20
 NEIGHBOURS, REVERSE, BEST = 40, 32, 6
 TREES, LEAF, SAMPLE = 4, 512, 20_000
 ROUNDS, STEPS, WIDTH, HELD, RESCORE = 4, 7, 32, 256, 64
 ENTRIES = 1024
+#: vectors shorter than 2 ** -LAST_BAND of the longest are one band and walk as if of that length (floats end there); scores are exact
+LAST_BAND = 100.0
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,8 +41,8 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack8(x: np.ndarray, length: np.ndarray) -> list[bytes]:
-    """Per row: the direction's scale and the length (floats), the direction's components (8 bits)."""
-    q, scale = quantise(x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None])
+    """Per direction: its scale and the length (floats), its components (8 bits)."""
+    q, scale = quantise(x)
     head = np.column_stack((scale, length.astype(np.float32)))
     return [a.tobytes() + b.tobytes() for a, b in zip(head, q, strict=True)]
 
@@ -122,8 +124,8 @@ class Tree:
         return code
 
 
-def _index(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows: vec_id, h1, h2, dim, vec) of usable vectors and (node, vec) of distinct ones of the usual length."""
+def _index(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """(vec_id, h1, h2, dim, vec) of usable vectors."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,11 +135,7 @@ def _index(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, Da
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at].astype(np.int64)), pa.array(h1), pa.array(h2), pa.array(np.full(len(m), m.shape[1], np.int32)), pa.array(blobs(m, "<f8"), pa.binary())], ["vec_id", "h1", "h2", "dim", "vec"])
 
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).where("vec_id is not null")
-    all_rows = arrow_pass(src, read, "vec_id long, h1 long, h2 long, dim int, vec binary")
-    usual = all_rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    all_rows = all_rows.where(F.col("dim") == (usual[0]["dim"] if usual else 0))
-    nodes = all_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec"))
-    return all_rows, cut(nodes, "nodes")
+    return cut(arrow_pass(src, read, "vec_id long, h1 long, h2 long, dim int, vec binary"), "vectors")
 
 
 def _copies(all_rows: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
@@ -216,56 +214,54 @@ def _descend(graph: DataFrame, eight: DataFrame, k: int) -> DataFrame:
 
     found = arrow_pass(around.select("near"), compare, "node long, ids binary, sims binary")
     out = cut(_gather(found.unionByName(graph), k), "graph")
-    gc.collect()
-    graph.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shuffle files of the rounds before
+    drop(graph)
     return out
 
 
-def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame | None, DataFrame, dict[int, int]]:
-    """((node, ids, sims) graph of the bands of more than ENTRIES vectors, (node, band, q) vectors in 8 bits, size of each band).
+def build_graph(nodes: DataFrame, k: int = NEIGHBOURS, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """((node, ids, sims) graph of all bands, (node, band, q) vectors in 8 bits, size of each band).
 
     Lengths are parts of the longest; band ``b`` holds those above 2 ** -(b + 1), up to 2 ** -b.
     """
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = rows(b.column(0).to_pylist(), "<f8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.einsum("ij,ij->i", x, x))], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array(directions(rows(b.column(0).to_pylist(), "<f8"))[1] if len(b) else [], pa.float64())], ["n"])
 
     longest = arrow_pass(nodes.select("vec"), lengths, "n double").agg(F.max("n").alias("n")).first()["n"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = rows(b.column(1).to_pylist(), "<f8")
-            n = np.einsum("ij,ij->i", x, x)
-            band = np.floor((np.log2(longest) - np.log2(n)) / 2).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(band), pa.array(_pack8(x, np.sqrt(n) / np.sqrt(longest)), pa.binary())], ["node", "band", "q"])
+            x, n = directions(rows(b.column(1).to_pylist(), "<f8"))
+            less = np.minimum(longest - n, LAST_BAND)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.floor(less).astype(np.int32)), pa.array(_pack8(x, np.exp2(-less)), pa.binary())], ["node", "band", "q"])
 
     eight = cut(arrow_pass(nodes.select("node", "vec"), pack, "node long, band int, q binary"), "eight-bit")
     sizes = {r["band"]: r["n"] for r in eight.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    large = {b: n for b, n in sizes.items() if n > ENTRIES}
-    if not large:
-        return None, eight, sizes
-    linked = eight.where(F.col("band").isin(list(large)))
-    graph = _start(linked, large, k)
+    graph = _start(eight, sizes, k)
     for _ in range(rounds):
-        graph = _descend(graph, linked, k)
+        graph = _descend(graph, eight, k)
     return graph, eight, sizes
 
 
+def entries(n: int) -> int:
+    """How many vectors of a band of n a search is compared with before it walks the graph."""
+    return min(ENTRIES, n, math.ceil(8 * math.sqrt(n)))
+
+
 def _entries(eight: DataFrame, sizes: dict[int, int]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(band, node, q), by band, of all vectors of a small band and about ENTRIES of a large one."""
+    """(band, node, q), by band, of about ``entries`` vectors of each."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rate = np.array([ENTRIES / sizes[i] for i in b.column(1).to_pylist()])
+            rate = np.array([entries(sizes[i]) / sizes[i] for i in b.column(1).to_pylist()])
             yield b.filter(pa.array((mix(b.column(0).to_numpy().view(np.uint64) + np.uint64(1)) >> np.uint64(11)) * 2.0**-53 < rate))
 
     got = sorted(arrow_pass(eight.select("node", "band", "q"), pick, "node long, band int, q binary").collect(), key=lambda r: (r["band"], r["node"]))
     return np.array([r["band"] for r in got], np.int32), np.array([r["node"] for r in got], np.int64), [bytes(r["q"]) for r in got]
 
 
-def _search(queries: DataFrame, graph: DataFrame | None, eight: DataFrame, sizes: dict[int, int], top: int) -> DataFrame:
+def _search(queries: DataFrame, graph: DataFrame, eight: DataFrame, sizes: dict[int, int], top: int) -> DataFrame:
     """(node, ids, sims): for each query vector (node) and band that can matter the best ``HELD`` vectors found."""
     bands, nodes, packed = _entries(eight, sizes)
     edge = [(int(b), int(np.searchsorted(bands, b)), int(np.searchsorted(bands, b, "right"))) for b in np.unique(bands)]
@@ -286,19 +282,16 @@ def _search(queries: DataFrame, graph: DataFrame | None, eight: DataFrame, sizes
                     for band, lo, hi in edge:
                         if (1 + 0.02) * 2.0**-band < least[r]:
                             break
-                        whole = sizes[band] <= ENTRIES
-                        if band == own[r] and not whole:
-                            i, v = np.array([me[r]]), mine[r : r + 1] * float(x[r] @ x[r])
-                        else:
-                            i, v = best(nodes[lo:hi], s[r, lo:hi], HELD)
-                        for column, value in zip(out, (me[r], band, q[r], i, v, (np.ones if whole else np.zeros)(len(i), bool).tobytes()), strict=True):
+                        i, v = nodes[lo:hi], s[r, lo:hi]
+                        if band == own[r]:
+                            i, v = np.append(i, me[r]), np.append(v, mine[r] * float(x[r] @ x[r]))
+                        i, v = best(i, v, HELD)
+                        for column, value in zip(out, (me[r], band, q[r], i, v, np.zeros(len(i), bool).tobytes()), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), *_lists(out[3], out[4]), pa.array(out[5], pa.binary())], ["node", "band", "q", "ids", "sims", "done"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary()), *_lists(out[3], out[4]), pa.array(out[5], pa.binary()), pa.array([True] * len(out[0]))], ["node", "band", "q", "ids", "sims", "done", "open"])
 
-    schema = "node long, band int, q binary, ids binary, sims binary, done binary"
+    schema = "node long, band int, q binary, ids binary, sims binary, done binary, open boolean"
     state = cut(arrow_pass(queries.select("node").distinct().join(eight, "node").select("node", "band", "q"), begin, schema), "search")
-    if graph is None:
-        return state.select("node", "ids", "sims")
     flat = _edges(graph).select("node", "other").join(eight.select(F.col("node").alias("other"), "q"), "other")
     # the graph's vectors beside its edges, dealt by node once for all steps
     near = flat.groupBy("node").agg(F.collect_list(F.struct("other", "q")).alias("near"))
@@ -327,7 +320,7 @@ def _search(queries: DataFrame, graph: DataFrame | None, eight: DataFrame, sizes
 
     def advance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out_i, out_s, flags = [], [], []
+            out_i, out_s, flags, open_ = [], [], [], []
             for ids, sims, done, parts in zip(*(b.column(i).to_pylist() for i in (3, 4, 5, 6)), strict=True):
                 ids, sims, done = np.frombuffer(ids, "<i8"), np.frombuffer(sims, "<f4"), np.frombuffer(done, bool)
                 was = np.concatenate((ids[done], ids[~done][:WIDTH]))
@@ -337,10 +330,14 @@ def _search(queries: DataFrame, graph: DataFrame | None, eight: DataFrame, sizes
                 i, s = best(i, s, HELD)
                 out_i.append(i)
                 out_s.append(s)
-                flags.append(np.isin(i, was).tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_lists(out_i, out_s), pa.array(flags, pa.binary())], ["node", "band", "q", "ids", "sims", "done"])
+                seen = np.isin(i, was)
+                flags.append(seen.tobytes())
+                open_.append(not seen.all())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *_lists(out_i, out_s), pa.array(flags, pa.binary()), pa.array(open_, pa.bool_())], ["node", "band", "q", "ids", "sims", "done", "open"])
 
     for _ in range(STEPS + 1):
+        if not state.where("open").limit(1).count():
+            break
         steps = arrow_pass(state, frontier, "query long, band int, q binary, node long").join(near, "node").select("query", "band", "q", "near")
         found = arrow_pass(steps, look, "node long, band int, ids binary, sims binary").groupBy("node", "band").agg(F.collect_list(F.struct("ids", "sims")).alias("parts"))
         state = cut(arrow_pass(state.join(found, ["node", "band"], "left").select("node", "band", "q", "ids", "sims", "done", "parts"), advance, schema), "search")
@@ -352,11 +349,19 @@ def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, id_col: str =
     """(query_id, rank, vec_id, score): for each row with ``is_query`` (over vec_id) its ``top`` nearest others found.
 
     Nearness is the inner product in double precision; equal scores go to the smaller vec_id. Vectors that are
-    null, empty, zero, hold a null or non-finite component, have not the table's most frequent length, or have no
-    id take no part. Rows that repeat an id and vector count once. With fewer candidates than ``top`` all are
-    returned. Other columns are ignored; an empty table gives an empty one.
+    null, empty, zero, hold a null or non-finite component, or have no id take no part. Vectors are compared with those of
+    as many components, each such length being an index of its own. Rows that repeat an id and vector count once. With
+    fewer candidates than ``top`` all are returned. Other columns are ignored; an empty table gives an empty one.
     """
-    all_rows, nodes = _index(vectors, id_col, vec_col)
+    everything = _index(vectors, id_col, vec_col)
+    dims = sorted(r["dim"] for r in everything.select("dim").distinct().collect())
+    found = [_search_dim(everything.where(F.col("dim") == d), is_query, top) for d in dims]
+    schema = "query_id long, rank int, vec_id long, score double"
+    return reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], schema)
+
+
+def _search_dim(all_rows: DataFrame, is_query: F.Column, top: int) -> DataFrame:
+    nodes = cut(all_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec")), "nodes")
     graph, eight, sizes = build_graph(nodes)
     asked = all_rows.where(is_query).select("vec_id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "node")
     found = _search(asked, graph, eight, sizes, top)

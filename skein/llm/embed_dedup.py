@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass, cut
 from .components import Forest, connected
-from .vectors import blobs, keys, matrices, rows
+from .vectors import blobs, keys, matrices, rows, scaled
 
 THRESHOLD = 0.98
 CELL = 1024
@@ -192,7 +192,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at, m in matrices(b.column(2)):
             dim[at] = m.shape[1]
             h1[at], h2[at] = keys(m)
-            for i, x in zip(at.tolist(), blobs(m, "<f8"), strict=True):
+            for i, x in zip(at.tolist(), blobs(scaled(m)[0], "<f8"), strict=True):
                 vec[i] = x
         cols = [b.column(0), b.column(1), pa.array(dim), pa.array(h1), pa.array(h2), pa.array(vec, pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, names)

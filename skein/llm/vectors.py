@@ -22,12 +22,22 @@ def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         rows = np.flatnonzero(n == d)
         m = flat[start[rows][:, None] + np.arange(d)]
         ok = np.isfinite(m).all(1) & (m != 0).any(1)
-        with np.errstate(over="ignore", under="ignore"):
-            length = np.einsum("ij,ij->i", m, m)
-        ok &= np.isfinite(length) & (length > 0)
         yield rows[ok], m[ok]
 
 
+def scaled(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows with their largest component in [0.5, 1), the power of two taken out of each), so that no square over- or underflows."""
+    e = np.frexp(np.abs(m).max(1))[1] if m.size else np.zeros(len(m), np.int32)
+    return np.ldexp(m, -e[:, None]), e
+
+
+def directions(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of length 1, binary logarithms of the lengths)."""
+    x, e = scaled(m)
+    n = np.einsum("ij,ij->i", x, x)
+    return x / np.sqrt(n)[:, None], e + np.log2(n) / 2
+
+
 def keys(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit hashes of rows, as two signed integers; -0.0 counts as 0.0."""
     got = [xxhash.xxh3_128_intdigest(x.tobytes()) for x in m + 0.0]
