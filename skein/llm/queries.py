@@ -35,14 +35,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slot, shard, byte_offset, n_ids, ids_crc32 of every sequence, as read back from the shards."""
-    from .token_store import PER_SHARD, training_order
-
-    shards = training_order(_table(spark, sf_dir, "documents"))
-    i = F.col("i")
-    rows = shards.select("shard", "first_slot", "stride", "n_ids", "data", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    rows = rows.select((F.col("first_slot") + i).alias("slot"), "shard", "stride", F.element_at("n_ids", i + 1).alias("n_ids"), F.crc32(F.expr("substring(data, i * stride + 1, stride)")).alias("ids_crc32"))
-    return rows.select("slot", "shard", ((F.col("slot") % PER_SHARD) * F.col("stride")).alias("byte_offset"), "n_ids", "ids_crc32")
+    """slot, shard, byte_offset, n_ids, ids_crc32 of every sequence, as read back from the shards that were written."""
+    from .common import new_path
+    from .token_store import read_slots, write_store
+
+    store = write_store(_table(spark, sf_dir, "documents"), new_path(spark, "token-store"))
+    return read_slots(spark, store).select("slot", "shard", "byte_offset", "n_ids", F.crc32("ids").alias("ids_crc32"))
 
 
 def _bucket(mod: int) -> F.Column:

@@ -2,21 +2,24 @@
 
 Sequences get running numbers 0..n-1; a Feistel network keyed by the seed, with cycle-walking where it leaves
 that range, maps each number to its slot, a permutation that needs no sort and no table. Ranges of slots
-are written as shards of fixed-stride binary records, so slot s is at byte (s % per_shard) * stride of shard
-s // per_shard, and a training run resumes from a slot alone.
+are written as shards, plain files of fixed-stride records, so slot s is at byte (s % per_shard) * stride of shard
+s // per_shard, and a training run resumes from a slot alone. A record is the number of its ids (4 bytes), its ids, padded,
+and a line feed (Spark's text writer ends each record with one). The store is written a range of shards at a time; each
+range has a folder and, once whole, rows in the manifest, so writing resumes with the first range that is missing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut, mix
+from .common import arrow_pass, mix, setting
 from .tokens import bpe, default_paths
 
 LENGTH = 2048
@@ -83,66 +86,127 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, vocab: s
     return arrow_pass(src, run, "part int, idx long, n_ids int, ids binary")
 
 
-def training_order(docs: DataFrame, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, ranks: str | None = None) -> DataFrame:
-    """One row per shard: shard, first_slot, n (sequences), stride (bytes of one), n_ids (array), data.
+RANGES = 4
+_HEAD, _END = 4, 1
 
-    ``data`` holds ``n`` records of ``stride`` bytes, ids little-endian; records end with PAD_ID where a
-    partition's ids ran out (``n_ids`` tells). Null text counts as empty; an empty table gives no shard;
-    repeated rows are written each; other columns are ignored. The sequences are written once to the shared
-    folder before the permutation, so a recomputed task sees the same numbers.
+
+@dataclass(frozen=True)
+class Store:
+    """A written store: where it is and its measures."""
+
+    path: str
+    n: int
+    per_shard: int
+    stride: int
+    width: int  # bytes of an id
+
+
+def _ranges(path: str) -> str:
+    return f"{path}/manifest"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, ranges: int = RANGES, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, ranks: str | None = None) -> Store:
+    """Write all sequences of ``docs`` to ``path`` in the order of ``key``; what a broken run has finished there is kept.
+
+    Files: ``range=R/part-P-...-cC.txt``, C counting shards within the task; ``manifest/range=R`` (Parquet): shard, file, first_slot,
+    n, stride, id_bytes, n_sequences, bytes. Records end with PAD_ID where a partition's ids ran out (their head tells). Null text counts
+    as empty, and each document is closed by END_ID; an empty table gives no shard; a null doc_id needs no care, as ids take no part;
+    repeated rows are written each; texts of any length are cut across sequences; other columns are ignored. The sequences are written once to
+    the store's folder before the permutation, so a recomputed or resumed task sees the same numbers.
     """
     if vocab is None or ranks is None:
         vocab, ranks = default_paths()
     spark = docs.sparkSession
-    seqs = cut(sequences(docs, id_col, text_col, length, vocab, ranks), "sequences")
+    draft = f"{path}/sequences"
+    if not _exists(spark, f"{draft}/_SUCCESS") and not _exists(spark, f"{path}/_DONE"):
+        sequences(docs, id_col, text_col, length, vocab, ranks).write.mode("overwrite").parquet(draft)
+    width = np.dtype(_dtype(len(bpe(vocab, ranks).pieces))).itemsize
+    stride = _HEAD + width * length + _END
+    if _exists(spark, f"{path}/_DONE"):
+        told = spark.read.schema(_MANIFEST).parquet(_ranges(path)).agg(F.max("n_sequences").alias("n")).first()
+        return Store(path, told["n"] or 0, per_shard, stride, width)
+    seqs = spark.read.schema("part int, idx long, n_ids int, ids binary").parquet(draft)
     # one number for each input partition
     sizes = sorted((r["part"], r["n"]) for r in seqs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
     first, n = {}, 0
     for part, k in sizes:
         first[part] = n
         n += k
+    shards = -(-n // per_shard)
+    ranges = max(1, min(ranges, shards))
+    each = -(-shards // ranges) if shards else 0
+    for r in range(ranges if shards else 0):
+        if not _exists(spark, f"{_ranges(path)}/range={r}/_SUCCESS"):
+            lo, hi = r * each, min(shards, (r + 1) * each)
+            if lo < hi:
+                _write_range(seqs, path, r, lo, hi, first, n, key, per_shard, stride)
+    spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_DONE")
+    at = spark._jvm.org.apache.hadoop.fs.Path(draft)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return Store(path, n, per_shard, stride, width)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.array([first[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(feistel(at, n, key)), b.column(2), b.column(3)], ["slot", "n_ids", "ids"])
 
-    shards = max(1, -(-n // per_shard))
-    parts = max(1, min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    per_part = -(-shards // parts)
-    slots = arrow_pass(seqs, place, "slot long, n_ids int, ids binary")
-    dealt = slots.repartitionById(parts, (F.col("slot") / F.lit(per_shard * per_part)).cast("int")).sortWithinPartitions("slot")
+_MANIFEST = "shard long, file string, first_slot long, n long, stride int, n_sequences long, bytes long"
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, slot0, counts, data = -1, 0, [], []
 
-        def out() -> pa.RecordBatch:
-            cols = [pa.array([now], pa.int64()), pa.array([slot0], pa.int64()), pa.array([len(data)], pa.int32()), pa.array([len(data[0])], pa.int32()), pa.array([counts], pa.list_(pa.int32())), pa.array([b"".join(data)], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["shard", "first_slot", "n", "stride", "n_ids", "data"])
+def _write_range(seqs: DataFrame, path: str, r: int, lo: int, hi: int, first: dict[int, int], n: int, key: int, per_shard: int, stride: int) -> None:
+    """Shards lo..hi-1: the sequences whose slots lie there, dealt by shard, sorted by slot, a file a shard."""
+    spark = seqs.sparkSession
+    parts = max(1, min(hi - lo, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    per_part = -(-(hi - lo) // parts)
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for slot, k, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if slot // per_shard != now:
-                    if data:
-                        yield out()
-                    now, slot0, counts, data = slot // per_shard, slot, [], []
-                counts.append(k)
-                data.append(ids)
-        if data:
-            yield out()
-
-    return arrow_pass(dealt, write, "shard long, first_slot long, n int, stride int, n_ids array<int>, data binary")
-
-
-def write_shards(shards: DataFrame, path: str) -> None:
-    """Parquet, sorted by shard within files, so a reader skips to its shards by their statistics."""
-    shards.write.mode("overwrite").option("parquet.block.size", str(32 << 20)).parquet(path)
-
-
-def read_slots(shards: DataFrame, start: int, stop: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """(slot, n_ids, ids) for start <= slot < stop, reading only the shards that hold them."""
-    near = shards.where(F.col("shard").between(start // per_shard, (stop - 1) // per_shard))
+            at = np.array([first[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
+            slot = feistel(at, n, key)
+            here = np.flatnonzero((slot >= lo * per_shard) & (slot < hi * per_shard))
+            ids = b.column(3)
+            head = b.column(2).to_numpy()[here].astype("<u4")
+            rows = [k.tobytes() + ids[i].as_py() for k, i in zip(head, here.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot[here]), pa.array(rows, pa.binary())], ["slot", "record"])
+
+    slots = arrow_pass(seqs, place, "slot long, record binary")
+    dealt = slots.repartitionById(parts, ((F.col("slot") - lo * per_shard) / F.lit(per_shard * per_part)).cast("int")).sortWithinPartitions("slot")
+    folder = f"{path}/range={r}"
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        dealt.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", per_shard).option("lineSep", "\n").text(folder)
+    files = _files(spark, folder).select(F.col("file"), "bytes")
+    number = F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)\.txt$", 1).cast("long") * per_part + F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)\.txt$", 2).cast("long") + lo
+    rows = files.where("bytes > 0").select(number.alias("shard"), "file", (number * per_shard).alias("first_slot"), (F.col("bytes") / stride).cast("long").alias("n"), F.lit(stride).alias("stride"), F.lit(n).cast("long").alias("n_sequences"), "bytes")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{_ranges(path)}/range={r}")
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes, content) of a folder; only what is selected is read."""
+    return spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "path", "content")
+
+
+def manifest(spark: SparkSession, store: Store) -> DataFrame:
+    """(shard, file, first_slot, n, stride, n_sequences, bytes, range) of a store."""
+    return spark.read.schema(_MANIFEST + ", range int").parquet(_ranges(store.path)) if store.n else spark.createDataFrame([], _MANIFEST + ", range int")
+
+
+def read_slots(spark: SparkSession, store: Store, start: int = 0, stop: int | None = None) -> DataFrame:
+    """(slot, shard, byte_offset, n_ids, ids) for start <= slot < stop, reading only the files of their shards; ids are those of the record, padding included."""
+    stop = store.n if stop is None else min(stop, store.n)
+    if start >= stop:
+        return spark.createDataFrame([], "slot long, shard long, byte_offset long, n_ids int, ids binary")
+    near = manifest(spark, store).where(F.col("shard").between(start // store.per_shard, (stop - 1) // store.per_shard))
+    wanted = [f"{store.path}/range={r['range']}/{r['file']}" for r in near.select("range", "file").collect()] if stop - start < store.n else None
+    if wanted is not None and len(wanted) <= 1000:
+        found = spark.read.format("binaryFile").load(wanted)
+    else:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.txt").option("recursiveFileLookup", "true").load(store.path)
+    found = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     i = F.col("i")
-    rows = near.select("first_slot", "stride", "data", "n_ids", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    rows = rows.select((F.col("first_slot") + i).alias("slot"), F.element_at("n_ids", i + 1).alias("n_ids"), F.expr("substring(data, i * stride + 1, stride)").alias("ids"))
+    rows = found.join(near.select("file", "shard", "first_slot", "n"), "file").select("shard", "first_slot", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    head = F.hex(F.expr(f"substring(content, cast(i * {store.stride} + 1 as int), {_HEAD})"))
+    head = F.conv(F.concat(*(F.substring(head, 2 * k + 1, 2) for k in reversed(range(_HEAD)))), 16, 10)  # little-endian
+    ids = F.expr(f"substring(content, cast(i * {store.stride} + {_HEAD + 1} as int), {store.stride - _HEAD - _END})")
+    rows = rows.select((F.col("first_slot") + i).alias("slot"), "shard", (i * store.stride).alias("byte_offset"), head.cast("int").alias("n_ids"), ids.alias("ids"))
     return rows.where((F.col("slot") >= start) & (F.col("slot") < stop))

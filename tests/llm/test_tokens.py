@@ -104,9 +104,10 @@ def test_blocks_do_not_change_what_is_packed(odd_docs, monkeypatch, coder):
         assert np.concatenate([x[2] for x in got if x[0] == i]).tolist() == d.tolist()
 
 
-def test_empty_tables(no_docs):
+def test_empty_tables(no_docs, tmp_path):
     assert packing.pack(no_docs).count() == 0
-    assert token_store.training_order(no_docs).count() == 0
+    store = token_store.write_store(no_docs, str(tmp_path / "none"))
+    assert store.n == 0 and token_store.read_slots(no_docs.sparkSession, store).count() == 0
     assert sentencepiece_fst.encode(no_docs).count() == 0
 
 
@@ -119,20 +120,72 @@ def test_feistel_permutes(n):
         assert abs(np.corrcoef(a, np.arange(n))[0, 1]) < 0.1
 
 
-def test_token_store_reads_back(odd_docs, coder, tmp_path):
-    made = token_store.training_order(odd_docs, length=16, per_shard=8)
-    token_store.write_shards(made, str(tmp_path / "s"))
-    shards = odd_docs.sparkSession.read.parquet(str(tmp_path / "s"))
-    rows = shards.orderBy("shard").collect()
-    assert [r.shard for r in rows] == list(range(len(rows))) and [r.first_slot for r in rows] == [8 * r.shard for r in rows]
-    n = sum(r.n for r in rows)
-    ids = np.concatenate([np.frombuffer(r.data, "<u2")[np.concatenate([np.arange(k) + 16 * i for i, k in enumerate(r.n_ids)])] for r in rows])
-    want = np.concatenate([np.frombuffer(coder.encode(r.text), "<u4").tolist() + [1] for r in odd_docs.collect()])
-    assert sorted(ids.tolist()) == sorted(want.astype(int).tolist())
-    part = token_store.read_slots(shards, 5, 21, per_shard=8).orderBy("slot").collect()
-    assert [r.slot for r in part] == list(range(5, min(21, n)))
-    flat = b"".join(bytes(r.data) for r in rows)
-    assert all(bytes(r.ids) == flat[r.slot * 32 : r.slot * 32 + 32] for r in part)
+def _sequences(docs, coder, length):
+    """Padded sequences in input order, partition by partition, as the store must hold them."""
+    out = []
+    for rows in docs.rdd.glom().collect():
+        ids = [x for r in rows for x in [*np.frombuffer(coder.encode(r.text), "<u4").tolist(), 1]]
+        for at in range(0, len(ids), length):
+            out.append((len(ids[at : at + length]), (ids[at : at + length] + [0] * length)[:length]))
+    return out
+
+
+@pytest.mark.parametrize("per_shard,ranges", [(8, 4), (1000, 1), (3, 7)])
+def test_slot_s_holds_the_sequence_that_the_permutation_sends_there(odd_docs, coder, tmp_path, per_shard, ranges):
+    spark, length, key = odd_docs.sparkSession, 512, 77
+    docs = spark.createDataFrame(odd_docs.collect(), odd_docs.schema)  # the same partitions each time
+    want = _sequences(docs, coder, length)
+    store = token_store.write_store(docs, str(tmp_path / "s"), key, length, per_shard, ranges)
+    n = store.n
+    assert n == len(want) and store.stride == 4 + 2 * length + 1
+    place = token_store.feistel(np.arange(n), n, key)
+    rows = {r.slot: r for r in token_store.read_slots(spark, store).collect()}
+    assert sorted(rows) == list(range(n))
+    for i, slot in enumerate(place.tolist()):
+        r = rows[slot]
+        assert (r.shard, r.byte_offset) == (slot // per_shard, slot % per_shard * store.stride)
+        assert (r.n_ids, np.frombuffer(r.ids, "<u2").tolist()) == want[i]
+    listed = sorted(tuple(r) for r in token_store.manifest(spark, store).select("shard", "first_slot", "n").collect())
+    assert listed == [(s, s * per_shard, min(per_shard, n - s * per_shard)) for s in range(-(-n // per_shard))]
+    # the files themselves, as a trainer seeks in them
+    for r in token_store.manifest(spark, store).collect():
+        raw = (tmp_path / "s" / f"range={r.range}" / r.file).read_bytes()
+        assert len(raw) == r.n * store.stride == r.bytes
+        one = raw[(r.n - 1) * store.stride : r.n * store.stride]
+        assert one[4:-1] == bytes(rows[r.first_slot + r.n - 1].ids) and one[-1:] == b"\n"
+    part = token_store.read_slots(spark, store, 5, 21).collect()
+    assert {r.slot: bytes(r.ids) for r in part} == {s: bytes(rows[s].ids) for s in range(5, min(21, n))}
+
+
+def test_a_broken_store_is_finished(odd_docs, tmp_path, monkeypatch):
+    spark, kept = odd_docs.sparkSession, token_store._write_range
+    digest = lambda s: sorted((r.slot, bytes(r.ids)) for r in token_store.read_slots(spark, s).collect())
+    whole = digest(token_store.write_store(odd_docs, str(tmp_path / "a"), 5, 256, 4))
+    done = []
+
+    def breaks(seqs, path, r, *rest):
+        if len(done) == 2:
+            raise RuntimeError("lost")
+        done.append(r)
+        kept(seqs, path, r, *rest)
+
+    monkeypatch.setattr(token_store, "_write_range", breaks)
+    with pytest.raises(RuntimeError):
+        token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4)
+    again = []
+    monkeypatch.setattr(token_store, "_write_range", lambda seqs, path, r, *rest: (again.append(r), kept(seqs, path, r, *rest)))
+    store = token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4)
+    assert again == [2, 3] and digest(store) == whole
+    assert digest(token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4)) == whole and again == [2, 3]
+
+
+def test_token_store_query(spark, coder):
+    from skein.llm.queries import op4_token_store
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert sum(r.n_ids for r in op4_token_store(spark, SF).collect()) == sum(len(coder.encode(t)) // 4 + 1 for t in texts)
+    rows = op4_token_store(spark, SF).collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and all(0 < r.n_ids <= 2048 for r in rows)
 
 
 def test_sentencepiece_is_the_library_s(spark):
