@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 from collections import Counter
 
@@ -34,6 +35,49 @@ def _brute_lines(rows):
     return sorted(out, key=repr)
 
 
+def _ngrams(text):
+    """An n-gram (1 to 3 characters of a text whose runs of non-letters are one blank, blanks at the ends only) to its count."""
+    c = " " + " ".join(re.sub(".", lambda m: m.group() if m.group().isalpha() else " ", text.lower(), flags=re.S).split()) + " "
+    n = Counter(x for x in c if x != " ")
+    n.update(a + b for a, b in zip(c, c[1:], strict=False))
+    n.update(c[i : i + 3] for i in range(len(c) - 2) if c[i + 1] != " ")
+    return n if c.strip() else Counter()
+
+
+def _ranked(n, top=400):
+    """Most frequent first; ties go by length and then by code points."""
+    return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], len(x[0]), x[0]))][:top]
+
+
+def brute_languages(train, texts, top=400):
+    """Of each text the language of least out-of-place distance and whether any distance is below the greatest."""
+    total = {}
+    for text, lang in train:
+        if lang is not None and text is not None:
+            total.setdefault(lang, Counter()).update(_ngrams(text))
+    profiles = {x: {g: i for i, g in enumerate(_ranked(n, top))} for x, n in sorted(total.items()) if n}
+    out = []
+    for t in texts:
+        mine = _ranked(_ngrams(t or ""), top)
+        if not mine or not profiles:
+            out.append(("und", False))
+            continue
+        far = {x: sum(abs(p[g] - i) if g in p else top for i, g in enumerate(mine)) for x, p in profiles.items()}
+        lang = min(far, key=far.get)
+        out.append((lang, far[lang] < top * len(mine)))
+    return out
+
+
+def test_languages_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    train = [(r.text, r.lang) for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    want = brute_languages(train, [r.text for r in rows])
+    got = {r.doc_id: r for r in op5_langid(spark, sf).collect()}
+    assert [(got[r.doc_id].lang_pred, got[r.doc_id].score > 0) for r in rows] == want
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.values())
+
+
 def test_lines_against_brute_force(odd_docs, tmp_path):
     odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((tuple(r) for r in op7_line_dedup(odd_docs.sparkSession, str(tmp_path)).collect()), key=repr)
