@@ -26,8 +26,8 @@ from .common import arrow_pass
 
 BLANK = "▁"
 _STRETCH = re.compile(f"[ {BLANK}]*[^ {BLANK}]+|[ {BLANK}]+")
-#: stretches of up to _SHORT characters and pairs of pieces that are kept: under 25 MB a process in all
-_CACHE, _PAIRS, _SHORT, _RARE = 100_000, 100_000, 32, 1e6
+#: stretches of up to _SHORT characters and pairs of pieces that are kept: under 100 MB a process in all
+_CACHE, _PAIRS, _SHORT, _RARE = 400_000, 400_000, 32, 1e6
 
 
 def _read(model: str):
