@@ -321,6 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     often = np.flatnonzero((a / n1 > MIN_LIFT * (b / n0)) & (a >= math.ceil(need)))
     ranked = sorted((-log_likelihood_ratio(int(a[i]), int(b[i]), n1, n0), words_[i]) for i in often)
     marking = {t: i for i, t in enumerate(sorted(t for x, t in ranked[:max_terms] if -x > MIN_LLR))}
+    del found, words_, a, b, often, ranked
     shared = spark.sparkContext.broadcast(terms)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,15 +351,19 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
             pack = lambda x: np.fromiter(x, "<i4", len(x)).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(x.keys()) for x in found], pa.binary()), pa.array([pack(x.values()) for x in found], pa.binary())], ["doc_id", "toxic", "t", "tf"])
 
-    got = sorted(arrow_pass(rows.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, t binary, tf binary").collect(), key=lambda r: r["doc_id"])
-    index.doc_ids = [r["doc_id"] for r in got]
-    index.toxic = np.array([float(r["toxic"]) for r in got])
-    share = {1: total.get(1, 0) / n1, 0: total.get(0, 0) / n0}
-    index.weight = np.array([share[r["toxic"]] for r in got])
-    raw = [(np.frombuffer(r["t"], "<i4").astype(np.int64), np.frombuffer(r["tf"], "<i4").astype(np.float64)) for r in got]
-    raw = [(t[order], tf[order]) for t, tf in raw for order in (np.argsort(t),)]
-    known_vectors = [index.unit(t, tf) for t, tf in raw]
-    index.build(known_vectors, np.concatenate([tf for _, tf in raw]))
+    got = arrow_pass(rows.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, t binary, tf binary").toArrow().sort_by("doc_id")
+    index.doc_ids = got.column("doc_id").to_pylist()
+    index.toxic = got.column("toxic").to_numpy().astype(float)
+    share = np.array([total.get(0, 0) / n0, total.get(1, 0) / n1])
+    index.weight = share[index.toxic.astype(int)]
+    t, tf = (np.frombuffer(b"".join(x for part in got.column(c).chunks for x in part.to_pylist()), "<i4") for c in ("t", "tf"))
+    edge = np.cumsum([0] + [len(x.as_py()) // 4 for x in got.column("t")])
+    del got
+    order = np.lexsort((t, np.repeat(np.arange(len(edge) - 1), np.diff(edge))))
+    t, tf = t[order], tf[order]
+    del order
+    index.build([index.unit(t[i:j], tf[i:j].astype(np.float64)) for i, j in zip(edge[:-1], edge[1:], strict=True)], tf)
+    known_vectors = [(index.term[i:j], index.full[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
     own = index.calibrate(known_vectors, k)
     if marking:
         at = np.array([terms[t] for t in sorted(marking)])
@@ -366,11 +371,9 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
         number[at] = np.arange(len(at))
         marks = Index(marking, idf[at], float(prior), index.doc_ids, index.toxic, index.weight)
         few = []
-        for r in got:
-            t, tf = number[np.frombuffer(r["t"], "<i4")], np.frombuffer(r["tf"], "<i4").astype(np.float64)
-            t, tf = t[t >= 0], tf[t >= 0]
-            order = np.argsort(t)
-            few.append(marks.unit(t[order], tf[order]))
+        for i, j in zip(edge[:-1], edge[1:], strict=True):
+            m = number[t[i:j]]  # in order, as both number the words by name
+            few.append(marks.unit(m[m >= 0], tf[i:j][m >= 0].astype(np.float64)))
         marks.build(few)
         index.join(own, marks.calibrate(few, k))
         index.marks, index.marking = marks, number
