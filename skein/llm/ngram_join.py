@@ -6,7 +6,9 @@ least t, the first n - ceil(t n) + 1 elements of both in that order have one in
 set is filed under these. The sketch is a table of ``WIDTH`` counters; it only orders, so whatever it counts together costs time,
 never a link. A shingle that many texts share stands last and files almost nothing.
 
-Sets filed under one shingle are candidates, named around the least of them; candidate groups are compared in prefix trees:
+Sets filed under one shingle are candidates, named around the least of them. A bitmap of each set (a bit an element, two bits
+of room each) bounds from above what two sets can share: elements of one whose bits the other lacks are not common. A group falls
+apart into the parts that this bound still ties together; only their sets are read, and compared in prefix trees:
 
 * the sets of a group, most common elements first, share their paths in a compressed tree;
 * a probe walks the tree level by level with the overlap counted so far for each node, once for all sets below;
@@ -29,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, as_bytes, cut, drop, mix, shingles, spread_join
+from .common import arrow_pass, as_bytes, cut, drop, each_group, mix, shingles, spread_join
 from .components import connected
 
-BLOCK_ELEMENTS = 1 << 21
+BLOCK_ELEMENTS, MEMBERS = 1 << 21, 1 << 12
 #: counters of the sketch, sent to every task as a byte each
 WIDTH, _CHUNK = 1 << 20, 1 << 16
 
@@ -61,6 +63,37 @@ def prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
     return s[np.lexsort((s, level[s & np.uint64(len(level) - 1)]))[:n]]
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each element, at its low bits modulo a power of two, at least twice the set's size; half of it is the OR of its halves."""
+    width = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(s >> np.uint64(20)) & np.uint64(width - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(n: np.ndarray, bits: list[bytes], num: int, den: int) -> np.ndarray:
+    """Least number of each set's part, where sets are tied if their bitmaps leave enough elements that may be common."""
+    label = np.arange(len(n))
+    width = np.array([len(x) for x in bits])
+    for w in np.unique(width).tolist():
+        # the sets that may link with one of this width and are not smaller
+        at = np.flatnonzero((width >= w) & (num * width <= 2 * den * w))
+        at = at[np.argsort(n[at], kind="stable")]
+        b = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, w // 8), 0) for i in at])
+        size = n[at]
+        for i in range(1, len(at)):
+            j = np.arange(np.searchsorted(size, -(-num * size[i] // den)), i)  # not larger, and large enough
+            if not len(j):
+                continue
+            here, there = b[i], b[j]
+            most = np.minimum(size[i] - np.bitwise_count(here & ~there).sum(1, dtype=np.int64), size[j] - np.bitwise_count(there & ~here).sum(1, dtype=np.int64))
+            hit = at[j[enough(most, size[i], size[j], num, den)]]
+            found = np.unique(np.append(label[hit], label[at[i]]))
+            if len(found) > 1:
+                label[np.isin(label, found)] = found[0]
+    return label
+
+
 class PrefixTree:
     """Compressed tree over sets of integers; every node knows the sizes below it."""
 
@@ -208,7 +241,7 @@ def _sketch(found: DataFrame, width: int) -> np.ndarray:
 def _prefixes(k: int, num: int, den: int, level):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            docs, h1, h2, out = [], [], [], []
+            docs, h1, h2, bits, out = [], [], [], [], []
             for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
                 s = shingles(text, k) if doc is not None else ()
                 if len(s):
@@ -216,10 +249,11 @@ def _prefixes(k: int, num: int, den: int, level):
                     docs.append(doc)
                     h1.append(x[0])
                     h2.append(x[1])
+                    bits.append(bitmap(s))
                     out.append(prefix(s, level.value, num, den).view(np.int64))
             edge = np.cumsum([0] + [len(x) for x in out])
             lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "h1", "h2", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bits, pa.binary()), lists], ["doc_id", "h1", "h2", "bits", "shingles"])
 
     return go
 
@@ -234,7 +268,7 @@ def _contents(k: int):
     return go
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_ELEMENTS, width: int = WIDTH) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_ELEMENTS, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row, linking texts with Jaccard similarity >= num / den (above 0).
 
     Words are runs without ASCII white space, A-Z lower-cased; sets hold distinct ``k``-word shingles, a shorter
@@ -242,7 +276,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     ``component_id`` is the smallest doc_id reachable. Rows that repeat a doc_id are compared each by their own
     text. Rows without a doc_id get n_shingles, a null component and no links. Other columns are ignored;
     an empty table gives an empty one. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
-    ``width`` (a power of two): counters of the sketch that orders shingles.
+    ``width`` (a power of two): counters of the sketch that orders shingles; ``members``, ``block``: sets, and elements, up to which
+    a group is one task's.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -251,33 +286,47 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     sets = found.where("chunk is null").select("doc_id", "n", "h1", "h2")
     distinct = sets.where("doc_id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     distinct = cut(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-sets")
-    filed = arrow_pass(src, _prefixes(k, num, den, level), "doc_id long, h1 long, h2 long, shingles array<long>")
-    filed = cut(filed.join(distinct.drop("n"), ["doc_id", "h1", "h2"]).select("id", "shingles"), "filed")
+    filed = arrow_pass(src, _prefixes(k, num, den, level), "doc_id long, h1 long, h2 long, bits binary, shingles array<long>")
+    filed = cut(filed.join(distinct, ["doc_id", "h1", "h2"]).select("id", "n", "bits", "shingles").dropDuplicates(["id"]), "filed")
     rows = filed.select("id", F.explode("shingles").alias("shingle"))
     files = cut(rows.groupBy("shingle").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep <> last").select("shingle", "rep"), "files")
-    near = cut(rows.join(files, "shingle").where("id <> rep").select("rep", "id").distinct(), "candidates")
-    drop(filed, files)
+    pairs = cut(rows.join(files, "shingle").where("id <> rep").select("rep", "id").distinct(), "candidates")
+    drop(files)
+
+    def part(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        group = group.sort_by("id")
+        id_, label = group.column("id").to_numpy(), may_link(group.column("n").to_numpy(), group.column("bits").to_pylist(), num, den)
+        at = np.flatnonzero(label != np.arange(len(id_)))
+        return id_[label[at]], id_[at]
+
+    # groups that are too large for a task go on whole
+    wide = cut(pairs.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= members), "wide-groups").select("rep")
+    some = pairs.join(wide, "rep", "left_anti")
+    some = some.unionByName(some.select("rep", F.col("rep").alias("id")).distinct()).join(filed.select("id", "n", "bits"), "id")
+    near = each_group(some, ["rep"], part, "rep long, id long").unionByName(pairs.join(wide, "rep", "left_semi"))
+    near = cut(near.distinct(), "parts")
+    drop(filed, pairs)
     wanted = near.select("id").unionByName(near.select(F.col("rep").alias("id"))).distinct()
     wanted = cut(distinct.join(wanted, "id"), "wanted")
     contents = arrow_pass(src.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), _contents(k), "doc_id long, h1 long, h2 long, elements binary")
     contents = cut(contents.join(wanted, ["doc_id", "h1", "h2"]).select("id", "n", "elements").dropDuplicates(["id"]), "contents")
-    members = near.unionByName(near.select("rep", F.col("rep").alias("id")).distinct()).join(contents.select("id", "n"), "id")
-    weight = members.groupBy("rep").agg(F.sum("n").alias("total"))
+    sized = near.unionByName(near.select("rep", F.col("rep").alias("id")).distinct()).join(contents.select("id", "n"), "id")
+    weight = sized.groupBy("rep").agg(F.sum("n").alias("total"))
     large = cut(weight.where(F.col("total") > block), "large-groups")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        own = [np.frombuffer(x, np.uint64) for x in pdf["elements"]]
-        label = link_sets(own, pdf["probe"].to_numpy(bool), pdf["member"].to_numpy(bool), num, den)
-        id_ = pdf["id"].to_numpy()
+    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        group = group.sort_by("id")
+        own = [np.frombuffer(x, np.uint64) for x in group.column("elements").to_pylist()]
+        probe, member = (group.column(c).to_numpy() if c in group.column_names else np.ones(len(own), bool) for c in ("probe", "member"))
+        label = link_sets(own, probe, member, num, den)
+        id_ = group.column("id").to_numpy()
         at = np.flatnonzero(label != np.arange(len(id_)))
-        return pd.DataFrame({"a": id_[at], "b": id_[label[at]]})
+        return id_[at], id_[label[at]]
 
-    small = members.join(large, "rep", "left_anti").select("rep", "id").join(contents, "id")
-    yes = F.lit(True)
-    links = small.select("rep", "id", "elements", yes.alias("probe"), yes.alias("member")).groupBy("rep").applyInPandas(compare, "a long, b long")
+    small = sized.join(large, "rep", "left_anti").select("rep", "id").join(contents, "id")
+    links = each_group(small.select("rep", "id", "elements"), ["rep"], compare, "a long, b long")
     if large.limit(1).count():
-        links = links.unionByName(_large_groups(members.join(large, "rep"), contents, compare, num, den, block))
+        links = links.unionByName(_large_groups(sized.join(large, "rep"), contents, compare, num, den, block))
     classes = cut(connected(links), "classes")
     drop(near, contents)
     known = cut(distinct.join(classes.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "doc_id", F.coalesce("root", "id").alias("root")), "known-sets")
@@ -310,5 +359,5 @@ def _large_groups(members: DataFrame, contents: DataFrame, compare, num: int, de
     probes = open_.join(n_open, "rep").select("rep", "id", part(F.col("n_open")).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"), F.lit(True).alias("probe"), F.lit(False).alias("member"))
     others = settled.join(n_open, "rep").select("rep", "id", F.explode(F.sequence(F.lit(0), F.col("n_open") - 1)).alias("i"), part(n_all).alias("j"), F.lit(False).alias("probe"), F.lit(True).alias("member"))
     rows = probes.unionByName(others).groupBy("rep", "i", "j", "id").agg(F.max("probe").alias("probe"), F.max("member").alias("member"))
-    rest = rows.join(contents.select("id", "elements"), "id").groupBy("rep", "i", "j").applyInPandas(compare, "a long, b long")
+    rest = each_group(rows.join(contents.select("id", "elements"), "id"), ["rep", "i", "j"], compare, "a long, b long")
     return star.unionByName(rest)

@@ -106,6 +106,7 @@ def test_near_copies_against_brute_force(spark, seed):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(df) == brute(rows)
     assert got(df, block=600) == brute(rows)
+    assert got(df, block=600, members=4) == brute(rows)
 
 
 def test_pipeline_thresholds(spark):
@@ -148,6 +149,22 @@ def test_linked_sets_share_a_prefix_element_whatever_the_sketch_says():
                     assert set(nj.prefix(a, level, num, den).tolist()) & set(nj.prefix(b, level, num, den).tolist())
 
 
+def test_bitmaps_never_part_linked_sets():
+    rng = np.random.default_rng(21)
+    for num, den in ((90, 100), (80, 100), (1, 2), (1, 4)):
+        base = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2))
+        sets = []
+        for n in [*range(1, 40), *rng.integers(40, 300, 60)]:
+            s = rng.permutation(base[: n + n // 5])[:n]
+            sets.append(np.unique(np.concatenate((s, rng.integers(0, 1 << 63, n // 30).astype(np.uint64)))))
+        label = nj.may_link(np.array([len(s) for s in sets]), [nj.bitmap(s) for s in sets], num, den)
+        for i, j in combinations(range(len(sets)), 2):
+            if nj.enough(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), num, den):
+                assert label[i] == label[j]
+    strangers = [np.unique(rng.integers(0, 1 << 63, 200).astype(np.uint64)) for _ in range(50)]
+    assert nj.may_link(np.array([len(s) for s in strangers]), [nj.bitmap(s) for s in strangers], 80, 100).tolist() == list(range(50))
+
+
 def test_frequent_shingles_come_last_and_links_do_not_depend_on_the_sketch(spark):
     rng = random.Random(9)
     passage = [f"p{i}" for i in range(30)]
