@@ -180,6 +180,45 @@ def mark_terms(text: Column, terms: Column) -> Column:
     return F.when(F.size(ordered) > 0, F.regexp_replace(text, pattern, F.lit("*$0*"))).otherwise(text)
 
 
+def is_echo(name: Column, surface: Column) -> Column:
+    """Does a name only repeat the surface, apostrophes at its ends and case aside?"""
+    bare = lambda c: F.lower(F.regexp_replace(F.trim(c), "^'+|'+$", ""))
+    return bare(name) == bare(surface)
+
+
+#: numbered lines and the lines allowed beside them: fixed values
+NUMBERED = r"^\s*(\d+)[:.\s]\s*(.*\S)\s*$"
+FENCE = "```"
+
+
+def numbered(text: Column) -> Column:
+    """A reply's ``n text`` lines as a map, the last of a number winning."""
+    lines = F.filter(F.split(text, r"\R"), lambda x: x.rlike(NUMBERED))
+    number = lambda x: F.regexp_extract(x, NUMBERED, 1).cast("int")
+    last = F.filter(lines, lambda x, i: ~F.exists(F.slice(lines, i + 2, F.size(lines)), lambda y: number(y) == number(x)))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(number(x).alias("key"), F.regexp_extract(x, NUMBERED, 2).alias("value"))))
+
+
+def extraneous(text: Column) -> Column:
+    """A reply's lines that are neither numbered, blank nor a code fence."""
+    lines = F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(lines, lambda x: (x != "") & ~x.startswith(FENCE) & ~x.rlike(NUMBERED))
+
+
+def numbered_source(lines: Column) -> Column:
+    """Structs (line, text), in order of line, as ``n text`` lines."""
+    return F.array_join(F.transform(F.array_sort(lines), lambda x: F.concat(x["line"].cast("string"), F.lit(" "), x["text"])), "\n")
+
+
+def in_scene(lo: Column, hi: Column, start: Column, end: Column) -> Column:
+    return (lo <= start) & (end <= hi)
+
+
+def edge_party(node: Column, name: Column) -> Column:
+    """An end's node, or its name where it has none."""
+    return F.coalesce(F.nullif(node, F.lit("")), name)
+
+
 def grammar(line: Column, pattern: str, *names: str) -> list[Column]:
     """Named groups of one line format, empty matches as null."""
     return [F.nullif(F.regexp_extract(line, pattern, i + 1), F.lit("")).alias(n) for i, n in enumerate(names)]

@@ -111,3 +111,94 @@ def lock_toml(locks: DataFrame) -> DataFrame:
     g = locks.select("canticle", "canto", "ord", text.alias("t")).groupBy("canticle", "canto").agg(F.array_sort(F.collect_list(F.struct("ord", "t"))).alias("x"))
     head = F.concat(F.lit("canticle = "), _quoted(F.col("canticle")), F.lit("\ncanto = "), F.col("canto").cast("string"), F.lit("\n\n"))
     return g.select("canticle", "canto", F.concat(head, F.array_join(F.transform("x", lambda v: v["t"]), "\n")).alias("toml"))
+
+
+def write_files(units: DataFrame, root: str, text: str = "text", keys: tuple[str, str] = ("canticle", "canto"), suffix: str = "txt") -> None:
+    """``<root>/<canticle>/NN.<suffix>``, one whole file a row, in place of the one there; other files stay.
+
+    Spark writes a folder a unit beside ``root``; the files then take their names (as many renames as units).
+    """
+    spark = units.sparkSession
+    big, small = keys
+    draft = f"{root.rstrip('/')}.draft"
+    value = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\n$", "")
+    units.select(big, small, value.alias("value")).repartition(big, small).write.mode("overwrite").partitionBy(big, small).text(draft)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(draft).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(path(f"{draft}/{big}=*/{small}=*/part-*"))
+    for f in found:
+        folder = f.getPath().getParent()
+        unit, no = folder.getParent().getName().split("=", 1)[1], int(folder.getName().split("=", 1)[1])
+        to = path(f"{root}/{unit}/{no:02d}.{suffix}")
+        fs.mkdirs(to.getParent())
+        fs.delete(to, False)
+        if not fs.rename(f.getPath(), to):
+            raise OSError(f"cannot write {to}")
+    fs.delete(path(draft), True)
+
+
+def join_lines(rows: DataFrame, keys: list[str], line: Column, order: str = "ord", sep: str = "\n") -> DataFrame:
+    """(keys, text): the lines of each unit in order."""
+    g = rows.select(*keys, F.struct(F.col(order).alias("o"), line.alias("l")).alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return g.select(*keys, F.array_join(F.transform("x", lambda x: x["l"]), sep).alias("text"))
+
+
+def write_lines(rows: DataFrame, root: str, line: Column, order: str = "ord") -> None:
+    """A layer of plain lines (speech, relations), a file a unit."""
+    write_files(join_lines(rows, ["canticle", "canto"], line, order), root)
+
+
+def write_scene_blocks(scenes: DataFrame, rows: DataFrame, root: str, line: Column, order: str = "ord", recap: DataFrame | None = None) -> None:
+    """A layer of scene blocks: ``scenes`` (canticle, canto, s, e, name) each with the lines of its ``rows``, empty ones too.
+
+    ``recap`` (canticle, canto, recap) follows the blocks. Units of ``scenes`` are rewritten whole, in order of the lines.
+    """
+    scene = ["canticle", "canto", "s", "e"]
+    body = join_lines(rows, scene, line, order)
+    blocks = scenes.join(body, scene, "left").select(*scene, scene_block(F.col("s").cast("string"), F.col("e").cast("string"), F.col("name"), F.coalesce("text", F.lit(""))).alias("block"))
+    units = join_lines(blocks, ["canticle", "canto"], F.col("block"), order="s")
+    if recap is not None:
+        units = units.join(recap, ["canticle", "canto"], "left").withColumn("text", F.concat("text", F.when(F.coalesce("recap", F.lit("")) != "", F.concat(F.lit("\n# recap\n"), "recap", F.lit("\n"))).otherwise("")))
+    write_files(units, root)
+
+
+def restore(existing: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
+    """Finished blocks that were not made anew, and the new ones."""
+    return existing.join(made.select(*keys).distinct(), keys, "left_anti").unionByName(made, allowMissingColumns=True)
+
+
+def write_sections(rows: DataFrame, root: str, block: Column, order: str = "ord") -> None:
+    """``<root>/<canticle>.txt`` of ``## head`` sections in order (registry, topography, cohort rollup)."""
+    text = join_lines(rows, ["canticle"], block, order)
+    spark = rows.sparkSession
+    draft = f"{root.rstrip('/')}.draft"
+    text.select("canticle", F.regexp_replace("text", r"\n$", "").alias("value")).repartition("canticle").write.mode("overwrite").partitionBy("canticle").text(draft)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(draft).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(root))
+    for f in fs.globStatus(path(f"{draft}/canticle=*/part-*")):
+        to = path(f"{root}/{f.getPath().getParent().getName().split('=', 1)[1]}.txt")
+        fs.delete(to, False)
+        if not fs.rename(f.getPath(), to):
+            raise OSError(f"cannot write {to}")
+    fs.delete(path(draft), True)
+
+
+def scene_json(scenes: DataFrame) -> DataFrame:
+    """(canticle, canto, text): the scene layer's JSON from (canto_title, s, e, scene_name, summary), in order of the lines."""
+    one = F.struct(F.col("s").alias("start_line"), F.col("e").alias("end_line"), "scene_name", "summary")
+    g = scenes.groupBy("canticle", "canto").agg(F.first("canto_title").alias("canto_title"), F.array_sort(F.collect_list(one)).alias("scenes"))
+    return g.select("canticle", "canto", F.to_json(F.struct("canto_title", "scenes")).alias("text"))
+
+
+def scene_page(scenes: DataFrame) -> DataFrame:
+    """(canticle, canto, text): the scenes of a unit as a pipe table under its title."""
+    body = join_lines(scenes, ["canticle", "canto"], scene_table(), order="s")
+    title = scenes.groupBy("canticle", "canto").agg(F.first("canto_title").alias("t"))
+    head = F.concat(F.lit("# "), "t", F.lit("\n\n| lines | scene | summary |\n|-|-|-|\n"))
+    return body.join(title, ["canticle", "canto"]).select("canticle", "canto", F.concat(head, "text").alias("text"))
+
+
+def write_locks(locks: DataFrame, root: str) -> None:
+    """``<root>/<canticle>/NN.toml``."""
+    write_files(lock_toml(locks), root, text="toml", suffix="toml")
