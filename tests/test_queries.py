@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from skein.plans import layer_queries  # noqa: F401
 from skein.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
