@@ -108,18 +108,22 @@ def _collapsed(c: Column) -> Column:
 _AT = "\u0001"
 
 
-def mark_columns(line: Column) -> Column:
-    """For each mark the column of its surface in the un-marked, white-space-collapsed line.
+def mark_gaps(line: Column) -> Column:
+    """The lengths of what stands between the marks of a white-space-collapsed line, marks' surfaces counted to what follows them.
 
-    A sentinel takes each mark's place, once over the line; white space that only a supplied subject parts counts
-    once, before it.
+    The sum up to a mark is the column of its surface in the un-marked line. A sentinel takes each mark's place, once over the line;
+    white space that only a supplied subject parts counts once, before it.
     """
     s = F.regexp_replace(line, r"\[\+[^\]]*\]", _AT)
     s = F.regexp_replace(s, r"\[\+*([^\]]*)\]|\{\+*([^}]*)\}", _AT + "$1$2")
     s = F.regexp_replace(F.regexp_replace(s, r"(?U)\s+", " "), f" (?<=(?:^| ){_AT}{{1,9}} )", "")
-    lengths = F.transform(F.split(F.regexp_replace(s, "^ ", ""), _AT), F.length)
+    return F.transform(F.split(F.regexp_replace(s, "^ ", ""), _AT), F.length)
+
+
+def mark_columns(line: Column) -> Column:
+    """For each mark the column of its surface in the un-marked line; for many marks a line, sum ``mark_gaps`` in a window instead."""
     upto = lambda n: F.transform(F.sequence(F.lit(1), F.size(n) - 1), lambda i: F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    return let(lengths, lambda n: F.when(F.size(n) > 1, upto(n)).otherwise(F.array().cast("array<int>")))
+    return let(mark_gaps(line), lambda n: F.when(F.size(n) > 1, upto(n)).otherwise(F.array().cast("array<int>")))
 
 
 def strip_to_source(line: Column) -> Column:

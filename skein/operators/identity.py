@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -81,3 +81,21 @@ def bare_targets(individuals: DataFrame, label: str = "label") -> DataFrame:
     one = individuals.select(F.col(label).alias("bare")).where(~F.col("bare").contains(" ") & ~F.col("bare").isin(*V.EXCLUDE_BARE)).distinct()
     many = individuals.select(F.col(label).alias("fuller")).distinct().withColumn("bare", F.explode(F.array_distinct(F.split("fuller", " "))))
     return one.join(many, "bare").where((F.col("bare") != F.col("fuller")) & T.heads_name(F.col("bare"), F.col("fuller")))
+
+
+def registry_lists(counts: DataFrame, unit: str) -> DataFrame:
+    """(unit, ord, fold, canonical, labels, surfaces) from counts (unit, fold, label, surface, n), the most frequent node of a unit first.
+
+    Labels: the canonical one, then by count and spelling; surfaces (form, n) by count and form; nodes by count and canonical label.
+    """
+    texts = counts.groupBy("fold", "label").agg(F.sum("n").alias("n"))
+    head = canonical(texts).select("fold", "canonical")
+    per = counts.groupBy(unit, "fold", "label").agg(F.sum("n").alias("n")).join(head, "fold")
+    order = F.struct((F.col("label") != F.col("canonical")).alias("other"), (-F.col("n")).alias("m"), "label")
+    labels = per.groupBy(unit, "fold", "canonical").agg(F.array_sort(F.collect_list(order)).alias("_l"), F.sum("n").alias("total"))
+    forms = counts.groupBy(unit, "fold", F.col("surface").alias("form")).agg(F.sum("n").alias("n"))
+    forms = forms.groupBy(unit, "fold").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "form"))).alias("_s"))
+    w = Window.partitionBy(unit).orderBy(F.desc("total"), "canonical")
+    out = labels.join(forms, [unit, "fold"])
+    surfaces = F.transform("_s", lambda x: F.struct(x["form"].alias("form"), (-x["m"]).alias("n")))
+    return out.select(unit, (F.row_number().over(w) - 1).alias("ord"), "fold", "canonical", F.transform("_l", lambda x: x["label"]).alias("labels"), surfaces.alias("surfaces"))

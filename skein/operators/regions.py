@@ -47,3 +47,28 @@ def paragraphs(scenes: DataFrame, unit: list[str], place: str, order: list[str],
     k = F.row_number().over(Window.partitionBy(*unit, "island").orderBy(*cols))
     s = s.withColumn("_part", F.floor((k - 1) / longest))
     return islands(s, F.struct("island", "_part"), unit, cols, "paragraph").drop("_part", "island")
+
+
+def term_ordinals(rows: DataFrame, by: list[str], scene: list[str], order: list[str], surface: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, scenes): the places that are named, numbered ``occ`` from 0 in each unit, and each scene's first place with its numbers.
+
+    A carried setting (null surface) takes no number; a scene that names none has no row in ``scenes``.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    terms = rows.where(F.col(surface).isNotNull()).withColumn("occ", F.row_number().over(w) - 1)
+    scenes = terms.groupBy(*by, *[c for c in scene if c not in by]).agg(F.min_by(surface, "occ").alias("first_named"), F.array_sort(F.collect_list("occ")).alias("occs"))
+    return terms, scenes
+
+
+def replay(terms: DataFrame, cache: DataFrame, unit: list[str], by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(replayed, open): units all of whose terms (unit, occ, surface) the cache knows under the same surface take its region_key, others ask again.
+
+    ``open`` has ``next_no``, the number after the last one cached for ``by``.
+    """
+    c = cache.select(*unit, "occ", F.col("surface").alias("_s"), "region_key")
+    j = terms.join(c, [*unit, "occ"], "left").withColumn("_hit", F.coalesce(F.col("_s") == F.col("surface"), F.lit(False)))
+    whole = j.groupBy(*unit).agg(F.every("_hit").alias("_whole"))
+    j = j.join(whole, unit)
+    last = cache.groupBy(*by).agg((F.max(F.substring("region_key", 2, 18).cast("long")) + 1).alias("next_no"))
+    done = j.where("_whole").select(*terms.columns, "region_key")
+    return done, j.where("not _whole").select(*terms.columns).join(last, by, "left").withColumn("next_no", F.coalesce("next_no", F.lit(1).cast("long")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: what is taken where no decision was made: fixed values
@@ -39,3 +39,26 @@ def ask(rows: DataFrame, model: Callable[[dict], str | None], schema: str, attem
             yield pdf.assign(reply=replies, ok=fine)
 
     return rows.mapInPandas(run, f"{schema}, reply string, ok boolean")
+
+
+def batches(rows: DataFrame, key: str, size: int = 20, slices: int = 256) -> DataFrame:
+    """Adds ``batch``: at most ``size`` rows a batch, numbered within slices of the key's hash, so no task sees all rows."""
+    part = F.pmod(F.xxhash64(key), F.lit(slices))
+    w = Window.partitionBy("_slice").orderBy(key)
+    t = rows.withColumn("_slice", part).withColumn("_n", F.row_number().over(w) - 1)
+    return t.withColumn("batch", F.concat_ws("-", "_slice", F.floor(F.col("_n") / size).cast("string"))).drop("_slice", "_n")
+
+
+def settle(work: DataFrame, known: DataFrame, keys: list[str], value: str, ask_open: Callable[[DataFrame], DataFrame], fallback: F.Column) -> tuple[DataFrame, DataFrame]:
+    """(all rows decided, new decisions): rows the table of decisions knows are taken from it, only the others are asked.
+
+    ``ask_open`` gives (keys, value) for rows it can decide; what is still open gets the fallback, marked as not decided.
+    """
+    new = ask_open(work.join(known.select(*keys), keys, "left_anti")).select(*keys, value)
+    return decide(work, known.select(*keys, value).unionByName(new), keys, value, fallback), new
+
+
+def retries(problems: DataFrame, unit: str = "unit") -> DataFrame:
+    """(unit, prompt): what is wrong with a unit's draft, as lines to answer to."""
+    line = F.concat(F.lit("- "), "code", F.when(F.col("detail") != "", F.concat(F.lit(": "), "detail")).otherwise(""))
+    return problems.groupBy(unit).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("prompt"))

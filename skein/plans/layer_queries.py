@@ -13,8 +13,11 @@ from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import checks as C
 from ..operators import graph as G
+from ..operators import identity as I
 from ..operators import lock as L
+from ..operators import regions as R
 from ..operators import scene as S
+from ..sources import sinks as SK
 from .queries import fold_sql, lst, query, table
 
 _ITEMS_SQL = (
@@ -378,3 +381,53 @@ def ordered_cast(spark, sf_dir):
     """Distinct rows of a unit in order of first appearance."""
     g = items(spark, sf_dir).groupBy("scene").agg(S.ordered_distinct(F.col("no"), (F.col("part") % 5).cast("int").alias("p"), F.col("status")).alias("x"))
     return g.select("scene", F.array_join(F.transform("x", lambda x: F.concat_ws(":", x["p"].cast("string"), x["status"])), ";").alias("cast_list"))
+
+
+@query(
+    f"WITH n AS (SELECT p_type AS unit, {fold_sql('p_name')} AS fold, p_name AS label, p_brand AS surface, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT p_type, {fold_sql('p_name')}, upper(p_name), p_brand, 1 FROM part WHERE p_size = 7), "
+    "t AS (SELECT fold, label, sum(n) AS n FROM n GROUP BY ALL), h AS (SELECT fold, arg_max(label, {'n': n, 't': label}) AS canonical FROM t GROUP BY fold), "
+    "l AS (SELECT unit, n.fold, canonical, label, sum(n) AS n FROM n JOIN h USING (fold) GROUP BY ALL), "
+    "a AS (SELECT unit, fold, canonical, string_agg(label, '|' ORDER BY label <> canonical, n DESC, label) AS labels, sum(n) AS total FROM l GROUP BY ALL), "
+    "f AS (SELECT unit, fold, string_agg(surface || ' (' || n || ')', ', ' ORDER BY n DESC, surface) AS surfaces FROM (SELECT unit, fold, surface, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY ALL) GROUP BY ALL) "
+    "SELECT unit, CAST(row_number() OVER (PARTITION BY unit ORDER BY total DESC, canonical) - 1 AS INTEGER) AS ord, fold, canonical, labels, surfaces FROM a JOIN f USING (unit, fold)"
+)
+def registry_lists(spark, sf_dir):
+    """Nodes, labels and surfaces in the registry's order."""
+    p = table(spark, sf_dir, "part").select(F.col("p_type").alias("unit"), "p_name", F.col("p_brand").alias("surface"), "p_size")
+    both = p.select("unit", "surface", F.explode(F.when(F.col("p_size") == 7, F.array("p_name", F.upper("p_name"))).otherwise(F.array("p_name"))).alias("label"), T.fold_key(F.col("p_name")).alias("fold"))
+    counts = both.groupBy("unit", "fold", "label", "surface").agg(F.count(F.lit(1)).alias("n"))
+    got = I.registry_lists(counts, "unit")
+    return got.select("unit", "ord", "fold", "canonical", F.array_join("labels", "|").alias("labels"), SK.counted(F.col("surfaces")).alias("surfaces"))
+
+
+_TERMS_SQL = "WITH t AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS occ FROM events WHERE event_type <> 'error')"
+
+
+def _terms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 5).alias("scene"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("surface"))
+    return R.term_ordinals(e, ["user_id"], ["scene"], ["event_id"], "surface")
+
+
+@query(_TERMS_SQL + " SELECT user_id, event_id % 5 AS scene, arg_min(event_type, occ) AS first_named, string_agg(CAST(occ AS VARCHAR), ',' ORDER BY occ) AS occs FROM t GROUP BY ALL")
+def term_ordinals(spark, sf_dir):
+    """Named places numbered along a journey, with each scene's first."""
+    return _terms(spark, sf_dir)[1].withColumn("occs", F.array_join(F.transform("occs", lambda x: x.cast("string")), ","))
+
+
+@query(
+    _TERMS_SQL + ", c AS (SELECT user_id, occ, CASE WHEN event_id % 211 = 0 THEN 'other' ELSE event_type END AS s, 'r' || (occ % 7) AS k FROM t WHERE occ % 100 <> 57), "
+    "j AS (SELECT t.*, c.k, coalesce(c.s = t.event_type, false) AS hit FROM t LEFT JOIN c ON c.user_id = t.user_id AND c.occ = t.occ), w AS (SELECT user_id, bool_and(hit) AS whole FROM j GROUP BY user_id) "
+    "SELECT user_id, CAST(occ AS INTEGER) AS occ, CASE WHEN whole THEN k END AS region_key FROM j JOIN w USING (user_id)"
+)
+def walk_replay(spark, sf_dir):
+    """A unit's cached walk counts only whole."""
+    terms = _terms(spark, sf_dir)[0].select("user_id", "event_id", "occ", "surface")
+    cache = terms.where("occ % 100 <> 57").select("user_id", "occ", F.when(F.col("event_id") % 211 == 0, "other").otherwise(F.col("surface")).alias("surface"), F.concat(F.lit("r"), (F.col("occ") % 7).cast("string")).alias("region_key"))
+    done, open_ = R.replay(terms, cache, ["user_id"], ["user_id"])
+    return done.select("user_id", "occ", "region_key").unionByName(open_.select("user_id", "occ", F.lit(None).cast("string").alias("region_key")))
+
+
+@query(f"WITH {_ITEMS_SQL}, n AS (SELECT scene, count(DISTINCT part % 9) AS n FROM items GROUP BY scene) SELECT scene, n FROM n ORDER BY n DESC, scene LIMIT 5")
+def largest_pools(spark, sf_dir):
+    """The five scenes of most candidates."""
+    return items(spark, sf_dir).groupBy("scene").agg(F.count_distinct(F.col("part") % 9).alias("n")).orderBy(F.desc("n"), "scene").limit(5)

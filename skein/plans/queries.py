@@ -102,9 +102,10 @@ def label_stats(spark, sf_dir):
 def label_top(spark, sf_dir):
     """The 15 most frequent labels with the scenes and units they occur in."""
     t = doc_tokens(spark, sf_dir)
-    # per document first: the distinct counts then run over far fewer rows
-    d = t.groupBy("tok", "doc_id", "source").agg(F.count(F.lit(1)).alias("n"))
-    return d.groupBy("tok").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("source").alias("n_sources")).orderBy(F.desc("n"), "tok").limit(15)
+    top = t.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tok").limit(15)
+    # only 15 labels' rows reach the distinct counts
+    d = t.join(F.broadcast(top), "tok").groupBy("tok", "n", "doc_id", "source").agg(F.lit(1).alias("one"))
+    return d.groupBy("tok", "n").agg(F.count_distinct("doc_id").alias("n_docs"), F.count_distinct("source").alias("n_sources")).orderBy(F.desc("n"), "tok")
 
 
 @query(f"WITH {COUNTS_SQL} SELECT * FROM (SELECT fold, arg_max(tok, {{'n': n, 't': tok}}) AS canonical, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY fold) WHERE total >= 2 AND NOT regexp_matches(canonical, '^\\p{{Lu}}[\\p{{L}}\\p{{N}}_'']*$') AND NOT regexp_matches(canonical, '^[^''\\p{{Lu}}]*\\p{{Ll}}[^''\\p{{Lu}}]*''\\p{{Lu}}[\\p{{L}}\\p{{N}}_'']*$')")
@@ -222,10 +223,12 @@ CAST(length(regexp_replace(regexp_replace(array_to_string(list_transform(generat
 )
 def mark_number(spark, sf_dir):
     """Marks numbered in reading order with kind, surface and source column."""
-    m = marked_lines(spark, sf_dir).select("doc_id", "no", T.marks(F.col("m")).alias("k"), T.mark_columns(F.col("m")).alias("c"))
-    e = m.select("doc_id", "no", F.posexplode(F.arrays_zip("k", "c")).alias("pos", "x"))
+    m = marked_lines(spark, sf_dir).select("doc_id", "no", T.marks(F.col("m")).alias("k"), T.mark_gaps(F.col("m")).alias("g"))
+    e = m.select("doc_id", "no", F.posexplode(F.arrays_zip("k", F.slice("g", F.lit(1), F.size("k")).alias("g"))).alias("pos", "x"))
+    # both windows read one sort by document, line and place
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("no", "pos"))
-    return e.select("doc_id", F.col("no").alias("line"), n.alias("tag_no"), T.mark_kind(F.col("x.k")).alias("kind"), T.mark_surface(F.col("x.k")).alias("surface"), F.col("x.c").alias("col"))
+    col = F.sum("x.g").over(Window.partitionBy("doc_id", "no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return e.select("doc_id", F.col("no").alias("line"), n.alias("tag_no"), T.mark_kind(F.col("x.k")).alias("kind"), T.mark_surface(F.col("x.k")).alias("surface"), col.alias("col"))
 
 
 @query(

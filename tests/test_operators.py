@@ -121,3 +121,42 @@ def test_checks_and_oracle(spark):
     assert {(r.k, r.pick, r.decided) for r in oracle.decide(rows, made, ["k"], "pick", F.col("first")).collect()} == {(1, "x", True), (2, "b", False)}
     got = oracle.ask(rows, lambda r: "ok" if r["k"] == 1 else "", "k int, first string").collect()
     assert {(r.k, r.reply, r.ok) for r in got} == {(1, "ok", True), (2, "", False)}
+
+
+def test_batches_and_settling(spark):
+    from skein import oracle
+
+    rows = spark.range(95).select(F.concat(F.lit("k"), "id").alias("k"))
+    sizes = [r.n for r in oracle.batches(rows, "k", 20, 4).groupBy("batch").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 95 and max(sizes) <= 20
+    known = spark.createDataFrame([("k1", "a"), ("k2", "b")], "k string, v string")
+    asked = []
+
+    def ask(open_):
+        asked.extend(r.k for r in open_.collect())
+        return open_.where("k like 'k9%'").select("k", F.lit("c").alias("v"))
+
+    out, new = oracle.settle(rows, known, ["k"], "v", ask, F.lit("(none)"))
+    got = {r.k: (r.v, r.decided) for r in out.collect()}
+    assert got["k1"] == ("a", True) and got["k93"] == ("c", True) and got["k3"] == ("(none)", False)
+    assert len(asked) == 93 and "k1" not in asked and new.count() == 6
+    p = spark.createDataFrame([("1", "empty", ""), ("1", "bad", "x")], "unit string, code string, detail string")
+    assert oracle.retries(p).first().prompt == "- bad: x\n- empty"
+
+
+def test_graph_speech_and_recurring(spark):
+    from skein.operators import graph
+
+    spans = spark.createDataFrame([("q1", "Renzo"), ("q2", "(unattributed)"), ("q3", "Nobody")], "quote_id string, speaker string")
+    said, problems = graph.speech_edges(spans, spark.createDataFrame([("Renzo",)], "canonical string"))
+    assert {r.quote_id for r in said.collect()} == {"q1", "q3"} and [r.unit for r in problems.collect()] == ["q3"]
+    regions = spark.createDataFrame([(1, "a", 1), (1, "a", 3), (1, "b", 2)], "u int, k string, i int")
+    assert [(r.k, r.n_islands) for r in graph.recurring(regions, ["u"], "k", "i").collect()] == [("a", 2)]
+
+
+def test_finished_blocks_stay(spark):
+    from skein.sources import sinks
+
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, t string")
+    assert sorted(tuple(r) for r in sinks.restore(old, new, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
