@@ -83,12 +83,12 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .toxicity import fit, score
+    from .toxicity import fit, score_bags
 
     docs = _table(spark, sf_dir, "documents")
-    index = fit(docs, _table(spark, sf_dir, "labels").where(_bucket(5) != 0), docs)
+    index, read = fit(docs, _table(spark, sf_dir, "labels").where(_bucket(5) != 0), docs)
     held = F.coalesce(_bucket(5) == 0, F.lit(False))
-    return score(docs, index).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.transform("evidence", lambda e: e["doc_id"]).alias("nearest"))
+    return score_bags(read, index).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.transform("evidence", lambda e: e["doc_id"]).alias("nearest"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

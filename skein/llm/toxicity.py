@@ -91,21 +91,12 @@ class Index:
     mixed: tuple[float, float] = (1.0, 1.0)
     both: tuple[np.ndarray, np.ndarray] | None = None
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Term numbers and counts of a text's words, in order of term, and the counts of words that no example has."""
-        n = Counter(WORD.findall((text or "").lower()))
-        t = np.fromiter(map(self.terms.get, n, repeat(-1)), np.int64, len(n))
-        tf = np.fromiter(n.values(), np.float64, len(n))
-        known = t >= 0
-        other = tf[~known]
-        t, tf = t[known], tf[known]
-        order = np.argsort(t)
-        return t[order], tf[order], other
-
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights; words in no example add to the length (as words of one document) only."""
-        t, tf, other = self.counts(text)
-        return self.unit(t, tf, float((((1 + np.log(other)) * self.rare) ** 2).sum()))
+        return self.of_bag(*bag(text, self.terms))
+
+    def of_bag(self, t: np.ndarray, tf: np.ndarray, other: float) -> tuple[np.ndarray, np.ndarray]:
+        return self.unit(t, tf, other * self.rare * self.rare)
 
     def unit(self, t: np.ndarray, tf: np.ndarray, more: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """The vector of terms, in their order, of length 1 together with the square ``more``."""
@@ -250,14 +241,13 @@ class Index:
         self.mixed = (max(0.0, float(c[0])), max(0.0, float(c[1])))
         self.both = isotonic(self.mixed[0] * x[:, 0] + self.mixed[1] * x[:, 1], self.toxic, self.weight)
 
-    def score(self, texts: list[str | None], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Of each text: score, nearest examples, their cosines."""
-        found = [self.counts(x) for x in texts]
-        near = self.nearest([self.unit(t, tf, float((((1 + np.log(other)) * self.rare) ** 2).sum())) for t, tf, other in found], k)
+    def score(self, bags: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text's bag: score, nearest examples, their cosines."""
+        near = self.nearest([self.of_bag(*x) for x in bags], k)
         out = [self.level(*x) for x in near]
         if self.marks is not None and self.both is not None:
             few = []
-            for t, tf, _ in found:
+            for t, tf, _ in bags:
                 m = self.marking[t]
                 few.append(self.marks.unit(m[m >= 0], tf[m >= 0]))
             some = [i for i, (t, _) in enumerate(few) if len(t)]
@@ -272,6 +262,45 @@ class Index:
         return [(min(1.0, max(0.0, p)), *x) for p, x in zip(out, near, strict=True)]
 
 
+def bag(text: str | None, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Term numbers and counts of a text's words, in order of term, and the sum of (1 + log count) squared of the words that no example has."""
+    n = Counter(WORD.findall((text or "").lower()))
+    t = np.fromiter(map(terms.get, n, repeat(-1)), np.int64, len(n))
+    tf = np.fromiter(n.values(), np.float64, len(n))
+    known = t >= 0
+    other = float(((1 + np.log(tf[~known])) ** 2).sum())
+    t, tf = t[known], tf[known]
+    order = np.argsort(t)
+    return t[order], tf[order], other
+
+
+def pack(t: np.ndarray, tf: np.ndarray) -> tuple[bytes, bytes]:
+    """Steps between term numbers, and counts in 16 bits, or 32 where one needs them."""
+    return np.diff(t, prepend=0).astype("<i4").tobytes(), tf.astype("<u2" if not len(tf) or tf.max() < 1 << 16 else "<u4").tobytes()
+
+
+def unpack(t: bytes, tf: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(t, "<i4")), np.frombuffer(tf, "<u2" if 2 * len(tf) == len(t) else "<u4").astype(np.float64)
+
+
+def bags(docs: DataFrame, terms) -> DataFrame:
+    """(doc_id, t, tf, other) of every text; ``terms`` is a broadcast of term numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = terms.value
+        for b in batches:
+            ts, tfs, others = [], [], []
+            for text in b.column(1).to_pylist():
+                t, tf, other = bag(text, number)
+                t, tf = pack(t, tf)
+                ts.append(t)
+                tfs.append(tf)
+                others.append(other)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ts, pa.binary()), pa.array(tfs, pa.binary()), pa.array(others, pa.float64())], ["doc_id", "t", "tf", "other"])
+
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, t binary, tf binary, other double")
+
+
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keys = []
@@ -281,8 +310,8 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["doc_id", "toxic", "text", "family"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> Index:
-    """Learn from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text); term statistics come from all of ``corpus``.
+def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> tuple[Index, DataFrame]:
+    """(index, bags of ``corpus``): learn from ``labels`` (doc_id, toxic) of ``docs`` (doc_id, text); term statistics come from all of ``corpus``.
 
     The driver gets at most ``max_toxic`` + ``max_clean`` sparse vectors and their words; at most
     ``max_terms`` words take part in the second vote, all in the first. A doc_id with
@@ -298,11 +327,13 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     # the sample's size is bounded by parameters
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     rows = arrow_pass(rows, _families, "doc_id long, toxic int, text string, family long")
-    rows = cut(rows.groupBy("toxic", F.coalesce("family", F.xxhash64("doc_id")).alias("family")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("d")).select("toxic", "d.doc_id", "d.text"), "examples")
+    rows = rows.groupBy("toxic", F.coalesce("family", F.xxhash64("doc_id")).alias("family")).agg(F.min(F.struct("doc_id", "text")).alias("d")).select("toxic", "d.*")
+    # of rows that repeat a doc_id the first text is the example
+    rows = cut(rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("d")).select("doc_id", "d.*"), "examples")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
-        return Index({}, np.empty(0), float(prior), knots=np.array([0.0, 1.0]), levels=np.array([prior, prior]))
+        return Index({}, np.empty(0), float(prior), knots=np.array([0.0, 1.0]), levels=np.array([prior, prior])), bags(corpus, spark.sparkContext.broadcast({}))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
@@ -315,7 +346,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     found = arrow_pass(rows.select("toxic", "text"), words, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
     words_, a, b = found.column("term").to_pylist(), found.column("a").to_numpy(), found.column("b").to_numpy()
     if not words_:
-        return Index({}, np.empty(0), float(prior), levels=np.array([prior, prior]))
+        return Index({}, np.empty(0), float(prior), levels=np.array([prior, prior])), bags(corpus, spark.sparkContext.broadcast({}))
     terms = {t: i for i, t in enumerate(sorted(words_))}
     need = MIN_LLR / (2 * math.log((n1 + n0) / n1))  # a term seen in toxic examples only needs so many
     often = np.flatnonzero((a / n1 > MIN_LIFT * (b / n0)) & (a >= math.ceil(need)))
@@ -324,44 +355,37 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     del found, words_, a, b, often, ranked
     shared = spark.sparkContext.broadcast(terms)
 
+    # every text's words are read once, for the frequencies and for its score
+    read = cut(bags(corpus, shared), "bags")
+
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        n, docs_seen = np.zeros(len(number), np.int64), 0
+        n, docs_seen = np.zeros(len(shared.value), np.int64), 0
         for b in batches:
             docs_seen += len(b)
-            for text in b.column(0).to_pylist():
-                if text:
-                    found = set(WORD.findall(text.lower()))
-                    t = np.fromiter(map(number.get, found, repeat(-1)), np.int64, len(found))
-                    n[t[t >= 0]] += 1
+            t = [np.cumsum(np.frombuffer(x, "<i4")) for x in b.column(0).to_pylist()]
+            if t:
+                n += np.bincount(np.concatenate(t), minlength=len(n))
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([-1], at)), pa.int32()), pa.array(np.concatenate(([docs_seen], n[at])))], ["t", "n"])
 
-    counts = arrow_pass(corpus.select("text"), frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    counts = arrow_pass(read.select("t"), frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(terms) + 1, np.int64)
     seen[counts.column("t").to_numpy()] = counts.column("n").to_numpy()
     n_docs = int(seen[-1])
     idf = np.log((1 + n_docs) / (1 + seen[:-1])) + 1
     index = Index(terms, idf, float(prior), rare=math.log((1 + n_docs) / 2) + 1)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        for b in batches:
-            found = [Counter(map(number.__getitem__, WORD.findall((x or "").lower()))) for x in b.column(2).to_pylist()]
-            pack = lambda x: np.fromiter(x, "<i4", len(x)).tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(x.keys()) for x in found], pa.binary()), pa.array([pack(x.values()) for x in found], pa.binary())], ["doc_id", "toxic", "t", "tf"])
-
-    got = arrow_pass(rows.select("doc_id", "toxic", "text"), vectors, "doc_id long, toxic int, t binary, tf binary").toArrow().sort_by("doc_id")
+    got = bags(rows, shared).join(rows.select("doc_id", "toxic"), "doc_id").toArrow().sort_by("doc_id")
     index.doc_ids = got.column("doc_id").to_pylist()
     index.toxic = got.column("toxic").to_numpy().astype(float)
     share = np.array([total.get(0, 0) / n0, total.get(1, 0) / n1])
     index.weight = share[index.toxic.astype(int)]
-    t, tf = (np.frombuffer(b"".join(x for part in got.column(c).chunks for x in part.to_pylist()), "<i4") for c in ("t", "tf"))
-    edge = np.cumsum([0] + [len(x.as_py()) // 4 for x in got.column("t")])
+    found = [unpack(x, y) for x, y in zip(got.column("t").to_pylist(), got.column("tf").to_pylist(), strict=True)]
     del got
-    order = np.lexsort((t, np.repeat(np.arange(len(edge) - 1), np.diff(edge))))
-    t, tf = t[order], tf[order]
-    del order
+    edge = np.cumsum([0] + [len(x) for x, _ in found])
+    t = np.concatenate([x for x, _ in found]).astype(np.int32)
+    tf = np.concatenate([x for _, x in found]).astype("<i4")
+    del found
     index.build([index.unit(t[i:j], tf[i:j].astype(np.float64)) for i, j in zip(edge[:-1], edge[1:], strict=True)], tf)
     known_vectors = [(index.term[i:j], index.full[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
     own = index.calibrate(known_vectors, k)
@@ -377,23 +401,31 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
         marks.build(few)
         index.join(own, marks.calibrate(few, k))
         index.marks, index.marking = marks, number
-    return index
+    return index, read
 
 
 def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
+    """(doc_id, score, evidence) of any texts (doc_id, text); those of the corpus that was learned from have their bags already."""
+    return score_bags(bags(docs, docs.sparkSession.sparkContext.broadcast(index.terms)), index, k)
+
+
+def score_bags(read: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence): ``evidence`` lists up to five nearest examples with cosine and label.
 
     Null and empty texts, and texts without a word of any example, have no neighbour and get the calibrated prior.
     Repeated rows are scored each; other columns are ignored; an empty table gives an empty one.
     """
-    broad = docs.sparkSession.sparkContext.broadcast(index)
+    broad = read.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = broad.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for b in batches:
-            got = [x for at in range(0, len(b), 512) for x in ix.score(b.column(1)[at : at + 512].to_pylist(), k)]
+            got = []
+            for at in range(0, len(b), 512):
+                some = b.slice(at, 512)
+                got += ix.score([(*unpack(t, tf), other) for t, tf, other in zip(*(some.column(i).to_pylist() for i in (1, 2, 3)), strict=True)], k)
             proof = [[{"doc_id": ix.doc_ids[i], "cosine": float(s), "toxic": int(ix.toxic[i])} for i, s in zip(ids[:5].tolist(), sims[:5], strict=True)] for _, ids, sims in got]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.float64()), pa.array(proof, kind)], ["doc_id", "score", "evidence"])
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return arrow_pass(read, run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")

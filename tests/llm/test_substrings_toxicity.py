@@ -188,13 +188,13 @@ def test_calibration_is_monotone():
 def test_odd_rows_are_scored(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (None, 1), (4, None)], "doc_id long, toxic int")
     train = spark.createDataFrame([(i, ("foul vile words here " if i % 2 else "kind calm words here ") + " ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + j) for j in range(60))) for i in range(40)], "doc_id long, text string")
-    ix = toxicity.fit(train, labels, train)
+    ix, _ = toxicity.fit(train, labels, train)
     got = {r.doc_id: r for r in toxicity.score(train.unionByName(spark.createDataFrame([(99, None), (98, "")], train.schema)), ix).collect()}
     assert got[1].score > 0.9 and got[2].score < 0.1 and 0 <= got[99].score < 0.5 and got[98].score == got[99].score
     assert got[1].evidence[0]["toxic"] == 1
     rest = toxicity.score(odd_docs, ix).collect()
     assert len(rest) == odd_docs.count() and all(0 <= r.score <= 1 for r in rest)
-    assert toxicity.score(no_docs, toxicity.fit(no_docs, labels.limit(0), no_docs)).count() == 0
+    assert toxicity.score(no_docs, toxicity.fit(no_docs, labels.limit(0), no_docs)[0]).count() == 0
 
 
 def test_held_out(spark):
@@ -213,10 +213,13 @@ def test_all_words_count(spark):
     texts = [" ".join(rng.choice(words) for _ in range(80)) + " the same end" for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 6)) for i in range(60)], "doc_id long, toxic int")
-    ix = toxicity.fit(docs, labels, docs)
+    ix, read = toxicity.fit(docs, labels, docs)
     sent = pickle.loads(pickle.dumps(ix))
-    assert sent.terms == ix.terms and sent.score([texts[5]], 15)[0][0] == ix.score([texts[5]], 15)[0][0]
+    assert sent.terms == ix.terms and sent.score([toxicity.bag(texts[5], sent.terms)], 15)[0][0] == ix.score([toxicity.bag(texts[5], ix.terms)], 15)[0][0]
     assert (sent.packed == ix.packed).all() and np.allclose(sent.full, ix.full, rtol=1e-12) and (sent.tf == ix.tf).all()
+    assert sorted(toxicity.score_bags(read, ix).select("doc_id", "score").collect()) == sorted(toxicity.score(docs, ix).select("doc_id", "score").collect())
+    t, tf = np.array([0, 3, 9]), np.array([1.0, 70000.0, 2.0])
+    assert all((x == y).all() for x, y in zip(toxicity.unpack(*toxicity.pack(t, tf)), (t, tf), strict=True))
     part = " ".join(texts[2].split()[:40] + texts[30].split()[:20])
     asked = spark.createDataFrame([(100, texts[3]), (101, texts[20]), (102, part)], docs.schema)
     got = {r.doc_id: r for r in toxicity.score(asked, ix).collect()}
