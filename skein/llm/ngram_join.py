@@ -52,9 +52,11 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """A counter's place in the global order: 0 up to twice the mean count, then one more for each doubling."""
-    many = counts / max(1.0, 2.0 * counts.mean())
-    return np.where(many > 1, np.floor(np.log2(np.maximum(many, 1))) + 1, 0).astype(np.uint8)
+    """A counter's place in the global order: 0 up to what chance puts into one (the median and three deviations), then one more for each doubling of the excess."""
+    base = float(np.median(counts))
+    unit = max(1.0, base**0.5)
+    many = (counts - base - 3 * unit) / unit
+    return np.where(many > 0, np.floor(np.log2(np.maximum(many, 1))) + 1, 0).astype(np.uint8)
 
 
 def prefix(s: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
