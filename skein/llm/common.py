@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,11 +85,27 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], share: int =
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches bounded by bytes, since one text may be very long."""
+    """``mapInArrow`` over batches bounded by bytes, since one text may be very long.
+
+    Workers are used again by the next stage, so a pass gives back at its end the memory that its allocators hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(8 << 20):
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def each_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], schema: str) -> DataFrame:

@@ -52,15 +52,16 @@ def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
-def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected(links: DataFrame, a: str = "a", b: str = "b", shrink: bool = True) -> DataFrame:
     """(node, root) for every node with a link; ``root`` is the smallest node it reaches.
 
-    Each task first shrinks its links to a forest; then every round ties each node's larger neighbours, and
+    Each task first shrinks its links to a forest (without ``shrink`` they are taken as they are); then every round ties each node's larger neighbours, and
     then its smaller ones, to the smallest, until nothing changes (a number of rounds logarithmic in the
     longest path in practice). Only minima are aggregated and joins are left for Spark to split where a node
     is hot, so a star of any size needs no single task.
     """
-    now = cut(arrow_pass(links.select(F.col(a).cast("long"), F.col(b).cast("long")), _shrink, "u long, v long").distinct(), "links")
+    now = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
+    now = cut((arrow_pass(now, _shrink, "u long, v long") if shrink else now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")).distinct(), "links")
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()

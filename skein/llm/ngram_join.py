@@ -329,7 +329,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     links = each_group(small.select("rep", "id", "elements"), ["rep"], compare, "a long, b long")
     if large.limit(1).count():
         links = links.unionByName(_large_groups(sized.join(large, "rep"), contents, compare, num, den, block))
-    classes = cut(connected(links), "classes")
+    classes = cut(connected(links, shrink=False), "classes")  # each group's links are a forest already
     drop(near, contents)
     known = cut(distinct.join(classes.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "doc_id", F.coalesce("root", "id").alias("root")), "known-sets")
     least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))

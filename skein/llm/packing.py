@@ -28,6 +28,7 @@ from .tokens import bpe, default_paths
 WINDOW = 2048
 END_ID = 1
 LONG = 32
+WORDS = 150_000  # kept by the coder
 PENALTY = {"document": 0, "sentence": 2, "inside": 10}
 _BLOCK = 1 << 20
 
@@ -135,7 +136,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
         vocab, ranks = default_paths()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(vocab, ranks)
+        coder = bpe(vocab, ranks, WORDS)
         packer = Packer(coder.ends, window, TaskContext.get().partitionId())
         end = np.array([END_ID], "<u4")
         held: list[tuple] = []

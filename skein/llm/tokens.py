@@ -35,12 +35,12 @@ class ByteBpe(dict):
     that spells a special token goes through the vocabulary's own library, which gives it that token's id.
     """
 
-    def __init__(self, vocab: str, ranks: str):
+    def __init__(self, vocab: str, ranks: str, keep: int = _CACHE):
         import tiktoken
         from public_tokenizers import PATTERN
 
         super().__init__()
-        self.vocab = vocab
+        self.vocab, self.keep = vocab, keep
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("byte", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -56,7 +56,7 @@ class ByteBpe(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self._raw(" " + word)
         if len(word) <= _KEEP:
-            if len(self) >= _CACHE:
+            if len(self) >= self.keep:
                 self.clear()
             self[word] = ids
         return ids
@@ -73,5 +73,6 @@ class ByteBpe(dict):
 
 
 @lru_cache(4)
-def bpe(vocab: str, ranks: str) -> ByteBpe:
-    return ByteBpe(vocab, ranks)
+def bpe(vocab: str, ranks: str, keep: int = _CACHE) -> ByteBpe:
+    """``keep``: words whose ids are kept, about 150 bytes each."""
+    return ByteBpe(vocab, ranks, keep)
