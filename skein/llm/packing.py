@@ -28,7 +28,7 @@ from .tokens import bpe, default_paths
 WINDOW = 2048
 END_ID = 1
 LONG = 32
-WORDS = 150_000  # kept by the coder
+WORDS = 300_000  # kept by the coder
 PENALTY = {"document": 0, "sentence": 2, "inside": 10}
 _BLOCK = 1 << 20
 
