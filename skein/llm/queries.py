@@ -91,6 +91,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_bags(read, index).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), F.transform("evidence", lambda e: e["doc_id"]).alias("nearest"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sanitise import find
+
+    got = find(_table(spark, sf_dir, "documents"))
+    base = F.array_join(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return got.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import group, noisy_words
+
+    return group(noisy_words(_table(spark, sf_dir, "documents")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved by one, so that some neighbours are wrong on purpose."""
+    from .hard_negatives import mine
+
+    v = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(v.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -116,5 +141,67 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT)
 FROM flagged GROUP BY doc_id
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_sentencepiece, op4_token_store, op5_langid, op6_substring_dedup, op7_line_dedup, op8_embed_dedup, op9_ann, op10_toxicity, pipeline)}
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL}
+def _crc_table() -> list[int]:
+    """The 256 remainders of the CRC-32 of IEEE 802.3, from its polynomial."""
+    out = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        out.append(i)
+    return out
+
+
+_RUNS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00c0-\u00ff]+')"
+#: bytes of '<doc_id>:<run>' as pairs of hexadecimal digits
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest({_RUNS}) AS run FROM documents
+), r AS MATERIALIZED (
+  SELECT id, run, count(*) AS n FROM d GROUP BY ALL
+), x AS (
+  SELECT run, n, hex(encode(id || ':' || run)) AS hx FROM r
+), c AS (
+  SELECT run, n, xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(1, length(hx), 2), lambda i: CAST('0x' || hx[i:i + 1] AS UBIGINT))),
+    lambda a, b: xor(a >> 8, CAST({_crc_table()}[CAST(xor(a & 255, b) AS BIGINT) + 1] AS UBIGINT))), CAST(4294967295 AS UBIGINT)) AS h FROM x
+), f AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:CAST(h % length(run) AS BIGINT)] || run[CAST(h % length(run) AS BIGINT) + 2:] ELSE run END AS word, n FROM c
+), w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM f WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), k AS MATERIALIZED (
+  SELECT word, i, word[:i - 1] || word[i + 1:] AS less FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS (
+  SELECT a.word, b.word AS near FROM k a JOIN k b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, w.word FROM k JOIN w ON w.word = k.less
+  UNION SELECT w.word, k.word FROM k JOIN w ON w.word = k.less
+), b AS (
+  SELECT near.word, count(*) AS n_near, arg_min(near, {{'a': -o.n, 'b': near}}) AS form, max(o.n) AS form_n FROM near JOIN w o ON o.word = near GROUP BY near.word
+), g AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * w.n THEN form END AS form, CASE WHEN form_n >= 2 * w.n THEN form_n END AS form_n
+  FROM w LEFT JOIN b ON b.word = w.word
+), walk AS (
+  SELECT word, word AS at FROM g UNION ALL SELECT walk.word, g.form FROM walk JOIN g ON g.word = walk.at WHERE g.form IS NOT NULL
+)
+SELECT g.word, g.form, walk.at AS root, g.n, g.n_near, g.form_n FROM g JOIN walk ON walk.word = g.word JOIN g e ON e.word = walk.at WHERE e.form IS NULL
+"""
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_sentencepiece, op4_token_store, op5_langid, op6_substring_dedup, op7_line_dedup, op8_embed_dedup, op9_ann, op10_toxicity, op11_pii, op12_variants, op13_hard_negatives, pipeline)}
+ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op12_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
