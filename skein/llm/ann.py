@@ -29,7 +29,7 @@ from .vectors import blobs, directions, keys, matrices, rows
 TOP = 20
 NEIGHBOURS, REVERSE, BEST = 40, 32, 6
 TREES, LEAF, SAMPLE = 4, 512, 20_000
-ROUNDS, STEPS, WIDTH, HELD, RESCORE = 4, 7, 32, 256, 64
+ROUNDS, WIDTH, HELD, RESCORE = 4, 32, 256, 64
 ENTRIES = 1024
 #: vectors shorter than 2 ** -LAST_BAND of the longest are one band and walk as if of that length (floats end there); scores are exact
 LAST_BAND = 100.0
@@ -335,10 +335,9 @@ def _search(queries: DataFrame, graph: DataFrame, eight: DataFrame, sizes: dict[
                 open_.append(not seen.all())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *_lists(out_i, out_s), pa.array(flags, pa.binary()), pa.array(open_, pa.bool_())], ["node", "band", "q", "ids", "sims", "done", "open"])
 
-    for _ in range(STEPS + 1):
-        if not state.where("open").limit(1).count():
-            break
-        steps = arrow_pass(state, frontier, "query long, band int, q binary, node long").join(near, "node").select("query", "band", "q", "near")
+    # a walk ends: a vector is expanded once, and one that falls out of a list of ever better ones does not come back
+    while state.where("open").limit(1).count():
+        steps = arrow_pass(state.where("open"), frontier, "query long, band int, q binary, node long").join(near, "node").select("query", "band", "q", "near")
         found = arrow_pass(steps, look, "node long, band int, ids binary, sims binary").groupBy("node", "band").agg(F.collect_list(F.struct("ids", "sims")).alias("parts"))
         state = cut(arrow_pass(state.join(found, ["node", "band"], "left").select("node", "band", "q", "ids", "sims", "done", "parts"), advance, schema), "search")
     near.unpersist()
@@ -350,7 +349,8 @@ def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, id_col: str =
 
     Nearness is the inner product in double precision; equal scores go to the smaller vec_id. Vectors that are
     null, empty, zero, hold a null or non-finite component, or have no id take no part. Vectors are compared with those of
-    as many components, each such length being an index of its own. Rows that repeat an id and vector count once. With
+    as many components, each such length being an index of its own. Rows that repeat an id and vector count once. An id with
+    several vectors is named once, with the best of their scores, and searches with all of them; it is never its own neighbour. With
     fewer candidates than ``top`` all are returned. Other columns are ignored; an empty table gives an empty one.
     """
     everything = _index(vectors, id_col, vec_col)
@@ -361,7 +361,10 @@ def search(vectors: DataFrame, is_query: F.Column, top: int = TOP, id_col: str =
 
 
 def _search_dim(all_rows: DataFrame, is_query: F.Column, top: int) -> DataFrame:
-    nodes = cut(all_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec")), "nodes")
+    nodes = all_rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.first("vec").alias("vec"))
+    # vectors have numbers apart from ids, which may repeat; the order of the numbers is that of the ids, so ties go to the smaller id
+    order = ["least", "h1", "h2"]
+    nodes = cut(nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "nodes")
     graph, eight, sizes = build_graph(nodes)
     asked = all_rows.where(is_query).select("vec_id", "h1", "h2").distinct().join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "node")
     found = _search(asked, graph, eight, sizes, top)
@@ -385,9 +388,7 @@ def _search_dim(all_rows: DataFrame, is_query: F.Column, top: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, y))], ["node", "other", "score"])
 
     scored = arrow_pass(pairs, exact, "node long, other long, score double")
-    w = Window.partitionBy("node").orderBy(F.desc("score"), "other")
-    scored = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1)
     copies = _copies(all_rows, nodes, top).withColumnsRenamed({"node": "other"})
-    rows_ = asked.join(scored, "node").join(copies, "other").where("vec_id <> query_id")
+    rows_ = asked.join(scored, "node").join(copies, "other").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rows_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

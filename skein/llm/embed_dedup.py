@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut
+from .common import arrow_pass, cut, spread_join
 from .components import Forest, connected
 from .vectors import blobs, keys, matrices, rows, scaled
 
@@ -204,14 +204,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
     Vectors link if their labels are equal and not null, their lengths are equal and their cosine is at least
     ``threshold`` (above 0). A vector that is null, zero or holds a null or non-finite component links with
     nothing; neither does a row with a null label or id. Rows that repeat id, label and vector count once in
-    ``n_links`` and are returned each. Other columns are ignored; an empty table gives an empty one.
+    ``n_links`` and are returned each. Rows of one id with another vector or label are vectors of their own: ``n_links`` counts
+    other (id, vector)s, a shared id ties nothing, and ``kept`` may hold for one of them and not for another. Other columns are
+    ignored; an empty table gives an empty one.
     """
     label = F.col(label_col).cast("string").alias("label")
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label, F.col(vec_col).alias("v"))
     read = arrow_pass(src, _read, "vec_id long, label string, dim int, h1 long, h2 long, vec binary")
     group = ["label", "dim", "h1", "h2"]
     good = read.where("dim > 0 and label is not null and vec_id is not null")
-    once = cut(good.groupBy(*group).agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("m"), F.first("vec").alias("vec")), "vectors")
+    once = good.groupBy(*group).agg(F.min("vec_id").alias("least"), F.count_distinct("vec_id").alias("m"), F.first("vec").alias("vec"))
+    # vectors have numbers apart from ids, which may repeat; the order of the numbers is that of the ids
+    order = ["least", "h1", "h2", "label", "dim"]
+    once = cut(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     cell = max(cell, -(-once.count() // MAX_PIVOTS))
     # labels of more than ``cell`` vectors: at most MAX_PIVOTS of them
     large = {(r["label"], r["dim"]): r["n"] for r in once.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell).collect()}
@@ -274,9 +279,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, cell: int
         return out[out["links"] > 0]
 
     found = cut(spread.groupBy("label", "dim", "i", "j").applyInPandas(compare, "rep long, links long, root long"), "vector-links")
-    classes = connected(found.where("rep <> root"), "rep", "root").withColumnsRenamed({"node": "rep", "root": "least"})
+    classes = cut(connected(found.where("rep <> root"), "rep", "root"), "classes")
+    # the root is the component's smallest number, so its id is the smallest
+    classes = spread_join(classes, once.select(F.col("rep").alias("root"), F.col("least").alias("first")), ["root"]).select(F.col("node").alias("rep"), "first")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = once.select(*group, "rep", "m").join(counts, "rep", "left").join(classes, "rep", "left").select(*group, (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("least", "rep").alias("component_id"))
+    known = once.select(*group, "rep", "m", "least").join(counts, "rep", "left").join(classes, "rep", "left").select(*group, (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
     out = read.select("vec_id", *group).join(known, group, "left")
     mine = F.col("vec_id").isNotNull()
     component = F.when(mine, F.coalesce("component_id", "vec_id"))

@@ -10,13 +10,14 @@ range has a folder and, once whole, rows in the manifest, so writing resumes wit
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, mix, setting
@@ -86,7 +87,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, vocab: s
     return arrow_pass(src, run, "part int, idx long, n_ids int, ids binary")
 
 
-RANGES = 4
+RANGE_BYTES = 64 << 30
 _HEAD, _END = 4, 1
 
 
@@ -110,7 +111,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, ranges: int = RANGES, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, ranks: str | None = None) -> Store:
+def _told(docs: DataFrame, text_col: str) -> list[Column]:
+    """Figures that tell one table of texts from another, whatever its order."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return [F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(F.pmod(h, F.lit(1 << 31))), F.lit(0)).alias("total")]
+
+
+def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = LENGTH, per_shard: int = PER_SHARD, ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, ranks: str | None = None) -> Store:
     """Write all sequences of ``docs`` to ``path`` in the order of ``key``; what a broken run has finished there is kept.
 
     Files: ``range=R/part-P-...-cC.txt``, C counting shards within the task; ``manifest/range=R`` (Parquet): shard, file, first_slot,
@@ -118,18 +125,31 @@ def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = L
     as empty, and each document is closed by END_ID; an empty table gives no shard; a null doc_id needs no care, as ids take no part;
     repeated rows are written each; texts of any length are cut across sequences; other columns are ignored. The sequences are written once to
     the store's folder before the permutation, so a recomputed or resumed task sees the same numbers.
+
+    ``parameters`` (Parquet) names key, length, per_shard, ranges, vocabulary and figures of the texts; a call on the same path
+    with others raises ValueError. By default a range has about ``RANGE_BYTES``. With several ranges the sequences are first dealt
+    to the ranges' folders in one pass, and each range reads its own, so every sequence is read twice whatever their number.
     """
     if vocab is None or ranks is None:
         vocab, ranks = default_paths()
     spark = docs.sparkSession
-    draft = f"{path}/sequences"
-    if not _exists(spark, f"{draft}/_SUCCESS") and not _exists(spark, f"{path}/_DONE"):
-        sequences(docs, id_col, text_col, length, vocab, ranks).write.mode("overwrite").parquet(draft)
-    width = np.dtype(_dtype(len(bpe(vocab, ranks).pieces))).itemsize
+    draft, named = f"{path}/sequences", f"{path}/parameters"
+    pieces = bpe(vocab, ranks).pieces
+    width = np.dtype(_dtype(len(pieces))).itemsize
     stride = _HEAD + width * length + _END
-    if _exists(spark, f"{path}/_DONE"):
-        told = spark.read.schema(_MANIFEST).parquet(_ranges(path)).agg(F.max("n_sequences").alias("n")).first()
-        return Store(path, told["n"] or 0, per_shard, stride, width)
+    given = {"key": key, "length": length, "per_shard": per_shard, "ranges": ranges or 0, "vocabulary": f"{len(pieces)}:{zlib.crc32(repr(pieces[:1000]).encode())}"}
+    if _exists(spark, f"{named}/_SUCCESS"):
+        before = spark.read.parquet(named).first().asDict()
+        now = given | docs.agg(*_told(docs, text_col)).first().asDict()
+        if differ := sorted(k for k in now if before[k] != now[k]):
+            raise ValueError(f"{path} holds a store with other {', '.join(differ)}")
+    else:
+        seen = Observation()
+        sequences(docs.observe(seen, *_told(docs, text_col)), id_col, text_col, length, vocab, ranks).write.mode("overwrite").parquet(draft)
+        row = given | seen.get
+        spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` {'string' if k == 'vocabulary' else 'long'}" for k in row)).coalesce(1).write.mode("overwrite").parquet(named)
+    if _exists(spark, f"{path}/_DONE/_SUCCESS"):
+        return Store(path, spark.read.parquet(f"{path}/_DONE").first()["n"], per_shard, stride, width)
     seqs = spark.read.schema("part int, idx long, n_ids int, ids binary").parquet(draft)
     # one number for each input partition
     sizes = sorted((r["part"], r["n"]) for r in seqs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -138,39 +158,46 @@ def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = L
         first[part] = n
         n += k
     shards = -(-n // per_shard)
-    ranges = max(1, min(ranges, shards))
+    ranges = max(1, min(ranges or -(-n * stride // RANGE_BYTES), shards))
     each = -(-shards // ranges) if shards else 0
+    slots = _slots(seqs, first, n, key)
+    dealt = f"{path}/dealt"
+    if ranges > 1 and not _exists(spark, f"{dealt}/_SUCCESS"):
+        slots.withColumn("range", (F.col("slot") / F.lit(per_shard * each)).cast("int")).repartition("range", F.pmod(F.xxhash64("slot"), F.lit(64))).write.mode("overwrite").partitionBy("range").parquet(dealt)
     for r in range(ranges if shards else 0):
         if not _exists(spark, f"{_ranges(path)}/range={r}/_SUCCESS"):
             lo, hi = r * each, min(shards, (r + 1) * each)
             if lo < hi:
-                _write_range(seqs, path, r, lo, hi, first, n, key, per_shard, stride)
+                own = slots if ranges == 1 else spark.read.schema("slot long, record binary").parquet(f"{dealt}/range={r}")
+                _write_range(own, path, r, lo, hi, n, per_shard, stride)
     spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_DONE")
-    at = spark._jvm.org.apache.hadoop.fs.Path(draft)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for done in (draft, dealt):
+        at = spark._jvm.org.apache.hadoop.fs.Path(done)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return Store(path, n, per_shard, stride, width)
 
 
 _MANIFEST = "shard long, file string, first_slot long, n long, stride int, n_sequences long, bytes long"
 
 
-def _write_range(seqs: DataFrame, path: str, r: int, lo: int, hi: int, first: dict[int, int], n: int, key: int, per_shard: int, stride: int) -> None:
-    """Shards lo..hi-1: the sequences whose slots lie there, dealt by shard, sorted by slot, a file a shard."""
-    spark = seqs.sparkSession
-    parts = max(1, min(hi - lo, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    per_part = -(-(hi - lo) // parts)
+def _slots(seqs: DataFrame, first: dict[int, int], n: int, key: int) -> DataFrame:
+    """(slot, record) of every sequence."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = np.array([first[p] for p in b.column(0).to_pylist()], np.int64) + b.column(1).to_numpy()
-            slot = feistel(at, n, key)
-            here = np.flatnonzero((slot >= lo * per_shard) & (slot < hi * per_shard))
-            ids = b.column(3)
-            head = b.column(2).to_numpy()[here].astype("<u4")
-            rows = [k.tobytes() + ids[i].as_py() for k, i in zip(head, here.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(slot[here]), pa.array(rows, pa.binary())], ["slot", "record"])
-
-    slots = arrow_pass(seqs, place, "slot long, record binary")
+            head = b.column(2).to_numpy().astype("<u4")
+            rows = [k.tobytes() + i for k, i in zip(head, b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(feistel(at, n, key)), pa.array(rows, pa.binary())], ["slot", "record"])
+
+    return arrow_pass(seqs, place, "slot long, record binary")
+
+
+def _write_range(slots: DataFrame, path: str, r: int, lo: int, hi: int, n: int, per_shard: int, stride: int) -> None:
+    """Shards lo..hi-1, whose slots ``slots`` holds, dealt by shard, sorted by slot, a file a shard."""
+    spark = slots.sparkSession
+    parts = max(1, min(hi - lo, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    per_part = -(-(hi - lo) // parts)
     dealt = slots.repartitionById(parts, ((F.col("slot") - lo * per_shard) / F.lit(per_shard * per_part)).cast("int")).sortWithinPartitions("slot")
     folder = f"{path}/range={r}"
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):

@@ -160,7 +160,7 @@ def test_slot_s_holds_the_sequence_that_the_permutation_sends_there(odd_docs, co
 def test_a_broken_store_is_finished(odd_docs, tmp_path, monkeypatch):
     spark, kept = odd_docs.sparkSession, token_store._write_range
     digest = lambda s: sorted((r.slot, bytes(r.ids)) for r in token_store.read_slots(spark, s).collect())
-    whole = digest(token_store.write_store(odd_docs, str(tmp_path / "a"), 5, 256, 4))
+    whole = digest(token_store.write_store(odd_docs, str(tmp_path / "a"), 5, 256, 4, 4))
     done = []
 
     def breaks(seqs, path, r, *rest):
@@ -171,12 +171,24 @@ def test_a_broken_store_is_finished(odd_docs, tmp_path, monkeypatch):
 
     monkeypatch.setattr(token_store, "_write_range", breaks)
     with pytest.raises(RuntimeError):
-        token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4)
+        token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4, 4)
     again = []
     monkeypatch.setattr(token_store, "_write_range", lambda seqs, path, r, *rest: (again.append(r), kept(seqs, path, r, *rest)))
-    store = token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4)
+    store = token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4, 4)
     assert again == [2, 3] and digest(store) == whole
-    assert digest(token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4)) == whole and again == [2, 3]
+    assert digest(token_store.write_store(odd_docs, str(tmp_path / "b"), 5, 256, 4, 4)) == whole and again == [2, 3]
+
+
+def test_another_call_on_the_same_path_is_refused(odd_docs, tmp_path):
+    spark, path = odd_docs.sparkSession, str(tmp_path / "s")
+    store = token_store.write_store(odd_docs, path, 1, 256, 4)
+    for other in ({"key": 999}, {"per_shard": 8}, {"length": 128}, {"ranges": 2}):
+        with pytest.raises(ValueError, match=next(iter(other))):
+            token_store.write_store(odd_docs, path, **{"key": 1, "length": 256, "per_shard": 4} | other)
+    with pytest.raises(ValueError, match="n_docs"):
+        token_store.write_store(odd_docs.limit(3), path, 1, 256, 4)
+    again = token_store.write_store(odd_docs.repartition(2), path, 1, 256, 4)
+    assert again == store and token_store.read_slots(spark, again).count() == store.n
 
 
 def test_token_store_query(spark, coder):

@@ -58,6 +58,41 @@ def test_links_against_brute_force(spark, cell):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute(rows)
 
 
+def test_links_of_ids_with_several_vectors(spark):
+    e1, e2 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(3, e1), (3, e2), (3, [1.0, 0.01, 0.0]), (1, e1), (2, [1.0, 0.0, 0.01]), (4, [0.01, 1.0, 0.0]), (3, e2)]
+    rng = np.random.default_rng(11)
+    rows += [(int(rng.integers(20, 60)), (e + 0.08 * rng.standard_normal(3)).tolist()) for e in np.eye(3)[rng.integers(3, size=150)]]
+    rows = [(i, [float(np.float32(x)) for x in v], 1) for i, v in rows]
+    distinct = sorted({(i, tuple(v)) for i, v, _ in rows})
+    x = np.array([v for _, v in distinct])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    near = x @ x.T >= 0.98
+    root = np.arange(len(x))
+    while True:
+        least = np.where(near, root[None, :], len(x)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    want = {v: (near[k].sum() - 1, distinct[root[k]][0]) for k, v in enumerate(distinct)}
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == sorted((i, *want[i, tuple(v)], i == want[i, tuple(v)][1]) for i, v, _ in rows)
+
+
+def test_search_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(90)), [float(np.float32(c)) for c in v]) for v in rng.standard_normal((160, 4))] + [(3, [3.0, 0.0, 0.0, 0.0]), (3, [0.0, 3.0, 0.0, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), ann.F.col("vec_id") % 10 == 0, top=5).collect()
+    want = set()
+    for q in sorted({i for i, _ in rows if i % 10 == 0}):
+        score = {}
+        for i, v in rows:
+            if i != q:
+                score[i] = max([score.get(i, -np.inf), *(float(np.dot(u, v)) for j, u in rows if j == q)])
+        want |= {(q, k + 1, i, round(s, 9)) for k, (s, i) in enumerate(sorted(((s, i) for i, s in score.items()), key=lambda x: (-x[0], x[1]))[:5])}
+    assert {(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got} == want and len(got) == len(want)
+
+
 def test_embeddings_against_brute_force(spark):
     t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding", "label")
     got = sorted((tuple(r) for r in embed_dedup.near_duplicates(t).collect()), key=repr)
@@ -68,6 +103,12 @@ def test_embeddings_against_brute_force(spark):
     near = (x @ x.T >= 0.98) & (y[:, None] == y[None, :])
     n = dict(zip([r.vec_id for r in rows], (near.sum(1) - 1).tolist(), strict=True))
     assert {g[0]: g[1] for g in got} == n
+    root = np.arange(len(x))
+    while ((least := np.where(near, root[None, :], len(x)).min(1)) != root).any():
+        root = least
+    at = np.argsort([r.vec_id for r in rows])
+    assert (np.diff(at) > 0).all()  # so the least place is the least id
+    assert {g[0]: (g[2], g[3]) for g in got} == {rows[i].vec_id: (rows[root[i]].vec_id, root[i] == i) for i in range(len(rows))}
 
 
 def test_cover_tree_holds_everything_within_its_radii():
