@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from .intervals import carry, islands
+from .intervals import islands
+from .scan import count_opens, numbered_runs, prefix_scan
 
 
 def region_keys(terms: DataFrame, by: list[str], order: list[str], new: str = "is_new") -> DataFrame:
     """Adds region_key r1, r2, ...: a term that is new, or the first, opens one."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    opens = F.when(F.coalesce(F.col(new), F.lit(False)) | (F.row_number().over(w) == 1), 1).otherwise(0)
-    t = terms.withColumn("_opens", opens)
-    n = F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("region_key", F.concat(F.lit("r"), n)).drop("_opens")
+    return count_opens(terms, by, order, F.col(new), "_n").withColumn("region_key", F.concat(F.lit("r"), "_n")).drop("_n")
 
 
 def region_labels(terms: DataFrame, by: list[str], surface: str, order: str) -> DataFrame:
@@ -29,14 +26,13 @@ def region_labels(terms: DataFrame, by: list[str], surface: str, order: str) ->
 
 def scene_regions(scenes: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds region: a scene's own first key, else the last key named in any scene before it."""
-    cols = [F.col(o) for o in order]
-    return scenes.withColumn("region", F.coalesce("first_key", carry(F.col("last_key"), by, cols, current=False)))
+    return prefix_scan(scenes, by, order, before={"_b": F.col("last_key")}).withColumn("region", F.coalesce("first_key", "_b")).drop("_b")
 
 
 def region_runs(scenes: DataFrame, by: list[str], unit: list[str], order: list[str], lo: str, hi: str) -> DataFrame:
     """Runs of equal region within a unit; scenes before any region are unstated."""
     s = scenes.withColumn("region", F.coalesce("region", F.lit(V.UNSTATED)))
-    s = islands(s, F.col("region"), unit, [F.col(o) for o in order])
+    s = numbered_runs(s, unit, order, F.col("region"))
     return s.groupBy(*unit, "island").agg(F.first("region").alias("region"), F.min(lo).alias("run_start"), F.max(hi).alias("run_end"), F.count(F.lit(1)).alias("n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from .intervals import contain_join, exactly_one
 
 
 def contains(line: Column, col: Column, s: str = "start_line", sc: str = "start_col", e: str = "end_line", ec: str = "end_col") -> Column:
@@ -60,6 +61,29 @@ def attribute(referents: DataFrame, span: list[str], forms: dict[str, tuple[str,
     return g.select(*span, F.when(one, F.get("s", F.lit(0))).when(weak, F.get("w", F.lit(0))).otherwise(V.UNATTRIBUTED).alias("speaker"), F.when(one, "strong").when(weak, "weak").otherwise("none").alias("signal"), flags.alias("flags"))
 
 
+def attribute_spans(spans: DataFrame, referents: DataFrame, scenes: DataFrame, unit: list[str], forms: dict[str, tuple[str, ...]] = V.FIRST_PERSON) -> DataFrame:
+    """(unit, quote_id, speaker, signal, flags) of every span: forms count only in a span's own region, outside the spans in it.
+
+    ``spans`` (unit, quote_id, start_line, start_col, end_line, end_col, depth), ``referents`` (unit, line, col, surface, who), ``scenes``
+    (unit, scene, lo, hi). A span whose two ends are not in the same scene, or of which only one is in any, is ``cross-scene``.
+    """
+    low = F.lower("surface")
+    told = referents.where(low.isin(*[w for v in forms.values() for w in v])).select(*unit, "line", "col", "surface", "who").distinct()
+    own = own_region(told, spans.select(*unit, "quote_id", "start_line", "start_col", "end_line", "end_col", "depth"), unit)
+    keys = [*unit, "quote_id"]
+    said = attribute(spans.select(*keys).join(own.select(*keys, "surface", "who"), keys, "left"), keys, forms)
+    # each end's scene by a look-up of its own; an end in several scenes, as in none, has no scene
+    s = scenes.select(*unit, "scene", "lo", "hi")
+    ends = spans.select(*keys, F.explode(F.array("start_line", "end_line")).alias("at")).distinct()
+    hit = exactly_one(contain_join(ends, s, unit, ("at", "at"), ("lo", "hi")), [*keys, "at"], "scene", "scene").drop("n_hits")
+    both = spans.select(*keys, "start_line", "end_line")
+    for end in ("start_line", "end_line"):
+        both = both.join(hit.withColumnsRenamed({"at": end, "scene": f"_{end}"}), [*keys, end], "left")
+    crosses = F.when(~F.col("_start_line").eqNullSafe(F.col("_end_line")), F.array(F.lit("cross-scene"))).otherwise(F.array().cast("array<string>"))
+    out = said.join(both.select(*keys, crosses.alias("_cross")), keys)
+    return out.select(*keys, "speaker", "signal", F.concat("flags", "_cross").alias("flags"))
+
+
 def resolve_ends(edges: DataFrame, tags: DataFrame, canon: DataFrame, scene: list[str]) -> DataFrame:
     """Joins both ends of edges (subj, obj: tag numbers) to names and to canonical nodes, null where unresolved."""
     for end in ("subj", "obj"):

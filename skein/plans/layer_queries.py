@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import passes as P
 from ..functions import replies as RP
 from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import checks as C
+from ..operators import conformance as CF
 from ..operators import graph as G
 from ..operators import identity as I
 from ..operators import lock as L
@@ -112,6 +114,33 @@ def cohort_problems(spark, sf_dir):
     return C.check_cohort(picks, _pool(spark, sf_dir, 5), _scenes(spark, sf_dir), ["scene"])
 
 
+_FIX_SQL = (
+    f"WITH {_ITEMS_SQL}, b AS (SELECT scene, no, CASE WHEN part % 5 = 0 THEN supp % 4 ELSE 0 END AS late FROM items), "
+    "n AS (SELECT scene, max(late) AS late, CAST(count(*) AS BIGINT) AS n_edges, CAST(count(*) FILTER (WHERE late = 3) AS BIGINT) AS n_wrong FROM b GROUP BY scene) "
+    "SELECT scene, CAST(least(3, 1 + late) AS INTEGER) AS attempts, late < 3 AS ok, n_edges, n_wrong FROM n"
+)
+
+
+@query(_FIX_SQL)
+def relations_fixpoint(spark, sf_dir):
+    """Drafts of edges, checked, and only unsound scenes asked again; the model is scripted by the line items.
+
+    In attempt a an item's predicate is no predicate while a is at most the item's lateness.
+    """
+    i = items(spark, sf_dir).select("scene", "no", "qty", F.when(F.col("part") % 5 == 0, F.col("supp") % 4).otherwise(0).alias("late"))
+    scenes = i.groupBy("scene").agg(F.lit(1).alias("lo"), F.lit(60).alias("hi"), F.lit(7).alias("k"))
+
+    def drafts(open_: DataFrame, attempt: int) -> DataFrame:
+        s = lambda c: c.cast("int").cast("string")
+        line = F.concat(F.lit("- ["), s(F.col("no")), F.lit("] "), F.when(F.col("late") >= attempt, "devours").otherwise("sees"), F.lit(" ["), s(F.col("no") % 7 + 1), F.lit("] | frame: literal | lines "), s(F.col("qty")))
+        told = i.join(open_.select("scene"), "scene").groupBy("scene").agg(F.array_sort(F.collect_list(F.struct("no", line.alias("l")))).alias("x"))
+        return told.select("scene", F.array_join(F.transform("x", lambda x: x["l"]), "\n").alias("reply"))
+
+    edges, told = P.relations_pass(scenes, drafts, ["scene"])
+    n = edges.groupBy("scene").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("predicate") == "devours").alias("n_wrong"))
+    return told.select("scene", "attempts", "ok").join(n, "scene")
+
+
 _TAGS_SQL = """
 WITH t AS (SELECT conv_id AS scene, turn AS tag_no, min(role) AS role, min(regexp_extract(text, '\\p{L}*', 0)) AS w FROM conversations GROUP BY ALL),
 named AS (SELECT scene, tag_no, CASE WHEN tag_no % 5 = 4 THEN '  ' ELSE w END AS label FROM t),
@@ -212,16 +241,72 @@ def lock_assembly(spark, sf_dir):
     return k.select("unit", "scene", "title", "region", "lines", "location", F.array_join("cohort", ";").alias("cohort"), *[flat(c, n) for c, n in lists.items()], "basis")
 
 
-_NAMES_SQL = f"SELECT unit, scene, (len(\"cast\") - len(replace(\"cast\", ';', '')) + 1) AS n_cast, location IS NOT NULL AS placed FROM ({_LOCK_PARTS}) WHERE \"cast\" <> ''"
+_WORD = "[A-Za-zÀ-ÿ][A-Za-zÀ-ÿ'']*"
+_NAMES_SQL = f"""
+WITH {_ITEMS_SQL},
+e AS (SELECT scene, no, flag, part, 'S' || supp % 4 AS sn, CASE WHEN supp % 4 < 2 THEN 'S' || supp % 2 END AS sk, 'P' || part % 4 AS obn, CASE WHEN part % 4 = 3 THEN 'P0' END AS obk, status FROM items),
+loc AS (SELECT scene, arg_min(it, no) AS it FROM (SELECT scene, no, CASE WHEN part % 3 > 0 THEN 'place ' || part % 7 END AS it FROM items) WHERE it IS NOT NULL GROUP BY scene),
+sc AS (SELECT o_orderkey AS scene, o_orderstatus AS region, last_value(loc.it IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS location FROM orders LEFT JOIN loc ON loc.scene = o_orderkey),
+n AS (
+  SELECT scene, 'Narrator' AS name FROM sc UNION SELECT scene, region FROM sc UNION SELECT scene, location FROM sc
+  UNION SELECT scene, CAST(part % 5 AS VARCHAR) FROM e UNION SELECT scene, 'c' || part % 3 FROM e WHERE no = 3 UNION SELECT scene, sn FROM e WHERE flag = 'R'
+  UNION SELECT scene, unnest([sn, sk]) FROM e WHERE sk <> sn UNION SELECT scene, unnest([obn, obk]) FROM e WHERE obk <> obn
+  UNION SELECT scene, unnest([coalesce(sk, sn), coalesce(obk, obn)]) FROM e WHERE status = 'F' UNION SELECT scene, coalesce(obk, obn) FROM e WHERE status <> 'F'),
+w AS (SELECT DISTINCT scene, lower(unnest(regexp_extract_all(name, '{_WORD}'))) AS word FROM n)
+SELECT scene, string_agg(name, '|' ORDER BY name) AS names, any_value(words) AS words
+FROM n JOIN sc USING (scene) JOIN (SELECT scene, string_agg(word, ' ' ORDER BY word) AS words FROM w GROUP BY scene) USING (scene) WHERE name <> '' GROUP BY scene"""
 
 
 @query(_NAMES_SQL)
 def lock_names(spark, sf_dir):
-    """What a record mentions licenses its words."""
+    """The names that a record mentions, and the words that they license."""
     words = L.licensed_words(L.licensed_names(_lock(spark, sf_dir), constant=("Narrator",)))
-    k = _lock(spark, sf_dir).where(F.size("cast") > 0)
-    held = words.where(F.array_contains("words", "narrator")).select("unit", "scene", F.exists("names", lambda x: x.startswith("place ")).alias("placed"))
-    return k.select("unit", "scene", F.size("cast").cast("long").alias("n_cast")).join(held, ["unit", "scene"])
+    return words.select("scene", F.array_join(F.array_sort("names"), "|").alias("names"), F.array_join("words", " ").alias("words"))
+
+
+_CONFORM_SQL = f"""
+WITH raw AS (SELECT conv_id AS scene, conv_id % 5 AS unit, role, text FROM conversations),
+cap AS (SELECT DISTINCT unit, scene, unnest(regexp_extract_all(text, '\\p{{Lu}}\\p{{L}}{{2,}}')) AS who FROM raw WHERE role = 'user'),
+fig AS (SELECT unit, scene, who FROM cap UNION SELECT unit, scene, min(who) || ', ' || max(who) || CASE WHEN scene % 3 = 0 THEN ', quei' ELSE '' END FROM cap GROUP BY unit, scene),
+known AS (SELECT DISTINCT unit, {fold_sql('who')} AS fold FROM fig),
+pc AS (SELECT DISTINCT unit, who, trim(unnest(string_split(who, ','))) AS piece FROM fig WHERE who LIKE '%,%'),
+okay AS (SELECT pc.unit, who FROM pc LEFT JOIN known ON known.unit = pc.unit AND fold = {fold_sql('piece')} GROUP BY pc.unit, who HAVING bool_and(fold IS NOT NULL OR regexp_matches(piece, '^\\p{{Lu}}[\\p{{L}}]*$'))),
+nm AS (SELECT scene, who AS name FROM fig UNION SELECT fig.scene, pc.piece FROM fig JOIN okay ON okay.unit = fig.unit AND okay.who = fig.who JOIN pc ON pc.unit = okay.unit AND pc.who = okay.who UNION SELECT DISTINCT scene, 'Dante' FROM raw),
+lic AS (SELECT DISTINCT scene, lower(unnest(regexp_extract_all(name, '{_WORD}'))) AS w FROM nm),
+sen AS (SELECT scene, unit, unnest(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM raw WHERE role = 'assistant'),
+tok AS (SELECT scene, unit, 'en' AS lang, unnest(list_filter(regexp_extract_all(s, '{_WORD}')[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}') AND x NOT IN ({lst(V.SENTENCE_OPENERS)}))) AS token FROM sen
+  UNION ALL SELECT scene, unit, 'ja', unnest(regexp_extract_all(text, '{_WORD}')) FROM raw WHERE role = 'system'),
+j AS (SELECT tok.scene, tok.unit, lang, token, lic.w IS NOT NULL AS ok FROM tok LEFT JOIN lic ON lic.scene = tok.scene AND lic.w = lower(CASE WHEN lang = 'en' THEN regexp_replace(token, '''s$', '') ELSE token END))
+"""
+
+
+def _conformed(spark, sf_dir) -> DataFrame:
+    """A conversation as a scene: the user's names are its cast, the assistant's text its English digest, the system's its Japanese one."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("scene"), (F.col("conv_id") % 5).alias("unit"), "role", "text")
+    caps = c.where("role = 'user'").select("unit", "scene", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}{2,}"), F.lit(0))).alias("who")).groupBy("unit", "scene").agg(F.collect_set("who").alias("caps"))
+    pair = F.concat(F.array_min("caps"), F.lit(", "), F.array_max("caps"), F.when(F.col("scene") % 3 == 0, ", quei").otherwise(""))
+    cast = F.transform(F.array_union("caps", F.array(pair)), lambda w: F.struct(w.alias("who"), F.lit("present").alias("status")))
+    locks = c.select("unit", "scene").distinct().join(caps, ["unit", "scene"], "left").select("unit", "scene", F.coalesce(cast, F.array().cast("array<struct<who:string,status:string>>")).alias("cast"))
+    none = {
+        "cohort": "array<string>", "speech": "array<struct<speaker:string,addressee:string>>", "refer": "array<struct<phrase:string,resolves:string>>",
+        "relations": "array<struct<subj:string,obj:string>>", "simile": "array<struct<vehicle:string>>",
+    }
+    locks = locks.withColumns({n: F.array().cast(t) for n, t in none.items()} | {"location": F.lit(""), "region": F.lit("")})
+    digest = c.where("role in ('assistant', 'system')").select("unit", "scene", F.when(F.col("role") == "assistant", "en").otherwise("ja").alias("lang"), "text")
+    return CF.conform(digest, locks, ["unit", "scene"], ["unit"])
+
+
+@query(_CONFORM_SQL + " SELECT scene, count(*) AS asserted, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS in_lock, coalesce(string_agg(DISTINCT lang || ':' || token, '|' ORDER BY lang || ':' || token) FILTER (WHERE NOT ok), '') AS deviations FROM j GROUP BY scene")
+def conformance_scenes(spark, sf_dir):
+    """Each scene's asserted names against its own dictionary, what is not licensed by name."""
+    s = CF.scene_figures(_conformed(spark, sf_dir), ["scene"])
+    return s.withColumn("deviations", F.array_join("deviations", "|"))
+
+
+@query(_CONFORM_SQL + " SELECT unit, count(*) AS asserted, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS in_lock, round(100 * count(*) FILTER (WHERE ok) / count(*), 1) AS rate FROM j GROUP BY ROLLUP (unit)")
+def conformance_totals(spark, sf_dir):
+    """The same by unit and over all."""
+    return CF.totals(_conformed(spark, sf_dir), ["unit"])
 
 
 _LOCKCHECK_SQL = f"""

@@ -17,6 +17,7 @@ from ..operators import coreference as CO
 from ..operators import identity as I
 from ..operators import intervals as IV
 from ..operators import regions as R
+from ..operators import scan as SC
 from ..operators import scene as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,6 +427,38 @@ def speech_attr(spark, sf_dir):
     return a.select("conv_id", "turn", "speaker", "signal", F.when(F.size("flags") > 0, F.array_join("flags", ", ")).otherwise("-").alias("flags"))
 
 
+_SPANS_SQL = f"""
+WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '\\p{{L}}+') AS w FROM conversations),
+pt AS (SELECT DISTINCT conv_id, turn AS line, i AS col, w[i] AS surface, w[i + 1] AS who FROM (SELECT conv_id, turn, w, unnest(generate_series(1, len(w) - 1)) AS i FROM w)),
+sp AS (SELECT DISTINCT conv_id, 'q' || turn AS quote_id, turn AS sl, 0 AS sc, turn + 2 AS el, 3 AS ec, 1 AS depth FROM conversations WHERE role = 'user'
+ UNION ALL SELECT conv_id, 'all', -1, 0, 1000000, 0, 0 FROM (SELECT DISTINCT conv_id FROM conversations)),
+own AS (SELECT pt.conv_id, line, col, surface, who, arg_max(quote_id, {{'d': depth, 'q': quote_id}}) AS quote_id FROM pt JOIN sp ON sp.conv_id = pt.conv_id AND (line, col) > (sl, sc) AND (line, col) < (el, ec)
+ WHERE surface IN ({', '.join(lst(v) for v in _FORMS.values())}) GROUP BY ALL),
+g AS (SELECT conv_id, quote_id, {', '.join(f"list_sort(list(DISTINCT who) FILTER (WHERE surface IN ({lst(v)}))) AS {k}" for k, v in _FORMS.items())} FROM own GROUP BY ALL),
+sc AS (SELECT conv_id, turn // 3 AS no, turn // 3 * 3 AS lo, max(turn) AS hi FROM conversations GROUP BY ALL),
+f AS (SELECT sp.*, coalesce(strong, []) AS s, coalesce(weak, []) AS w, coalesce(plural, []) AS p, a.no AS a, z.no AS z FROM sp LEFT JOIN g ON g.conv_id = sp.conv_id AND g.quote_id = sp.quote_id
+ LEFT JOIN sc a ON a.conv_id = sp.conv_id AND a.lo <= sl AND sl <= a.hi LEFT JOIN sc z ON z.conv_id = sp.conv_id AND z.lo <= el AND el <= z.hi)
+SELECT conv_id, quote_id, CASE WHEN len(s) = 1 THEN s[1] WHEN len(s) = 0 AND len(w) = 1 THEN w[1] ELSE '{V.UNATTRIBUTED}' END AS speaker,
+CASE WHEN len(s) = 1 THEN 'strong' WHEN len(s) = 0 AND len(w) = 1 THEN 'weak' ELSE 'none' END AS signal,
+coalesce(nullif(concat_ws(', ', CASE WHEN len(s) > 1 THEN 'multi(' || array_to_string(s, ';') || ')' WHEN len(s) = 0 AND len(w) <> 1 AND len(p) > 0 THEN 'plural' END, CASE WHEN a IS DISTINCT FROM z THEN 'cross-scene' END), ''), '-') AS flags FROM f"""
+
+
+@query(_SPANS_SQL)
+def speech_spans(spark, sf_dir):
+    """Each quote's speaker from the surfaces of its own region, with the flag of quotes that leave their scene."""
+    c = table(spark, sf_dir, "conversations")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
+    pairs = T.let(words, lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.struct((i + 1).alias("col"), x.alias("surface"), F.get(w, i + 1).alias("who"))))
+    points = c.select("conv_id", F.col("turn").alias("line"), F.inline(pairs)).distinct()
+    at = lambda *x: [v.cast("int").alias(n) for v, n in zip(x, ("start_line", "start_col", "end_line", "end_col", "depth"), strict=True)]
+    quotes = c.where("role = 'user'").select("conv_id", F.concat(F.lit("q"), "turn").alias("quote_id"), *at(F.col("turn"), F.lit(0), F.col("turn") + 2, F.lit(3), F.lit(1))).distinct()
+    whole = c.select("conv_id").distinct().select("conv_id", F.lit("all").alias("quote_id"), *at(F.lit(-1), F.lit(0), F.lit(1_000_000), F.lit(0), F.lit(0)))
+    no = F.expr("turn div 3")
+    scenes = c.groupBy("conv_id", no.alias("scene")).agg((F.first(no) * 3).alias("lo"), F.max("turn").alias("hi"))
+    a = S.attribute_spans(quotes.unionByName(whole), points, scenes, ["conv_id"], _FORMS)
+    return a.select("conv_id", "quote_id", "speaker", "signal", F.when(F.size("flags") > 0, F.array_join("flags", ", ")).otherwise("-").alias("flags"))
+
+
 @query(
     f"""WITH {_REF_SQL}, b AS (SELECT CASE WHEN len(coalesce(strong, [])) = 1 THEN 'strong-unique' WHEN len(coalesce(strong, [])) > 1 THEN 'multi-strong' WHEN len(coalesce(weak, [])) > 0 THEN 'weak-only' WHEN len(coalesce(plural, [])) > 0 THEN 'plural-only' ELSE 'none' END AS bucket FROM g) SELECT bucket, count(*) AS n FROM b GROUP BY bucket"""
 )
@@ -551,9 +584,9 @@ k AS (SELECT *, sum(CASE WHEN is_new THEN 1 ELSE 0 END) OVER (PARTITION BY user_
 
 
 def _walk(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy(*_BY).orderBy(*_ORDER)
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value").withColumn("is_new", F.lag("event_type").over(w) != F.col("event_type"))
-    return R.region_keys(e, _BY, [F.col(o) for o in _ORDER])
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+    e = SC.prefix_scan(e, _BY, _ORDER, previous={"_p": F.col("event_type")}, keep_slices=True)
+    return R.region_keys(e.withColumn("is_new", F.col("_p") != F.col("event_type")), _BY, _ORDER)
 
 
 @query(f"WITH {_WALK_SQL} SELECT event_id, user_id, 'r' || CAST(no AS BIGINT) AS region_key FROM k")
@@ -595,9 +628,20 @@ coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, even
 def carry_location(spark, sf_dir):
     """Settings carried forward, with and without the current scene."""
     e = table(spark, sf_dir, "events").withColumn("x", F.when(~F.col("event_type").isin("error", "view"), F.col("event_type")))
-    cols = [F.col(o) for o in _ORDER]
-    empty = F.lit("")
-    return e.select("event_id", F.coalesce(IV.carry(F.col("x"), _BY, cols), empty).alias("place"), F.coalesce(IV.carry(F.col("x"), _BY, cols, False), empty).alias("before"))
+    e = SC.prefix_scan(e.select("event_id", "ts", "user_id", "x"), _BY, _ORDER, last={"place": F.col("x")}, before={"before": F.col("x")})
+    return e.select("event_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("place", "before")])
+
+
+@query(
+    """WITH v AS (SELECT event_id, ts, event_type, CASE WHEN event_type NOT IN ('error', 'view') THEN event_type END AS x, lag(event_type) OVER w AS p FROM events WINDOW w AS (ORDER BY ts, event_id))
+SELECT event_id, coalesce(last_value(x IGNORE NULLS) OVER w, '') AS place, CAST(sum(CASE WHEN p IS DISTINCT FROM event_type THEN 1 ELSE 0 END) OVER w AS BIGINT) AS run FROM v
+WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+)
+def journey_scan(spark, sf_dir):
+    """All events as one journey, its settings carried and its runs numbered, no task holding it whole."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", F.when(~F.col("event_type").isin("error", "view"), F.col("event_type")).alias("x"))
+    e = SC.prefix_scan(e, [], _ORDER, last={"place": F.col("x")}, keep_slices=True)
+    return SC.numbered_runs(e, [], _ORDER, F.col("event_type"), "run").select("event_id", F.coalesce("place", F.lit("")).alias("place"), "run")
 
 
 @query(
@@ -739,10 +783,9 @@ SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id
 )
 def rolling_context(spark, sf_dir):
     """What went before a scene, and its predecessor's recap."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations")
-    before = F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return c.select("conv_id", "turn", F.coalesce(before, F.lit(0)).cast("long").alias("context_chars"), F.coalesce(F.lag("role").over(w), F.lit("")).alias("recap"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("_n"))
+    c = SC.prefix_scan(c, ["conv_id"], ["turn"], total={"_all": F.col("_n")}, previous={"recap": F.col("role")})
+    return c.select("conv_id", "turn", (F.col("_all") - F.coalesce("_n", F.lit(0))).cast("long").alias("context_chars"), F.coalesce("recap", F.lit("")).alias("recap"))
 
 
 _PROBLEMS_SQL = """
