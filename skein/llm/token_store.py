@@ -87,7 +87,7 @@ def sequences(docs: DataFrame, id_col: str, text_col: str, length: int, vocab: s
     return arrow_pass(src, run, "part int, idx long, n_ids int, ids binary")
 
 
-RANGE_BYTES = 64 << 30
+RANGES, RANGE_BYTES, _FILES = 4, 64 << 30, 100_000
 _HEAD, _END = 4, 1
 
 
@@ -127,8 +127,9 @@ def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = L
     the store's folder before the permutation, so a recomputed or resumed task sees the same numbers.
 
     ``parameters`` (Parquet) names key, length, per_shard, ranges, vocabulary and figures of the texts; a call on the same path
-    with others raises ValueError. By default a range has about ``RANGE_BYTES``. With several ranges the sequences are first dealt
-    to the ranges' folders in one pass, and each range reads its own, so every sequence is read twice whatever their number.
+    with others raises ValueError. By default a range has at most ``RANGE_BYTES``, and there are ``RANGES`` or more. The sequences are
+    dealt to the ranges' folders in one pass, and each range reads its own, so every sequence is read twice whatever the number of
+    ranges; what has been read goes, so that beside the store no more than the sequences and one range's shuffle stands on disk.
     """
     if vocab is None or ranks is None:
         vocab, ranks = default_paths()
@@ -150,6 +151,31 @@ def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = L
         spark.createDataFrame([tuple(row.values())], ", ".join(f"`{k}` {'string' if k == 'vocabulary' else 'long'}" for k in row)).coalesce(1).write.mode("overwrite").parquet(named)
     if _exists(spark, f"{path}/_DONE/_SUCCESS"):
         return Store(path, spark.read.parquet(f"{path}/_DONE").first()["n"], per_shard, stride, width)
+    dealt, counted = f"{path}/dealt", f"{path}/counted"
+    if not _exists(spark, f"{dealt}/_SUCCESS"):
+        _deal(spark, draft, dealt, counted, key, per_shard, ranges, stride)
+        _delete(spark, draft)
+    n, ranges, each = spark.read.parquet(counted).select("n", "ranges", "each").first()
+    shards = -(-n // per_shard)
+    for r in range(ranges):
+        if not _exists(spark, f"{_ranges(path)}/range={r}/_SUCCESS"):
+            lo, hi = r * each, min(shards, (r + 1) * each)
+            if lo < hi:
+                _write_range(spark.read.schema("slot long, record binary").parquet(f"{dealt}/range={r}"), path, r, lo, hi, n, per_shard, stride)
+        _delete(spark, f"{dealt}/range={r}")
+    spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_DONE")
+    _delete(spark, draft, dealt)
+    return Store(path, n, per_shard, stride, width)
+
+
+def _delete(spark: SparkSession, *paths: str) -> None:
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _deal(spark: SparkSession, draft: str, dealt: str, counted: str, key: int, per_shard: int, ranges: int | None, stride: int) -> None:
+    """Number the sequences of the draft, and write each with its slot to its range's folder; a shuffle only where tasks would write too many files."""
     seqs = spark.read.schema("part int, idx long, n_ids int, ids binary").parquet(draft)
     # one number for each input partition
     sizes = sorted((r["part"], r["n"]) for r in seqs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
@@ -158,23 +184,13 @@ def write_store(docs: DataFrame, path: str, key: int = 20240601, length: int = L
         first[part] = n
         n += k
     shards = -(-n // per_shard)
-    ranges = max(1, min(ranges or -(-n * stride // RANGE_BYTES), shards))
-    each = -(-shards // ranges) if shards else 0
-    slots = _slots(seqs, first, n, key)
-    dealt = f"{path}/dealt"
-    if ranges > 1 and not _exists(spark, f"{dealt}/_SUCCESS"):
-        slots.withColumn("range", (F.col("slot") / F.lit(per_shard * each)).cast("int")).repartition("range", F.pmod(F.xxhash64("slot"), F.lit(64))).write.mode("overwrite").partitionBy("range").parquet(dealt)
-    for r in range(ranges if shards else 0):
-        if not _exists(spark, f"{_ranges(path)}/range={r}/_SUCCESS"):
-            lo, hi = r * each, min(shards, (r + 1) * each)
-            if lo < hi:
-                own = slots if ranges == 1 else spark.read.schema("slot long, record binary").parquet(f"{dealt}/range={r}")
-                _write_range(own, path, r, lo, hi, n, per_shard, stride)
-    spark.createDataFrame([(n,)], "n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_DONE")
-    for done in (draft, dealt):
-        at = spark._jvm.org.apache.hadoop.fs.Path(done)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    return Store(path, n, per_shard, stride, width)
+    ranges = min(shards, ranges or max(RANGES, -(-n * stride // RANGE_BYTES)))
+    each = -(-shards // ranges) if shards else 1
+    spark.createDataFrame([(n, ranges, each)], "n long, ranges long, each long").coalesce(1).write.mode("overwrite").parquet(counted)
+    slots = _slots(seqs, first, n, key).withColumn("range", F.floor(F.col("slot") / F.lit(per_shard * each)).cast("int"))
+    if ranges * len(sizes) > _FILES:
+        slots = slots.repartition("range", F.pmod(F.xxhash64("slot"), F.lit(64)))
+    slots.write.mode("overwrite").partitionBy("range").parquet(dealt)
 
 
 _MANIFEST = "shard long, file string, first_slot long, n long, stride int, n_sequences long, bytes long"
