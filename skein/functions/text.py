@@ -24,12 +24,31 @@ def let(value: Column, body) -> Column:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; Spark has no built-in, so this batches through Arrow."""
+    """Unicode NFC; Spark has no built-in. Texts of code points below U+0300 are NFC as they are, so only others go through Arrow."""
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
-    return run(c)
+    return F.coalesce(run(F.when(c.rlike("[^\\x00-\\x{2FF}]"), c)), c)
+
+
+#: code points of the first plane that full case folding does not simply lower (a capital sigma is lowered by its place in a word)
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if c.lower() != c.casefold()} | {"Σ": "σ"}
+_COMMON = {"ß": "ss", "ẞ": "ss"}
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding. Only texts with a code point that folds in a way of its own are taken apart."""
+
+    def fold(x: Column) -> Column:
+        rare = {k: v for k, v in _FOLDED.items() if k not in _COMMON}
+        table = F.create_map(*[F.lit(y) for kv in rare.items() for y in kv])
+        apart = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), F.lower(ch))), "")
+        return F.when(x.rlike("[" + "".join(rare) + "]"), apart).otherwise(F.lower(x))
+
+    for k, v in _COMMON.items():
+        c = F.replace(c, F.lit(k), F.lit(v))
+    return let(c, fold)
 
 
 def collapse(c: Column) -> Column:
@@ -42,8 +61,8 @@ def norm_label(c: Column) -> Column:
 
 
 def fold_key(c: Column) -> Column:
-    """Lower case without one elided and then one plain leading article. Not idempotent: apply once."""
-    s = F.lower(norm_label(c))
+    """Case folded, without one elided and then one plain leading article. Not idempotent: apply once."""
+    s = casefold(norm_label(c))
     s = F.regexp_replace(s, r"(?U)^(?:l'|'l)\s*", "")
     return F.trim(F.regexp_replace(s, r"(?U)^(?:" + "|".join(V.ARTICLES) + r")\s+", ""))
 

@@ -23,7 +23,7 @@ from ..sources import sinks as SK
 from .queries import fold_sql, lst, query, table
 
 _ITEMS_SQL = (
-    "items AS (SELECT l_orderkey AS scene, l_linenumber AS no, min(l_partkey) AS part, min(l_suppkey) AS supp, CAST(min(l_quantity) AS INTEGER) AS qty, "
+    "items AS MATERIALIZED (SELECT l_orderkey AS scene, l_linenumber AS no, min(l_partkey) AS part, min(l_suppkey) AS supp, CAST(min(l_quantity) AS INTEGER) AS qty, "
     "min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY ALL)"
 )
 
@@ -338,14 +338,14 @@ def lock_problems(spark, sf_dir):
 
 _GRAPH_SQL = f"""
 WITH {_ITEMS_SQL},
-rel AS (SELECT scene AS unit, no, part % 5 AS subj, supp % 5 AS obj, CASE flag WHEN 'A' THEN 'literal' WHEN 'N' THEN 'reported' ELSE 'prophecy' END AS frame, qty AS s, qty + no % 3 AS e FROM items),
-sc AS (SELECT o_orderkey AS unit, x.id AS scene_id, x.lo, x.hi FROM orders, (VALUES (0, 1, 20), (1, 21, 45), (2, 40, 60)) x(id, lo, hi)),
+rel AS MATERIALIZED (SELECT scene AS unit, no, part % 5 AS subj, supp % 5 AS obj, CASE flag WHEN 'A' THEN 'literal' WHEN 'N' THEN 'reported' ELSE 'prophecy' END AS frame, qty AS s, qty + no % 3 AS e FROM items),
+sc AS MATERIALIZED (SELECT o_orderkey AS unit, x.id AS scene_id, x.lo, x.hi FROM orders, (VALUES (0, 1, 20), (1, 21, 45), (2, 40, 60)) x(id, lo, hi)),
 hit AS (SELECT rel.unit, no, count(scene_id) AS n, max(scene_id) AS scene_id FROM rel LEFT JOIN sc ON sc.unit = rel.unit AND lo <= s AND e <= hi GROUP BY ALL),
-pl AS (SELECT rel.*, CASE WHEN n = 1 THEN scene_id END AS scene_id FROM rel JOIN hit USING (unit, no)),
-t AS (SELECT unit, scene_id, tag_no, 'Il Fig ' || (tag_no + scene_id) AS label FROM sc, range(1, 5) t(tag_no)),
-en AS (SELECT pl.*, a.label AS subj_name, b.label AS obj_name FROM pl LEFT JOIN t a ON a.unit = pl.unit AND a.scene_id = pl.scene_id AND a.tag_no = pl.subj LEFT JOIN t b ON b.unit = pl.unit AND b.scene_id = pl.scene_id AND b.tag_no = pl.obj),
-ok AS (SELECT * FROM en WHERE subj_name IS NOT NULL AND obj_name IS NOT NULL),
-sp AS (SELECT scene AS unit, no AS ord, greatest(qty - 10, 0) AS lo, qty + part % 12 AS hi, CASE WHEN supp % 4 = 0 THEN '(unattributed)' ELSE 'S' || supp % 4 END AS speaker FROM items),
+pl AS MATERIALIZED (SELECT rel.*, CASE WHEN n = 1 THEN scene_id END AS scene_id FROM rel JOIN hit USING (unit, no)),
+t AS MATERIALIZED (SELECT unit, scene_id, tag_no, 'Il Fig ' || (tag_no + scene_id) AS label FROM sc, range(1, 5) t(tag_no)),
+en AS MATERIALIZED (SELECT pl.*, a.label AS subj_name, b.label AS obj_name FROM pl LEFT JOIN t a ON a.unit = pl.unit AND a.scene_id = pl.scene_id AND a.tag_no = pl.subj LEFT JOIN t b ON b.unit = pl.unit AND b.scene_id = pl.scene_id AND b.tag_no = pl.obj),
+ok AS MATERIALIZED (SELECT * FROM en WHERE subj_name IS NOT NULL AND obj_name IS NOT NULL),
+sp AS MATERIALIZED (SELECT scene AS unit, no AS ord, greatest(qty - 10, 0) AS lo, qty + part % 12 AS hi, CASE WHEN supp % 4 = 0 THEN '(unattributed)' ELSE 'S' || supp % 4 END AS speaker FROM items),
 a AS (SELECT ok.unit, ok.no, arg_min(speaker, {{'l': hi - lo, 'o': ord}}) AS sp FROM ok JOIN sp ON sp.unit = ok.unit AND lo <= s AND e <= hi WHERE frame IN ('reported', 'prophecy', 'simile') GROUP BY ALL)
 SELECT ok.unit, ok.no, ok.scene_id, subj_name, CASE WHEN {fold_sql('subj_name')} <> 'fig 3' THEN 'Fig ' || subj_name[8:] END AS subj_node, obj_name, CASE WHEN {fold_sql('obj_name')} <> 'fig 3' THEN 'Fig ' || obj_name[8:] END AS obj_node,
        frame, nullif(sp, '(unattributed)') AS asserter FROM ok LEFT JOIN a USING (unit, no)
@@ -371,7 +371,7 @@ def graph_edges(spark, sf_dir):
 
 
 @query(
-    _GRAPH_SQL.split("ok AS")[0].rstrip().rstrip(",")
+    _GRAPH_SQL.split("ok AS MATERIALIZED")[0].rstrip().rstrip(",")
     + " SELECT 'graph' AS layer, CAST(unit AS VARCHAR) AS unit, code, s || '-' || e AS detail FROM (SELECT unit, s, e, unnest([CASE WHEN scene_id IS NULL THEN 'not in one scene' END, "
     "CASE WHEN scene_id IS NOT NULL AND subj_name IS NULL THEN 'subject tag missing' END, CASE WHEN scene_id IS NOT NULL AND obj_name IS NULL THEN 'object tag missing' END]) AS code FROM en) WHERE code IS NOT NULL"
 )

@@ -43,7 +43,7 @@ def lst(words) -> str:
 
 
 def fold_sql(x: str) -> str:
-    return f"trim(regexp_replace(regexp_replace(lower({x}), '^(?:l''|''l)\\s*', ''), '^(?:{'|'.join(V.ARTICLES)})\\s+', ''))"
+    return f"trim(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), '^(?:l''|''l)\\s*', ''), '^(?:{'|'.join(V.ARTICLES)})\\s+', ''))"
 
 
 TOKEN = r"[\p{L}']+"

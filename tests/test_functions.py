@@ -23,6 +23,17 @@ def test_fold_key(spark):
     assert got == ["altra", "altra", "altra", "mio maestro", "l'x", "altra", "minòs", None]
 
 
+def test_casefold(spark):
+    words = ["Straße", "STRASSE", "ΟΔΟΣ", "οδός", "ẞ", "ﬁn", "İ", "ſ µ", "Ꭰ", "ŉ x", "ÀÉ", "plain", "", None, "".join(map(chr, [*range(0x80, 0x590), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB18)]))]
+    assert many(spark, T.casefold, words) == [None if w is None else w.casefold() for w in words]
+    assert many(spark, T.fold_key, ["la Straße", "LA STRASSE", "Σίσυφος"]) == ["strasse", "strasse", "σίσυφοσ"]
+
+
+def test_nfc_of_rare_texts_only(spark):
+    words = ["plain", "é", "e\u0301", "ﬁ", "A\u030a \u212b", None]
+    assert many(spark, T.nfc, words) == [None if w is None else unicodedata.normalize("NFC", w) for w in words]
+
+
 def test_norm_label_and_nfc(spark):
     assert many(spark, T.norm_label, ["a  b\t c", "l`un", "  x "]) == ["a b c", "l'un", "x"]
     assert many(spark, T.nfc, ["é", None]) == [unicodedata.normalize("NFC", "é"), None]
