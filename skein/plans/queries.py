@@ -574,6 +574,24 @@ def coref_overlay(spark, sf_dir):
     return CO.overlay_rows(d, cand, occ, ["user_id", "day"]).select("user_id", F.col("day").cast("string").alias("day"), "tag_no", "label")
 
 
+_TYPED_SQL = f"""
+WITH t AS (SELECT p_partkey AS ord, CASE WHEN p_size % 3 = 0 THEN upper({_W1}[1]) || {_W1}[2:] WHEN p_size % 7 = 0 THEN 'quei ' || {_W1} ELSE {_W1} END || CASE WHEN p_size % 5 = 0 THEN upper({_W2}[1]) || {_W2}[2:] ELSE '' END AS label,
+ CASE WHEN p_partkey % 4 = 0 THEN 'class' ELSE 'individual' END AS type FROM part),
+k AS (SELECT *, regexp_matches(label, '^\\p{{Lu}}[\\p{{L}}]*$') AS named FROM t WHERE type = 'individual')
+SELECT 'epithet' AS kind, label AS fold, label FROM k WHERE NOT named AND NOT starts_with(label, 'quei ') GROUP BY label
+UNION ALL SELECT 'named', lower(label), arg_max(label, {{'o': ord, 'l': label}}) FROM k WHERE named GROUP BY lower(label)"""
+
+
+@query(_TYPED_SQL)
+def typed_candidates(spark, sf_dir):
+    """Epithets, whose meaning is a scene's, and named individuals, of which the last spelling of a fold counts."""
+    w = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    head = F.when(F.col("p_size") % 3 == 0, F.initcap(w(1))).when(F.col("p_size") % 7 == 0, F.concat(F.lit("quei "), w(1))).otherwise(w(1))
+    label = F.concat(head, F.when(F.col("p_size") % 5 == 0, F.initcap(w(2))).otherwise(""))
+    t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), label.alias("label"), F.when(F.col("p_partkey") % 4 == 0, "class").otherwise("individual").alias("type"))
+    return CO.epithets(t).select(F.lit("epithet").alias("kind"), F.col("label").alias("fold"), "label").unionByName(CO.named_individuals(t).select(F.lit("named").alias("kind"), "fold", "label"))
+
+
 # --- regions --------------------------------------------------------------------------------------------------
 
 _BY, _ORDER = ["user_id"], ["ts", "event_id"]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import oracle
-from skein.operators import checks, identity, intervals, regions, scene
+from skein.operators import checks, coreference, identity, intervals, regions, scene
 
 
 def test_registry(spark):
@@ -31,6 +31,19 @@ def test_raw_to_canonical_last_wins(spark):
     assert {r.fold: r.canonical for r in identity.raw_to_canonical(reg).collect()} == {"renzo": "Renzo", "poeta": "Lucia", "a, b": "A, B"}
 
 
+def test_candidates_by_type(spark):
+    types = [("Carlo", "individual"), ("Carlo Martello", "individual"), ("figlio di Carlo", "individual"), ("il duca", "individual"), ("quei che va", "individual"), ("il Duca", "individual"), ("Virgilio", "individual"), ("duca", "class"), ("Dio", "individual"), ("Altissimo Dio", "individual")]
+    t = spark.createDataFrame([(i, *x) for i, x in enumerate(types)], "ord int, label string, type string")
+    assert {r.label for r in coreference.epithets(t).collect()} == {"figlio di Carlo", "il duca", "il Duca"}
+    assert {r.fold: r.label for r in coreference.named_individuals(t).collect()} == {"carlo": "Carlo", "carlo martello": "Carlo Martello", "virgilio": "Virgilio", "dio": "Dio", "altissimo dio": "Altissimo Dio"}
+    seeds = spark.createDataFrame([("Carlo", "duca", 0), ("Carlo", "Carlo Martello", 1), ("Carlo", "nobody", 2), ("Virgilio", "Altissimo Dio", 3), ("x", "duca", 4)], "bare string, fuller string, ord int")
+    assert {r.bare: r.targets for r in coreference.candidate_targets(t, seeds).collect()} == {"Carlo": ["Carlo Martello", "duca"], "Virgilio": ["Altissimo Dio"]}
+    tags = spark.createDataFrame([(1, 1, "il duca"), (1, 2, "VIRGILIO"), (2, 2, "Virgilio"), (2, 1, "il duca")], "s int, tag_no int, label string")
+    named = spark.createDataFrame([("Virgilio", 1), ("VIRGILIO", 0)], "label string, ord int")
+    got = coreference.epithet_scenes(tags, coreference.epithets(t), named, ["s"]).collect()
+    assert {(r.s, r.label): r.candidates for r in got} == {(1, "il duca"): ["Virgilio"], (2, "il duca"): ["Virgilio"]}
+
+
 def test_binned_containment_is_the_plain_one(spark):
     rng = random.Random(1)
     pts = [(i, rng.randrange(3), (a := rng.randrange(200)), a + rng.randrange(9)) for i in range(200)]
