@@ -9,10 +9,6 @@ from ..functions import text as T
 from ..functions import vocab as V
 from .lock import licensed_names
 
-#: always licensed: a fixed value
-NARRATOR = "Dante"
-
-
 def set_licences(locks: DataFrame, scene: list[str], unit: list[str]) -> DataFrame:
     """(scene, name): members of comma labels in a scene's cast whose pieces, two or more, are all figures of the unit's casts or names."""
     who = locks.select(*dict.fromkeys((*scene, *unit)), F.explode("cast.who").alias("label"))
@@ -25,8 +21,8 @@ def set_licences(locks: DataFrame, scene: list[str], unit: list[str]) -> DataFra
     return who.where(F.col("label").contains(",")).join(g, [*unit, "label"]).select(*scene, F.explode("_names").alias("name"))
 
 
-def licences(locks: DataFrame, scene: list[str], unit: list[str], constant: tuple[str, ...] = (NARRATOR,)) -> DataFrame:
-    """(scene, word): every lower-cased word of every name that a scene's lock mentions, of set members and of the constants."""
+def licences(locks: DataFrame, scene: list[str], unit: list[str], constant: tuple[str, ...] = ()) -> DataFrame:
+    """(scene, word): every lower-cased word of every name that a scene's lock mentions, of set members and of the ``constant`` names, which every scene licenses."""
     names = licensed_names(locks, constant=constant).select(*scene, F.explode("names").alias("name"))
     both = names.unionByName(set_licences(locks, scene, unit))
     return both.select(*scene, F.explode(T.name_tokens(F.col("name"))).alias("word")).select(*scene, F.lower("word").alias("word")).distinct()
@@ -45,12 +41,12 @@ def assertions(digest: DataFrame, scene: list[str]) -> DataFrame:
     return en.unionByName(ja.select(*scene, "lang", "token", F.lower("token").alias("word")))
 
 
-def conform(digest: DataFrame, locks: DataFrame, scene: list[str], unit: list[str]) -> DataFrame:
+def conform(digest: DataFrame, locks: DataFrame, scene: list[str], unit: list[str], constant: tuple[str, ...] = ()) -> DataFrame:
     """(scene, lang, token, n, licensed): asserted tokens with their counts; scenes that lack a lock are left out."""
     held = digest.join(locks.select(*scene).distinct(), scene, "left_semi")
     # counted before the look-up, so a token of a scene meets the dictionary once
     n = assertions(held, scene).groupBy(*scene, "lang", "token", "word").agg(F.count(F.lit(1)).alias("n"))
-    ok = licences(locks, scene, unit).withColumn("_ok", F.lit(True))
+    ok = licences(locks, scene, unit, constant).withColumn("_ok", F.lit(True))
     return n.join(ok, [*scene, "word"], "left").select(*scene, "lang", "token", "n", F.col("_ok").isNotNull().alias("licensed"))
 
 

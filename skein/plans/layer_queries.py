@@ -271,7 +271,7 @@ fig AS (SELECT unit, scene, who FROM cap UNION SELECT unit, scene, min(who) || '
 known AS (SELECT DISTINCT unit, {fold_sql('who')} AS fold FROM fig),
 pc AS (SELECT DISTINCT unit, who, trim(unnest(string_split(who, ','))) AS piece FROM fig WHERE who LIKE '%,%'),
 okay AS (SELECT pc.unit, who FROM pc LEFT JOIN known ON known.unit = pc.unit AND fold = {fold_sql('piece')} GROUP BY pc.unit, who HAVING bool_and(fold IS NOT NULL OR regexp_matches(piece, '^\\p{{Lu}}[\\p{{L}}]*$'))),
-nm AS (SELECT scene, who AS name FROM fig UNION SELECT fig.scene, pc.piece FROM fig JOIN okay ON okay.unit = fig.unit AND okay.who = fig.who JOIN pc ON pc.unit = okay.unit AND pc.who = okay.who UNION SELECT DISTINCT scene, 'Dante' FROM raw),
+nm AS (SELECT scene, who AS name FROM fig UNION SELECT fig.scene, pc.piece FROM fig JOIN okay ON okay.unit = fig.unit AND okay.who = fig.who JOIN pc ON pc.unit = okay.unit AND pc.who = okay.who UNION SELECT DISTINCT scene, 'Narrator' FROM raw),
 lic AS (SELECT DISTINCT scene, lower(unnest(regexp_extract_all(name, '{_WORD}'))) AS w FROM nm),
 sen AS (SELECT scene, unit, unnest(string_split(regexp_replace(trim(text), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM raw WHERE role = 'assistant'),
 tok AS (SELECT scene, unit, 'en' AS lang, unnest(list_filter(regexp_extract_all(s, '{_WORD}')[2:], lambda x: regexp_matches(x, '^\\p{{Lu}}') AND x NOT IN ({lst(V.SENTENCE_OPENERS)}))) AS token FROM sen
@@ -293,7 +293,7 @@ def _conformed(spark, sf_dir) -> DataFrame:
     }
     locks = locks.withColumns({n: F.array().cast(t) for n, t in none.items()} | {"location": F.lit(""), "region": F.lit("")})
     digest = c.where("role in ('assistant', 'system')").select("unit", "scene", F.when(F.col("role") == "assistant", "en").otherwise("ja").alias("lang"), "text")
-    return CF.conform(digest, locks, ["unit", "scene"], ["unit"])
+    return CF.conform(digest, locks, ["unit", "scene"], ["unit"], constant=("Narrator",))
 
 
 @query(_CONFORM_SQL + " SELECT scene, count(*) AS asserted, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS in_lock, coalesce(string_agg(DISTINCT lang || ':' || token, '|' ORDER BY lang || ':' || token) FILTER (WHERE NOT ok), '') AS deviations FROM j GROUP BY scene")
