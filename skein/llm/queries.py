@@ -203,5 +203,50 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_
 QUALIFY row_number() OVER w <= 5
 """
 
+#: sets are compared once each, however many documents hold them
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM d
+), once AS MATERIALIZED (
+  SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), e AS MATERIALIZED (
+  SELECT id, n, unnest(s) AS x FROM once
+), pairs AS (
+  SELECT a.id AS a, b.id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM e a JOIN e b ON a.x = b.x AND a.id < b.id WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY a.id, b.id
+), links AS MATERIALIZED (
+  SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)
+), walk AS (
+  SELECT id, id AS at FROM once UNION SELECT walk.id, links.b FROM walk JOIN links ON links.a = walk.at
+), roots AS (
+  SELECT id, min(walk.at) AS root FROM walk GROUP BY id
+)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(root, sets.doc_id) AS component_id
+FROM sets LEFT JOIN once ON once.s = sets.s LEFT JOIN roots ON roots.id = once.id
+"""
+
+OP8_SQL = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), v AS MATERIALIZED (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS len FROM u WHERE list_dot_product(e, e) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.len * b.len) >= 0.98
+), walk AS (
+  SELECT vec_id, vec_id AS at FROM v UNION SELECT walk.vec_id, links.b FROM walk JOIN links ON links.a = walk.at
+), roots AS (
+  SELECT vec_id, min(walk.at) AS root FROM walk GROUP BY vec_id
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT x.vec_id, coalesce(n, 0) AS n_links, coalesce(root, x.vec_id) AS component_id, coalesce(root, x.vec_id) = x.vec_id AS kept
+FROM embeddings x LEFT JOIN roots ON roots.vec_id = x.vec_id LEFT JOIN counts ON counts.a = x.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_join, op2_packing, op3_sentencepiece, op4_token_store, op5_langid, op6_substring_dedup, op7_line_dedup, op8_embed_dedup, op9_ann, op10_toxicity, op11_pii, op12_variants, op13_hard_negatives, pipeline)}
-ORACLES: dict[str, str] = {"op7_line_dedup": OP7_SQL, "op12_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op8_embed_dedup": OP8_SQL, "op7_line_dedup": OP7_SQL, "op12_variants": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -6,7 +6,7 @@ from skein.llm import queries as Q
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op12_variants", "op13_hard_negatives"])
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op8_embed_dedup", "op12_variants", "op13_hard_negatives"])
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
     for t in ("documents", "embeddings"):
