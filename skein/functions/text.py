@@ -196,11 +196,44 @@ def name_tokens(c: Column) -> Column:
 
 
 def mark_terms(text: Column, terms: Column) -> Column:
-    """``*``-wrap every licensed term, the longest first, unless it is wrapped already."""
+    """``*``-wrap every licensed term, the longest first, unless it is wrapped already or stands inside a word.
+
+    Terms are filed under their first letters, so a word is tried against those of its own letter only.
+    """
     ordered = F.array_sort(F.array_distinct(F.filter(terms, lambda t: t != "")), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
-    quoted = F.array_join(F.transform(ordered, lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<![*\w])(?:"), quoted, F.lit(r")(?![*\w])"))
-    return F.when(F.size(ordered) > 0, F.regexp_replace(text, pattern, F.lit("*$0*"))).otherwise(text)
+    quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    first = lambda t: F.lower(F.substring(t, 1, 1))
+
+    def pattern(sorted_terms: Column) -> Column:
+        files = F.array_distinct(F.transform(sorted_terms, first))
+        own = lambda c: F.array_join(F.transform(F.filter(sorted_terms, lambda t: first(t) == c), quoted), "|")
+        return F.concat(F.lit(r"(?iU)(?<![*\w])(?:"), F.array_join(F.transform(files, lambda c: F.concat(F.lit("(?="), quoted(c), F.lit(")(?:"), own(c), F.lit(")"))), "|"), F.lit(r")(?![*\w])"))
+
+    return F.when(F.size(ordered) > 0, F.regexp_replace(text, let(ordered, pattern), F.lit("*$0*"))).otherwise(text)
+
+
+#: what opens a line that is no prose: fixed values
+NO_PROSE = r"^[*\-\[{#]"
+
+
+def prose(text: Column) -> Column:
+    """A text's lines that are neither blank, bullets, marks nor headings, white space at their ends taken off."""
+    lines = F.transform(F.split(text, r"\R"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.filter(lines, lambda x: (x != "") & ~x.rlike(NO_PROSE))
+
+
+def latin_words(line: Column) -> Column:
+    return F.regexp_extract_all(F.lower(line), F.lit("[a-z][a-z'-]*"), F.lit(0))
+
+
+def is_verb_like(word: Column) -> Column:
+    """Has a word the form of a third person singular, and is none of the words that only look so?"""
+    return (F.length(word) > 3) & word.endswith("s") & ~word.rlike("(?:ss|ous|is)$") & ~word.contains("'") & ~word.isin(*V.NO_VERBS)
+
+
+def capitalised_runs(text: Column) -> Column:
+    """Every stretch of capitalised words of a text, with the word before it."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(?:^|\s)((?:\S+\s+)?\p{Lu}\S*+(?:\s+\p{Lu}\S*+)*+)"), F.lit(1)), collapse)
 
 
 def is_echo(name: Column, surface: Column) -> Column:

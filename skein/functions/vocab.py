@@ -56,9 +56,41 @@ SENTENCE_OPENERS = (
     "Although", "Because", "If", "Upon", "Once", "Soon", "Still", "Both", "One", "Two", "Each", "All", "No", "Not",
     "Its", "Our", "Your",
 )
-PREDICATES = (
-    "speaks-to", "addresses", "asks", "answers", "tells", "commands", "warns", "rebukes", "praises", "prophesies",
-    "calls", "pleads-with", "names", "sees", "hears", "meets", "recognizes", "guides", "follows", "brings", "sends",
-    "gives", "shows", "touches", "strikes", "defeats", "chases", "punishes", "protects", "compares", "opposes",
-)
+#: the closed list of predicates, each with the verbs it stands for; a verb may have several
+VERBS = {
+    "speaks-to": ("speaks", "talks"),
+    "addresses": ("addresses", "greets"),
+    "asks": ("asks", "questions", "inquires", "wonders"),
+    "answers": ("answers", "responds", "replies", "retorts"),
+    "tells": ("tells", "informs", "relates", "reports", "asserts", "claims", "declares"),
+    "commands": ("commands", "orders", "instructs", "directs", "urges", "bids", "exhorts"),
+    "warns": ("warns", "cautions"),
+    "rebukes": ("rebukes", "reproaches", "condemns", "criticizes", "scolds", "blames"),
+    "praises": ("praises", "blesses", "honors", "thanks"),
+    "prophesies": ("prophesies", "foretells", "predicts"),
+    "calls": ("calls", "summons", "invokes", "shouts", "cries", "exclaims"),
+    "pleads-with": ("pleads", "begs", "implores", "entreats", "prays"),
+    "names": ("names", "calls"),
+    "sees": ("sees", "beholds", "watches", "notices", "perceives", "spots", "spies"),
+    "hears": ("hears", "listens"),
+    "meets": ("meets", "encounters", "finds", "approaches", "joins", "greets"),
+    "recognizes": ("recognizes", "knows"),
+    "guides": ("guides", "leads", "directs"),
+    "follows": ("follows", "accompanies"),
+    "brings": ("brings", "takes", "carries", "draws"),
+    "sends": ("sends", "dispatches"),
+    "gives": ("gives", "offers", "grants", "hands", "presents"),
+    "shows": ("shows", "reveals", "points", "displays"),
+    "touches": ("touches", "embraces", "grasps", "seizes", "grabs", "holds"),
+    "strikes": ("strikes", "hits", "beats", "attacks", "wounds"),
+    "defeats": ("defeats", "overcomes", "conquers", "vanquishes", "destroys", "kills", "slays", "devours", "consumes"),
+    "chases": ("chases", "hunts", "pursues", "drives", "blocks", "hinders"),
+    "punishes": ("punishes", "torments", "tortures", "afflicts"),
+    "protects": ("protects", "defends", "saves", "rescues", "shields"),
+    "compares": ("compares", "likens", "resembles"),
+    "opposes": ("opposes", "resists", "defies", "rebels"),
+}
+PREDICATES = tuple(VERBS)
+#: words that end as verbs do and are none
+NO_VERBS = ("this", "his", "its", "thus", "plus", "was", "perhaps", "across", "towards", "as", "us", "is", "has", "does")
 FALLBACK_PREDICATE = "relates-to"

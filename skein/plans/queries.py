@@ -19,6 +19,7 @@ from ..operators import intervals as IV
 from ..operators import regions as R
 from ..operators import scan as SC
 from ..operators import scene as S
+from ..operators import verbs as VB
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -180,20 +181,24 @@ def bare_targets(spark, sf_dir):
     return I.bare_targets(p.select(F.explode(F.array("a", "b", F.concat_ws(" ", "a", "b"), F.concat_ws(" di ", "a", "b"))).alias("label")))
 
 
-_NAME_SQL = f"""
-WITH h AS (SELECT doc_id, trim(regexp_replace(regexp_extract(text, '^(?:\\S+\\s+){{0,2}}\\S+'), '\\s+', ' ', 'g')) AS label FROM documents),
-w AS (SELECT doc_id, label, unnest(string_split(label, ' ')) AS w, generate_subscripts(string_split(label, ' '), 1) AS i FROM h WHERE label <> ''),
-k AS (SELECT doc_id, CASE WHEN lower(w) IN ({lst(V.PREPOSITIONS + V.TITLES)}) THEN 1 WHEN i > 1 AND lower(w) IN ({lst(V.INFIX_ARTICLES)}) THEN 1
- WHEN regexp_matches(w, '^\\p{{Lu}}[\\p{{L}}\\p{{M}}\\p{{N}}_'']*$') OR (regexp_matches(w, '^[^''\\p{{Lu}}]*''\\p{{Lu}}[\\p{{L}}\\p{{M}}\\p{{N}}_'']*$') AND regexp_matches(w, '^[^'']*\\p{{Ll}}')) THEN 2 ELSE 0 END AS kind FROM w)
-SELECT h.doc_id, coalesce(min(kind) > 0 AND max(kind) = 2, false) AS is_name, coalesce(lower(string_split(any_value(label), ' ')[1]) IN ({lst(V.DEICTIC_HEADS)}), false) AS deictic
-FROM h LEFT JOIN k ON k.doc_id = h.doc_id GROUP BY h.doc_id"""
+#: white space and word characters as the generated code has them
+_WS = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
+_NAME_SQL = rf"""
+WITH r AS (SELECT unnest(regexp_extract_all(text, '(?:^|[{_WS}])((?:[^{_WS}]+[{_WS}]+)?\p{{Lu}}[^{_WS}]*(?:[{_WS}]+\p{{Lu}}[^{_WS}]*)*)', 1)) AS raw FROM documents),
+h AS (SELECT trim(regexp_replace(raw, '[{_WS}]+', ' ', 'g')) AS label, count(*) AS n FROM r GROUP BY label),
+w AS (SELECT label, unnest(string_split(label, ' ')) AS w, generate_subscripts(string_split(label, ' '), 1) AS i FROM h),
+k AS (SELECT label, CASE WHEN lower(w) IN ({lst(V.PREPOSITIONS + V.TITLES)}) THEN 1 WHEN i > 1 AND lower(w) IN ({lst(V.INFIX_ARTICLES)}) THEN 1
+ WHEN regexp_matches(w, '^\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}_'']*$') OR (regexp_matches(w, '^[^''\p{{Lu}}]*''\p{{Lu}}[\p{{L}}\p{{M}}\p{{N}}_'']*$') AND regexp_matches(w, '^[^'']*\p{{Ll}}')) THEN 2 ELSE 0 END AS kind FROM w)
+SELECT h.label, any_value(n) AS n, min(kind) > 0 AND max(kind) = 2 AS is_name, lower(string_split(h.label, ' ')[1]) IN ({lst(V.DEICTIC_HEADS)}) AS deictic
+FROM h JOIN k ON k.label = h.label GROUP BY h.label"""
 
 
 @query(_NAME_SQL)
 def name_class(spark, sf_dir):
-    """Is a text's opening (three words) a name, is it led by a demonstrative."""
-    d = table(spark, sf_dir, "documents").select("doc_id", T.collapse(F.regexp_extract(F.coalesce("text", F.lit("")), r"^(?:\S+\s+){0,2}\S+", 0)).alias("label"))
-    return d.select("doc_id", F.coalesce(T.is_capitalized_name(F.col("label")), F.lit(False)).alias("is_name"), F.coalesce(T.is_deictic(F.col("label")), F.lit(False)).alias("deictic"))
+    """Every capitalised stretch of the texts with the word before it: is it a name, is it led by a demonstrative. Counted before classifying."""
+    d = table(spark, sf_dir, "documents").select(F.explode(T.capitalised_runs(F.col("text"))).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return d.select("label", "n", T.is_capitalized_name(F.col("label")).alias("is_name"), T.is_deictic(F.col("label")).alias("deictic"))
 
 
 # --- marks and lines ------------------------------------------------------------------------------------------
@@ -247,20 +252,26 @@ _ELIDE_O = "|".join(sorted({w[:-1] for w in V.ELIDABLE if w.endswith("o")}, key=
 _ELIDE_A = "|".join(sorted({w[:-1] for w in V.ELIDABLE if w.endswith("a")}, key=len, reverse=True))
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[^ -~]', ' ', 'g'), '(?i)\\b(?:({_ELIDE_O})o|({_ELIDE_A})a)\\s+([aeiou]\\w*)', '\\1\\2''\\3', 'g')) AS digest FROM documents")
+@query(rf"SELECT doc_id, md5(regexp_replace(text, '(?i)(^|[^{_WORD}])(?:({_ELIDE_O})o|({_ELIDE_A})a)[{_WS}]+([{V.VOWELS}][{_WORD}]*)', '\1\2\3''\4', 'g')) AS digest FROM documents")
 def elision(spark, sf_dir):
-    """Elidable determiners contracted before a vowel (over the ASCII part of the texts)."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fix_elision(F.regexp_replace("text", "[^ -~]", " "))).alias("digest"))
+    """Elidable determiners contracted before a vowel, in whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.fix_elision(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(
+    rf"""WITH t AS (SELECT doc_id, text, list_distinct(list_transform(regexp_extract_all(text, '\p{{Lu}}\p{{L}}+'), lambda x: lower(x))) AS terms, regexp_extract_all(text, '[{_WORD}]+|[^{_WORD}]+') AS k FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, text, terms, unnest(k) AS tok, generate_subscripts(k, 1) AS i FROM t),
+n AS (SELECT *, lag(tok) OVER w AS before, lead(tok) OVER w AS after FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT doc_id, string_agg(CASE WHEN list_contains(terms, lower(tok)) AND coalesce(before, '') NOT LIKE '%*' AND coalesce(after, '') NOT LIKE '*%' THEN '*' || tok || '*' ELSE tok END, '' ORDER BY i) AS marked FROM n GROUP BY doc_id)
+SELECT t.doc_id, CAST(length(coalesce(marked, '')) - length(text) AS INTEGER) AS added, md5(coalesce(marked, '')) AS digest, true AS stable FROM t LEFT JOIN m ON m.doc_id = t.doc_id"""
+)
 def italic_mark(spark, sf_dir):
-    """Licensed terms (each text's own first three names) wrapped once, the longest first."""
+    """Licensed terms (each text's own names, all of them) wrapped once; a second pass changes nothing."""
     d = table(spark, sf_dir, "documents").where("text is not null")
-    terms = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0))), 1, 3)
-    once = T.mark_terms(F.col("text"), F.col("terms"))
-    d = d.withColumn("terms", terms).withColumn("marked", once).withColumn("again", T.mark_terms(F.col("marked"), F.col("terms")))
-    return d.select("doc_id", (F.length("marked") - F.length("text")).alias("added"), (F.col("again") == F.col("marked")).alias("stable"))
+    terms = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0)))
+    d = d.withColumn("terms", terms).withColumn("marked", T.mark_terms(F.col("text"), F.col("terms")))
+    again = T.mark_terms(F.col("marked"), F.col("terms"))
+    return d.select("doc_id", (F.length("marked") - F.length("text")).alias("added"), F.md5("marked").alias("digest"), (again == F.col("marked")).alias("stable"))
 
 
 # --- intervals ------------------------------------------------------------------------------------------------
@@ -759,6 +770,44 @@ def verb_hist(spark, sf_dir):
     return v.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_words"), F.sum("n").alias("n_tokens")).join(top, "bucket")
 
 
+_CLASS_SQL = rf"""
+WITH l AS (SELECT unnest(regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM documents),
+w AS MATERIALIZED (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(line), '[a-z][a-z''-]*')) AS word FROM l WHERE NOT regexp_matches(line, '^[{_WS}]*[*\-\[{{#]')) GROUP BY word),
+h AS MATERIALIZED (SELECT word, n FROM w WHERE length(word) > 3 AND word LIKE '%s' AND NOT regexp_matches(word, '(ss|ous|is)$') AND word NOT LIKE '%''%' AND word NOT IN ({lst(V.NO_VERBS)})
+ AND NOT regexp_matches(word, '(ings|tions)$') ORDER BY n DESC, word LIMIT {VB.TOP}),
+c AS MATERIALIZED (SELECT DISTINCT w.word AS predicate, h.word FROM h JOIN w ON w.word = h.word[:-2] OR (h.word LIKE '%es' AND w.word = h.word[:-3]))"""
+
+
+def _verb_classes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The head, and its words' classes: what is left without the ending, where the texts have that word too."""
+    d = table(spark, sf_dir, "documents")
+    n = VB.counts(d, "text").withColumn("bucket", F.when(F.col("word").rlike("(?:ings|tions)$"), "noun").otherwise("diegetic"))
+    h = VB.head(n)
+    without = lambda e: F.when(F.col("word").endswith(e), F.expr(f"substring(word, 1, length(word) - {len(e)})"))
+    stems = h.select("word", F.explode(F.array_compact(F.array(without("s"), without("es")))).alias("predicate"))
+    words = d.select(F.explode(T.prose(F.col("text"))).alias("line")).select(F.explode(T.latin_words(F.col("line"))).alias("predicate"))
+    # twice as many stems as the head has words, at most
+    return h, stems.join(words.join(F.broadcast(stems.select("predicate")), "predicate", "left_semi").distinct(), "predicate")
+
+
+@query(_CLASS_SQL + " SELECT predicate, string_agg(h.word, ',' ORDER BY h.word) AS verbs, CAST(sum(n) AS BIGINT) AS n FROM h LEFT JOIN c ON c.word = h.word GROUP BY predicate")
+def verb_classes(spark, sf_dir):
+    """The most frequent verb-like words of the prose lines by synonym class; a word may have several."""
+    h, c = _verb_classes(spark, sf_dir)
+    return VB.by_predicate(h, c).withColumn("verbs", F.array_join("verbs", ","))
+
+
+@query(
+    _CLASS_SQL
+    + f""" SELECT count(*) AS n_words, CAST(coalesce(sum(n) FILTER (WHERE ok), 0) AS BIGINT) AS covered, CAST(coalesce(sum(n), 0) AS BIGINT) AS total, coalesce(round(100 * sum(n) FILTER (WHERE ok) / sum(n), 1), 0) AS pct,
+string_agg(word, ',' ORDER BY n DESC, word) FILTER (WHERE NOT ok) AS uncovered, (SELECT count(DISTINCT predicate) FROM c) AS n_predicates, (SELECT count(DISTINCT predicate) FROM c) <= {VB.MOST_PREDICATES} AS tractable FROM (SELECT word, n, word IN (SELECT word FROM c) AS ok FROM h)"""
+)
+def verb_coverage(spark, sf_dir):
+    """How much of the head the classes cover, what they leave, and whether they are few enough for one list."""
+    h, c = _verb_classes(spark, sf_dir)
+    return VB.coverage(h, c).withColumn("uncovered", F.array_join("uncovered", ","))
+
+
 @query(f"WITH t AS (SELECT lang, source, tok FROM ({TOKENS_SQL}) GROUP BY ALL) SELECT lang, source, count(DISTINCT tok) AS n_labels, CASE WHEN count(DISTINCT tok) < 1500 THEN 'PASS' ELSE 'FAIL' END AS gate FROM t GROUP BY ROLLUP (lang, source)")
 def global_gates(spark, sf_dir):
     """Totals per unit and over all, with pass/fail gates."""
