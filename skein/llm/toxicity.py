@@ -1,11 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over an inverted index.
 
 Fitting takes a bounded, documented sample of labelled rows (``max_toxic`` and ``max_clean`` rows, those of
-least hash; one row of a family of near copies). All words of the examples are indexed; their document
+least hash, and of these one row of a family of near copies: five-word shingles alike by 0.8 or more). All words of the examples are indexed; their document
 frequencies are counted over the whole corpus. The words of most examples are rows of a small matrix, multiplied with a batch
-of texts at a time; the postings of the others fall into blocks by their lengths, shortest first. After each block the rest of a
-cosine is at most the query's length left times the example's greatest length left in the blocks unread, so examples that cannot be
-among the k nearest are left, and those that can are compared in full, in double precision. Neighbours vote with the square of their cosine and their class's sampling weight; votes are
+of texts at a time; the postings of the others are added to that, and all examples whose sum may be among the k largest are compared
+in full, in double precision. Neighbours vote with the square of their cosine and their class's sampling weight; votes are
 calibrated by isotonic regression on leave-one-out votes of the examples.
 
 Since a text's subject has far more words than its insults, a second vote is taken over the words alone that mark toxic
@@ -24,6 +23,7 @@ from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +35,10 @@ MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4096, 12288, 16384
 MIN_LLR, MIN_LIFT, NEIGHBOURS = 24.0, 4.0, 15
 #: words kept as rows of a matrix (at most DENSE * (MAX_TOXIC + MAX_CLEAN) floats); texts multiplied with it at a time
 DENSE, BATCH = 384, 64
-#: posting lengths after which the examples left are counted; so many are compared in full
-STEPS, FEW, _ROUND, _SHORT = (128,), 48, 1e-5, 64
+#: what single precision may err by; postings up to which they are gathered by number
+_ROUND, _SHORT = 1e-5, 64
+#: words to a shingle, and the similarity from which labelled texts are one family
+WORDS, ALIKE = 5, 0.8
 
 
 def log_likelihood_ratio(a: float, b: float, na: float, nb: float) -> float:
@@ -49,11 +51,11 @@ def log_likelihood_ratio(a: float, b: float, na: float, nb: float) -> float:
 
 
 def isotonic(raw: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(knots, levels): means of raw values and of labels in the pools of a monotone fit."""
+    """(knots, levels): means of raw values and of labels in the pools of a monotone fit; equal raw values are in one pool, whatever their order."""
+    values, at = np.unique(np.round(raw, 10), return_inverse=True)
     pools: list[list[float]] = []  # sum of raw, sum of labels, weight
-    for i in np.argsort(raw, kind="stable"):
-        w = weight[i]
-        pools.append([raw[i] * w, labels[i] * w, w])
+    for x, y, w in zip(values.tolist(), np.bincount(at, labels * weight).tolist(), np.bincount(at, weight).tolist(), strict=True):
+        pools.append([x * w, y, w])
         while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
             last = pools.pop()
             pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
@@ -80,7 +82,6 @@ class Index:
     start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     term: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
     full: np.ndarray = field(default_factory=lambda: np.empty(0))
-    tail: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
     knots: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     levels: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     column: np.ndarray = field(default_factory=lambda: np.empty(0, np.int32))
@@ -105,7 +106,7 @@ class Index:
 
     def __getstate__(self) -> dict:
         """Counts, packed, in place of postings and weights, which the receiver makes again: every executor keeps a copy on disk."""
-        made = ("edge", "packed", "start", "term", "full", "tail", "column", "head", "query")
+        made = ("edge", "packed", "start", "term", "full", "column", "head", "query")
         state = {k: v for k, v in self.__dict__.items() if k not in made}
         state["terms"] = zlib.compress("\n".join(sorted(self.terms, key=self.terms.__getitem__)).encode(), 1)
         size = np.diff(self.start).astype("<i4")
@@ -142,15 +143,13 @@ class Index:
         self.query = np.zeros(len(self.terms))  # scratch: one text's weights
         self.head = np.zeros((len(dense), n), np.float32)
         self.head[at[at >= 0], owner[at >= 0]] = self.full[at >= 0]
-        # postings of the others, blocks of words by the lengths of their postings
+        # postings of the others
         order = np.argsort(self.term, kind="stable")
         order = order[at[order] < 0]
         # example number (high) and weight (low) of each posting
         self.packed = owner[order] << 32 | self.full[order].astype(np.float32).view(np.uint32)
         size[dense] = 0
         self.edge = np.concatenate(([0], np.cumsum(size)))
-        # the most that what is left of each example beyond each block may add, by length; rounded up
-        self.tail = np.array([np.sqrt(np.bincount(owner, np.where(size[self.term] > s, self.full**2, 0), n)) for s in STEPS]) * (1 + 1e-6)
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each vector the k examples of largest positive cosine, nearest first, ties to the smaller example number.
@@ -175,28 +174,17 @@ class Index:
         if 0 <= skip < n:
             acc[skip] = -2.0
         lo, size = self.edge[t], self.edge[t + 1] - self.edge[t]
-        done, ids = 0, np.arange(n)
-        for level, step in enumerate((*STEPS, n)):
-            now = np.flatnonzero((size > done) & (size <= step))
-            if len(now):
-                # short postings are gathered by number, long ones copied
-                now = now[np.argsort(size[now] > _SHORT, kind="stable")]
-                m, a = size[now], lo[now]
-                short = int((m <= _SHORT).sum())
-                at = np.arange(m[:short].sum()) + np.repeat(a[:short] - np.cumsum(m[:short]) + m[:short], m[:short])
-                got = np.concatenate([self.packed[at], *(self.packed[i:j] for i, j in zip(a[short:].tolist(), (a + m)[short:].tolist(), strict=True))])
-                add = got.view(np.float32)[::2] * np.repeat(w[now].astype(np.float32), m)
-                acc = acc + np.bincount(got >> 32, add, n)
-            left = math.sqrt(float((w[size > step] ** 2).sum()))
-            least = np.partition(acc, n - k)[n - k] - _ROUND if n > k else 0.0
-            if not left:
-                ids = np.flatnonzero((acc >= least) & (acc > 0))
-                break
-            done = step
-            if least > 0:
-                ids = np.flatnonzero(acc + left * self.tail[level] >= least - _ROUND)
-                if len(ids) <= FEW:
-                    break
+        now = np.flatnonzero(size)
+        if len(now):
+            # short postings are gathered by number, long ones copied
+            now = now[np.argsort(size[now] > _SHORT, kind="stable")]
+            m, a = size[now], lo[now]
+            short = int((m <= _SHORT).sum())
+            at = np.arange(m[:short].sum()) + np.repeat(a[:short] - np.cumsum(m[:short]) + m[:short], m[:short])
+            got = np.concatenate([self.packed[at], *(self.packed[i:j] for i, j in zip(a[short:].tolist(), (a + m)[short:].tolist(), strict=True))])
+            acc = acc + np.bincount(got >> 32, got.view(np.float32)[::2] * np.repeat(w[now].astype(np.float32), m), n)
+        least = np.partition(acc, n - k)[n - k] - _ROUND if n > k else 0.0
+        ids = np.flatnonzero((acc >= least) & (acc > 0))
         ids = ids[ids != skip]
         # in full and in double precision
         a, m = self.start[ids], self.start[ids + 1] - self.start[ids]
@@ -301,13 +289,42 @@ def bags(docs: DataFrame, terms) -> DataFrame:
     return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, t binary, tf binary, other double")
 
 
-def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text, and the least of them; both null for a text without words."""
     for b in batches:
-        keys = []
-        for text in b.column(2).to_pylist():
-            s = shingles((text or "").lower().encode(), 3)
-            keys.append(int(s[0].astype(np.int64)) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int64())], ["doc_id", "toxic", "text", "family"])
+        found = [shingles((text or "").lower().encode(), WORDS) for text in b.column(2).to_pylist()]
+        family = pa.array([int(s[0].astype(np.int64)) if len(s) else None for s in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), family, pa.array([s.tobytes() if len(s) else None for s in found], pa.binary())], ["doc_id", "toxic", "family", "s"])
+
+
+def _unlike(group: pd.DataFrame) -> pd.DataFrame:
+    """Of texts of one least shingle those that are not alike to one kept before them, by id."""
+    kept: list[np.ndarray] = []
+    ids = []
+    for doc_id, raw in group.sort_values("doc_id")[["doc_id", "s"]].itertuples(index=False):
+        s = np.frombuffer(raw or b"", "<u8")
+        for x in kept:
+            if min(len(x), len(s)) < ALIKE * max(len(x), len(s)):
+                continue
+            both = len(np.intersect1d(x, s, assume_unique=True))
+            if both >= ALIKE * (len(x) + len(s) - both):
+                break
+        else:
+            kept.append(s)
+            ids.append(doc_id)
+    return pd.DataFrame({"doc_id": np.array(ids, np.int64)})
+
+
+def one_of_each_family(rows: DataFrame) -> DataFrame:
+    """(doc_id) of a bounded sample (doc_id, toxic, text; an id once): texts of a label with the same least shingle are compared.
+
+    The smallest id of texts alike stays; texts without words are kept. Two that are alike but differ in their least shingle both stay.
+    """
+    sets = arrow_pass(rows.select("doc_id", "toxic", "text"), _sets, "doc_id long, toxic int, family long, s binary")
+    # equal sets are one row of their group
+    once = sets.groupBy("toxic", F.coalesce("family", F.xxhash64("doc_id")).alias("family"), "s").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("s").isNull(), F.col("doc_id"))).alias("bare"))
+    wordless = once.where("s is null").select(F.explode("bare").alias("doc_id"))
+    return once.where("s is not null").groupBy("toxic", "family").applyInPandas(_unlike, "doc_id long").unionByName(wordless)
 
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> tuple[Index, DataFrame]:
@@ -315,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
 
     The driver gets at most ``max_toxic`` + ``max_clean`` sparse vectors and their words; at most
     ``max_terms`` words take part in the second vote, all in the first. A doc_id with
-    labels that disagree counts as toxic; null labels are ignored. Without labels of both kinds every score
+    labels that disagree counts as toxic; the places of near copies are not filled again; null labels are ignored. Without labels of both kinds every score
     is the share of toxic labels (0 if there are none).
     """
     spark = docs.sparkSession
@@ -326,10 +343,9 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     chosen = pick(1, max_toxic).unionByName(pick(0, max_clean))
     # the sample's size is bounded by parameters
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    rows = arrow_pass(rows, _families, "doc_id long, toxic int, text string, family long")
-    rows = rows.groupBy("toxic", F.coalesce("family", F.xxhash64("doc_id")).alias("family")).agg(F.min(F.struct("doc_id", "text")).alias("d")).select("toxic", "d.*")
     # of rows that repeat a doc_id the first text is the example
-    rows = cut(rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("d")).select("doc_id", "d.*"), "examples")
+    rows = cut(rows.groupBy("doc_id").agg(F.min(F.struct("toxic", "text")).alias("d")).select("doc_id", "d.*"), "sample")
+    rows = rows.join(F.broadcast(cut(one_of_each_family(rows), "examples")), "doc_id")
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
