@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, cut, shingles
 
 WORD = re.compile(r"[^\W\d_]+")
+#: of UTF-8: ASCII that is no letter becomes a space
+_PART = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4096, 12288, 16384
 MIN_LLR, MIN_LIFT, NEIGHBOURS = 24.0, 4.0, 15
 #: words kept as rows of a matrix (at most DENSE * (MAX_TOXIC + MAX_CLEAN) floats); texts multiplied with it at a time
@@ -250,9 +252,20 @@ class Index:
         return [(min(1.0, max(0.0, p)), *x) for p, x in zip(out, near, strict=True)]
 
 
+def words_of(text: str | None) -> Counter:
+    """The counts of a text's words: parted at ASCII that is no letter, and by ``WORD`` where a part has other marks."""
+    parts = (text or "").lower().encode("utf-8", "surrogatepass").translate(_PART)
+    n = Counter(parts.decode("utf-8", "surrogatepass").split())
+    for odd in [x for x in n if not x.isalpha()]:
+        k = n.pop(odd)
+        for w in WORD.findall(odd):
+            n[w] += k
+    return n
+
+
 def bag(text: str | None, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, float]:
     """Term numbers and counts of a text's words, in order of term, and the sum of (1 + log count) squared of the words that no example has."""
-    n = Counter(WORD.findall((text or "").lower()))
+    n = words_of(text)
     t = np.fromiter(map(terms.get, n, repeat(-1)), np.int64, len(n))
     tf = np.fromiter(n.values(), np.float64, len(n))
     known = t >= 0
