@@ -25,10 +25,11 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut, shingles
+from .common import arrow_pass, cut, give_back, shingles
 
 WORD = re.compile(r"[^\W\d_]+")
 #: of UTF-8: ASCII that is no letter becomes a space
@@ -122,20 +123,28 @@ class Index:
         words = zlib.decompress(state["terms"]).decode()
         self.terms = {x: i for i, x in enumerate(words.split("\n"))} if words else {}
         if full is not None:
-            edge = np.cumsum(packed[0])[:-1]
-            self.build(list(zip(np.split(packed[1], edge), np.split(full, edge), strict=True)) if len(packed[0]) else [])
+            self.file(packed[1], full, np.concatenate(([0], np.cumsum(packed[0], dtype=np.int64))))
             return
         size, step, tf = (np.frombuffer(zlib.decompress(x), "<i4") for x in packed)
-        edge = np.cumsum(size)[:-1]
-        self.build([self.unit(t, c) for t, c in zip(np.split(np.cumsum(step), edge), np.split(tf.astype(np.float64), edge), strict=True)], tf)
-
-    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], tf: np.ndarray | None = None) -> None:
-        """``tf``: the counts behind the weights, in the vectors' order."""
-        n, self.tf = len(vectors), tf
-        self.start = np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64)))
-        self.term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if n else np.empty(0, np.int32)
-        self.full = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
-        owner = np.repeat(np.arange(n), np.diff(self.start))
+        self.count(np.cumsum(step, dtype=np.int32), tf, np.concatenate(([0], np.cumsum(size, dtype=np.int64))))
+
+    def build(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
+        self.file(term, np.concatenate([w for _, w in vectors]) if vectors else np.empty(0), np.concatenate(([0], np.cumsum([len(t) for t, _ in vectors], dtype=np.int64))))
+
+    def count(self, term: np.ndarray, tf: np.ndarray, start: np.ndarray) -> None:
+        """Examples by their counts; weights are made one example at a time, so no second copy of them stands."""
+        full = np.empty(len(term))
+        for i, j in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            full[i:j] = self.unit(term[i:j], tf[i:j].astype(np.float64))[1]
+        self.file(term, full, start)
+        self.tf = tf
+
+    def file(self, term: np.ndarray, full: np.ndarray, start: np.ndarray) -> None:
+        """Files the weights of all examples, one behind the other, under their terms."""
+        self.term, self.full, self.start, self.tf = term, full, start, None
+        n = len(start) - 1
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
         size = np.bincount(self.term, minlength=len(self.terms))
         # the words of most examples, as rows of a matrix
         dense = np.sort(np.argsort(-size, kind="stable")[:DENSE])
@@ -146,10 +155,13 @@ class Index:
         self.head = np.zeros((len(dense), n), np.float32)
         self.head[at[at >= 0], owner[at >= 0]] = self.full[at >= 0]
         # postings of the others
-        order = np.argsort(self.term, kind="stable")
-        order = order[at[order] < 0]
+        few = np.flatnonzero(at < 0).astype(np.int32)
+        del at
+        few = few[np.argsort(self.term[few], kind="stable")]
         # example number (high) and weight (low) of each posting
-        self.packed = owner[order] << 32 | self.full[order].astype(np.float32).view(np.uint32)
+        self.packed = owner[few].astype(np.int64)
+        self.packed <<= 32
+        self.packed |= self.full[few].astype(np.float32).view(np.uint32)
         size[dense] = 0
         self.edge = np.concatenate(([0], np.cumsum(size)))
 
@@ -382,6 +394,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     ranked = sorted((-log_likelihood_ratio(int(a[i]), int(b[i]), n1, n0), words_[i]) for i in often)
     marking = {t: i for i, t in enumerate(sorted(t for x, t in ranked[:max_terms] if -x > MIN_LLR))}
     del found, words_, a, b, often, ranked
+    give_back()
     shared = spark.sparkContext.broadcast(terms)
 
     # every text's words are read once, for the frequencies and for its score
@@ -409,13 +422,14 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
     index.toxic = got.column("toxic").to_numpy().astype(float)
     share = np.array([total.get(0, 0) / n0, total.get(1, 0) / n1])
     index.weight = share[index.toxic.astype(int)]
-    found = [unpack(x, y) for x, y in zip(got.column("t").to_pylist(), got.column("tf").to_pylist(), strict=True)]
+    size = pc.binary_length(got.column("t")).to_numpy() // 4
+    edge = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    t, tf = np.empty(edge[-1], np.int32), np.empty(edge[-1], "<i4")
+    for i, (x, y) in enumerate(zip(got.column("t"), got.column("tf"), strict=True)):
+        t[edge[i] : edge[i + 1]], tf[edge[i] : edge[i + 1]] = unpack(x.as_py(), y.as_py())
     del got
-    edge = np.cumsum([0] + [len(x) for x, _ in found])
-    t = np.concatenate([x for x, _ in found]).astype(np.int32)
-    tf = np.concatenate([x for _, x in found]).astype("<i4")
-    del found
-    index.build([index.unit(t[i:j], tf[i:j].astype(np.float64)) for i, j in zip(edge[:-1], edge[1:], strict=True)], tf)
+    give_back()
+    index.count(t, tf, edge)
     known_vectors = [(index.term[i:j], index.full[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
     own = index.calibrate(known_vectors, k)
     if marking:
@@ -430,6 +444,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int =
         marks.build(few)
         index.join(own, marks.calibrate(few, k))
         index.marks, index.marking = marks, number
+    give_back()
     return index, read
 
 

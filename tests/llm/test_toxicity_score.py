@@ -4,6 +4,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.llm import toxicity
@@ -159,3 +161,9 @@ def test_families_are_compared(spark):
     n = len(texts)
     assert got - {2} == {0, *range(3, 15), n - 5, n - 4, n - 3, n - 2, 100}
     assert toxicity.one_of_each_family(df.where(F.lit(False))).count() == 0
+
+
+@given(st.text(alphabet=st.sampled_from("aZ9_ .-'\n\t éßİ²½٣дж字—“”́\ud800"), max_size=40))
+def test_words_are_those_of_the_pattern(text):
+    assert toxicity.words_of(text) == words(text)
+    assert toxicity.words_of(None) == Counter()
