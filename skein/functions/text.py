@@ -112,6 +112,13 @@ def marks(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(MARK), F.lit(0))
 
 
+def splice_marks(line: Column, before: Column) -> Column:
+    """The line with a number behind each mark's opening delimiter, counted on from ``before``, the marks of the scene's earlier lines."""
+    z = F.arrays_zip(F.split(line, MARK, -1).alias("p"), marks(line).alias("k"))
+    number = lambda k, i: F.concat(F.substring(k, 1, 1), (before + i + 1).cast("string"), F.lit(":"), F.substring(k, 2, 1 << 30))
+    return F.array_join(F.transform(z, lambda x, i: F.concat(x["p"], F.coalesce(number(x["k"], i), F.lit("")))), "")
+
+
 def mark_kind(mark: Column) -> Column:
     return F.when(F.substring(mark, 1, 1) == "{", "name").otherwise("pron")
 

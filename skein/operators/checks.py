@@ -147,6 +147,12 @@ def check_locations(locations: DataFrame, scenes: DataFrame, scene: list[str], s
     return out.unionByName(broken_rules(t, "location", scene, F.col("it"), {"soft: not in the text": ~F.contains(F.lower("text"), F.lower("it"))}))
 
 
+def check_roundtrip(marked: DataFrame, source: DataFrame, line: list[str]) -> DataFrame:
+    """Lines (line keys, marked) that without their marks differ from their source (line keys, text), white space apart (soft); lines without a source are left out."""
+    j = marked.join(source.select(*line, "text"), line)
+    return broken_rules(j, "markup", line, F.col("marked"), {"soft: round trip": F.trim(T.strip_to_source(F.col("marked"))) != F.trim(T.collapse(F.col("text")))})
+
+
 def check_walk(terms: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
     """Every term has a decision."""
     return broken_rules(terms.join(decided.select(*keys).distinct(), keys, "left_anti"), "walk", keys, F.lit(""), {"undecided": F.lit(True)})

@@ -17,6 +17,7 @@ from ..operators import conformance as CF
 from ..operators import graph as G
 from ..operators import identity as I
 from ..operators import lock as L
+from ..operators import pools as P
 from ..operators import regions as R
 from ..operators import scene as S
 from ..sources import sinks as SK
@@ -516,3 +517,64 @@ def walk_replay(spark, sf_dir):
 def largest_pools(spark, sf_dir):
     """The five scenes of most candidates."""
     return items(spark, sf_dir).groupBy("scene").agg(F.count_distinct(F.col("part") % 9).alias("n")).orderBy(F.desc("n"), "scene").limit(5)
+
+
+# --- pools ----------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"WITH {_ITEMS_SQL}, f AS ({_FIGURES}) SELECT scene, arg_min(who, no) AS who, min(no) AS no, arg_min(s, no) AS basis_start "
+    "FROM f WHERE status = 'present' AND who IN ('L''Part 0', 'L''Part 2', 'L''Part 4') AND who <> 'L''Part 4' GROUP BY scene, lower(who)"
+)
+def cohort_pool(spark, sf_dir):
+    """Present figures that are classes or generics, words to the reader left out, each fold once a scene."""
+    kinds = ("class", "individual", "generic", "set", "class", "individual")
+    registry = spark.range(0, 6).select(F.concat(F.lit("L'Part "), F.col("id").cast("string")).alias("canonical"), F.array(*map(F.lit, kinds))[F.col("id").cast("int")].alias("type"))
+    return P.cohort_candidates(_figures(spark, sf_dir), registry, ["scene"], F.col("no"), ("part 4",)).select("scene", "who", "no", "basis_start")
+
+
+_SPANS_SQL = "sp AS (SELECT scene AS unit, no, qty AS s, qty + part % 12 AS e, 'The Part ' || CAST(supp % 7 AS INTEGER) AS speaker FROM items), sc AS (SELECT unnest([0, 1, 2]) AS scene, unnest([1, 21, 40]) AS lo, unnest([20, 45, 60]) AS hi)"
+
+
+def _quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Quotes of items, and three scenes a unit, of which two overlap and which leave lines out."""
+    i = items(spark, sf_dir)
+    spans = i.select(F.col("scene").alias("unit"), "no", F.col("qty").alias("start"), (F.col("qty") + F.col("part") % 12).alias("end"), F.concat(F.lit("The Part "), (F.col("supp") % 7).cast("int").cast("string")).alias("speaker"))
+    ranges = F.array(*[F.struct(F.lit(n).alias("scene"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in ((0, 1, 20), (1, 21, 45), (2, 40, 60))])
+    return spans, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"), F.explode(ranges).alias("x")).select("unit", "x.*")
+
+
+@query(f"WITH {_ITEMS_SQL}, {_SPANS_SQL} SELECT unit, no, CAST(min(scene) AS INTEGER) AS scene FROM sp LEFT JOIN sc ON lo <= s AND s <= hi GROUP BY unit, no")
+def speech_scene(spark, sf_dir):
+    """The scene in which a quote begins."""
+    spans, scenes = _quotes(spark, sf_dir)
+    return P.opening_scene(spans, scenes, ["unit"], ["no"]).select("unit", "no", "scene")
+
+
+@query(
+    f"WITH {_ITEMS_SQL}, {_SPANS_SQL}, a AS (SELECT unit, scene, 'Part ' || speaker[10:] AS who FROM sp JOIN sc ON lo <= s AND e <= hi WHERE speaker <> 'The Part 6' "
+    "UNION SELECT scene, CAST(part % 3 AS INTEGER), 'Part ' || CAST(part % 6 AS INTEGER) FROM items WHERE flag = 'A') SELECT unit, CAST(scene AS INTEGER) AS scene, who FROM a"
+)
+def speech_anchors(spark, sf_dir):
+    """Figures present by what they say inside a scene or do in it."""
+    spans, scenes = _quotes(spark, sf_dir)
+    name = lambda c: F.concat(F.lit("Part "), c.cast("int").cast("string"))
+    edges = items(spark, sf_dir).select(F.col("scene").alias("unit"), (F.col("part") % 3).cast("int").alias("scene"), pick("flag", ("A", "literal"), other="simile").alias("frame"), name(F.col("part") % 6).alias("subj_node"))
+    canon = spark.range(0, 6).select(F.concat(F.lit("the part "), F.col("id").cast("string")).alias("fold"), name(F.col("id")).alias("canonical"))
+    return P.scene_anchors(spans, edges, scenes, canon, ["unit"])
+
+
+@query(
+    "WITH c AS (SELECT c_nationkey AS unit, c_custkey % 50 AS s, c_custkey AS o, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS cohort FROM customer), "
+    "j AS (SELECT 'R' || CASE WHEN s BETWEEN 5 AND 20 THEN unit % 4 ELSE 4 + unit % 4 END AS region, o, cohort FROM c WHERE s BETWEEN 5 AND 40), "
+    "l AS (SELECT lower(cohort) AS f, arg_min(cohort, o) AS cohort FROM j GROUP BY 1), k AS (SELECT region, lower(cohort) AS f, count(*) AS n FROM j GROUP BY ALL), "
+    "r AS (SELECT 'R' || unnest(generate_series(0, 8)) AS region) SELECT region, l.cohort, coalesce(n, 0) AS n FROM r LEFT JOIN k USING (region) LEFT JOIN l USING (f)"
+)
+def cohort_regions(spark, sf_dir):
+    """Cohorts by region, whatever the spelling, the label first seen; regions without any are kept."""
+    c = table(spark, sf_dir, "customer")
+    c = c.select(F.col("c_nationkey").alias("unit"), (F.col("c_custkey") % 50).alias("s"), F.col("c_custkey").alias("o"), F.when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("cohort"))
+    run = lambda ls, le, k, ord_: F.struct(F.lit(ls).alias("ls"), F.lit(le).alias("le"), F.concat(F.lit("R"), (F.lit(k) + F.col("n_nationkey") % 4).cast("int").cast("string")).alias("region"), F.lit(ord_).alias("ord"))
+    runs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit"), F.explode(F.array(run(5, 20, 0, 0), run(15, 40, 4, 1))).alias("x")).select("unit", "x.*")
+    regions = spark.range(0, 9).select(F.concat(F.lit("R"), F.col("id").cast("string")).alias("region"))
+    return P.cohorts_by_region(c, runs, regions, ["unit"], ["o"])

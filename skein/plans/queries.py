@@ -237,6 +237,21 @@ def mark_number(spark, sf_dir):
     return e.select("doc_id", F.col("no").alias("line"), n.alias("tag_no"), T.mark_kind(F.col("x.k")).alias("kind"), T.mark_surface(F.col("x.k")).alias("surface"), col.alias("col"))
 
 
+@query(
+    f"""WITH m AS (SELECT doc_id, no, regexp_extract_all(m, {_MARK_SQL}) AS k, regexp_split_to_array(m, {_MARK_SQL}) AS p FROM ({_MARKED_SQL})),
+b AS (SELECT *, coalesce(sum(len(k)) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m),
+t AS (SELECT doc_id, no, len(k) AS n, array_to_string(list_transform(generate_series(1, len(p)), lambda j: p[j] || coalesce(k[j][1] || CAST(before + j AS BIGINT) || ':' || k[j][2:], '')), '') AS s FROM b)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tags, md5(string_agg(no || ' ' || s, chr(10) ORDER BY no)) AS digest FROM t GROUP BY doc_id"""
+)
+def mark_splice(spark, sf_dir):
+    """Whole texts with every mark numbered in reading order inside its delimiters, as numbered lines."""
+    m = marked_lines(spark, sf_dir).select("doc_id", "no", "m", F.size(T.marks(F.col("m"))).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1))
+    m = m.withColumn("text", T.splice_marks(F.col("m"), F.coalesce(before, F.lit(0))))
+    g = m.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n_tags"), F.collect_list(F.struct(F.col("no").alias("line"), "text")).alias("x"))
+    return g.select("doc_id", "n_tags", F.md5(T.numbered_source(F.col("x"))).alias("digest"))
+
+
 @query(
     f"""WITH s AS (SELECT doc_id, no, line, regexp_replace(regexp_replace(regexp_replace(m, '\\[([^\\]]*)\\]|\\{{([^}}]*)\\}}', '\\1\\2', 'g'), '\\s+', ' ', 'g'), '^ ', '') AS src FROM ({_MARKED_SQL}))
 SELECT doc_id, count(*) AS n_lines, CAST(sum(length(src)) AS BIGINT) AS n_chars, count(*) FILTER (WHERE trim(src) <> trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS n_broken FROM s GROUP BY doc_id"""
