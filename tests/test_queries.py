@@ -1,3 +1,4 @@
+import ast
 import os
 import subprocess
 import sys
@@ -51,3 +52,10 @@ def test_entry_works_without_the_llm_subpackage():
 def test_scans_are_pruned(spark):
     plan = plans.QUERIES["kg_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("module", [plans, layer_queries])
+def test_no_import_hides_another(module):
+    with open(module.__file__) as f:
+        names = [a.asname or a.name for node in ast.walk(ast.parse(f.read())) if isinstance(node, ast.Import | ast.ImportFrom) for a in node.names]
+    assert sorted(set(names)) == sorted(names)
