@@ -49,6 +49,20 @@ def test_entry_works_without_the_llm_subpackage():
     assert [int(x) for x in out] == [len(plans.QUERIES), len(plans.ORACLES)]
 
 
+def test_tags_of_letters_whose_capital_is_longer(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 1, "user", "Erungßau das"), (1, 2, "assistant", "ßa"), (1, 3, "user", "ﬁn ŉ"), (2, 2, "user", "Öä"), (2, 4, "user", "ß")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    cur = duck.execute(plans.ORACLES["tag_problems"])
+    got = plans.QUERIES["tag_problems"](spark, str(tmp_path))
+    want = norm(cur.fetchall(), [d[0] for d in cur.description])
+    assert norm([tuple(r) for r in got.collect()], got.columns) == want
+    assert sum("echoes the pronoun" in r for r in want) == 3
+
+
 def test_scans_are_pruned(spark):
     plan = plans.QUERIES["kg_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
