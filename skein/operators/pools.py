@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab as V
 from .checks import broken_rules
-from .intervals import contain_join
+from .intervals import contain_join, dealt
 
 
 def opening_scene(spans: DataFrame, scenes: DataFrame, unit: list[str], key: list[str]) -> DataFrame:
@@ -17,9 +17,9 @@ def opening_scene(spans: DataFrame, scenes: DataFrame, unit: list[str], key: lis
     ``spans`` (unit, key, start, ..), one row a key; ``scenes`` (unit, scene, lo, hi). A span that runs on into the next scene stays with where it begins.
     """
     on = [*unit, *key]
-    hit = contain_join(spans.select(*on, "start").where("start is not null"), scenes.select(*unit, "scene", "lo", "hi"), unit, ("start", "start"), ("lo", "hi"), "inner")
+    hit = contain_join(spans.select(*on, "start").where("start is not null"), dealt(scenes.select(*unit, "scene", "lo", "hi")), unit, ("start", "start"), ("lo", "hi"), "inner")
     first = hit.groupBy(*on).agg(F.min_by("scene", F.struct("lo", "hi", "scene")).alias("scene"))
-    return spans.join(first, on, "left")
+    return spans.join(dealt(first), on, "left")
 
 
 def scene_anchors(spans: DataFrame, edges: DataFrame, scenes: DataFrame, canon: DataFrame, unit: list[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def scene_anchors(spans: DataFrame, edges: DataFrame, scenes: DataFrame, canon:
     canonical). Speakers without a node, as the unattributed, anchor nothing; so do edges whose subject is null or empty.
     """
     # each speaker once a scene before its spelling is folded
-    said = contain_join(spans, scenes.select(*unit, "scene", "lo", "hi"), unit, ("start", "end"), ("lo", "hi"), "inner").select(*unit, "scene", "speaker").distinct()
+    said = contain_join(spans, dealt(scenes.select(*unit, "scene", "lo", "hi")), unit, ("start", "end"), ("lo", "hi"), "inner").select(*unit, "scene", "speaker").distinct()
     nodes = canon.where("canonical <> ''").select(F.col("fold").alias("_fold"), F.col("canonical").alias("who"))
     said = said.withColumn("_fold", T.fold_key(F.col("speaker"))).join(nodes, "_fold").select(*unit, "scene", "who")
     acted = edges.where("frame = 'literal' and subj_node <> ''").select(*unit, "scene", F.col("subj_node").alias("who"))
@@ -39,7 +39,7 @@ def scene_anchors(spans: DataFrame, edges: DataFrame, scenes: DataFrame, canon:
 def check_anchors(figures: DataFrame, anchors: DataFrame, scene: list[str]) -> DataFrame:
     """Figures (scene, who, status) only mentioned where an anchor says they are present, whatever the spelling (soft)."""
     a = anchors.select(*scene, T.fold_key(F.col("who")).alias("_fold")).distinct()
-    m = figures.where("status = 'mentioned'").withColumn("_fold", T.fold_key(F.col("who"))).join(a, [*scene, "_fold"], "left_semi")
+    m = figures.where("status = 'mentioned'").withColumn("_fold", T.fold_key(F.col("who"))).join(dealt(a), [*scene, "_fold"], "left_semi")
     return broken_rules(m, "presence", scene, F.col("who"), {"soft: only mentioned but anchored": F.lit(True)})
 
 

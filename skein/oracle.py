@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
+from .operators.intervals import dealt
 
 LONGEST = 10_000
 #: what is taken where no decision was made: fixed values
@@ -85,10 +86,10 @@ def fixpoint(units: DataFrame, keys: list[str], ask_open: Callable[[DataFrame, i
     none = F.lit(None).cast("string")
     open_, settled = units.withColumns({"draft": none, "prompt": none}), []
     for attempt in range(1, attempts + 1):
-        said = open_.select(*keys).join(ask_open(open_, attempt).select(*keys, "reply"), keys, "left").withColumn("reply", F.coalesce("reply", F.lit("")))
+        said = open_.select(*keys).join(dealt(ask_open(open_, attempt).select(*keys, "reply")), keys, "left").withColumn("reply", F.coalesce("reply", F.lit("")))
         said = cut(said, "drafts")
         wrong = retries(check(said).where(~F.col("code").startswith("soft"))).withColumnRenamed("unit", "_unit")
-        judged = cut(said.withColumn("_unit", unit).join(wrong, "_unit", "left").drop("_unit"), "judged")
+        judged = cut(said.withColumn("_unit", unit).join(dealt(wrong), "_unit", "left").drop("_unit"), "judged")
         settled.append(judged.where("prompt is null").select(*keys, "reply", F.lit(attempt).alias("attempts"), F.lit(True).alias("ok"), "prompt"))
         rest = judged.where("prompt is not null")
         if attempt == attempts:
@@ -96,7 +97,7 @@ def fixpoint(units: DataFrame, keys: list[str], ask_open: Callable[[DataFrame, i
         elif rest.isEmpty():
             break
         else:
-            open_ = units.join(rest.select(*keys, F.col("reply").alias("draft"), "prompt"), keys)
+            open_ = units.join(dealt(rest.select(*keys, F.col("reply").alias("draft"), "prompt")), keys)
     return reduce(DataFrame.unionByName, settled)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions import replies as RP
 from .functions import text as T
 from .operators import checks as C
+from .operators.intervals import dealt
 from .oracle import fixpoint
 
 Ask = Callable[[DataFrame, int], DataFrame]
@@ -21,7 +22,7 @@ Ask = Callable[[DataFrame, int], DataFrame]
 
 def _of(df: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the units that are being checked."""
-    return df.join(said.select(*keys), keys, "left_semi")
+    return df.join(dealt(said.select(*keys)), keys, "left_semi")
 
 
 def relations_pass(scenes: DataFrame, ask_open: Ask, scene: list[str], attempts: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -63,6 +63,13 @@ def test_tags_of_letters_whose_capital_is_longer(spark, tmp_path):
     assert sum("echoes the pronoun" in r for r in want) == 3
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+@pytest.mark.parametrize("name,small", [("cohort_problems", 0), ("presence_problems", 0), ("presence_lines", 0), ("lock_problems", 0), ("addressee_problems", 0), ("lock_assembly", 0), ("graph_edges", 4), ("graph_problems", 2)])
+def test_no_table_of_scenes_is_broadcast(spark, name, small):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= small
+
+
 def test_scans_are_pruned(spark):
     plan = plans.QUERIES["kg_edges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
