@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.plans import layer_queries  # noqa: F401
 from skein.plans import queries as plans
@@ -80,3 +81,12 @@ def test_no_import_hides_another(module):
     with open(module.__file__) as f:
         names = [a.asname or a.name for node in ast.walk(ast.parse(f.read())) if isinstance(node, ast.Import | ast.ImportFrom) for a in node.names]
     assert sorted(set(names)) == sorted(names)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+def test_items_are_moved_once_and_dealt_by_rows(spark, tmp_path):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines.crossJoin(spark.range(0, 70)).select((lines.l_orderkey * 70 + F.col("id")).alias("l_orderkey"), *lines.columns[1:]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    i = layer_queries.items(spark, str(tmp_path))
+    plan = i.groupBy("scene").agg(F.max("qty"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(l_orderkey" in plan and f", {1 + lines.count() * 70 // 200_000})" in plan
