@@ -1,14 +1,22 @@
 """N-gram Jaccard join over prefix trees.
 
-A document's set are the hashes of its word shingles; equal sets are one throughout. All sets are in one global order:
+A document's set are the hashes of its word shingles; equal sets are one throughout.
+
+Two sets that link differ in a bounded number H of elements, which follows from the threshold and their sizes. The hash values are cut
+into H + 1 ranges, so linked sets agree wholly in one range at least, and each set is filed under what it holds in every
+range. Sizes fall into classes, each with its own H; a set that may link with one of the class below is filed there too. A
+range of some ten elements is alike by chance in no two unrelated texts, however many texts hold each of its
+shingles, so the candidates grow with the copies and not with the square of the corpus.
+
+Where the threshold is so low that a range would hold fewer than ``FULL`` elements, sets are filed by single elements. All sets are in one global order then:
 rare shingles first, by a sketch of how often each occurs in the corpus, then by hash. Of two sets with a Jaccard similarity of at
 least t, the first n - ceil(t n) + 1 elements of both in that order have one in common (n: the set's size), so each
 set is filed under these. The sketch is a table of ``WIDTH`` counters; it only orders, so whatever it counts together costs time,
 never a link. A shingle that many texts share stands last and files almost nothing.
 
-Sets filed under one shingle are candidates, named around the least of them. A bitmap of each set (a bit an element, two bits
+Sets filed alike are candidates, named around the least of them. Those of single elements are many; a bitmap of each set (a bit an element, two bits
 of room each) bounds from above what two sets can share: elements of one whose bits the other lacks are not common. A group falls
-apart into the parts that this bound still ties together; only their sets are read, and compared in prefix trees:
+apart into the parts that this bound still ties together. Only sets of candidates are read, and compared in prefix trees:
 
 * the sets of a group, most common elements first, share their paths in a compressed tree;
 * a probe walks the tree level by level with the overlap counted so far for each node, once for all sets below;
@@ -22,13 +30,14 @@ with the group's least set are settled, and only the others are probed against a
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, as_bytes, cut, drop, each_group, mix, shingles, spread_join
@@ -37,6 +46,11 @@ from .components import connected
 BLOCK_ELEMENTS, MEMBERS = 1 << 21, 1 << 12
 #: counters of the sketch, sent to every task as a byte each
 WIDTH, _CHUNK = 1 << 20, 1 << 16
+#: elements a range of hash values must hold on average for sets to be filed by ranges
+FULL = 6
+#: a table of 2 ** SOME bits tells which texts are read again
+SOME = 24
+_SALT, _ALL = np.uint64(0xA0761D6478BD642F), (1 << 64) - 1
 
 
 def enough(overlap, a, b, num: int, den: int):
@@ -51,6 +65,44 @@ def set_id(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 63), b - (1 << 63)
 
 
+class Ranges:
+    """Classes of set sizes for a threshold, and how many ranges of hash values each is cut into."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        up = lambda a: max(a + 1, (a - 1) * den // num + 1)  # noqa: E731  beyond what a set smaller than ``a`` links with
+        low = [1]
+        while low[-1] < 1 << 40:
+            low.append(up(up(low[-1])))
+        self.low = low
+        # linked sets, the smaller of at most a elements, differ in at most (a + b) (den - num) / (den + num), b being the largest size that links with a
+        self.parts = [((a - 1) + (a - 1) * den // num) * (den - num) // (den + num) + 1 for a in low[1:]]
+
+    def files(self, s: np.ndarray) -> np.ndarray:
+        """What a set is filed under: any two sets that link, unless equal, have one in common."""
+        c = bisect_right(self.low, len(s)) - 1
+        below = c and -(-self.num * len(s) // self.den) < self.low[c]
+        found = [self._of(s, i) for i in ((c, c - 1) if below else (c,)) if self.parts[i] > 1]
+        return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+    def _of(self, s: np.ndarray, c: int) -> np.ndarray:
+        k = self.parts[c]
+        name, empty = _ranges(s, k, (c + 1) << 32)
+        if not empty.any():
+            return name
+        # many sets agree in having nothing in a range; these are parted once more by other hash values
+        again = np.sort(mix(s ^ _SALT))
+        return np.concatenate((name[~empty], *(_ranges(again, k, (c + 1) << 32 | (i + 1) << 44)[0] for i in np.flatnonzero(empty).tolist())))
+
+
+def _ranges(s: np.ndarray, k: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of what a sorted set holds in each of ``k`` equal ranges, told apart by range and ``tag``; and which are empty."""
+    edge = np.concatenate(([0], np.searchsorted(s, np.arange(1, k, dtype=np.uint64) * np.uint64((1 << 64) // k)), [len(s)]))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)))
+    name = mix(total[edge[1:]] - total[edge[:-1]] + mix(np.arange(k, dtype=np.uint64) + np.uint64(tag & _ALL)))
+    return name, edge[1:] == edge[:-1]
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """A counter's place in the global order: 0 up to what chance puts into one (the median and three deviations), then one more for each doubling of the excess."""
     base = float(np.median(counts))
@@ -224,6 +276,26 @@ def _sets(k: int, width: int):
     return go
 
 
+def _filed(k: int, num: int, den: int):
+    """Rows (doc_id, n, h1, h2, files); no files without a doc_id."""
+    ranges = Ranges(num, den)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, h1, h2, out = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                s = shingles(text, k)
+                x = set_id(s) if len(s) else (None, None)
+                n.append(len(s))
+                h1.append(x[0])
+                h2.append(x[1])
+                out.append(ranges.files(s).view(np.int64) if len(s) and doc is not None else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in out]), pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "files"])
+
+    return go
+
+
 def _sketch(found: DataFrame, width: int) -> np.ndarray:
     """The counters' levels, from all tasks' parts; summed by groups of tasks first."""
 
@@ -260,9 +332,25 @@ def _prefixes(k: int, num: int, den: int, level):
     return go
 
 
-def _contents(k: int):
+def _place() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << SOME))
+
+
+def _some(ids: DataFrame) -> np.ndarray:
+    """A table of ``2 ** SOME`` bits, those of the ids' hashes set."""
+    at, piece = _place(), 1 << 15
+    found = ids.select(F.floor(at / piece).alias("piece"), (at % piece).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((1 << SOME) // 8, np.uint8)
+    for r in found.collect():  # pieces of 4,096 bytes of one table
+        out[4096 * r["piece"] : 4096 * (r["piece"] + 1)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _contents(k: int, bits):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            place = b.column(2).to_numpy()
+            b = b.filter(pa.array(bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1))
             got = [(doc, *set_id(s), s.tobytes()) for doc, s in zip(b.column(0).to_pylist(), (shingles(t, k) for t in as_bytes(b.column(1))), strict=True) if len(s)]
             cols = [pa.array([x[i] for x in got], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([x[3] for x in got], pa.binary())], ["doc_id", "h1", "h2", "elements"])
@@ -270,19 +358,23 @@ def _contents(k: int):
     return go
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_ELEMENTS, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row, linking texts with Jaccard similarity >= num / den (above 0).
+def _by_ranges(src: DataFrame, k: int, num: int, den: int, width: int, members: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, distinct sets, candidates), sets filed by ranges of hash values: one pass over the texts, one shuffle of the files."""
+    found = cut(arrow_pass(src, _filed(k, num, den), "doc_id long, n long, h1 long, h2 long, files array<long>"), "filed-sets")
+    sets = cut(found.drop("files"), "sets")
+    filed = found.where("doc_id is not null and h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("files").alias("files"))
+    filed = cut(filed.withColumn("id", F.monotonically_increasing_id()), "filed")
+    drop(found)
+    distinct = cut(filed.drop("files"), "distinct-sets")
+    rows = filed.select("id", F.explode("files").alias("file")).withColumn("rep", F.min("id").over(Window.partitionBy("file")))
+    near = cut(rows.where("id <> rep").select("rep", "id").distinct(), "candidates")
+    drop(filed)
+    return sets, distinct, near
 
-    Words are runs without ASCII white space, A-Z lower-cased; sets hold distinct ``k``-word shingles, a shorter
-    text is one shingle, and a null text or one without words has the empty set and links with nothing.
-    ``component_id`` is the smallest doc_id reachable. Rows that repeat a doc_id are compared each by their own
-    text. Rows without a doc_id get n_shingles, a null component and no links. Other columns are ignored;
-    an empty table gives an empty one. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
-    ``width`` (a power of two): counters of the sketch that orders shingles; ``members``, ``block``: sets, and elements, up to which
-    a group is one task's.
-    """
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+def _by_elements(src: DataFrame, k: int, num: int, den: int, width: int, members: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, distinct sets, candidates), sets filed under the elements of their prefixes; bitmaps part the candidates."""
+    spark = src.sparkSession
     found = cut(arrow_pass(src, _sets(k, width), "doc_id long, n long, h1 long, h2 long, chunk int, task int, counts binary"), "sets")
     level = spark.sparkContext.broadcast(_sketch(found, width))
     sets = found.where("chunk is null").select("doc_id", "n", "h1", "h2")
@@ -308,10 +400,31 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     near = each_group(some, ["rep"], part, "rep long, id long").unionByName(pairs.join(wide, "rep", "left_semi"))
     near = cut(near.distinct(), "parts")
     drop(filed, pairs)
+    return sets, distinct, near
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_ELEMENTS, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row, linking texts with Jaccard similarity >= num / den (above 0).
+
+    Words are runs without ASCII white space, A-Z lower-cased; sets hold distinct ``k``-word shingles, a shorter
+    text is one shingle, and a null text or one without words has the empty set and links with nothing.
+    ``component_id`` is the smallest doc_id reachable. Rows that repeat a doc_id are compared each by their own
+    text. Rows without a doc_id get n_shingles, a null component and no links. Other columns are ignored;
+    an empty table gives an empty one. Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
+    ``width`` (a power of two): counters of the sketch that orders shingles; ``members``, ``block``: sets, and elements, up to which
+    a group is one task's.
+    """
+    spark = docs.sparkSession
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    by_ranges = num >= FULL * (den - num)
+    sets, distinct, near = (_by_ranges if by_ranges else _by_elements)(src, k, num, den, width, members)
     wanted = near.select("id").unionByName(near.select(F.col("rep").alias("id"))).distinct()
     wanted = cut(distinct.join(wanted, "id"), "wanted")
-    contents = arrow_pass(src.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), _contents(k), "doc_id long, h1 long, h2 long, elements binary")
-    contents = cut(contents.join(wanted, ["doc_id", "h1", "h2"]).select("id", "n", "elements").dropDuplicates(["id"]), "contents")
+    # texts stay where they are: most that are not wanted go by a table of bits, the rest by the join
+    bits = spark.sparkContext.broadcast(_some(wanted))
+    contents = arrow_pass(src.select("doc_id", "text", _place().alias("place")), _contents(k, bits), "doc_id long, h1 long, h2 long, elements binary")
+    key = ["doc_id", "h1", "h2"]
+    contents = cut(contents.dropDuplicates(key).join(wanted, key).select("id", "n", "elements"), "contents")
     sized = near.unionByName(near.select("rep", F.col("rep").alias("id")).distinct()).join(contents.select("id", "n"), "id")
     weight = sized.groupBy("rep").agg(F.sum("n").alias("total"))
     large = cut(weight.where(F.col("total") > block), "large-groups")

@@ -203,3 +203,50 @@ def test_components_of_chains_and_stars(spark):
     nodes = {x for e in edges for x in e}
     assert {(r.node, r.root) for r in connected(df).collect()} == {(x, root(x)) for x in nodes}
     assert connected(df.limit(0)).count() == 0
+
+
+def test_linked_sets_share_a_file_and_strangers_of_common_shingles_do_not():
+    rng = np.random.default_rng(17)
+    new = lambda n: np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    for num, den in ((90, 100), (95, 100), (87, 100)):
+        ranges = nj.Ranges(num, den)
+        linked = 0
+        for n in [*range(1, 80), 150, 400, 2000]:
+            for _ in range(40):
+                a = new(n)
+                gone, more = rng.integers(0, 2 + n * (den - num) // den, 2)
+                b = np.unique(np.concatenate((rng.permutation(a)[gone:], new(more))))
+                if len(b) and not np.array_equal(a, b) and nj.enough(len(np.intersect1d(a, b)), len(a), len(b), num, den):
+                    linked += 1
+                    assert set(ranges.files(a).tolist()) & set(ranges.files(b).tolist()), (n, gone, more)
+        assert linked > 300
+    # ranges that hold nothing are no file of their own
+    ranges = nj.Ranges(90, 100)
+    few = [new(10) for _ in range(3000)]
+    files = np.concatenate([ranges.files(s) for s in few])
+    assert np.unique(files, return_counts=True)[1].max() <= 3
+    # texts over a small vocabulary of shingles: by prefixes nearly all are candidates
+    vocab = new(3000)
+    some = [np.sort(rng.permutation(vocab)[:300]) for _ in range(200)]
+    files = np.concatenate([ranges.files(s) for s in some])
+    assert len(np.unique(files)) == len(files)
+    prefixes = np.concatenate([nj.prefix(s, np.zeros(1, np.uint8), 90, 100) for s in some])
+    assert len(np.unique(prefixes)) < len(prefixes) / 2
+
+
+def test_candidates_grow_no_faster_than_the_texts(spark, monkeypatch):
+    seen = {}
+    cut = nj.cut
+
+    def counted(df, name="cut"):
+        out = cut(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nj, "cut", counted)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(12)}" for _ in range(120))) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(0, 400, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(df) == brute(rows)
+    assert seen["candidates"] <= 100  # 50 copies; by prefixes hundreds share a shingle
