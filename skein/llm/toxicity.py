@@ -23,13 +23,12 @@ from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, cut, give_back, shingles
+from .common import arrow_pass, cut, each_group, give_back, shingles
 
 WORD = re.compile(r"[^\W\d_]+")
 #: of UTF-8: ASCII that is no letter becomes a space
@@ -37,9 +36,9 @@ _PART = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4096, 12288, 16384
 MIN_LLR, MIN_LIFT, NEIGHBOURS = 24.0, 4.0, 15
 #: words kept as rows of a matrix (at most DENSE * (MAX_TOXIC + MAX_CLEAN) floats); texts multiplied with it at a time
-DENSE, BATCH = 384, 64
+DENSE, BATCH = 640, 256
 #: what single precision may err by; postings up to which they are gathered by number
-_ROUND, _SHORT = 1e-5, 64
+_ROUND, _SHORT = 1e-5, 256
 #: words to a shingle, and the similarity from which labelled texts are one family
 WORDS, ALIKE = 5, 0.8
 
@@ -200,14 +199,17 @@ class Index:
         least = np.partition(acc, n - k)[n - k] - _ROUND if n > k else 0.0
         ids = np.flatnonzero((acc >= least) & (acc > 0))
         ids = ids[ids != skip]
-        # in full and in double precision
-        a, m = self.start[ids], self.start[ids + 1] - self.start[ids]
-        if not m.sum():
+        # in full and in double precision, over the words that the text has too
+        a, e = self.start[ids], self.start[ids + 1]
+        edge = np.concatenate(([0], np.cumsum(e - a)))
+        if not edge[-1]:
             return np.empty(0, np.int64), np.empty(0)
-        at = np.arange(m.sum()) + np.repeat(a - np.cumsum(m) + m, m)
         self.query[t] = w
-        sims = np.bincount(np.repeat(np.arange(len(ids)), m), self.query[self.term[at]] * self.full[at], len(ids))
+        q = self.query[np.concatenate([self.term[i:j] for i, j in zip(a.tolist(), e.tolist(), strict=True)])]
         self.query[t] = 0
+        at = np.flatnonzero(q)
+        of = np.searchsorted(edge, at, "right") - 1
+        sims = np.bincount(of, q[at] * self.full[at + (a - edge[:-1])[of]], len(ids))
         ids, sims = ids[sims > 0], sims[sims > 0]
         order = np.lexsort((ids, -np.round(sims, 12)))[:k]
         return ids[order], sims[order]
@@ -322,11 +324,12 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), family, pa.array([s.tobytes() if len(s) else None for s in found], pa.binary())], ["doc_id", "toxic", "family", "s"])
 
 
-def _unlike(group: pd.DataFrame) -> pd.DataFrame:
+def _unlike(group: pa.Table) -> tuple[np.ndarray]:
     """Of texts of one least shingle those that are not alike to one kept before them, by id."""
     kept: list[np.ndarray] = []
     ids = []
-    for doc_id, raw in group.sort_values("doc_id")[["doc_id", "s"]].itertuples(index=False):
+    group = group.sort_by("doc_id")
+    for doc_id, raw in zip(group.column("doc_id").to_pylist(), group.column("s").to_pylist(), strict=True):
         s = np.frombuffer(raw or b"", "<u8")
         for x in kept:
             if min(len(x), len(s)) < ALIKE * max(len(x), len(s)):
@@ -337,7 +340,7 @@ def _unlike(group: pd.DataFrame) -> pd.DataFrame:
         else:
             kept.append(s)
             ids.append(doc_id)
-    return pd.DataFrame({"doc_id": np.array(ids, np.int64)})
+    return (np.array(ids, np.int64),)
 
 
 def one_of_each_family(rows: DataFrame) -> DataFrame:
@@ -349,7 +352,7 @@ def one_of_each_family(rows: DataFrame) -> DataFrame:
     # equal sets are one row of their group
     once = sets.groupBy("toxic", F.coalesce("family", F.xxhash64("doc_id")).alias("family"), "s").agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("s").isNull(), F.col("doc_id"))).alias("bare"))
     wordless = once.where("s is null").select(F.explode("bare").alias("doc_id"))
-    return once.where("s is not null").groupBy("toxic", "family").applyInPandas(_unlike, "doc_id long").unionByName(wordless)
+    return each_group(once.where("s is not null").select(F.col("toxic").cast("long").alias("toxic"), "family", "doc_id", "s"), ["toxic", "family"], _unlike, "doc_id long").unionByName(wordless)
 
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS) -> tuple[Index, DataFrame]:

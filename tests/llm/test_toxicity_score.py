@@ -167,3 +167,10 @@ def test_families_are_compared(spark):
 def test_words_are_those_of_the_pattern(text):
     assert toxicity.words_of(text) == words(text)
     assert toxicity.words_of(None) == Counter()
+
+
+def test_families_are_many_small_groups_and_cost_no_data_frame_each(spark):
+    df = spark.createDataFrame([(i, i % 2, f"some words of text {i}") for i in range(8)], "doc_id long, toxic int, text string")
+    found = toxicity.one_of_each_family(df)
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    assert sorted(r.doc_id for r in found.collect()) == list(range(8))
