@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import progress
+from skein.operators import lock as L
 from skein.sources import layers, toml
 
 ROWS = [
@@ -91,3 +92,38 @@ def test_lines_go_on_where_they_stopped(spark, tmp_path):
     got = sorted((r["u"], r["line"], r["made"]) for r in progress.accepted(spark, path).collect())
     assert got == sorted((r["u"], r["line"], r["text"].upper()) for r in lines.collect())
     assert not progress.run(lines.withColumn("line", F.col("line") + 100), str(tmp_path / "q"), ["u"], make([101]), step=1)
+
+
+def test_layers_of_one_frame_and_of_their_own_assemble_alike(spark):
+    scenes = spark.createDataFrame([("I", "a", 1, 1, 9, "t1", "r"), ("I", "b", 2, 10, 19, "t2", "r"), ("I", "c", 3, 20, 29, "t3", "r")], "unit string, scene string, ord int, lo int, hi int, title string, region string")
+    locations = spark.createDataFrame([("a", 2, "wood"), ("a", 1, "hill")], "scene string, ord int, it string")
+    presence = [("a", 2, "Virgil", "present"), ("a", 1, "Dante", None), ("a", 1, "Anna", "named"), ("a", 3, "Dante", None)]
+    cohort = [("a", 1, "souls"), ("a", 1, None), ("b", 5, "souls")]
+    speech = [("a", 4, "q1", 3, 4, "Dante", "Virgil", "code")]
+    edges = [
+        ("a", 1, "he", "Dante", "sees", "wolf", "", "literal", 2, 3), ("a", 2, "he", "Dante", "sees", "wolf", "", "literal", 2, 3),
+        ("a", 3, "I", None, "names", "guide", "Virgil", "simile", 5, 5), ("a", 3, "Anna", "Anna", "names", "it", "sea", None, 6, 6),
+    ]
+    kinds = {
+        "presence": "who string, status string", "speech": "quote_id string, start int, end int, speaker string, addressee string, source string", "cohort": "cohort string",
+        "edge": "subj_name string, subj_node string, predicate string, obj_name string, obj_node string, frame string, start int, end int",
+    }
+    rows = dict(zip(kinds, (presence, speech, cohort, edges), strict=True))
+    frames = [spark.createDataFrame(rows[k], f"scene string, ord int, {v}") for k, v in kinds.items()]
+    apart = {r.scene: r for r in L.assemble(scenes, locations, *frames, ["scene"], ["unit"]).collect()}
+    # the same rows in one frame, where a row is in all the layers that have one in its place
+    by_place = {}
+    for k, v in rows.items():
+        for scene, at, *values in v:
+            i = sum((scene, at, n) in by_place and k in by_place[scene, at, n] for n in range(9))
+            by_place.setdefault((scene, at, i), {})[k] = tuple(values)
+    one = spark.createDataFrame([(s, at, *[x.get(k) for k in kinds]) for (s, at, _), x in by_place.items()], "scene string, ord int, " + ", ".join(f"{k} struct<{', '.join(f'{c.split()[0]}: {c.split()[1]}' for c in v.split(', '))}>" for k, v in kinds.items()))
+    together = {r.scene: r for r in L.assemble_rows(scenes, locations, one, {k: lambda x, k=k: x[k] for k in kinds}, ["scene"], ["unit"]).collect()}
+    assert apart == together and one.count() < sum(map(len, rows.values()))
+    a = apart["a"]
+    assert a.location == "hill" and apart["c"].location == "hill" and a.lines == a.basis == "1-9"
+    assert [tuple(x) for x in a.cast] == [("Anna", "named"), ("Dante", None), ("Virgil", "present"), ("Dante", None)] and a.cohort == [None, "souls"]
+    assert [tuple(x) for x in a.speech] == [("q1", "3-4", "Dante", "Virgil", "code")]
+    assert [tuple(x) for x in a.refer] == [("he", 2, "Dante"), ("guide", 5, "Virgil"), ("it", 6, "sea")]
+    assert [tuple(x) for x in a.relations] == [("Dante", "sees", "wolf", "2-3")] and [tuple(x) for x in a.simile] == [("5-5", "Virgil")]
+    assert apart["b"].cohort == ["souls"] and [apart["c"][k] for k in ("cohort", "cast", "speech", "refer", "relations", "simile")] == [[]] * 6

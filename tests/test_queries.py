@@ -90,3 +90,26 @@ def test_items_are_moved_once_and_dealt_by_rows(spark, tmp_path):
     i = layer_queries.items(spark, str(tmp_path))
     plan = i.groupBy("scene").agg(F.max("qty"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "hashpartitioning(l_orderkey" in plan and f", {1 + lines.count() * 70 // 200_000})" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
+@pytest.mark.parametrize("name", ["lock_assembly", "lock_names"])
+def test_line_items_are_read_once_for_lists_and_once_for_places(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/lineitem.parquet") == 2
+
+
+def test_an_order_that_stands_twice_is_assembled_twice(spark, tmp_path):
+    import duckdb
+
+    orders = [(1, 7, "1-URGENT", "O"), (1, 7, "1-URGENT", "O"), (2, 7, "5-LOW", "F"), (3, 7, "5-LOW", "P"), (4, 8, "5-LOW", "F")]
+    lines = [(1, 1, 10, 3, 5.0, "R", "F"), (1, 2, 4, 5, 6.0, "N", "O"), (1, 2, 4, 5, 6.0, "N", "O"), (1, 3, 7, 1, 2.0, "R", "F"), (3, 3, 3, 2, 1.0, "A", "F")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        duck.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cur = duck.execute(plans.ORACLES["lock_assembly"])
+    want = norm(cur.fetchall(), [d[0] for d in cur.description])
+    got = plans.QUERIES["lock_assembly"](spark, str(tmp_path))
+    assert norm([tuple(r) for r in got.collect()], got.columns) == want and len(want) == 5
